@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class PieceModel:
         special = {i for i in range(n) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)}
         self.ids = {sp.id_to_piece(i): i for i in range(n) if i not in special}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
         self.raw = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).encode() for i in range(n)]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
@@ -71,8 +72,6 @@ class PieceModel:
 
     def holds(self, left: str, right: str) -> bool:
         """Whether BPE keeps the two pieces apart where they meet."""
-        if left + right in self.score:
-            return False
         got = self.pairs.get((left, right))
         if got is None:
             if len(self.pairs) > MEMO_PAIRS:
@@ -82,25 +81,28 @@ class PieceModel:
 
     def extend(self, word: str, end: int, state: list) -> None:
         """Append the forward state of word[:end]; ``state`` has those of the shorter prefixes."""
+        start = end - 1
+        piece = word[start]
+        fits = [(start, piece)]
+        while start:
+            start -= 1
+            piece = word[start:end]
+            if piece not in self.tails:
+                break
+            if piece in self.score:
+                fits.append((start, piece))
         if self.unigram:
-            best = None
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                score = self.score.get(piece)
-                if score is None and end - start == 1:
-                    score = -1e6
-                if score is not None and (best is None or state[start][0] + score > best[0]):
-                    best = (state[start][0] + score, piece)
-            state.append(best)
+            worth = [(state[at][0] + self.score.get(p, -1e6), p) for at, p in fits]
+            state.append(max(worth, key=lambda x: x[0]))
             return
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (end - start == 1 or piece in self.score) and (state[start] is not None or start == 0):
-                before = state[start]
-                if (not before or self.holds(before[1], piece)) and (end - start == 1 or self.whole(piece)):
-                    state.append((0.0, piece))
-                    return
-        raise AssertionError("every prefix has an encoding")
+        for at, p in reversed(fits):
+            before = state[at]
+            if before is None:
+                if len(p) == 1 or self.whole(p):
+                    break
+            elif self.holds(before[1], p) and (len(p) == 1 or self.whole(p)):
+                break
+        state.append((0.0, p))
 
     def whole(self, piece: str) -> bool:
         """Whether BPE builds the piece at all from its characters."""
@@ -122,8 +124,6 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of sorted distinct words into the memo, prefixes shared."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         state: list = [(0.0, "") if self.unigram else None]
         last = ""
         for word in words:
@@ -147,9 +147,11 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
         cut = [self.cut(t) for t in texts]
         self.encode_words(sorted({w for words in cut for w in words} - self.memo.keys()))
-        return [[i for w in words for i in self.memo[w]] for words in cut]
+        return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD, the blank put in front goes."""
