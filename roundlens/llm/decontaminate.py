@@ -26,7 +26,7 @@ from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, map_rows, mix,
 SHARD_ITEMS = 20_000
 #: Items are cut into parts of at most so many words; a passage is two such lengths, and the next begins one length on.
 PART_WORDS = 64
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 5
@@ -128,7 +128,8 @@ def search(shard: Shard, h: np.ndarray) -> dict[int, tuple[float, float, float,
         blocks = shard.block_most[terms].sum(0) >= THRESHOLD
         if not blocks.any():
             continue
-        posts = np.concatenate([np.arange(shard.first[t], shard.first[t + 1]) for t in terms])
+        count = shard.first[terms + 1] - shard.first[terms]
+        posts = np.arange(count.sum()) + np.repeat(shard.first[terms] - np.cumsum(count) + count, count)
         posts = posts[blocks[shard.posting[posts] // BLOCK_ITEMS]]
         found, score = np.unique(shard.posting[posts], return_inverse=True)
         score = np.bincount(score, shard.weight[posts], len(found))
