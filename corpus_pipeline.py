@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from roundlens.llm.decontaminate import drop_contaminated
 from roundlens.llm.jaccard_join import drop_near_copies
 from roundlens.llm.piece_codec import encode_pieces
+from roundlens.llm.quality import drop_low_quality
 from roundlens.llm.textkit import stage
+from roundlens.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network finds toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality go; a document's site is its source, its path the language section there."""
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "source", "lang")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +37,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encode_pieces(docs).select("doc_id", "lang", "source", "n_tokens", "token_ids", "roundtrip")
 
 
-STAGES = [("near_copies", near_copies), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_copies), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
 #: No SQL: SQL doesn't express training a network or encoding into pieces.
 ORACLE_SQL = None

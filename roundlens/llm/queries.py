@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .decontaminate import benchmark_matches
 from .jaccard_join import jaccard_components
 from .piece_codec import encode_pieces
+from .textkit import stage
 from .token_counts import token_counts
 
 
@@ -35,5 +37,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontaminate, op6_sentencepiece, op8_jaccard_join)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the network never sees held-out labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.PREDICT_AT).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document, its site being the source and its path the language section there."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
+    scored = stage(quality.with_evidence(docs, quality.fit(docs, labels)).drop("text"), "evidence")
+    out = quality.posterior(scored, F.col("source"), F.col("lang"), quality.label_rate(labels))
+    return out.select("doc_id", toxicity.is_held_out().alias("held_out"), "evidence", "site_prior", "path_prior", F.col("quality").alias("score"), (F.col("quality") >= quality.KEEP_AT).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontaminate, op6_sentencepiece, op8_jaccard_join, op9_toxicity, op10_quality)}
 ORACLE: dict[str, str] = {}
