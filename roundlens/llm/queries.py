@@ -9,6 +9,7 @@ from . import quality, toxicity
 from .chat_format import format_conversations
 from .decontaminate import benchmark_matches
 from .embed_dedup import near_vectors
+from .html_template import extract_main_text
 from .jaccard_join import jaccard_components
 from .piece_codec import encode_pieces
 from .textkit import stage
@@ -25,6 +26,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -81,7 +87,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_chat_format, op4_decontaminate, op5_embedding_dedup, op6_sentencepiece, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_quality)
+    for f in (op1_token_counts, op2_html_extraction, op3_chat_format, op4_decontaminate, op5_embedding_dedup, op6_sentencepiece, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_quality)
 }
 
 ORACLE: dict[str, str] = {
