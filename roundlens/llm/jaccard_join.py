@@ -34,6 +34,8 @@ from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, mix, slices, s
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 GROUPS, FINE_GROUPS = 32, 256
+KIND = {GROUPS: "<u2", FINE_GROUPS: "u1"}
+FULL = {GROUPS: 65535, FINE_GROUPS: 255}
 #: A shingle in so many documents goes to the end of the order, the most frequent last.
 FREQUENT = 64
 #: So many of them at most (16 bytes each) are sent to the tasks; the rest keep their place in the order.
@@ -70,8 +72,18 @@ def shingle_sets(texts: pa.Array):
                 yield np.empty(0, U)
 
 
-def points(sets: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((sets >> U(40)).astype(np.int64) & (groups - 1), minlength=groups).astype("<u4")
+def points(sets: np.ndarray, groups: int) -> bytes:
+    """Counts by group; FULL stands for that many or more."""
+    return np.minimum(np.bincount((sets >> U(40)).astype(np.int64) & (groups - 1), minlength=groups), FULL[groups]).astype(KIND[groups]).tobytes()
+
+
+def read_points(column: pa.ChunkedArray | pa.Array, n: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of rows of sizes ``n``; a full one becomes the whole size, which bounds it."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    got = np.frombuffer(b"".join(array.to_pylist()), KIND[groups]).reshape(len(array), groups).astype(np.int32)
+    rows, where = np.nonzero(got == FULL[groups])
+    got[rows, where] = n[rows]
+    return got
 
 
 def prefix_length(n: int) -> int:
@@ -141,8 +153,8 @@ def profiles(docs: DataFrame, order) -> DataFrame:
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 d.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                point.append(points(s, GROUPS).tobytes())
-                fine.append(points(s, FINE_GROUPS).tobytes())
+                point.append(points(s, GROUPS))
+                fine.append(points(s, FINE_GROUPS))
                 p = prefix_length(len(s))
                 if len(frequent) and len(s):
                     pos = np.searchsorted(frequent, s)
@@ -195,7 +207,7 @@ def runs_of(batches, key=0, most=1_000_000):
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Of (key, doc_id, tie) rows those whose key has another row; ``large`` if more than STAR; the pivot of a key comes first."""
+    """Of (key, doc_id) rows those whose key has another row; ``large`` if more than STAR, with a pivot that differs from key to key."""
 
     def run(batches):
         last_large = None
@@ -208,11 +220,13 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             if last_large is not None:
                 large |= keys == last_large
             last_large = keys[-1] if large[-1] and len(size) == 1 else None
-            pivot = np.repeat(ids[first], size)
             keep = (each > 1) | large
+            pivot = np.zeros(len(keys), np.int64)
+            for lo, n in zip(first[size > STAR], size[size > STAR], strict=True):
+                pivot[lo : lo + n] = ids[lo + np.argmin(mix(ids[lo : lo + n].view(U) * U(2) + mix(keys[lo : lo + 1].view(U))))]
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(large[keep]), pa.array(pivot[keep])], names=["key", "doc_id", "large", "pivot"])
 
-    sorted_rows = rows.select("key", "doc_id", "tie").repartition("key").sortWithinPartitions("key", "tie")
+    sorted_rows = rows.select("key", "doc_id").repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInArrow(run, "key long, doc_id long, large boolean, pivot long")
 
 
@@ -250,23 +264,18 @@ class CountTree:
         return self.order[nodes[(DEN * np.minimum(sizes, n) >= NUM * np.maximum(sizes, n)) & ((NUM + DEN) * bound >= need(n, sizes))]]
 
 
-def _as_points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(array.to_pylist()), "<u4").reshape(len(array), -1).astype(np.int64)
-
-
-def block_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
+def block_pairs(rows: DataFrame, groups: int, across: bool = False) -> DataFrame:
     """Distinct pairs (a < b) of rows of a block that the bound leaves.
 
     ``rows``: key, doc_id, n, point, and pivot, large (a large block's rows pair
     with their pivot only) or, with ``across``, component (only pairs of different
-    components, in blocks of any size).
+    components, in blocks of any size); ``groups`` is the number of the points' coordinates.
     """
 
     def run(batches):
         for table in runs_of(batches):
             keys, ids, n = (table.column(i).to_numpy() for i in range(3))
-            point = _as_points(table.column(3))
+            point = read_points(table.column(3), n, groups)
             mark = table.column(4).to_numpy(zero_copy_only=False)
             large = np.zeros(len(keys), bool) if across else table.column(5).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -285,14 +294,13 @@ def block_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
                 keep(two, two + 1)
             for lo, hi in zip(first, last, strict=True):
                 if across:
-                    main = np.bincount(np.unique(mark[lo:hi], return_inverse=True)[1])
-                    if len(main) < 2:
+                    part = np.unique(mark[lo:hi], return_inverse=True)[1]
+                    if not part.any():
                         continue
-                    groups = np.unique(mark[lo:hi], return_inverse=True)[1]
                     tree = CountTree(n[lo:hi], point[lo:hi])
-                    for i in np.flatnonzero(groups != np.argmax(main)):
+                    for i in np.flatnonzero(part != np.argmax(np.bincount(part))):
                         j = tree.search(n[lo + i], point[lo + i])
-                        j = j[groups[j] != groups[i]]
+                        j = j[part[j] != part[i]]
                         out_a.append(np.full(len(j), ids[lo + i]))
                         out_b.append(ids[lo + j])
                 elif large[lo]:
@@ -337,7 +345,7 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
     def close(batches):
         for batch in batches:
             n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            f_a, f_b = _as_points(batch.column(3)), _as_points(batch.column(5))
+            f_a, f_b = read_points(batch.column(3), n_a, FINE_GROUPS), read_points(batch.column(5), n_b, FINE_GROUPS)
             ok = (NUM + DEN) * np.minimum(f_a, f_b).sum(1) >= need(n_a, n_b) if len(n_a) else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
@@ -383,27 +391,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(frequent_shingles(rows.select("text")))
     profile = stage(profiles(rows, order), "profile")
-    reps = (
-        profile.where("doc_id is not null and n_shingles > 0")
-        .groupBy("d1", "d2")
-        .agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "point", "fine", "keys"), "doc_id").alias("r"))
-        .select("d1", "d2", "r.*")
-    )
-    reps = stage(reps, "representatives")
-    blocks = stage(in_blocks(reps.select("doc_id", F.explode("keys").alias("key")).withColumn("tie", F.xxhash64("key", "doc_id"))), "blocks")
-    points_of = reps.select("doc_id", "n", "point")
-    edges = stage(verified(block_pairs(blocks.join(points_of, "doc_id")), reps, rows), "links")
-    labels = connected_components(edges)
+    sets = profile.where("doc_id is not null and n_shingles > 0").withColumnRenamed("n_shingles", "n")
+    first = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    copies = stage(sets.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).where("doc_id <> rep").select("doc_id", "d1", "d2").distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 3 else copies
+    reps = sets.join(copies, ["doc_id", "d1", "d2"], "left_anti")
+    blocks = stage(in_blocks(reps.select("doc_id", F.explode("keys").alias("key"))), "blocks")
+    coarse, fine = reps.select("doc_id", "n", "point"), reps.select("doc_id", "n", F.col("fine").alias("point"))
     large = blocks.where("large")
-    if not large.isEmpty():
+    any_large = not large.isEmpty()
+    pairs = block_pairs(blocks.where("not large").join(coarse, "doc_id"), GROUPS)
+    if any_large:
+        pairs = pairs.unionAll(block_pairs(large.join(fine, "doc_id"), FINE_GROUPS)).distinct()
+    edges = stage(verified(pairs, reps, rows), "links")
+    labels = connected_components(edges)
+    if any_large:
         labels = stage(labels, "labels")
         at = large.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = tiles(at.join(split, "key", "left_semi")).join(points_of, "doc_id")
-        more = stage(verified(block_pairs(left, across=True), reps, rows), "links")
+        left = tiles(at.join(split, "key", "left_semi")).join(fine, "doc_id")
+        more = stage(verified(block_pairs(left, FINE_GROUPS, across=True), reps, rows), "links")
         if not more.isEmpty():
             labels = connected_components(edges.unionAll(more))
-    members = reps.select("d1", "d2", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
+    members = first.withColumnRenamed("rep", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
     return (
         profile.select("doc_id", "n_shingles", "d1", "d2")
         .join(members, ["d1", "d2"], "left")
