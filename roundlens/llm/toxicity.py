@@ -31,6 +31,8 @@ SAMPLE_EACH = 1500
 SAMPLE_CHARS = 20_000
 PREDICT_AT = 0.3
 ROUNDS, EPOCHS, BATCH, RATE = 4, 5, 128, 0.01
+#: Gradient steps of a round at least, for small samples.
+LEAST_STEPS = 100
 
 
 class Words:
@@ -223,9 +225,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
         chosen = np.unique(np.concatenate([positive, *hard, spread]))
         weight = np.where(target[text[chosen]] > 0, max(1, (len(chosen) - len(positive)) // max(1, len(positive)) // 2), 1)
         chosen = np.repeat(chosen, weight)
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - 0.8 * (round_ * EPOCHS + epoch) / (ROUNDS * EPOCHS))
-            for batch in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
+        batches = max(1, len(chosen) // min(BATCH, max(16, len(chosen) // 12)))
+        epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+        for epoch in range(epochs):
+            rate = RATE * (1 - 0.8 * (round_ + epoch / epochs) / ROUNDS)
+            for batch in np.array_split(rng.permutation(chosen), batches):
                 used, where = np.unique(at[batch], return_inverse=True)
                 where = where.reshape(at[batch].shape)
                 if used[0] < 0:
