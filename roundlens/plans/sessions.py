@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import economy, replay, statistics
+from ..operators import economy, replay, statistics, summaries
 from ..operators import sessions as H
 from .base import query
 from .replay import REPLAY_SQL
@@ -27,7 +27,7 @@ query(
     SESSION_SQL,
 )(lambda a: H.session_summary(H.player_sessions(a.matches, a.match_players), a.matches, a.match_players))
 query("h5_map_windows", "SELECT map_name, min(act_id) AS first_act, max(act_id) AS last_act FROM (SELECT map_name, act_id, act_id - row_number() OVER (PARTITION BY map_name ORDER BY act_id) AS island FROM (SELECT act_id, map_name FROM b_acts GROUP BY ALL HAVING count(*) >= 3)) GROUP BY map_name, island", ACT_SQL)(
-    lambda a: H.map_windows(__import__("roundlens.operators.summaries", fromlist=["act_pools"]).act_pools(a.matches, a.acts))
+    lambda a: H.map_windows(summaries.act_pools(a.matches, a.acts))
 )
 query(
     "h6_absence_streaks",
