@@ -165,7 +165,7 @@ def impact_scores(feed: DataFrame, rounds: DataFrame, match_players: DataFrame,
     given = found.groupBy("match_id", "round_id", F.col("trader").alias("match_player_id")).agg(F.count("*").alias("traded_teammate"))
     got = found.groupBy("match_id", "round_id", F.col("traded").alias("match_player_id")).agg(F.count("*").alias("traded_by_teammate"))
     rows = stats.join(made, keys, "left").join(taken, keys, "left").join(given, keys, "left").join(got, keys, "left").na.fill(0)
-    whole = lambda c: F.bround(c, 0).cast("long")
+    whole = lambda c: F.bround(F.round(c, 6), 0).cast("long")  # noqa: E731  (rounded first: sums in another order are equal then)
     damage = whole((F.col("score") - F.col("acs") + F.when(F.col("k") > 1, 50 * F.col("k")).otherwise(0)) * F.lit(1.25))
     rows = rows.withColumn("damage", damage)
     kill, death = whole(F.col("damage") + (F.col("ke") + F.col("kt") + F.col("ks")) / 3), whole((F.col("de") + F.col("dt") + F.col("ds")) / 3)

@@ -70,16 +70,16 @@ i_kt AS (
     SELECT round_id, victim AS mp, sum(de) AS de, sum(dob * dt) AS dt, sum(dob * sw) AS ds, sum(CASE WHEN vclutch THEN dob ELSE 0 END) AS dc, sum(CASE WHEN post THEN dob * dt ELSE 0 END) AS dp, sum(CASE WHEN mism THEN de ELSE 0 END) AS dm
     FROM (SELECT *, dob * CASE WHEN NOT self_kill THEN econ WHEN econ = 4 THEN 0.9 WHEN econ = 5 THEN 0.85 WHEN econ = 6 THEN 0.75 ELSE 0.15 END AS de FROM i_kills) GROUP BY ALL
 ), i_sum AS (
-    SELECT s.match_id, s.round_id, s.round_number, s.match_player_id, s.team, round_even((s.score - coalesce(acs, 0) + CASE WHEN k > 1 THEN 50 * k ELSE 0 END) * 1.25::DOUBLE, 0)::BIGINT AS damage,
+    SELECT s.match_id, s.round_id, s.round_number, s.match_player_id, s.team, round_even(round((s.score - coalesce(acs, 0) + CASE WHEN k > 1 THEN 50 * k ELSE 0 END) * 1.25::DOUBLE, 6), 0)::BIGINT AS damage,
         coalesce(ke, 0) AS ke, coalesce(kt, 0) AS kt, coalesce(ks, 0) AS ks, coalesce(kc, 0) AS kc, coalesce(kp, 0) AS kp, coalesce(km, 0) AS km,
         coalesce(de, 0) AS de, coalesce(dt, 0) AS dt, coalesce(ds, 0) AS ds, coalesce(dc, 0) AS dc, coalesce(dp, 0) AS dp, coalesce(dm, 0) AS dm,
         (SELECT count(*) FROM i_trades t WHERE t.round_id = s.round_id AND t.trader = s.match_player_id) AS traded_teammate, (SELECT count(*) FROM i_trades t WHERE t.round_id = s.round_id AND t.traded = s.match_player_id) AS traded_by_teammate
     FROM a_stats s LEFT JOIN i_made m ON m.round_id = s.round_id AND m.mp = s.match_player_id LEFT JOIN i_taken d ON d.round_id = s.round_id AND d.mp = s.match_player_id
 ), i_impact AS MATERIALIZED (
     SELECT match_id, round_id, match_player_id, round_number, team, ki AS kill_impact, di AS death_impact, ki - di AS impact, damage,
-        round_even(ke - de, 0)::BIGINT AS econ_impact, round_even(kt - dt, 0)::BIGINT AS time_impact, round_even(ks - ds, 0)::BIGINT AS swing_impact, round_even(km, 0)::BIGINT AS econ_kill, round_even(dm, 0)::BIGINT AS econ_death,
-        round_even(kc, 0)::BIGINT AS clutch_kill, round_even(dc, 0)::BIGINT AS clutch_death, round_even(kp, 0)::BIGINT AS post_plant_kill, round_even(dp, 0)::BIGINT AS post_plant_death, traded_teammate, traded_by_teammate
-    FROM (SELECT *, round_even(damage + (ke + kt + ks) / 3, 0)::BIGINT AS ki, round_even((de + dt + ds) / 3, 0)::BIGINT AS di FROM i_sum)
+        round_even(round(ke - de, 6), 0)::BIGINT AS econ_impact, round_even(round(kt - dt, 6), 0)::BIGINT AS time_impact, round_even(round(ks - ds, 6), 0)::BIGINT AS swing_impact, round_even(round(km, 6), 0)::BIGINT AS econ_kill, round_even(round(dm, 6), 0)::BIGINT AS econ_death,
+        round_even(round(kc, 6), 0)::BIGINT AS clutch_kill, round_even(round(dc, 6), 0)::BIGINT AS clutch_death, round_even(round(kp, 6), 0)::BIGINT AS post_plant_kill, round_even(round(dp, 6), 0)::BIGINT AS post_plant_death, traded_teammate, traded_by_teammate
+    FROM (SELECT *, round_even(round(damage + (ke + kt + ks) / 3, 6), 0)::BIGINT AS ki, round_even(round((de + dt + ds) / 3, 6), 0)::BIGINT AS di FROM i_sum)
 )
 """
 
