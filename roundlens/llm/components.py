@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +11,35 @@ from .textkit import stage
 MAX_ROUNDS = 60
 
 
+def _spanning(batches):
+    """The components of a task's own edges as stars (member, smallest member), some hundred thousand edges at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def stars():
+        rows = [(x, root(x)) for x in list(parent) if root(x) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > 500_000:
+            yield stars()
+    yield stars()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each node of ``edges`` the smallest node that it reaches.
 
-    Each round links a node's larger neighbours to its smallest one (large star)
+    Edges are first contracted within each task. Each round links a node's larger neighbours to its smallest one (large star)
     and then its smaller neighbours (small star); the number of edges never
     grows, and the rounds follow the logarithm of the longest path. A table per
     round is written to the shared folder, so that lost executors cost one round.
@@ -21,13 +47,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     table gives an empty one.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now = stage(now, "edges")
-    nodes = now
+    nodes = stage(now, "edges")
+    now = nodes.mapInArrow(_spanning, "u long, v long")
     seen = None
     for _ in range(MAX_ROUNDS):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         now = stage(small.where("u <> v").distinct(), "edges")

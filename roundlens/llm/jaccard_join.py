@@ -43,6 +43,8 @@ FREQUENT_MOST = 1 << 18
 STAR = 256
 LEAF = 16
 TILE = 1 << 16
+#: Groups of candidates with up to so many shingles (8 bytes each) are verified by one task each; larger ones pair by pair.
+GROUP_MOST = 8_000_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 
@@ -339,7 +341,7 @@ def tiles(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked; first the bound by finer groups, then the sets themselves."""
+    """Linked pairs (a, b) that span all components of links among ``pairs``; first the bound by finer groups, then the sets themselves."""
     fine = profile.select("doc_id", F.col("n").alias("n_"), F.col("fine").alias("f_"))
 
     def close(batches):
@@ -351,29 +353,73 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
 
     both = pairs.join(fine.toDF("a", "n_a", "f_a"), "a").join(fine.toDF("b", "n_b", "f_b"), "b")
     near = stage(both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(close, "a long, b long"), "near")
-    ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct()
-    ids = F.broadcast(ids) if near.count() * 2 <= BROADCAST_IDS else ids
+    groups = stage(connected_components(near), "groups")
+    size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg((F.sum("n") > GROUP_MOST).alias("large"))
+    placed = stage(groups.join(size, "component").select(F.col("id").alias("doc_id"), "component", "large"), "placed")
+    placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 4 else placed
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["doc_id", "shingles"])
+            held = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held, batch.column(2), batch.column(3)], names=["doc_id", "shingles", "component", "large"])
 
-    full = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+    full = docs.join(placed, "doc_id").select("doc_id", "text", "component", "large").mapInArrow(sets, "doc_id long, shingles binary, component long, large boolean")
+    near = near.join(placed.withColumnRenamed("doc_id", "a"), "a")
+    found = _linked_in_groups(near.where("not large"), full.where("not large"))
+    return found if placed.where("large").isEmpty() else found.unionAll(_linked_pairs(near.where("large").select("a", "b"), full.where("large").select("doc_id", "shingles"))).distinct()
 
-    def linked(batches):
+
+def linked_sets(s: np.ndarray, t: np.ndarray) -> bool:
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and DEN * common >= NUM * (len(s) + len(t) - common)
+
+
+def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Links that span the components of groups of at most GROUP_MOST shingles; a group's sets travel once, and its pairs are tried until they join nothing new."""
+
+    def run(batches):
+        for table in runs_of(batches):
+            key, a = table.column(0).to_numpy(), table.column(1).to_pylist()
+            b, held = table.column(2).to_pylist(), table.column(3)
+            out, now, sets, parent = [], None, {}, {}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, k in enumerate(key.tolist()):
+                if k != now:
+                    now, sets = k, {}
+                    parent.clear()
+                if b[i] is None:
+                    sets.setdefault(a[i], []).append(np.frombuffer(held[i].as_py(), U))
+                else:
+                    x, y = root(a[i]), root(b[i])
+                    if x != y and any(linked_sets(s, t) for s in sets[a[i]] for t in sets[b[i]]):
+                        parent[x] = y
+                        out.append((a[i], b[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    none = F.lit(None)
+    rows = full.select(F.col("component").alias("g"), F.col("doc_id").alias("a"), none.cast("long").alias("b"), "shingles").unionAll(pairs.select("component", "a", "b", none.cast("binary")))
+    return rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _linked_pairs(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The same for groups of any size: the sets travel with each pair."""
+
+    def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(DEN * common >= NUM * (len(s) + len(t) - common) and common > 0)
+            ok = [linked_sets(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
-    joined = near.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return joined.mapInArrow(linked, "a long, b long").distinct()
+    joined = pairs.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
