@@ -380,20 +380,22 @@ def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Links that span the components of groups of at most GROUP_MOST shingles; a group's sets travel once, and its pairs are tried until they join nothing new."""
 
     def run(batches):
-        for table in runs_of(batches):
-            key, a = table.column(0).to_numpy(), table.column(1).to_pylist()
-            b, held = table.column(2).to_pylist(), table.column(3)
-            out, now, sets, parent = [], None, {}, {}
+        now, sets, parent = None, {}, {}
 
-            def root(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
-            for i, k in enumerate(key.tolist()):
+        # A group's sets and links so far stay until the next group begins, in whichever batches its rows come.
+        for batch in batches:
+            key, a, b = (batch.column(i).to_pylist() for i in range(3))
+            held, out = batch.column(3), []
+            for i, k in enumerate(key):
                 if k != now:
-                    now, sets = k, {}
+                    now = k
+                    sets.clear()
                     parent.clear()
                 if b[i] is None:
                     sets.setdefault(a[i], []).append(np.frombuffer(held[i].as_py(), U))

@@ -160,6 +160,23 @@ def test_jaccard_components(spark, monkeypatch, star, most, tile):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_groups_span_batches(spark):
+    """A group's sets and pairs may come in any number of Arrow batches."""
+    rng = random.Random(17)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+    texts = []
+    for i in range(12):
+        words = base[:]
+        words[7 * i % 90] = f"x{i}"
+        texts.append(" ".join(words))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [r.component_id for r in jaccard_join.jaccard_components(docs(spark, texts)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [0] * 12
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e f", "x", "y", 1), (5, "a b c d e f", "x", "y", 1), (5, "a b c d e f", "x", "y", 1), (3, "a b c d e f", None, None, None)]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
