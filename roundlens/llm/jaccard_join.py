@@ -43,7 +43,7 @@ FREQUENT_MOST = 1 << 18
 STAR = 256
 LEAF = 16
 TILE = 1 << 16
-#: Groups of candidates with up to so many shingles (8 bytes each) are verified by one task each; larger ones pair by pair.
+#: Groups of candidates with up to so many shingles (8 bytes each) are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
 GROUP_MOST = 8_000_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
@@ -366,7 +366,9 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
     full = docs.join(placed, "doc_id").select("doc_id", "text", "component", "large").mapInArrow(sets, "doc_id long, shingles binary, component long, large boolean")
     near = near.join(placed.withColumnRenamed("doc_id", "a"), "a")
     found = _linked_in_groups(near.where("not large"), full.where("not large"))
-    return found if placed.where("large").isEmpty() else found.unionAll(_linked_pairs(near.where("large").select("a", "b"), full.where("large").select("doc_id", "shingles"))).distinct()
+    if placed.where("large").isEmpty():
+        return found
+    return found.unionAll(_linked_in_large_groups(near.where("large").select("a", "b"), full.where("large").select("doc_id", "shingles"), profile)).distinct()
 
 
 def linked_sets(s: np.ndarray, t: np.ndarray) -> bool:
@@ -411,8 +413,33 @@ def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def _linked_in_large_groups(pairs: DataFrame, full: DataFrame, profile: DataFrame) -> DataFrame:
+    """The same for groups of any size: first each set with its smallest partner, then the pairs that are still apart.
+
+    A partner and its sets are a group of its own, cut into parts of about GROUP_MOST
+    shingles that each hold the partner, so a set travels once or twice in all.
+    """
+    star = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    parts = star.join(profile.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / max(GROUP_MOST, 1)).cast("int").alias("parts"))
+    star = stage(star.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("component")), "stars")
+    places = star.select(F.col("b").alias("doc_id"), "component").unionAll(star.select("a", "component").distinct())
+    places = F.broadcast(places) if star.count() <= BROADCAST_IDS // 4 else places
+    first = stage(_linked_in_groups(star, full.join(places, "doc_id")), "links")
+    at = connected_components(first)
+    apart = pairs.join(at.toDF("a", "x"), "a", "left").join(at.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+    apart = stage(apart, "apart")
+    if apart.isEmpty():
+        return first
+    return first.unionAll(_linked_pairs(apart, only(full, apart.select(F.col("a").alias("doc_id")).unionAll(apart.select("b")))))
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without those that ``ids`` (doc_id) can't need, if so few ids that they can be broadcast; else all."""
+    return rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
 def _linked_pairs(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The same for groups of any size: the sets travel with each pair."""
+    """The sets travel with each pair."""
 
     def run(batches):
         for batch in batches:
