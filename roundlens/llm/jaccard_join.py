@@ -342,7 +342,8 @@ def tiles(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame:
     """Linked pairs (a, b) that span all components of links among ``pairs``; first the bound by finer groups, then the sets themselves."""
-    fine = profile.select("doc_id", F.col("n").alias("n_"), F.col("fine").alias("f_"))
+    pairs = stage(pairs, "pairs")
+    fine = only(profile.select("doc_id", F.col("n").alias("n_"), F.col("fine").alias("f_")), pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
 
     def close(batches):
         for batch in batches:
@@ -475,6 +476,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     coarse, fine = reps.select("doc_id", "n", "point"), reps.select("doc_id", "n", F.col("fine").alias("point"))
     large = blocks.where("large")
     any_large = not large.isEmpty()
+    fine = only(fine, large.select("doc_id")) if any_large else fine
     pairs = block_pairs(blocks.where("not large").join(coarse, "doc_id"), GROUPS)
     if any_large:
         pairs = pairs.unionAll(block_pairs(large.join(fine, "doc_id"), FINE_GROUPS)).distinct()
