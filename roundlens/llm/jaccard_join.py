@@ -34,8 +34,8 @@ from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, mix, slices, s
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 GROUPS, FINE_GROUPS = 32, 256
-KIND = {GROUPS: "<u2", FINE_GROUPS: "u1"}
-FULL = {GROUPS: 65535, FINE_GROUPS: 255}
+#: Counts from here on stand for the whole size; sets beyond GROUPS times as many shingles are left to the finer points.
+FULL = 255
 #: A shingle in so many documents goes to the end of the order, the most frequent last.
 FREQUENT = 64
 #: So many of them at most (16 bytes each) are sent to the tasks; the rest keep their place in the order.
@@ -76,14 +76,14 @@ def shingle_sets(texts: pa.Array):
 
 def points(sets: np.ndarray, groups: int) -> bytes:
     """Counts by group; FULL stands for that many or more."""
-    return np.minimum(np.bincount((sets >> U(40)).astype(np.int64) & (groups - 1), minlength=groups), FULL[groups]).astype(KIND[groups]).tobytes()
+    return np.minimum(np.bincount((sets >> U(40)).astype(np.int64) & (groups - 1), minlength=groups), FULL).astype(np.uint8).tobytes()
 
 
 def read_points(column: pa.ChunkedArray | pa.Array, n: np.ndarray, groups: int) -> np.ndarray:
     """The counts of rows of sizes ``n``; a full one becomes the whole size, which bounds it."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    got = np.frombuffer(b"".join(array.to_pylist()), KIND[groups]).reshape(len(array), groups).astype(np.int32)
-    rows, where = np.nonzero(got == FULL[groups])
+    got = np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(len(array), groups).astype(np.int32)
+    rows, where = np.nonzero(got == FULL)
     got[rows, where] = n[rows]
     return got
 
