@@ -36,8 +36,11 @@ COMMON, COMMON_TEXT, LEAST_PAGES = 0.5, 0.9, 10
 BROADCAST_HOSTS, TEMPLATE_TEXTS = 5_000, 500
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Elements of formulas stay in the line of text they are in.
+MATHML = frozenset("mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle merror mpadded mphantom mfenced menclose mmultiscripts mprescripts mspace semantics annotation".split())
+INLINE |= MATHML
+RAW = frozenset("script style noscript template iframe svg textarea title".split())
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button select option fieldset".split()) | RAW
 #: Names in class or id that mark an element as no content.
 NAMES = frozenset(
@@ -49,7 +52,7 @@ HEADER_NAMES = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER = frozenset("html body main article".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|canvas|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<]*\Z|<(?=[a-zA-Z/])[^>]*>",
     re.S | re.I,
 )

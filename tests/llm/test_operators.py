@@ -307,3 +307,11 @@ def test_shingles_of_long_and_odd_texts():
     texts = ["w " * 300_000, "\u00a0nbsp\u2003em", "A" * 2_000_000 + " b c d e f"]
     sizes = [len(s) for s in jaccard_join.shingle_sets(pa.array(texts))]
     assert sizes == [1, 1, 2]
+
+
+def test_html_keeps_all_but_the_listed_parts():
+    text = html_template.extract_text
+    assert text('<article><p>one <svg class="i"/> two</p><p>three</p>') == "one two\n\nthree"
+    assert text("<article><p>one <svg><path d='M0'/><text>no</text></svg> two</p></article>") == "one two"
+    assert text("<article><p>a <math/> b</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "a b\n\nso x=2 holds"
+    assert text("<article><object data='x'><p>instead of it</p></object><canvas>drawn: 3</canvas></article>") == "instead of it\n\ndrawn: 3"
