@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .textkit import map_rows, stage, text_column
 from .url_filter import url_host
 
-#: Tokens on a smaller share of a host's pages are no template; text needs COMMON_TEXT and at least LEAST_PAGES pages.
-COMMON, COMMON_TEXT, LEAST_PAGES = 0.5, 0.9, 10
+#: Tokens on a smaller share of a host's distinct pages are no template; text needs COMMON_TEXT of these and of all pages. Pages that share their longest blocks, NEAR of their text, are one.
+COMMON, COMMON_TEXT, NEAR = 0.5, 0.9, 0.8
 #: Templates of so many hosts (at most TEMPLATE_TEXTS * 8 bytes each and two paths) are broadcast; beyond, pages are shuffled by host.
 BROADCAST_HOSTS, TEMPLATE_TEXTS = 5_000, 500
 
@@ -138,17 +138,34 @@ def text_token(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - (1 << 63)
 
 
-TOKENS = "host string, token long, path string, is_text boolean, h1 long, h2 long, n long, chars long"
+def near_key(texts: list[tuple[str, str, bool, bool, int]]) -> int:
+    """Equal for pages whose longest blocks, up to NEAR of the text that isn't left out, are the same: copies and near copies."""
+    size: dict[int, int] = {}
+    for path, text, out, _, _ in texts:
+        if not out:
+            t = text_token(path, text)
+            size[t] = size.get(t, 0) + len(text)
+    longest, left = [], NEAR * sum(size.values())
+    for t in sorted(size, key=lambda t: (-size[t], t)):
+        if left <= 0:
+            break
+        longest.append(t)
+        left -= size[t]
+    return xxhash.xxh3_64_intdigest(np.sort(np.array(longest, np.int64)).tobytes()) - (1 << 63)
+
+
+TOKENS = "host string, token long, path string, is_text boolean, near long, h1 long, h2 long, n long, chars long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and distinct token (TOKENS) of (host, row, html); h1 and h2 are the page's share in the fingerprint."""
+    """A row for each page and distinct token (TOKENS) of (host, html); h1 and h2 are the share of the page and its near copies in the fingerprint."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for host, row, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 texts, paths = blocks(page or "")
+                near = near_key(texts)
                 tokens = {xxhash.xxh3_64_intdigest(p) - (1 << 63): (p, False, n, 0) for p, n in paths.items()} | {xxhash.xxh3_64_intdigest("") - (1 << 63): ("", False, 1, 0)}
                 held: dict[str, int] = {}
                 for path, text, _, _, links in texts:
@@ -159,8 +176,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         p = "/".join(steps[:k])
                         held[p] = held.get(p, 0) + max(0, len(text) - 2 * links)
                 for t, (path, is_text, n, chars) in tokens.items():
-                    h = xxhash.xxh3_64_intdigest(f"{row}:{n}")
-                    out.append((host, t, path, is_text, h & 0x7FFFFFFF, h >> 33, n, chars if is_text else held.get(path, 0)))
+                    h = xxhash.xxh3_64_intdigest(f"{near}:{n}")
+                    out.append((host, t, path, is_text, near, h & 0x7FFFFFFF, h >> 33, n, chars if is_text else held.get(path, 0)))
                 if len(out) > 200_000:
                     yield _as_batch(out)
                     out = []
@@ -170,12 +187,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in TOKENS.split(", ")])
 
 
 def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
-    """One host's template of its common tokens (host, token, path, is_text, f1, f2, support, total, chars, pages): TEMPLATE.
+    """One host's template of its common tokens (host, token, path, is_text, f1, f2, support, copies, total, chars, pages, all_pages): TEMPLATE.
 
     Tokens with equal fingerprints are a class. The class of the root, whose
     tokens occur once on each page, frames the page; a class is valid if its
@@ -196,7 +213,7 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
         if not below or not best or max(below)[0] < 0.6 * best:
             break
         best, main = max(below)
-    constant = tokens[tokens["is_text"] & (tokens["support"] >= COMMON_TEXT * pages) & (pages >= LEAST_PAGES) & tokens["path"].isin(valid)]
+    constant = tokens[tokens["is_text"] & (tokens["support"] >= COMMON_TEXT * pages) & (tokens["copies"] >= COMMON_TEXT * tokens["all_pages"]) & tokens["path"].isin(valid)]
     texts = constant.sort_values(["support", "token"], ascending=[False, True])["token"].head(TEMPLATE_TEXTS)
     return pd.DataFrame({"t_host": [tokens["host"].iloc[0]], "t_main": [main], "t_texts": [texts.tolist()]})
 
@@ -205,26 +222,33 @@ TEMPLATE = "t_host string, t_main string, t_texts array<long>"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """TEMPLATE of each host of (host, row, html). Only tokens common on a host reach its group, so a group is at most some pages' worth of tokens."""
-    found = page_tokens(pages).groupBy("host", "token", "is_text").agg(F.first("path").alias("path"), F.sum("h1").alias("f1"), F.sum("h2").alias("f2"), F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"))
+    """TEMPLATE of each host of (host, html) with two distinct pages. Only tokens common on a host reach its group, so a group is at most some pages' worth of tokens."""
+    distinct = page_tokens(pages).groupBy("host", "token", "is_text", "near").agg(F.first("path").alias("path"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("h1", "h2", "n", "chars")])
+    found = distinct.groupBy("host", "token", "is_text").agg(F.first("path").alias("path"), F.sum("h1").alias("f1"), F.sum("h2").alias("f2"), F.count("*").alias("support"), F.sum("copies").alias("copies"), F.sum("n").alias("total"), F.sum("chars").alias("chars"))
     found = stage(found.where("support > 1"), "page-tokens")
-    sizes = found.where("path = '' and not is_text").select("host", F.col("support").alias("pages"))
+    sizes = found.where("path = '' and not is_text").select("host", F.col("support").alias("pages"), F.col("copies").alias("all_pages"))
     common = found.join(sizes, "host").where(F.col("support") >= F.lit(COMMON) * F.col("pages"))
     return common.groupBy("host").applyInPandas(deduce, TEMPLATE)
 
 
 def extract_text(page: str | None, main: str | None = None, constant: frozenset[int] = frozenset()) -> str:
-    """The page's main text: its content blocks in page order, joined by an empty line."""
+    """The page's main text: its content blocks in page order, joined by an empty line.
+
+    An article or main element is kept as it is. Elsewhere the host's constant
+    texts go, unless they make up NEAR of the page: it is a near copy then, and
+    they are what it says.
+    """
     found, _ = blocks(page or "")
     kept = [b for b in found if not b[2]]
     if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
-    elif main:
+        return "\n\n".join(b[1] for b in kept if b[3])
+    if main:
         inside = [b for b in kept if b[0] == main or b[0].startswith(main + "/")]
         kept = inside or kept
     if constant:
         differing = [b for b in kept if text_token(b[0], b[1]) not in constant]
-        kept = differing or kept
+        if sum(len(b[1]) for b in differing) > (1 - NEAR) * sum(len(b[1]) for b in kept):
+            kept = differing
     return "\n\n".join(b[1] for b in kept)
 
 
@@ -239,7 +263,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     pages = text_column(text_column(pages, html), url)
     taken = {"text", "n_chars"} - {html.lower()}
     pages = pages.select(*[c for c in pages.columns if c.lower() not in taken])
-    rows = pages.select(url_host(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html).alias("html"))
+    rows = pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("html"))
     found = stage(templates(rows), "templates")
     found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
     joined = pages.withColumn("_host", url_host(F.col(url))).join(found, F.col("_host") == F.col("t_host"), "left").drop("_host", "t_host")

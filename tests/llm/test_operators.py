@@ -315,3 +315,23 @@ def test_html_keeps_all_but_the_listed_parts():
     assert text("<article><p>one <svg><path d='M0'/><text>no</text></svg> two</p></article>") == "one two"
     assert text("<article><p>a <math/> b</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "a b\n\nso x=2 holds"
     assert text("<article><object data='x'><p>instead of it</p></object><canvas>drawn: 3</canvas></article>") == "instead of it\n\ndrawn: 3"
+
+
+def html_texts(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_keeps_what_near_copies_and_articles_share(spark):
+    shared = [f"paragraph {k} {'says as much ' * (k + 3)}".strip() for k in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in shared)
+    for frame in ("<body><article>{}</article></body>", "<body><div>{}</div></body>"):
+        assert html_texts(spark, [frame.format(f"<h1>no {i}</h1>{body}") for i in range(60)]) == ["\n\n".join([f"no {i}", *shared]) for i in range(60)]
+    for parts in (6, 20):
+        altered = [[f"part {k} {'says as much ' * 9}{f'once {i}' if k == i % parts else 'always'}" for k in range(parts)] for i in range(60)]
+        assert html_texts(spark, ["<body><div>{}</div></body>".format("".join(f"<p>{p}</p>" for p in page)) for page in altered]) == ["\n\n".join(page) for page in altered]
+    for n in (9, 10):
+        pages = [f"<body><article><p>About this site</p><p>story {i} {'w' * (40 + i)}</p></article></body>" for i in range(n)]
+        assert html_texts(spark, pages) == [f"About this site\n\nstory {i} {'w' * (40 + i)}" for i in range(n)]
+        pages = [f"<body><div><p>About this site</p><p>story {i} {'w' * (40 + i)}</p></div></body>" for i in range(n)]
+        assert html_texts(spark, pages) == [f"story {i} {'w' * (40 + i)}" for i in range(n)]
