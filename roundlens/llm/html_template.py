@@ -32,8 +32,8 @@ from .url_filter import url_host
 
 #: Tokens on a smaller share of a host's distinct pages are no template; text needs COMMON_TEXT of these and of all pages. Pages that share their longest blocks, NEAR of their text, are one.
 COMMON, COMMON_TEXT, NEAR = 0.5, 0.9, 0.8
-#: Templates of so many hosts (at most TEMPLATE_TEXTS * 8 bytes each and two paths) are broadcast; beyond, pages are shuffled by host.
-BROADCAST_HOSTS, TEMPLATE_TEXTS = 5_000, 500
+#: Templates of so many bytes in all are sent to every task; beyond, they are joined with the pages by host and by text block.
+BROADCAST_BYTES = 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -214,11 +214,11 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
             break
         best, main = max(below)
     constant = tokens[tokens["is_text"] & (tokens["support"] >= COMMON_TEXT * pages) & (tokens["copies"] >= COMMON_TEXT * tokens["all_pages"]) & tokens["path"].isin(valid)]
-    texts = constant.sort_values(["support", "token"], ascending=[False, True])["token"].head(TEMPLATE_TEXTS)
-    return pd.DataFrame({"t_host": [tokens["host"].iloc[0]], "t_main": [main], "t_texts": [texts.tolist()]})
+    return pd.DataFrame({"t_host": tokens["host"].iloc[0], "t_main": [main, *[None] * len(constant)], "t_text": pd.array([None, *constant["token"]], "Int64")})
 
 
-TEMPLATE = "t_host string, t_main string, t_texts array<long>"
+#: A row with the main path of each host, and one for each of its constant texts.
+TEMPLATE = "t_host string, t_main string, t_text long"
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -261,19 +261,46 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     replaced; an empty table gives an empty one.
     """
     pages = text_column(text_column(pages, html), url)
-    taken = {"text", "n_chars"} - {html.lower()}
+    taken = {"text", "n_chars", "_host", "_main", "_texts", "_page"} - {html.lower()}
     pages = pages.select(*[c for c in pages.columns if c.lower() not in taken])
-    rows = pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    found = stage(templates(rows), "templates")
-    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
-    joined = pages.withColumn("_host", url_host(F.col(url))).join(found, F.col("_host") == F.col("t_host"), "left").drop("_host", "t_host")
-    at, main, texts = (joined.columns.index(c) for c in (html, "t_main", "t_texts"))
+    keyed = pages.withColumn("_host", url_host(F.col(url)))
+    found = stage(templates(keyed.select(F.col("_host").alias("host"), F.col(html).alias("html"))), "templates")
+    size = found.agg(F.sum(8 + F.length("t_host") + F.coalesce(F.length("t_main"), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined, known = keyed, pages.sparkSession.sparkContext.broadcast(_by_host(found))
+    else:
+        joined, known = _with_own_template(keyed, found, html), None
+    names = joined.columns
 
     def per_batch(batch):
-        got, sets = [], {}
-        for page, m, t in zip(batch.column(at).to_pylist(), batch.column(main).to_pylist(), batch.column(texts), strict=True):
-            t = tuple(t.as_py() or ())
-            got.append(extract_text(page, m, sets.setdefault(t, frozenset(t))))
+        column = lambda name: batch.column(names.index(name)).to_pylist()
+        if known is not None:
+            got = [extract_text(page, *known.value.get(host, (None,))) for page, host in zip(column(html), column("_host"), strict=True)]
+        else:
+            got = [extract_text(page, main, frozenset(texts or ())) for page, main, texts in zip(column(html), column("_main"), column("_texts"), strict=True)]
         return {"text": pa.array(got, pa.string()), "n_chars": pa.array(np.array([len(g) for g in got], np.int64))}
 
-    return map_rows(joined, per_batch, [("text", T.StringType()), ("n_chars", T.LongType())]).drop("t_main", "t_texts")
+    return map_rows(joined, per_batch, [("text", T.StringType()), ("n_chars", T.LongType())]).drop("_host", "_main", "_texts")
+
+
+def _by_host(found: DataFrame) -> dict[str, tuple[str, frozenset[int]]]:
+    rows = found.groupBy("t_host").agg(F.max("t_main").alias("main"), F.collect_list("t_text").alias("texts")).collect()
+    return {r.t_host: (r.main, frozenset(r.texts)) for r in rows}
+
+
+def _with_own_template(pages: DataFrame, found: DataFrame, html: str) -> DataFrame:
+    """``pages`` with _main and _texts, those of its host's constant texts that a page holds: no row grows with its host's template."""
+    pages = pages.withColumn("_page", F.md5(F.col(html).cast("binary")))
+
+    def run(batches):
+        for batch in batches:
+            hosts, keys, tokens = [], [], []
+            for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for t in {text_token(b[0], b[1]) for b in blocks(page or "")[0] if not b[2]}:
+                    hosts.append(host), keys.append(key), tokens.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(tokens, pa.int64())], names=["t_host", "_page", "t_text"])
+
+    held = pages.select("_host", "_page", html).mapInArrow(run, "t_host string, _page string, t_text long").join(found.where("t_text is not null").select("t_host", "t_text"), ["t_host", "t_text"])
+    held = held.groupBy(F.col("t_host").alias("_host"), "_page").agg(F.collect_set("t_text").alias("_texts"))
+    mains = found.where("t_main is not null").select(F.col("t_host").alias("_host"), F.col("t_main").alias("_main"))
+    return pages.join(mains, "_host", "left").join(held, ["_host", "_page"], "left").drop("_page")

@@ -335,3 +335,11 @@ def test_html_keeps_what_near_copies_and_articles_share(spark):
         assert html_texts(spark, pages) == [f"About this site\n\nstory {i} {'w' * (40 + i)}" for i in range(n)]
         pages = [f"<body><div><p>About this site</p><p>story {i} {'w' * (40 + i)}</p></div></body>" for i in range(n)]
         assert html_texts(spark, pages) == [f"story {i} {'w' * (40 + i)}" for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [html_template.BROADCAST_BYTES, 0])
+def test_html_drops_every_constant_text(spark, monkeypatch, most):
+    monkeypatch.setattr(html_template, "BROADCAST_BYTES", most)
+    menu = "".join(f"<li>country {k}</li>" for k in range(700))
+    stories = [" ".join(f"word{i}x{k}" for k in range(900)) for i in range(30)]
+    assert html_texts(spark, [f"<body><div><ul>{menu}</ul><p>{s}</p></div></body>" for s in stories]) == stories
