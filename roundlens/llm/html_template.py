@@ -1,23 +1,23 @@
-"""Main text of pages by template deduction over equivalence classes, per host.
-
-A page is a sequence of tokens: the element paths it holds and its text blocks
-(by hash, with their path). Two tokens of a host are equivalent when they occur
-equally often on every one of its pages; sums of per-page hashes stand for these
-occurrence vectors, so classes come from one grouped aggregation, however large a
-host is. Classes that occur on most pages and nest by their paths make up the
-host's template. Its text tokens are constant and no content; the slots between
-its elements hold what differs from page to page.
-
-Which slots are content is read off the template's elements: those for menus,
-headers, footers, sidebars, notices, adverts, forms and comments are left out,
-and an article or main element, if any, confines the rest. Without one, the
-deepest template element that holds most of the varying text does.
+"""Main text of pages by their elements and, where these don't tell, by the host's template.
+
+Tags, roles and names of elements decide first: those for menus, headers,
+footers, sidebars, notices, adverts, forms and comments are left out, and an
+article or main element, if any, is the text. Nothing in it is judged by other
+pages: a paragraph that all articles share can't be told from a notice there.
+
+Pages without such an element are read by their host's template, which is counted
+in one grouped aggregation, however large a host is: the containers that occur
+once on a page, on most distinct pages, are its slots. A slot of links is a menu,
+and one whose every text comes again on other pages is a notice or an advert,
+whatever its name; the deepest slot that holds most of the other text is the
+content, and constant texts in it go.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,9 @@ from .url_filter import url_host
 
 #: Tokens on a smaller share of a host's distinct pages are no template; text needs COMMON_TEXT of these and of all pages. Pages that share their longest blocks, NEAR of their text, are one.
 COMMON, COMMON_TEXT, NEAR = 0.5, 0.9, 0.8
+#: A slot is a menu if links are a larger share of its text than LINKS, and is dealt out if at least AGAIN of it recurs and each text is on AGAIN_EACH pages; one with MAIN of the text of the slot around it is nearer to the content.
+LINKS, AGAIN, AGAIN_EACH, MAIN = 0.5, 0.95, 3, 0.6
+SLOTS = frozenset("div section ul ol dl table center main article".split())
 #: Templates of so many bytes in all are sent to every task; beyond, they are joined with the pages by host and by text block.
 BROADCAST_BYTES = 8 << 20
 
@@ -67,7 +70,7 @@ class Element:
         values = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         named = f"{values.get('class', '')} {values.get('id', '')}".split()
         self.tag = tag
-        self.key = tag + "".join(f".{n}" for n in sorted(named) if not any(c.isdigit() for c in n))
+        self.key = tag + "".join(f".{n}" for n in sorted(named) if not re.search(r"\d{3}|[-_]\d+$", n))
         self.content = tag in ("article", "main") or values.get("role", "").lower() in ("main", "article") or values.get("itemprop", "") == "articleBody"
         words = {w.lower() for n in named if not re.match(r"(has|with|no|without|is)[-_]", n) for w in WORD.findall(n)}
         self.out = tag in LEFT_OUT
@@ -154,11 +157,14 @@ def near_key(texts: list[tuple[str, str, bool, bool, int]]) -> int:
     return xxhash.xxh3_64_intdigest(np.sort(np.array(longest, np.int64)).tobytes()) - (1 << 63)
 
 
-TOKENS = "host string, token long, path string, is_text boolean, near long, h1 long, h2 long, n long, chars long"
+TOKENS = "host string, token long, path string, is_text boolean, near long, n long, chars long, links long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and distinct token (TOKENS) of (host, html); h1 and h2 are the share of the page and its near copies in the fingerprint."""
+    """A row for each page and distinct token (TOKENS) of (host, html): its elements, and its text that tags and names don't decide on.
+
+    n is how often the page has it; chars and links are the characters of such text, and of links in it, that the token holds.
+    """
 
     def run(batches):
         for batch in batches:
@@ -166,18 +172,22 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 texts, paths = blocks(page or "")
                 near = near_key(texts)
-                tokens = {xxhash.xxh3_64_intdigest(p) - (1 << 63): (p, False, n, 0) for p, n in paths.items()} | {xxhash.xxh3_64_intdigest("") - (1 << 63): ("", False, 1, 0)}
-                held: dict[str, int] = {}
-                for path, text, _, _, links in texts:
+                tokens: dict[int, tuple[str, int, int, int]] = {}
+                held: dict[str, list[int]] = {}
+                for path, text, left_out, content, links in texts:
+                    if left_out or content:
+                        continue
                     t = text_token(path, text)
-                    tokens[t] = (path, True, tokens.get(t, (0, 0, 0, 0))[2] + 1, len(text))
-                    steps = path.split("/")
-                    for k in range(1, len(steps) + 1):
-                        p = "/".join(steps[:k])
-                        held[p] = held.get(p, 0) + max(0, len(text) - 2 * links)
-                for t, (path, is_text, n, chars) in tokens.items():
-                    h = xxhash.xxh3_64_intdigest(f"{near}:{n}")
-                    out.append((host, t, path, is_text, near, h & 0x7FFFFFFF, h >> 33, n, chars if is_text else held.get(path, 0)))
+                    tokens[t] = (path, tokens.get(t, (0, 0))[1] + 1, len(text), min(links, len(text)))
+                    steps = path.split("/") if path else []
+                    for k in range(len(steps) + 1):
+                        sums = held.setdefault("/".join(steps[:k]), [0, 0])
+                        sums[0] += len(text)
+                        sums[1] += min(links, len(text))
+                for t, (path, *rest) in tokens.items():
+                    out.append((host, t, path, True, near, *rest))
+                for path, n in ({"": 1} | paths).items():
+                    out.append((host, xxhash.xxh3_64_intdigest(path) - (1 << 63), path, False, near, n, *held.get(path, (0, 0))))
                 if len(out) > 200_000:
                     yield _as_batch(out)
                     out = []
@@ -187,55 +197,65 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in TOKENS.split(", ")])
 
 
+def under(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
 def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
-    """One host's template of its common tokens (host, token, path, is_text, f1, f2, support, copies, total, chars, pages, all_pages): TEMPLATE.
+    """One host's template of its common tokens (host, token, path, is_text, support, copies, total, chars, links, again, again_texts, again_on, pages, all_pages): TEMPLATE.
 
-    Tokens with equal fingerprints are a class. The class of the root, whose
-    tokens occur once on each page, frames the page; a class is valid if its
-    elements lie below elements of valid classes.
+    An element of a common path lies in elements of common paths, so the slots
+    nest. ``again`` is the text right below a path that recurs on other pages,
+    ``again_texts`` the number of such texts and ``again_on`` their pages.
     """
     pages = int(tokens["pages"].iloc[0])
     elements = tokens[~tokens["is_text"]].sort_values("path", key=lambda s: s.str.count("/") + (s != ""))
-    valid: set[str] = {""}
-    for _, members in elements.groupby(["f1", "f2", "support"], sort=False):
-        for path in members["path"]:
-            parent = path.rpartition("/")[0]
-            if parent in valid or parent in set(members["path"]):
-                valid.add(path)
-    held = {r.path: r.chars for r in elements.itertuples() if r.path in valid}
-    main, best = "", held.get("", 0) or max(held.values(), default=0)
-    while True:
-        below = [(c, p) for p, c in held.items() if p and p.rpartition("/")[0] == main and not p.rpartition("/")[2].startswith(("p", "h1", "h2", "h3"))]
-        if not below or not best or max(below)[0] < 0.6 * best:
-            break
-        best, main = max(below)
-    constant = tokens[tokens["is_text"] & (tokens["support"] >= COMMON_TEXT * pages) & (tokens["copies"] >= COMMON_TEXT * tokens["all_pages"]) & tokens["path"].isin(valid)]
-    return pd.DataFrame({"t_host": tokens["host"].iloc[0], "t_main": [main, *[None] * len(constant)], "t_text": pd.array([None, *constant["token"]], "Int64")})
-
-
-#: A row with the main path of each host, and one for each of its constant texts.
-TEMPLATE = "t_host string, t_main string, t_text long"
+    rows = list(elements.itertuples())
+    held = {r.path: r.chars for r in rows}
+    slots = [r for r in rows if r.total == r.support and r.chars and r.path.rpartition("/")[2].split(".")[0] in SLOTS]
+    out: list[str] = []
+    for slot in slots:
+        inside = [r for r in rows if under(r.path, slot.path)]
+        again, texts, on = (sum(getattr(r, c) for r in inside) for c in ("again", "again_texts", "again_on"))
+        if not any(under(slot.path, p) for p in out) and (slot.links > LINKS * slot.chars or again >= AGAIN * slot.chars and on >= AGAIN_EACH * texts):
+            out.append(slot.path)
+    weight = lambda top: held.get(top, 0) - sum(held[p] for p in out if under(p, top))
+    if weight("") < (1 - NEAR) * held.get("", 0):
+        out = []
+    main, best = "", weight("")
+    for slot in slots:
+        if best and under(slot.path, main) and not any(under(slot.path, p) for p in out) and weight(slot.path) >= MAIN * best:
+            main, best = slot.path, weight(slot.path)
+    constant = tokens[tokens["is_text"] & (tokens["support"] >= COMMON_TEXT * pages) & (tokens["copies"] >= COMMON_TEXT * tokens["all_pages"])]
+    none = [None] * len(constant)
+    return pd.DataFrame({"t_host": tokens["host"].iloc[0], "t_main": [main, *none], "t_out": [out, *none], "t_text": pd.array([None, *constant["token"]], "Int64")})
+
+
+#: A row with the main path of each host and the slots that are no content, and one for each of its constant texts.
+TEMPLATE = "t_host string, t_main string, t_out array<string>, t_text long"
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """TEMPLATE of each host of (host, html) with two distinct pages. Only tokens common on a host reach its group, so a group is at most some pages' worth of tokens."""
-    distinct = page_tokens(pages).groupBy("host", "token", "is_text", "near").agg(F.first("path").alias("path"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("h1", "h2", "n", "chars")])
-    found = distinct.groupBy("host", "token", "is_text").agg(F.first("path").alias("path"), F.sum("h1").alias("f1"), F.sum("h2").alias("f2"), F.count("*").alias("support"), F.sum("copies").alias("copies"), F.sum("n").alias("total"), F.sum("chars").alias("chars"))
+    distinct = page_tokens(pages).groupBy("host", "token", "is_text", "near").agg(F.first("path").alias("path"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", "chars", "links")])
+    found = distinct.groupBy("host", "token", "is_text").agg(F.first("path").alias("path"), F.count("*").alias("support"), F.sum("copies").alias("copies"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     found = stage(found.where("support > 1"), "page-tokens")
     sizes = found.where("path = '' and not is_text").select("host", F.col("support").alias("pages"), F.col("copies").alias("all_pages"))
     common = found.join(sizes, "host").where(F.col("support") >= F.lit(COMMON) * F.col("pages"))
+    recur = found.where("is_text").groupBy("host", "path", F.lit(False).alias("is_text")).agg(F.sum("chars").alias("again"), F.count("*").alias("again_texts"), F.sum("support").alias("again_on"))
+    common = common.join(recur, ["host", "path", "is_text"], "left").fillna(0, ["again", "again_texts", "again_on"])
     return common.groupBy("host").applyInPandas(deduce, TEMPLATE)
 
 
-def extract_text(page: str | None, main: str | None = None, constant: frozenset[int] = frozenset()) -> str:
+def extract_text(page: str | None, main: str | None = None, slots_out: Iterable[str] = (), constant: frozenset[int] = frozenset()) -> str:
     """The page's main text: its content blocks in page order, joined by an empty line.
 
-    An article or main element is kept as it is. Elsewhere the host's constant
-    texts go, unless they make up NEAR of the page: it is a near copy then, and
+    An article or main element is kept as it is. Elsewhere the slots that are no
+    content and the host's constant texts go, these unless they make up NEAR of the page: it is a near copy then, and
     they are what it says.
     """
     found, _ = blocks(page or "")
@@ -245,6 +265,8 @@ def extract_text(page: str | None, main: str | None = None, constant: frozenset[
     if main:
         inside = [b for b in kept if b[0] == main or b[0].startswith(main + "/")]
         kept = inside or kept
+    for top in slots_out or ():
+        kept = [b for b in kept if not under(b[0], top)] or kept
     if constant:
         differing = [b for b in kept if text_token(b[0], b[1]) not in constant]
         if sum(len(b[1]) for b in differing) > (1 - NEAR) * sum(len(b[1]) for b in kept):
@@ -261,11 +283,11 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     replaced; an empty table gives an empty one.
     """
     pages = text_column(text_column(pages, html), url)
-    taken = {"text", "n_chars", "_host", "_main", "_texts", "_page"} - {html.lower()}
+    taken = {"text", "n_chars", "_host", "_main", "_out", "_texts", "_page"} - {html.lower()}
     pages = pages.select(*[c for c in pages.columns if c.lower() not in taken])
     keyed = pages.withColumn("_host", url_host(F.col(url)))
     found = stage(templates(keyed.select(F.col("_host").alias("host"), F.col(html).alias("html"))), "templates")
-    size = found.agg(F.sum(8 + F.length("t_host") + F.coalesce(F.length("t_main"), F.lit(0)))).first()[0] or 0
+    size = found.agg(F.sum(8 + F.length("t_host") + F.coalesce(F.length("t_main") + F.length(F.array_join("t_out", "")), F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         joined, known = keyed, pages.sparkSession.sparkContext.broadcast(_by_host(found))
     else:
@@ -277,15 +299,15 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
         if known is not None:
             got = [extract_text(page, *known.value.get(host, (None,))) for page, host in zip(column(html), column("_host"), strict=True)]
         else:
-            got = [extract_text(page, main, frozenset(texts or ())) for page, main, texts in zip(column(html), column("_main"), column("_texts"), strict=True)]
+            got = [extract_text(page, main, out, frozenset(texts or ())) for page, main, out, texts in zip(column(html), column("_main"), column("_out"), column("_texts"), strict=True)]
         return {"text": pa.array(got, pa.string()), "n_chars": pa.array(np.array([len(g) for g in got], np.int64))}
 
-    return map_rows(joined, per_batch, [("text", T.StringType()), ("n_chars", T.LongType())]).drop("_host", "_main", "_texts")
+    return map_rows(joined, per_batch, [("text", T.StringType()), ("n_chars", T.LongType())]).drop("_host", "_main", "_out", "_texts")
 
 
-def _by_host(found: DataFrame) -> dict[str, tuple[str, frozenset[int]]]:
-    rows = found.groupBy("t_host").agg(F.max("t_main").alias("main"), F.collect_list("t_text").alias("texts")).collect()
-    return {r.t_host: (r.main, frozenset(r.texts)) for r in rows}
+def _by_host(found: DataFrame) -> dict[str, tuple[str, list[str], frozenset[int]]]:
+    rows = found.groupBy("t_host").agg(F.max("t_main").alias("main"), F.max("t_out").alias("out"), F.collect_list("t_text").alias("texts")).collect()
+    return {r.t_host: (r.main, r.out, frozenset(r.texts)) for r in rows}
 
 
 def _with_own_template(pages: DataFrame, found: DataFrame, html: str) -> DataFrame:
@@ -296,11 +318,11 @@ def _with_own_template(pages: DataFrame, found: DataFrame, html: str) -> DataFra
         for batch in batches:
             hosts, keys, tokens = [], [], []
             for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for t in {text_token(b[0], b[1]) for b in blocks(page or "")[0] if not b[2]}:
+                for t in {text_token(b[0], b[1]) for b in blocks(page or "")[0] if not b[2] and not b[3]}:
                     hosts.append(host), keys.append(key), tokens.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(tokens, pa.int64())], names=["t_host", "_page", "t_text"])
 
     held = pages.select("_host", "_page", html).mapInArrow(run, "t_host string, _page string, t_text long").join(found.where("t_text is not null").select("t_host", "t_text"), ["t_host", "t_text"])
     held = held.groupBy(F.col("t_host").alias("_host"), "_page").agg(F.collect_set("t_text").alias("_texts"))
-    mains = found.where("t_main is not null").select(F.col("t_host").alias("_host"), F.col("t_main").alias("_main"))
+    mains = found.where("t_main is not null").select(F.col("t_host").alias("_host"), F.col("t_main").alias("_main"), F.col("t_out").alias("_out"))
     return pages.join(mains, "_host", "left").join(held, ["_host", "_page"], "left").drop("_page")

@@ -343,3 +343,12 @@ def test_html_drops_every_constant_text(spark, monkeypatch, most):
     menu = "".join(f"<li>country {k}</li>" for k in range(700))
     stories = [" ".join(f"word{i}x{k}" for k in range(900)) for i in range(30)]
     assert html_texts(spark, [f"<body><div><ul>{menu}</ul><p>{s}</p></div></body>" for s in stories]) == stories
+
+
+@pytest.mark.parametrize("most", [html_template.BROADCAST_BYTES, 0])
+def test_html_slots_without_telling_names(spark, monkeypatch, most):
+    monkeypatch.setattr(html_template, "BROADCAST_BYTES", most)
+    stories = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(40)]
+    menus = ["".join(f'<a href="/{k}">entry {(i * 7 + k) % 90}</a> ' for k in range(5)) for i in range(40)]
+    frame = '<body><div class="c1">{}</div><div class="c2"><p>{}</p><div class="c3">Buy offer {} today</div><p>end {}</p></div><div class="c4">seen {} times</div></body>'
+    assert html_texts(spark, [frame.format(menus[i], stories[i], i % 8, i, i * 31) for i in range(40)]) == [f"{stories[i]}\n\nend {i}" for i in range(40)]
