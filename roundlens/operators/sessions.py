@@ -98,25 +98,26 @@ def recent_matches(matches: DataFrame, match_players: DataFrame, n: int = 30) ->
     return rows.select("player_id", "match_id", (F.max("r").over(Window.partitionBy("player_id")) - F.col("r") + 1).cast("long").alias("place"))
 
 
-def predict_maps(matches: DataFrame, match_players: DataFrame, acts: DataFrame, group: int = 5) -> DataFrame:
-    """(team_key, map_name, p): the next map of each recurring stack, from popularity in the latest act and its members' last maps.
+def predict_maps(matches: DataFrame, match_players: DataFrame, acts: DataFrame, lobbies: DataFrame, lobby_size: int = 10) -> DataFrame:
+    """(lobby_id, map_name, p): the next map of each of ``lobbies`` (lobby_id, player_id), from popularity in the latest act and its players' last maps.
 
-    A map that two or more members played last is damped to 0.2 and one that one
-    did to 0.47; for members without a known last map it is damped by how common
-    that is. Shares are normalised over the maps.
+    A map that two or more of the lobby's players played last is damped to 0.2
+    and one that one did to 0.47; for each player of ``lobby_size`` who isn't
+    named it is damped by how common a last map it is. Named players without a
+    last map damp nothing. Shares are normalised over the maps.
     """
     start = acts.agg(F.max("act_start")).first()[0]
     pool = popularity(matches, F.lit(start).cast("timestamp_ntz"))
     pool = pool if not pool.isEmpty() else popularity(matches)
     common = last_map_shares(matches, match_players).select("map_name", F.col("share").alias("p_last"))
-    members = last_maps(matches, match_players).where(F.col("player_id") <= 25).withColumn("team_key", F.floor((F.col("player_id") - 1) / group).cast("long"))
-    known = members.groupBy("team_key", "map_name").agg(F.count("*").alias("k"))
-    sizes = members.groupBy("team_key").agg((group - F.count("map_name")).alias("unknown"))
-    rows = sizes.crossJoin(F.broadcast(pool.select("map_name", "share"))).join(known, ["team_key", "map_name"], "left").join(common, "map_name", "left")
+    members = lobbies.select("lobby_id", "player_id").distinct()
+    known = members.join(last_maps(matches, match_players), "player_id").groupBy("lobby_id", "map_name").agg(F.count("*").alias("k"))
+    sizes = members.groupBy("lobby_id").agg(F.greatest(lobby_size - F.count("player_id"), F.lit(0)).alias("unknown"))
+    rows = sizes.crossJoin(F.broadcast(pool.select("map_name", "share"))).join(known, ["lobby_id", "map_name"], "left").join(F.broadcast(common), "map_name", "left")
     damp = F.when(F.col("k") >= 2, 0.2).when(F.col("k") == 1, 0.47).otherwise(1.0)
     raw = F.col("share") * damp * F.pow(1 - F.coalesce("p_last", F.lit(0.0)) * 0.53, F.col("unknown"))
     rows = rows.withColumn("raw", raw)
-    return rows.select("team_key", "map_name", r6(F.col("raw") / F.sum("raw").over(Window.partitionBy("team_key"))).alias("p"))
+    return rows.select("lobby_id", "map_name", r6(F.col("raw") / F.sum("raw").over(Window.partitionBy("lobby_id"))).alias("p"))
 
 
 def hazard(matches: DataFrame, match_players: DataFrame, acts: DataFrame) -> DataFrame:

@@ -47,16 +47,35 @@ query(
     """SELECT player_id, match_id, max(r) OVER (PARTITION BY player_id) - r + 1 AS place FROM (SELECT p.player_id, m.match_id, row_number() OVER (PARTITION BY player_id ORDER BY played_at DESC NULLS FIRST, m.match_id DESC) AS r
     FROM a_match_players p JOIN a_matches m USING (match_id)) WHERE r <= 30""",
 )(lambda a: H.recent_matches(a.matches, a.match_players))
+POOL_SQL = (
+    LAST_SQL
+    + """, j_late AS (SELECT map_name, count(*) AS n FROM a_matches WHERE played_at >= TIMESTAMP '2024-02-12' GROUP BY ALL HAVING count(*) >= 3), j_all AS (SELECT map_name, count(*) AS n FROM a_matches GROUP BY ALL HAVING count(*) >= 3),
+    j_pool AS (SELECT map_name, round(n / sum(n) OVER (), 6) AS share FROM (SELECT * FROM j_late UNION ALL SELECT * FROM j_all WHERE NOT EXISTS (SELECT 1 FROM j_late)))"""
+)
+
+
+def _stack_maps(a):
+    """The stacks that the SQL names: five of the first 25 players each, without opponents."""
+    stacks = H.last_maps(a.matches, a.match_players).where("player_id <= 25 and map_name is not null").select(F.floor((F.col("player_id") - 1) / 5).cast("long").alias("lobby_id"), "player_id")
+    return H.predict_maps(a.matches, a.match_players, a.acts, stacks, 5).withColumnRenamed("lobby_id", "team_key")
+
+
 query(
     "j7_predict_maps",
     """SELECT team_key, map_name, round(raw / sum(raw) OVER (PARTITION BY team_key), 6) AS p FROM (SELECT s.team_key, m.map_name,
         m.share * CASE WHEN k >= 2 THEN 0.2 WHEN k = 1 THEN 0.47 ELSE 1.0 END * pow(1 - coalesce(h.share, 0) * 0.53, s.unknown) AS raw
         FROM (SELECT (player_id - 1) // 5 AS team_key, 5 - count(map_name) AS unknown FROM h_last WHERE player_id <= 25 GROUP BY ALL) s, j_pool m
         LEFT JOIN (SELECT (player_id - 1) // 5 AS team_key, map_name, count(*) AS k FROM h_last WHERE player_id <= 25 GROUP BY ALL) k ON k.team_key = s.team_key AND k.map_name = m.map_name LEFT JOIN h_share h ON h.map_name = m.map_name)""",
-    LAST_SQL
-    + """, j_late AS (SELECT map_name, count(*) AS n FROM a_matches WHERE played_at >= TIMESTAMP '2024-02-12' GROUP BY ALL HAVING count(*) >= 3), j_all AS (SELECT map_name, count(*) AS n FROM a_matches GROUP BY ALL HAVING count(*) >= 3),
-    j_pool AS (SELECT map_name, round(n / sum(n) OVER (), 6) AS share FROM (SELECT * FROM j_late UNION ALL SELECT * FROM j_all WHERE NOT EXISTS (SELECT 1 FROM j_late)))""",
-)(lambda a: H.predict_maps(a.matches, a.match_players, a.acts))
+    POOL_SQL,
+)(_stack_maps)
+query(
+    "j7_predict_lobbies",
+    """SELECT lobby_id, map_name, round(raw / sum(raw) OVER (PARTITION BY lobby_id), 6) AS p FROM (SELECT s.lobby_id, m.map_name,
+        m.share * CASE WHEN k >= 2 THEN 0.2 WHEN k = 1 THEN 0.47 ELSE 1.0 END * pow(1 - coalesce(h.share, 0) * 0.53, greatest(10 - s.n, 0)) AS raw
+        FROM (SELECT lobby_id, count(DISTINCT player_id) AS n FROM j_lobby GROUP BY ALL) s CROSS JOIN j_pool m
+        LEFT JOIN (SELECT lobby_id, map_name, count(*) AS k FROM (SELECT DISTINCT * FROM j_lobby) JOIN h_last USING (player_id) GROUP BY ALL) k ON k.lobby_id = s.lobby_id AND k.map_name = m.map_name LEFT JOIN h_share h ON h.map_name = m.map_name)""",
+    POOL_SQL + ", j_lobby AS (SELECT 2 * match_id + CASE WHEN team = 'team-2' THEN 1 ELSE 0 END AS lobby_id, player_id FROM a_match_players)",
+)(lambda a: H.predict_maps(a.matches, a.match_players, a.acts, a.match_players.select((2 * F.col("match_id") + F.when(F.col("team") == "team-2", 1).otherwise(0)).alias("lobby_id"), "player_id")))
 HAZARD_SQL = (
     ACT_SQL
     + """, z_at AS (SELECT p.player_id, b.act_id, b.map_name, row_number() OVER (PARTITION BY player_id, act_id ORDER BY played_at, b.match_id) AS ord FROM a_match_players p JOIN b_acts b USING (match_id)),

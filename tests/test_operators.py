@@ -198,3 +198,24 @@ def test_registered_sql(spark, name):
 def test_summaries_of_nothing(spark):
     none = stat(spark, []).withColumn("assists", F.lit(0)).withColumn("score", F.lit(0))
     assert summaries.kda(none).count() == summaries.round_econ(none).count() == 0
+
+
+def test_maps_of_any_lobby(spark):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 3, n)
+    names = ["A", "B", "A", "B", "A", "B", "A"]
+    matches = spark.createDataFrame([(i, m, day(i + 1)) for i, m in enumerate(names)], "match_id long, map_name string, played_at timestamp_ntz")
+    seats = spark.createDataFrame([(i, 100 + i) for i in range(7)], "match_id long, player_id long")
+    acts = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1))], "act_id long, act_start timestamp_ntz")
+    lobbies = spark.createDataFrame([(1, 100), (1, 102), (1, 101), (2, 103), (2, 999)], "lobby_id long, player_id long")
+    got = {(r.lobby_id, r.map_name): r.p for r in sessions.predict_maps(matches, seats, acts, lobbies).collect()}
+    a, b = 4 / 7, 3 / 7
+    for lobby, unknown, fa, fb in ((1, 7, 0.2, 0.47), (2, 8, 1.0, 0.47)):
+        wa, wb = a * fa * (1 - a * 0.53) ** unknown, b * fb * (1 - b * 0.53) ** unknown
+        assert got[lobby, "A"] == pytest.approx(wa / (wa + wb), abs=1e-5) and got[lobby, "B"] == pytest.approx(wb / (wa + wb), abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["j7_predict_maps", "j7_predict_lobbies"])
+def test_registered_sql_of_map_predictions(spark, name):
+    test_registered_sql(spark, name)
