@@ -176,6 +176,43 @@ def fight_blocks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -
     )
 
 
+def player_fight_blocks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wins, duels) of accepted rounds for each player and match, the player's team being ``own``.
+
+    wins (player_id, match_id, side, own, opp, entries, wins): states that were
+    entered, the opening one and that after each casualty. duels (player_id,
+    match_id, side, own, opp, and kills and deaths of the player, of tracked
+    teammates (in ``roster``: player_id) and of all teammates, as player_kills,
+    tracked_kills, all_kills and so on).
+    """
+    diagnostics, moves = canonical_replay(feed, rounds, match_players)
+    accepted = diagnostics.where("reason is null").select(*ROUND)
+    opening = canonical_reasons(feed, rounds, match_players).join(accepted, ROUND, "left_semi").select(*ROUND, "round_number", "winner", F.lit(5).cast("long").alias("s_1"), F.lit(5).cast("long").alias("s_2"))
+    states = opening.unionByName(moves.select(*ROUND, "round_number", "winner", F.col("left_1").cast("long").alias("s_1"), F.col("left_2").cast("long").alias("s_2")))
+
+    def seen(rows, one, two):
+        """``rows`` from both teams' view, with side, own and opp."""
+        rows = rows.withColumn("team", F.explode(F.array(F.lit(TEAM_1), F.lit(TEAM_2))))
+        first = F.col("team") == TEAM_1
+        own, opp = F.when(first, F.col(one)).otherwise(F.col(two)), F.when(first, F.col(two)).otherwise(F.col(one))
+        side = F.when(F.col("team") == attacking_team(F.col("round_number")), "attack").otherwise("defend")
+        return rows.select("*", side.alias("side"), own.cast("long").alias("own"), opp.cast("long").alias("opp"))
+
+    state = ["match_id", "team", "side", "own", "opp"]
+    seats = match_players.where("player_id is not null").select("match_id", "team", "match_player_id", "player_id")
+    wins = seen(states, "s_1", "s_2").groupBy(*state).agg(F.count("*").alias("entries"), F.count_if(F.col("winner") == F.col("team")).alias("wins"))
+    wins = wins.join(seats, ["match_id", "team"]).select("player_id", "match_id", "side", "own", "opp", "entries", "wins")
+    kill = F.col("killer_team") == F.col("team")
+    fought = seen(moves.where("duel"), "alive_1", "alive_2").withColumn("actor", F.when(kill, F.col("killer")).otherwise(F.col("victim")))
+    fought = fought.groupBy(*state, "actor").agg(F.count_if(kill).alias("kills"), F.count_if(~kill).alias("deaths"))
+    tracked = roster.select("player_id").where("player_id is not null").distinct().withColumn("tracked", F.lit(True))
+    actors = match_players.select("match_id", F.col("match_player_id").alias("actor"), "player_id").join(tracked, "player_id", "left").select("match_id", "actor", F.coalesce("tracked", F.lit(False)).alias("tracked"))
+    pairs = fought.join(actors, ["match_id", "actor"]).join(seats, ["match_id", "team"])
+    mine = F.col("actor") == F.col("match_player_id")
+    sums = [F.sum(F.when(on, F.col(c)).otherwise(0)).alias(f"{pool}_{c}") for pool, on in (("player", mine), ("tracked", ~mine & F.col("tracked")), ("all", ~mine)) for c in ("kills", "deaths")]
+    return wins, pairs.groupBy("player_id", "match_id", "side", "own", "opp").agg(*sums)
+
+
 def fight_leverage(blocks: DataFrame) -> DataFrame:
     """(side, own, opp, win_rate, kill_rate, leverage, status) over all 2 x 25 states; outside the grid a side without opponents has won and one without players has lost."""
     spark = blocks.sparkSession

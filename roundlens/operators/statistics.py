@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,3 +60,80 @@ def bootstrap_rates(blocks: DataFrame, draws: int = 200, seed: int = 12345) -> D
     sums = blocks.groupBy("match_id", "own", "opp").agg(F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths")).join(numbered, "match_id").join(counts, "place")
     rates = sums.groupBy("draw", "own", "opp").agg(F.sum(F.col("k") * F.col("kills")).alias("a"), F.sum(F.col("k") * (F.col("kills") + F.col("deaths"))).alias("b")).where("b > 0").withColumn("p", F.col("a") / F.col("b"))
     return rates.groupBy("own", "opp").agg(r6(F.percentile("p", 0.025)).alias("low"), r6(F.percentile("p", 0.975)).alias("high"), r6(F.count("*") / draws).alias("defined"))
+
+
+#: Intervals need this share of defined draws and so many matches with duels of the player and of the teammates.
+LEAST_DEFINED, LEAST_MATCHES = 0.5, 5
+FIGHT_EV = (
+    "player_id long, pool string, side string, own long, opp long, p_player double, n_player long, p_teammates double, n_teammates long, w_u double, w_d double, leverage double, m double, "
+    "low double, high double, defined double, matches_player long, matches_teammates long, matches_w_u long, matches_w_d long, state string"
+)
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.full(np.shape(whole), np.nan), where=np.asarray(whole) > 0)
+
+
+def fight_ev(wins: DataFrame, duels: DataFrame, match_players: DataFrame, draws: int = 2000, seed: int = 2) -> DataFrame:
+    """FIGHT_EV of every player: m = (p_player - p_teammates) * (w_u - w_d) in each state of each side against both pools of teammates, with its bootstrap.
+
+    Of player_fight_blocks. A draw takes as many of the player's matches as there
+    are, with replacement, the same ones for all of the player's cells; it is
+    defined where all rates are and the leverage is positive. A group is one
+    player's sums per match and state.
+    """
+    counts = ["entries", "wins", *[f"{p}_{c}" for p in ("player", "tracked", "all") for c in ("kills", "deaths")]]
+    seats = match_players.where("player_id is not null").select("player_id", "match_id").distinct()
+    keys = ["player_id", "match_id", "side", "own", "opp"]
+    rows = seats.join(wins.join(duels, keys, "full"), ["player_id", "match_id"], "left").select(*[F.col(k) for k in keys], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+
+    def one_player(rows: pd.DataFrame) -> pd.DataFrame:
+        player = int(rows["player_id"].iloc[0])
+        places = {m: i for i, m in enumerate(sorted(rows["match_id"].unique()))}
+        n = len(places)
+        cells: dict[tuple, np.ndarray] = {}
+        for r in rows[rows["side"].notna()].itertuples():
+            cells.setdefault((r.side, int(r.own), int(r.opp)), np.zeros((n, len(counts)), np.int64))[places[r.match_id]] += [getattr(r, c) for c in counts]
+        rng, names, sums = np.random.default_rng([seed, player & 0xFFFFFFFF]), list(cells), []
+        flat = np.concatenate([cells[k] for k in names], axis=1).astype(float) if names else np.zeros((n, 0))
+        step = max(1, 4_000_000 // n)
+        for lo in range(0, draws, step):
+            some = min(step, draws - lo)
+            picks = rng.integers(0, n, size=(some, n)) + n * np.arange(some)[:, None]
+            sums.append(np.bincount(picks.ravel(), minlength=some * n).reshape(some, n).astype(float) @ flat)
+        drawn = np.concatenate([flat.sum(axis=0)[None], *sums])  # the matches as they are come first
+        at = {k: drawn[:, i * len(counts) : (i + 1) * len(counts)] for i, k in enumerate(names)}
+        zero, none = np.zeros((draws + 1, len(counts))), np.zeros((n, len(counts)), np.int64)
+
+        def rail(side, a, b):
+            """(rate of each draw, matches that contribute to it)."""
+            if side == "attack" and b == 0 or side == "defend" and a == 0:
+                return np.full(draws + 1, float(b == 0 and side == "attack")), n
+            got = at.get((side, a, b), zero)
+            return _share(got[:, 1], got[:, 0]), int((cells.get((side, a, b), none)[:, 0] > 0).sum())
+
+        out = []
+        for pool, k in (("tracked", 4), ("all", 6)):
+            for side in ("attack", "defend"):
+                for a in range(1, 6):
+                    for b in range(1, 6):
+                        got, each = at.get((side, a, b), zero), cells.get((side, a, b), none)
+                        fights, mates = got[:, 2] + got[:, 3], got[:, k] + got[:, k + 1]
+                        p, q, (up, n_up), (down, n_down) = _share(got[:, 2], fights), _share(got[:, k], mates), rail(side, a, b - 1), rail(side, a - 1, b)
+                        leverage = up - down
+                        m = (p - q) * leverage
+                        state, low, high, defined, n_p, n_q = "NO_DATA", None, None, None, int((each[:, 2] + each[:, 3] > 0).sum()), int((each[:, k] + each[:, k + 1] > 0).sum())
+                        if np.isfinite(m[0]):
+                            state = "NON_POSITIVE_LEVERAGE"
+                        if np.isfinite(m[0]) and leverage[0] > 0:
+                            values = m[1:][np.isfinite(m[1:]) & (leverage[1:] > 0)]
+                            defined = len(values) / draws
+                            low, high = (float(x) for x in np.percentile(values, [2.5, 97.5])) if len(values) else (None, None)
+                            sure = low is not None and defined >= LEAST_DEFINED and min(n_p, n_q) >= LEAST_MATCHES
+                            state = "INTERVAL_NOT_ESTIMABLE" if not sure else "POSITIVE" if low > 0 else "NEGATIVE" if high < 0 else "UNRESOLVED"
+                        known = lambda x: float(x) if np.isfinite(x) else None
+                        value = known(m[0]) if leverage[0] > 0 else None
+                        out.append((player, pool, side, a, b, known(p[0]), int(fights[0]), known(q[0]), int(mates[0]), known(up[0]), known(down[0]), known(leverage[0]) if state != "NO_DATA" else None, value, low, high, defined, n_p, n_q, n_up, n_down, state))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FIGHT_EV.split(", ")])
+
+    return rows.groupBy("player_id").applyInPandas(one_player, FIGHT_EV)

@@ -109,6 +109,15 @@ query(
         GROUP BY draw, own, opp HAVING sum(k * (kills + deaths)) > 0) GROUP BY own, opp""",
     REPLAY_SQL,
 )(lambda a: statistics.bootstrap_rates(replay.fight_blocks(a.kill_events, a.rounds, a.match_players)))
+
+
+def _fight_ev(a):
+    """The tracked roster: players with a friendship, by either end."""
+    roster = a.friendships.select(F.explode(F.array("owner_id", "friend_id")).alias("player_id"))
+    return statistics.fight_ev(*replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, roster), a.match_players)
+
+
+query("j5_fight_ev")(_fight_ev)
 query(
     "f16_credits",
     """SELECT match_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - 1650) ELSE 0 END::BIGINT AS sugar, greatest(0, remaining + loadout - cash - CASE WHEN od = 0 THEN ol ELSE 0 END)::BIGINT AS scavenger FROM (

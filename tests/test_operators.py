@@ -219,3 +219,26 @@ def test_maps_of_any_lobby(spark):
 @pytest.mark.parametrize("name", ["j7_predict_maps", "j7_predict_lobbies"])
 def test_registered_sql_of_map_predictions(spark, name):
     test_registered_sql(spark, name)
+
+
+def test_fight_ev_per_player_side_and_pool(spark):
+    game = spark.createDataFrame([(1, i, i - 1, f"team-{1 + (i > 5)}", 100 + i) for i in range(1, 11)], "match_id long, match_player_id long, slot long, team string, player_id long")
+    roster = spark.createDataFrame([(101,), (102,)], "player_id long")
+    wins, duels = replay.player_fight_blocks(feed(spark, WIPE), one_round(spark), game, roster)
+    first = {(r.own, r.opp): (r.entries, r.wins) for r in wins.where("player_id = 103 and side = 'attack'").collect()}
+    assert first == {(5, k): (1, 1) for k in range(6)}
+    got = {r.opp: (r.player_kills, r.tracked_kills, r.all_kills) for r in duels.where("player_id = 103").collect()}
+    assert got == {5: (0, 1, 1), 4: (0, 1, 1), 3: (0, 1, 1), 2: (1, 0, 0), 1: (0, 0, 1)}
+
+    seats = spark.createDataFrame([(1, m) for m in range(8)], "player_id long, match_id long")
+    wins = spark.createDataFrame([(1, m, "attack", 4, 5, 4, m % 3) for m in range(8)] + [(1, m, "attack", 5, 4, 4, 3 + m % 2) for m in range(8)], "player_id long, match_id long, side string, own long, opp long, entries long, wins long")
+    names = ", ".join(f"{p}_{c} long" for p in ("player", "tracked", "all") for c in ("kills", "deaths"))
+    duels = spark.createDataFrame([(1, m, "attack", 5, 5, 4, 1 + m % 2, *((1, 2) if m < 3 else (0, 0)), 1, 3) for m in range(8)], f"player_id long, match_id long, side string, own long, opp long, {names}")
+    cells = {(r.pool, r.side, r.own, r.opp): r for r in statistics.fight_ev(wins, duels, seats).collect()}
+    assert len(cells) == 100
+    cell = cells["all", "attack", 5, 5]
+    w_u, w_d, p = (28) / 32, sum(m % 3 for m in range(8)) / 32, 32 / 44
+    assert cell.m == pytest.approx((p - 0.25) * (w_u - w_d)) and cell.low < cell.m < cell.high and cell.state == "POSITIVE" and cell.defined == 1
+    assert (cell.matches_player, cell.matches_teammates, cell.matches_w_u, cell.matches_w_d) == (8, 8, 8, 8)
+    assert cells["tracked", "attack", 5, 5].state == "INTERVAL_NOT_ESTIMABLE" and cells["tracked", "attack", 5, 5].matches_teammates == 3
+    assert cells["all", "defend", 5, 5].state == "NO_DATA"
