@@ -187,7 +187,9 @@ def player_fight_blocks(feed: DataFrame, rounds: DataFrame, match_players: DataF
     """
     diagnostics, moves = canonical_replay(feed, rounds, match_players)
     accepted = diagnostics.where("reason is null").select(*ROUND)
-    opening = canonical_reasons(feed, rounds, match_players).join(accepted, ROUND, "left_semi").select(*ROUND, "round_number", "winner", F.lit(5).cast("long").alias("s_1"), F.lit(5).cast("long").alias("s_2"))
+    if feed.sparkSession.sparkContext.getCheckpointDir():  # the replay is used five times below
+        accepted, moves = accepted.checkpoint(), moves.checkpoint()
+    opening = rounds.join(accepted, ROUND, "left_semi").select(*ROUND, "round_number", winner(F.col("outcome")).alias("winner"), F.lit(5).cast("long").alias("s_1"), F.lit(5).cast("long").alias("s_2"))
     states = opening.unionByName(moves.select(*ROUND, "round_number", "winner", F.col("left_1").cast("long").alias("s_1"), F.col("left_2").cast("long").alias("s_2")))
 
     def seen(rows, one, two):
