@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .textkit import stage
 
 MAX_ROUNDS = 60
+#: Tables of a row per node up to so many (16 bytes each) are broadcast.
+BROADCAST_NODES = 500_000
+#: Nodes of so many edges are hot: of E edges at most 2 E / HOT nodes are, which are joined by broadcast, and so by no one task.
+HOT = 100_000
 
 
 def _spanning(batches):
@@ -36,6 +40,16 @@ def _spanning(batches):
     yield stars()
 
 
+def _with_lowest(rows: DataFrame, low: DataFrame, few: bool) -> DataFrame:
+    """``rows`` (u, v) with m from ``low`` (u, m, n: rows of u), no node's rows in one task."""
+    if few:
+        return rows.join(F.broadcast(low.select("u", "m")), "u")
+    low = stage(low, "lowest")
+    hot = F.broadcast(low.where(F.col("n") > HOT).select("u", "m"))
+    cold = rows.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") <= HOT).select("u", "m"), "u")
+    return cold.unionByName(rows.join(hot, "u"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each node of ``edges`` the smallest node that it reaches.
 
@@ -49,13 +63,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     nodes = stage(now, "edges")
     now = nodes.mapInArrow(_spanning, "u long, v long")
-    seen = None
+    seen, few = None, nodes.count() <= BROADCAST_NODES // 2
     for _ in range(MAX_ROUNDS):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_lowest(both, low, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_lowest(large, low, few).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         now = stage(small.where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
