@@ -34,6 +34,8 @@ from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, mix, slices, s
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 GROUPS, FINE_GROUPS = 32, 256
+#: Shingles a group of the finest points, made for sets beyond FINE_GROUPS such groups: counts of large sets in few groups bound nothing.
+EACH_GROUP = 4
 #: Counts from here on stand for the whole size; sets beyond GROUPS times as many shingles are left to the finer points.
 FULL = 255
 #: A shingle in so many documents goes to the end of the order, the most frequent last.
@@ -44,7 +46,7 @@ STAR = 256
 LEAF = 16
 TILE = 1 << 16
 #: Groups of candidates with up to so many shingles (8 bytes each) are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
-GROUP_MOST = 8_000_000
+GROUP_MOST = 1_000_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 
@@ -88,6 +90,18 @@ def read_points(column: pa.ChunkedArray | pa.Array, n: np.ndarray, groups: int)
     return got
 
 
+def finest_groups(n: int) -> int:
+    """A power of two that grows with the set; FINE_GROUPS where these are fine enough."""
+    return min(1 << 24, max(FINE_GROUPS, 1 << max(0, -(-n // EACH_GROUP) - 1).bit_length()))
+
+
+def finest_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """Summed minima of two finest points; the longer one is folded to the groups of the other, which are its low bits."""
+    x, y = (np.where((p := np.frombuffer(raw, np.uint8).astype(np.int64)) == FULL, n, p) for raw, n in ((a, n_a), (b, n_b)))
+    groups = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, groups).sum(0), y.reshape(-1, groups).sum(0)).sum())
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
@@ -126,22 +140,13 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     rows = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = stage(rows.withColumn("power", F.floor(F.log2("n")).cast("int")), "frequent")
-    power, total = 0, 0
-    for p, c in sorted(rows.groupBy("power").count().collect(), reverse=True):
-        total += c
-        if total > FREQUENT_MOST:
-            break
-        power = p
-    found = rows.where(F.col("power") >= power).select("shingle", "n").toPandas() if total else None
-    if found is None or len(found) > FREQUENT_MOST:
-        return np.empty(0, U), np.empty(0, np.int64)
+    found = rows.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toPandas()
     got = found["shingle"].to_numpy(np.int64).view(U)
     order = np.argsort(got)
     return got[order], found["n"].to_numpy(np.int64)[order]
 
 
-PROFILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+PROFILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("finest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def profiles(docs: DataFrame, order) -> DataFrame:
@@ -151,12 +156,14 @@ def profiles(docs: DataFrame, order) -> DataFrame:
         frequent, rank = order.value
         for batch in batches:
             ids = batch.column(0)
-            n, d, point, fine, keys, sizes, at = [], [], [], [], [], [0], 0
+            n, d, point, fine, finest, keys, sizes, at = [], [], [], [], [], [], [0], 0
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 d.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 point.append(points(s, GROUPS))
                 fine.append(points(s, FINE_GROUPS))
+                groups = finest_groups(len(s))
+                finest.append(points(s, groups) if groups > FINE_GROUPS else None)
                 p = prefix_length(len(s))
                 if len(frequent) and len(s):
                     pos = np.searchsorted(frequent, s)
@@ -171,15 +178,15 @@ def profiles(docs: DataFrame, order) -> DataFrame:
                 at += p
                 sizes.append(at)
                 if at > 2_000_000:
-                    yield emit(ids.slice(0, len(n)), n, d, point, fine, keys, sizes)
+                    yield emit(ids.slice(0, len(n)), n, d, point, fine, finest, keys, sizes)
                     ids = ids.slice(len(n))
-                    n, d, point, fine, keys, sizes, at = [], [], [], [], [], [0], 0
-            yield emit(ids, n, d, point, fine, keys, sizes)
+                    n, d, point, fine, finest, keys, sizes, at = [], [], [], [], [], [], [0], 0
+            yield emit(ids, n, d, point, fine, finest, keys, sizes)
 
-    def emit(ids, n, d, point, fine, keys, sizes):
+    def emit(ids, n, d, point, fine, finest, keys, sizes):
         halves = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=PROFILE.names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(finest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=PROFILE.names)
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -341,7 +348,7 @@ def tiles(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) that span all components of links among ``pairs``; first the bound by finer groups, then the sets themselves."""
+    """Linked pairs (a, b) that span all components of links among ``pairs``; first the bounds by finer groups, then the sets themselves."""
     pairs = stage(pairs, "pairs")
     fine = only(profile.select("doc_id", F.col("n").alias("n_"), F.col("fine").alias("f_")), pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
 
@@ -350,10 +357,24 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
             n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             f_a, f_b = read_points(batch.column(3), n_a, FINE_GROUPS), read_points(batch.column(5), n_b, FINE_GROUPS)
             ok = (NUM + DEN) * np.minimum(f_a, f_b).sum(1) >= need(n_a, n_b) if len(n_a) else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
+            long = np.array([finest_groups(n) > FINE_GROUPS for n in np.minimum(n_a, n_b).tolist()], bool)
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column(0), batch.column(1), pa.array(long))], names=["a", "b", "long"])
+
+    def closer(batches):
+        for batch in batches:
+            a, b, n_a, f_a, n_b, f_b = (c.to_pylist() for c in batch.columns)
+            ok = pa.array([(NUM + DEN) * finest_bound(f_a[i], f_b[i], n_a[i], n_b[i]) >= need(n_a[i], n_b[i]) for i in range(len(a))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(fine.toDF("a", "n_a", "f_a"), "a").join(fine.toDF("b", "n_b", "f_b"), "b")
-    near = stage(both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(close, "a long, b long"), "near")
+    near = stage(both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(close, "a long, b long, long boolean"), "near")
+    long = near.where("long").select("a", "b")
+    if not long.isEmpty():
+        finest = only(profile.where("finest is not null").select("doc_id", F.col("n").alias("n_"), F.col("finest").alias("f_")), long.select(F.col("a").alias("doc_id")).unionAll(long.select("b")))
+        both = long.join(finest.toDF("a", "n_a", "f_a"), "a").join(finest.toDF("b", "n_b", "f_b"), "b")
+        long = both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(closer, "a long, b long")
+        near = stage(near.where("not long").select("a", "b").unionAll(long), "near")
+    near = near.select("a", "b")
     groups = stage(connected_components(near), "groups")
     size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg((F.sum("n") > GROUP_MOST).alias("large"))
     placed = stage(groups.join(size, "component").select(F.col("id").alias("doc_id"), "component", "large"), "placed")
