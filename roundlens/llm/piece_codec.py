@@ -28,9 +28,11 @@ from .textkit import map_rows, text_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words and pairs that a task keeps; beyond, the memo starts anew.
-MEMO_WORDS = 300_000
-MEMO_PAIRS = 1_000_000
+#: Characters of distinct words (some 30 bytes each, with their ids) and pairs of pieces (130 bytes each) that a task keeps; beyond, the memo starts anew.
+MEMO_CHARS = 1_000_000
+MEMO_PAIRS = 300_000
+#: Texts are encoded together up to so many characters.
+BATCH_CHARS = 1_000_000
 
 
 class PieceModel:
@@ -55,8 +57,9 @@ class PieceModel:
         assert not any(MARK in p.lstrip(MARK) for p in self.ids), "a piece goes on past a blank: words can't be cut there"
         lone = "".join(c for c in "\n\r\t" if c not in inside)
         self.words = re.compile(f"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo_chars = 0
 
     def merged(self, word: str) -> list[str]:
         """Plain BPE: the best-scored adjacent pair first, the leftmost of equals."""
@@ -70,13 +73,19 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def number(self, piece: str) -> int:
+        """A number of the piece; what isn't in the vocabulary is a single character."""
+        got = self.ids.get(piece)
+        return len(self.raw) + ord(piece) if got is None else got
+
     def holds(self, left: str, right: str) -> bool:
-        """Whether BPE keeps the two pieces apart where they meet."""
-        got = self.pairs.get((left, right))
+        """Whether BPE keeps the two pieces apart where they meet; with an empty one, whether it builds the other at all."""
+        key = (self.number(left) << 32) | (self.number(right) + 1 if right else 0)
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            got = self.pairs[key] = self.merged(left + right) == ([left, right] if right else [left])
         return got
 
     def extend(self, word: str, end: int, state: list) -> None:
@@ -98,19 +107,12 @@ class PieceModel:
         for at, p in reversed(fits):
             before = state[at]
             if before is None:
-                if len(p) == 1 or self.whole(p):
+                if len(p) == 1 or self.holds(p, ""):
                     break
-            elif self.holds(before[1], p) and (len(p) == 1 or self.whole(p)):
+            elif self.holds(before[1], p) and (len(p) == 1 or self.holds(p, "")):
                 break
         state.append((0.0, p))
 
-    def whole(self, piece: str) -> bool:
-        """Whether BPE builds the piece at all from its characters."""
-        got = self.pairs.get((piece, ""))
-        if got is None:
-            got = self.pairs[piece, ""] = self.merged(piece) == [piece]
-        return got
-
     def to_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -140,6 +142,7 @@ class PieceModel:
                 pieces.append(state[at][1])
                 at -= len(pieces[-1])
             self.memo[word] = tuple(self.to_ids(pieces[::-1]))
+            self.memo_chars += len(word)
             last = word
 
     def cut(self, text: str) -> list[str]:
@@ -147,8 +150,8 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        if self.memo_chars > MEMO_CHARS:
+            self.memo, self.memo_chars = {}, 0
         cut = [self.cut(t) for t in texts]
         self.encode_words(sorted({w for words in cut for w in words} - self.memo.keys()))
         return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
@@ -192,7 +195,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             t = x.as_py() or ""
             pending.append(t)
             size += len(t)
-            if size > 4_000_000:
+            if size > BATCH_CHARS:
                 flush()
                 size = 0
         flush()

@@ -8,6 +8,8 @@ code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+#: Arrow batches beyond so many bytes are worked on in parts, so that a task holds results of a part only.
+PART_BYTES = 4 << 20
 
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -111,26 +115,61 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
+def give_back() -> None:
+    """Freed memory back to the system: a Python worker outlives its tasks, and so would what they held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of a task's batches, giving its memory back when the task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about PART_BYTES."""
+    step = max(1, int(batch.num_rows * PART_BYTES / max(batch.nbytes, 1)))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: list[tuple[str, T.DataType]]) -> DataFrame:
-    """Append columns that ``per_batch`` makes from each Arrow batch; an input column of the same name is replaced."""
+    """Append columns that ``per_batch`` makes from each part of an Arrow batch; an input column of the same name is replaced."""
     names = {n.lower() for n, _ in added}
     kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
     schema = T.StructType([df.schema.fields[i] for i in kept] + [T.StructField(n, t) for n, t in added])
 
+    @tidy
     def run(batches):
         for batch in batches:
-            made = per_batch(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [made[n] for n, _ in added], names=schema.names)
+            for part in parts(batch):
+                made = per_batch(part)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + [made[n] for n, _ in added], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def aliased(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by their place, and the new name of each: what an operator adds then clashes with none."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that all executors share. A session of one machine that names none gets a temporary one; a cluster's must name it."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="roundlens-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")

@@ -22,8 +22,8 @@ from .textkit import map_rows, text_column
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 256
-#: Distinct words whose counts a task keeps; beyond, the memo starts anew.
-MEMO_WORDS = 400_000
+#: Characters of distinct words (some 25 bytes each, with their counts) that a task keeps; beyond, the memo starts anew.
+MEMO_CHARS = 2_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -89,13 +89,15 @@ class LongestMatch:
 
 class _Memo(dict):
     def __init__(self, automaton: LongestMatch):
-        self.automaton = automaton
+        self.automaton, self.chars = automaton, 0
 
     def __missing__(self, word: str) -> int:
         symbols = list(word.encode())
         symbols[-1] += END
-        if len(self) > MEMO_WORDS:
+        if self.chars > MEMO_CHARS:
             self.clear()
+            self.chars = 0
+        self.chars += len(word)
         got = self[word] = self.automaton.count(symbols)
         return got
 
