@@ -1,14 +1,21 @@
 """Benchmark decontamination: training passages query a BM25 index of the test items.
 
-The items' terms form an inverted index whose weights are BM25 impacts divided
-by the item's own total, so one threshold serves all items. Each passage (a
-window of words, half of it shared with the next) is a query. As in block-max
-WAND, passages whose terms' maxima can't reach the threshold are dropped, then
-blocks of items by the block maxima, and only the rest is scored. An item found
-counts once its question and its answer both overlap the passage in word n-grams.
-
-The index holds one shard of at most ``SHARD_ITEMS`` items, which bounds what a
-task holds; more items are taken shard by shard, each against all passages.
+Items are indexed in parts of at most ``PART_WORDS`` words. A part's terms have
+BM25 weights divided by the part's own total, so one threshold serves all parts.
+Each passage (a window of words, half of it shared with the next, so that any
+part lies whole in one) is a query. The inverted index is cut into blocks of
+parts, and each term has its largest weight over all parts and in each of its
+blocks. As in block-max WAND, the terms that are too light to reach the threshold
+even together can't nominate a part: only blocks of the other terms are candidates.
+The block maxima of all terms bound these, and postings of blocks whose bound is
+below the threshold are never read.
+
+An item with a part found counts once its question and its answer (the last
+quarter of the item's words, whatever its length) both overlap the passages
+found, in word n-grams.
+
+A task holds one shard of the index, of about ``SHARD_WORDS`` words of items. More
+items are taken shard by shard, each against all passages.
 """
 
 from __future__ import annotations
@@ -21,17 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, map_rows, mix, slices, text_column
+from .textkit import LOWER, NOT_SPACE, U, aliased, find_words, hash_spans, map_rows, mix, slices, stage, text_column
 
-SHARD_ITEMS = 20_000
-#: Items are cut into parts of at most so many words; a passage is two such lengths, and the next begins one length on.
+#: Words of items in a shard of the index, of some 50 bytes each.
+SHARD_WORDS = 1_000_000
+#: Items are indexed in parts of at most so many words; a passage is two such lengths, and the next begins one length on.
 PART_WORDS = 64
-BLOCK_ITEMS = 4
+BLOCK_PARTS = 16
 THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 5
 ANSWER_SHARE = 0.25
 K1, B_LENGTH = 1.2, 0.75
+#: What rounding may take from a sum of weights.
+ROUNDING = 1e-5
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -55,102 +65,137 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """Inverted index of item parts; postings are sorted by term, then by part."""
+    """Inverted index of item parts.
 
-    item: np.ndarray  # of each part
+    Postings are sorted by term, then by part. An entry is a term's run of
+    postings within one block of parts, with their largest weight; entries are
+    sorted by term, then by block. Nothing is kept for terms and blocks that don't meet.
+    """
+
+    item: np.ndarray  # of each part, its place among items
+    ids: np.ndarray  # of each item
     terms: np.ndarray
-    first: np.ndarray
+    most: np.ndarray  # by term
+    first: np.ndarray  # entries of each term
+    block: np.ndarray  # of each entry
+    block_most: np.ndarray  # of each entry
+    start: np.ndarray  # postings of each entry
     posting: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # by term
-    block_most: np.ndarray  # term x block
-    question: list[np.ndarray]
-    question_n: list[int]
+    question: list[np.ndarray]  # of each item, its distinct grams
     answer: list[np.ndarray]
-    answer_n: list[int]
+    size: list[tuple[int, int]]  # words of a gram of the question and of the answer
 
 
 def build_shard(items: list[tuple[int, str]]) -> Shard | None:
     """The index of (item_id, text) rows; items without words are left out."""
-    parts, owner = [], []
+    ids, words, parts, owner = [], [], [], []
     for (item, _), h in zip(items, word_hashes([t or "" for _, t in items]), strict=True):
-        n = -(-len(h) // PART_WORDS)
-        for part in np.array_split(h, n) if n else []:
-            parts.append(part)
-            owner.append(item)
+        if len(h):
+            pieces = np.array_split(h, -(-len(h) // PART_WORDS))
+            parts += pieces
+            owner += [len(ids)] * len(pieces)
+            ids.append(item)
+            words.append(h)
     if not parts:
         return None
     length = np.array([len(p) for p in parts], float)
-    term, part, tf = [], [], []
-    for k, p in enumerate(parts):
-        u, c = np.unique(p, return_counts=True)
-        term.append(u)
-        part.append(np.full(len(u), k))
-        tf.append(c)
-    term, part, tf = np.concatenate(term), np.concatenate(part), np.concatenate(tf).astype(float)
+    each = [np.unique(p, return_counts=True) for p in parts]
+    term, tf = np.concatenate([u for u, _ in each]), np.concatenate([c for _, c in each]).astype(float)
+    part = np.repeat(np.arange(len(parts)), [len(u) for u, _ in each])
     terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
     idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
     weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B_LENGTH + B_LENGTH * length[part] / length.mean()))
     weight = (weight / np.bincount(part, weight, len(parts))[part]).astype(np.float32)
     order = np.lexsort((part, at))
     at, part, weight = at[order], part[order], weight[order]
-    first = np.searchsorted(at, np.arange(len(terms) + 1))
-    most = np.zeros(len(terms), np.float32)
-    np.maximum.at(most, at, weight)
-    block_most = np.zeros((len(terms), -(-len(parts) // BLOCK_ITEMS)), np.float32)
-    np.maximum.at(block_most, (at, part // BLOCK_ITEMS), weight)
-    tail = [max(1, round(len(p) * ANSWER_SHARE)) for p in parts]
-    asked = [p[: len(p) - k] if len(p) > k else p for p, k in zip(parts, tail, strict=True)]
-    told = [p[-k:] for p, k in zip(parts, tail, strict=True)]
-    as_grams = lambda ps: ([np.unique(grams(p, GRAM)) for p in ps], [min(GRAM, len(p)) for p in ps])
-    return Shard(np.array(owner, np.int64), terms, first, part, weight, most, block_most, *as_grams(asked), *as_grams(told))
-
-
-def search(shard: Shard, h: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
-    """Best (score, question overlap, answer overlap) and number of passages by part, for one document's words."""
-    if not len(h):
-        return {}
+    most = np.maximum.reduceat(weight, np.searchsorted(at, np.arange(len(terms))))
+    block = part // BLOCK_PARTS
+    start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (block[1:] != block[:-1])])
+    first = np.searchsorted(at[start], np.arange(len(terms) + 1))
+    tail = [max(1, round(len(h) * ANSWER_SHARE)) for h in words]
+    asked = [h[: len(h) - k] if len(h) > k else h for h, k in zip(words, tail, strict=True)]
+    told = [h[-k:] for h, k in zip(words, tail, strict=True)]
+    distinct = lambda hs: [np.unique(grams(h, GRAM)) for h in hs]
+    size = [(min(GRAM, len(a)), min(GRAM, len(b))) for a, b in zip(asked, told, strict=True)]
+    return Shard(np.array(owner), np.array(ids, np.int64), terms, most, first, block[start], np.maximum.reduceat(weight, start), np.r_[start, len(part)], part, weight, distinct(asked), distinct(told), size)
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of all ranges [first, last), and which range each is of."""
+    count = last - first
+    which = np.repeat(np.arange(len(count)), count)
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count), which
+
+
+def search(shard: Shard, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, scores) of all parts that reach the threshold for a passage's distinct terms, by block-max WAND."""
+    nothing = np.empty(0, np.int64), np.empty(0)
+    limit = THRESHOLD - ROUNDING
+    terms = terms[np.argsort(shard.most[terms], kind="stable")]
+    leading = terms[np.cumsum(shard.most[terms], dtype=float) >= limit]
+    if not len(leading):
+        return nothing
+    entries, _ = _ranges(shard.first[leading], shard.first[leading + 1])
+    blocks = np.unique(shard.block[entries])
+    entries, _ = _ranges(shard.first[terms], shard.first[terms + 1])
+    place = np.minimum(np.searchsorted(blocks, shard.block[entries]), len(blocks) - 1)
+    there = blocks[place] == shard.block[entries]
+    entries, place = entries[there], place[there]
+    bound = np.bincount(place, shard.block_most[entries], len(blocks))
+    entries = entries[bound[place] >= limit]
+    if not len(entries):
+        return nothing
+    posts, _ = _ranges(shard.start[entries], shard.start[entries + 1])
+    parts, which = np.unique(shard.posting[posts], return_inverse=True)
+    score = np.bincount(which, shard.weight[posts], len(parts))
+    found = score >= limit
+    return parts[found], score[found]
+
+
+def judge(shard: Shard | None, h: np.ndarray) -> list[tuple[int, float, float, float, int]]:
+    """(item_id, score, question overlap, answer overlap, passages) of the items that a document of these words holds."""
+    if shard is None or not len(h):
+        return []
     pos = np.searchsorted(shard.terms, h)
     pos[pos == len(shard.terms)] = 0
     known = shard.terms[pos] == h
-    gain = np.where(known, shard.most[pos], 0)
-    step = PART_WORDS
-    cuts = np.arange(0, len(h), step)
-    sums = np.add.reduceat(gain, cuts)
-    pair = sums.copy()
-    pair[:-1] += sums[1:]
-    out: dict[int, tuple[float, float, float, int]] = {}
-    for c in np.flatnonzero(pair >= THRESHOLD):
-        lo, hi = cuts[c], min(cuts[c] + 2 * step, len(h))
-        terms = np.unique(pos[lo:hi][known[lo:hi]])
-        if shard.most[terms].sum() < THRESHOLD:
-            continue
-        blocks = shard.block_most[terms].sum(0) >= THRESHOLD
-        if not blocks.any():
-            continue
-        count = shard.first[terms + 1] - shard.first[terms]
-        posts = np.arange(count.sum()) + np.repeat(shard.first[terms] - np.cumsum(count) + count, count)
-        posts = posts[blocks[shard.posting[posts] // BLOCK_ITEMS]]
-        found, score = np.unique(shard.posting[posts], return_inverse=True)
-        score = np.bincount(score, shard.weight[posts], len(found))
-        sizes = {}
-        for part, s in zip(found[score >= THRESHOLD], score[score >= THRESHOLD], strict=True):
-            overlap = []
-            for target, n in ((shard.question[part], shard.question_n[part]), (shard.answer[part], shard.answer_n[part])):
-                if n not in sizes:
-                    sizes[n] = grams(h[lo:hi], n) if hi - lo >= n else np.empty(0, U)
-                overlap.append(float(np.isin(target, sizes[n]).mean()))
-            question, answer = overlap
-            if question >= OVERLAP and answer >= OVERLAP:
-                best = out.get(int(part), (0.0, 0.0, 0.0, 0))
-                out[int(part)] = (max(best[0], float(s)), max(best[1], question), max(best[2], answer), best[3] + 1)
-    return out
+    cuts = np.arange(0, len(h), PART_WORDS)
+    sums = np.add.reduceat(np.where(known, shard.most[pos], 0), cuts)
+    sums[:-1] += sums[1:].copy()
+    passages: dict[int, list[int]] = {}
+    best: dict[int, float] = {}
+    for c in np.flatnonzero(sums >= THRESHOLD - ROUNDING):
+        lo, hi = cuts[c], min(cuts[c] + 2 * PART_WORDS, len(h))
+        for part, score in zip(*search(shard, np.unique(pos[lo:hi][known[lo:hi]])), strict=True):
+            item = int(shard.item[part])
+            held = passages.setdefault(item, [])
+            if not held or held[-1] != c:
+                held.append(c)
+            best[item] = max(best.get(item, 0.0), float(score))
+    out = []
+    for item, held in passages.items():
+        # Passages that follow each other are one run of words, so that no gram is lost between them.
+        runs: list[list[int]] = []
+        for c in held:
+            lo, hi = int(cuts[c]), int(min(cuts[c] + 2 * PART_WORDS, len(h)))
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = hi
+            else:
+                runs.append([lo, hi])
+        overlap = []
+        for target, n in zip((shard.question[item], shard.answer[item]), shard.size[item], strict=True):
+            seen = [grams(h[lo:hi], n) for lo, hi in runs if hi - lo >= n]
+            overlap.append(float(np.isin(target, np.concatenate(seen)).mean()) if seen else 0.0)
+        if min(overlap) >= OVERLAP:
+            out.append((int(shard.ids[item]), best[item], *overlap, len(held)))
+    return sorted(out)
 
 
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("n_passages", T.LongType())])
 
 
-def hits(shard: Shard, texts: pa.Array) -> pa.Array:
+def hits(shard: Shard | None, texts: pa.Array) -> pa.Array:
     """For each text the benchmark items found, as a list of HIT rows in order of item_id."""
     sizes, flat = [0], []
     for _, _, buf, offs in slices(texts):
@@ -158,11 +203,7 @@ def hits(shard: Shard, texts: pa.Array) -> pa.Array:
         starts, ends, by = find_words(buf, offs, NOT_SPACE)
         h = hash_spans(buf, starts, ends)
         for lo, hi in zip(by, by[1:], strict=False):
-            best: dict[int, tuple] = {}
-            for part, x in search(shard, h[lo:hi]).items():
-                item = int(shard.item[part])
-                best[item] = max(best.get(item, x), x)
-            flat += [(item, *best[item]) for item in sorted(best)]
+            flat += judge(shard, h[lo:hi])
             sizes.append(len(flat))
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
     columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate(kinds)]
@@ -170,28 +211,43 @@ def hits(shard: Shard, texts: pa.Array) -> pa.Array:
 
 
 def with_benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with benchmark_hits, an array of HIT: the items that each whole text holds.
+    """``docs`` with benchmark_hits, an array of HIT in order of item_id: the items that each whole text holds.
 
-    ``benchmark`` has item_id and text. Null and empty texts on either side
-    match nothing; repeated rows are judged each; a column of that name is
-    replaced; with an empty benchmark all arrays are empty. The texts aren't
-    shuffled; of the parts of a cut item the best one is reported.
+    ``benchmark`` has item_id and text. Null and empty texts on either side, and
+    items without an id, match nothing; texts of any length are searched passage
+    by passage; repeated rows are judged each; items with equal texts are found
+    each, and rows that repeat an item_id are items of their own; a column named
+    benchmark_hits is replaced, all others pass; an empty table on either side
+    gives no hits. The texts aren't shuffled while the benchmark is one shard;
+    with more, the rows are written once with a number, and their hits come back by it.
     """
     spark = docs.sparkSession
-    rows = text_column(benchmark).select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    n_shards = max(1, -(-rows.count() // SHARD_ITEMS))
-    out, made = text_column(docs, text), []
-    at = out.columns.index(text)
-    for k in range(n_shards):
-        shard = build_shard([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == k).orderBy("item_id", "text").collect()])
-        if shard is None:
-            continue
-        held = spark.sparkContext.broadcast(shard)
-        made.append(f"benchmark_hits_{k}" if n_shards > 1 else "benchmark_hits")
-        out = map_rows(out, lambda batch, held=held, name=made[-1]: {name: hits(held.value, batch.column(at))}, [(made[-1], T.ArrayType(HIT))])
-    if not made:
-        return out.withColumn("benchmark_hits", F.array().cast(T.ArrayType(HIT)))
-    return out if made == ["benchmark_hits"] else out.withColumn("benchmark_hits", F.concat(*made)).drop(*made)
+    rows = text_column(benchmark).select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    words = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    kept = [c for c in docs.columns if c.lower() != "benchmark_hits"]
+    docs = docs.select(*kept)
+    out, names = aliased(text_column(docs, text))
+    n = -(-words // SHARD_WORDS)
+
+    def shard(k: int):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
+        return spark.sparkContext.broadcast(build_shard([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]))
+
+    def found_in(df: DataFrame, held) -> DataFrame:
+        at = df.columns.index(names[text])
+        return map_rows(df, lambda batch: {"benchmark_hits": hits(held.value, batch.column(at))}, [("benchmark_hits", T.ArrayType(HIT))])
+
+    if n <= 1:
+        out = found_in(out, shard(0))
+    else:
+        out = stage(out.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        each = None
+        for k in range(n):
+            one = found_in(out.select("_row", names[text]), shard(k)).where(F.size("benchmark_hits") > 0).select("_row", "benchmark_hits")
+            each = one if each is None else each.unionAll(one)
+        each = each.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("benchmark_hits"))).alias("benchmark_hits"))
+        out = out.join(each, "_row", "left").withColumn("benchmark_hits", F.coalesce("benchmark_hits", F.array().cast(T.ArrayType(HIT)))).drop("_row")
+    return out.toDF(*kept, "benchmark_hits")
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,5 +257,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose texts hold no benchmark item."""
-    return with_benchmark_hits(docs, benchmark, text).where(F.size("benchmark_hits") == 0).select(*docs.columns)
+    """The rows of ``docs``, columns unchanged whatever their names, whose texts hold no benchmark item; null and empty texts stay."""
+    rows, names = aliased(docs)
+    found = with_benchmark_hits(rows, benchmark, names[text])
+    return found.where(F.size("benchmark_hits") == 0).select(*rows.columns).toDF(*docs.columns)
