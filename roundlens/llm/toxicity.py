@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import ALNUM, LOWER, U, find_words, hash_spans, map_rows, slices, text_column
+from .textkit import ALNUM, LOWER, U, aliased, find_words, hash_spans, map_rows, slices, text_column
 
 WINDOW, STEP = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -293,8 +293,10 @@ def with_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFram
     """``docs`` with toxicity, a double from 0 to 1: the worst window of each whole text.
 
     Null and empty texts, and texts without letters or digits, get the score of
-    clean text, 0.0. A column named toxicity is replaced; repeated rows are
-    scored each. No shuffle.
+    clean text, 0.0. Very long texts are scored window by window to their end; of
+    equal worst windows either gives the score. A column named toxicity is
+    replaced, all others pass; repeated rows are scored each; an empty table
+    gives an empty one. No shuffle.
     """
     docs = text_column(docs, text)
     at = docs.columns.index(text)
@@ -310,6 +312,11 @@ def with_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFram
     return map_rows(docs, per_batch, [("toxicity", T.DoubleType())])
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose texts score under PREDICT_AT; the network learns from ``corpus``."""
-    return with_toxicity(docs, fit(corpus if corpus is not None else docs, labels)).where(F.col("toxicity") < PREDICT_AT).select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns unchanged whatever their names, whose texts score under PREDICT_AT; the network learns from ``corpus``.
+
+    Null and empty texts stay, and an empty table gives an empty one.
+    """
+    rows, names = aliased(docs)
+    found = with_toxicity(rows, fit(corpus if corpus is not None else docs, labels), names[text])
+    return found.where(F.col("toxicity") < PREDICT_AT).select(*rows.columns).toDF(*docs.columns)
