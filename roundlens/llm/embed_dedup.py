@@ -5,7 +5,9 @@ transform; its hash is the axis it lies closest to, with the sign. A table joins
 ``HASHES`` such hashes to a bucket within the vector's label, and besides the
 own bucket a vector enters those where the runner-up axis of one hash stands in
 (multiprobe). Pairs that share a bucket are verified by cosine in double
-precision. Exact copies are folded to one weighted representative first.
+precision. Exact copies are folded to one weighted representative first. Ids that
+come with several vectors can't be counted by weights: the links of vectors that
+they own are told one by one, and count each id once.
 
 Buckets beyond ``TILE`` vectors are cut into pairs of tiles. A pair of vectors is
 counted in the first of their common buckets only, so sums of counts and a
@@ -20,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textkit import U, mix, stage
+from .textkit import U, mix, stage, tidy
 
 COSINE = 0.98
 TABLES, HASHES, PROBES = 6, 3, 2
-TILE = 512
+TILE = 1024
 SEED = 11
 
 
@@ -102,9 +104,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 where = np.flatnonzero(dims == dim)
                 at[where] = buckets(_unit(batch.column(2).take(pa.array(where))), batch.column(1).to_numpy()[where] * 1_000_003 + dim)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), at.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "label", "vector", "copies", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "label", "vector", "first", "copies", "several", "buckets"])
 
-    return rows.mapInArrow(run, "rep long, label long, vector array<double>, copies long, buckets array<long>")
+    return rows.mapInArrow(tidy(run), "rep long, label long, vector array<double>, first long, copies long, several boolean, buckets array<long>")
 
 
 def _tile_pairs(rows: DataFrame) -> DataFrame:
@@ -116,11 +118,28 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
     return placed.join(rows, "rep")
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that the links (a, b) reach."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+LINKS = "rep long, links long, a long, b long, x long, y long"
+
+
 def _links(pairs: DataFrame) -> DataFrame:
-    """Rows (rep, links, a, b): partial numbers of linked vectors, and edges that span the links of a tile pair."""
+    """LINKS of three kinds: (rep, links) partial numbers of linked ids, (a, b) edges that span the links of a tile pair, (x, y) links with a vector of ids that have several."""
 
-    def links(table: pa.Table, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+    def links(table: pa.Table, bucket: int) -> tuple[np.ndarray, ...]:
+        rep, copies, several = table.column("rep").to_numpy(), table.column("copies").to_numpy(), table.column("several").to_numpy()
         tile = table.column("tile").to_numpy()
         vectors = _unit(table.column("vector").combine_chunks())
         own = np.array(table.column("buckets").to_pylist(), np.int64).reshape(len(rep), -1)
@@ -130,6 +149,8 @@ def _links(pairs: DataFrame) -> DataFrame:
         a, b = left[a], right[b]
         ok = rep[a] < rep[b] if low == high else rep[a] != rep[b]
         a, b = a[ok], b[ok]
+        root = _roots(a, b, len(rep))
+        joined = np.flatnonzero(root != np.arange(len(rep)))
         first = np.ones(len(a), bool)
         for k in range(own.shape[1]):  # a pair counts in the first bucket that both are in
             rows = np.flatnonzero(first & (own[a, k] < bucket))
@@ -138,23 +159,9 @@ def _links(pairs: DataFrame) -> DataFrame:
                 first[r] &= ~(own[a[r], k][:, None] == own[b[r]]).any(1)
         a, b = a[first], b[first]
         count = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-        parent = list(range(len(rep)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        edges = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[p] = q
-                edges.append((x, y))
         seen = np.flatnonzero(count)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return rep[seen], count[seen].astype(np.int64), rep[e[:, 0]], rep[e[:, 1]]
+        told = several[a] | several[b]
+        return rep[seen], count[seen].astype(np.int64), rep[joined], rep[root[joined]], rep[a[told]], rep[b[told]]
 
     def run(batches):
         held = None
@@ -166,21 +173,24 @@ def _links(pairs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
             ends = np.r_[first[1:], len(key)]
             whole = len(first) if batch is None else len(first) - 1
-            rep, n, a, b = [], [], [], []
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for lo, hi in zip(first[:whole], ends[:whole], strict=True):
                 if hi - lo > 1:
-                    r, c, x, y = links(table.slice(lo, hi - lo), int(key[lo, 0]))
-                    rep.append(r)
-                    n.append(c)
-                    a.append(x)
-                    b.append(y)
+                    for held_, new in zip(out, links(table.slice(lo, hi - lo), int(key[lo, 0])), strict=True):
+                        held_.append(new)
             held = table.slice(first[whole]) if whole < len(first) else None
-            rep, n, a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rep, n, a, b))
-            pad = lambda x, before, after: pa.array(np.concatenate([np.zeros(before, np.int64), x, np.zeros(after, np.int64)]), mask=np.r_[np.ones(before, bool), np.zeros(len(x), bool), np.ones(after, bool)])
-            yield pa.RecordBatch.from_arrays([pad(rep, 0, len(a)), pad(n, 0, len(a)), pad(a, len(rep), 0), pad(b, len(rep), 0)], names=["rep", "links", "a", "b"])
+            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+            sizes = [len(columns[k]) for k in (0, 2, 4)]
+            spread = []
+            for k, column in enumerate(columns):
+                full, there = np.zeros(sum(sizes), np.int64), np.zeros(sum(sizes), bool)
+                lo = sum(sizes[: k // 2])
+                full[lo : lo + len(column)], there[lo : lo + len(column)] = column, True
+                spread.append(pa.array(full, mask=~there))
+            yield pa.RecordBatch.from_arrays(spread, names=[c.split()[0] for c in LINKS.split(", ")])
 
-    placed = pairs.select("bucket", "i", "j", "tile", "rep", "copies", "vector", "buckets").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return placed.mapInArrow(run, "rep long, links long, a long, b long")
+    placed = pairs.select("bucket", "i", "j", "tile", "rep", "copies", "several", "vector", "buckets").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return placed.mapInArrow(tidy(run), LINKS)
 
 
 def _batches_then_none(batches):
@@ -195,22 +205,55 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     in double precision; every pair reported is verified, and the recall is what
     the tables and probes give. Vectors that are null, empty, zero, or hold null
     or non-finite components link with nothing, and so do those of different
-    lengths. Exact copies link with each other. Repeated vec_ids are one node
-    with its rows as copies; a null vec_id links with nothing and has null
-    component_id and kept false.
+    lengths. Exact copies link with each other. Rows that repeat a vec_id are one
+    node, whose links are those of all its vectors, each other id counted once
+    and itself never; a null vec_id links with nothing and has null component_id
+    and kept false. Other columns don't matter; an empty table gives an empty one.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
-    good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False)))
-    good = good.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    reps = good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stage(_hashed(reps.select("rep", "label", "vector", "copies")), "vectors")
+    fits = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
+    good = rows.where(fits).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    repeated = stage(rows.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated")
+    several = None
+    if repeated.isEmpty():
+        known = good.withColumn("several", F.lit(False))
+    else:
+        distinct = good.dropDuplicates(["vec_id", "label", "vector"])
+        several = stage(distinct.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("several")), "several")
+        known = distinct.join(several, "vec_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    reps = known.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count_if(~F.col("several")).alias("copies"), F.max("several").alias("several"))
+    reps = stage(_hashed(reps.select(F.monotonically_increasing_id().alias("rep"), "label", "vector", "first", "copies", "several")), "vectors")
     found = stage(_links(_tile_pairs(reps)), "vector-links")
-    labels = connected_components(found.where("a is not null").select("a", "b"))
+    names = reps.select("rep", "first")
+    edges = found.where("a is not null").join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select("u", "v")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("label", "vector", "rep", "copies").join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    joined = good.join(known, ["label", "vector"]).select("vec_id", "n", "c")
-    alone = rows.where(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))))
-    out = joined.unionAll(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    # What a vector of one id links with: the ids of one vector by weight, and its own copies.
+    told = reps.select("label", "vector", "rep", "first", "copies").join(counts, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies"))
+    extra = None
+    if several is not None and not several.isEmpty():
+        owned = known.where("several").join(reps.where("several").select("label", "vector", "rep", "first"), ["label", "vector"])
+        owned = stage(owned.select("rep", "first", F.col("vec_id").alias("owner")), "owned")
+        edges = edges.unionAll(owned.select("first", "owner"))
+        pairs = found.where("x is not null").select("x", "y")
+        pairs = pairs.unionAll(pairs.select("y", "x")).unionAll(owned.select("rep", "rep")).distinct()
+        near = pairs.join(owned.select(F.col("rep").alias("y"), "owner"), "y").select("x", "owner").distinct()
+        told = told.join(near.groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("others")), "rep", "left").withColumn("links", F.col("links") + F.coalesce("others", F.lit(0))).drop("others")
+        mine = owned.select(F.col("rep").alias("x"), F.col("owner").alias("vec_id")).join(pairs, "x").select("vec_id", "y").distinct()
+        weights = mine.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy("vec_id").agg(F.sum("copies").alias("n"))
+        others = mine.join(owned.select(F.col("rep").alias("y"), "owner"), "y").select("vec_id", "owner").distinct().groupBy("vec_id").agg((F.count("*") - 1).alias("m"))
+        extra = weights.join(others, "vec_id").select("vec_id", (F.col("n") + F.col("m")).alias("all"))
+    labels = connected_components(edges, "u", "v")
+    told = told.join(labels.withColumnRenamed("id", "first"), "first", "left")
+    told = told.select("label", "vector", (F.col("links") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
+    joined = good.join(told, ["label", "vector"]).select("vec_id", "n", "c")
+    alone = rows.where(~fits).select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))
+    out = joined.unionAll(alone)
+    if not repeated.isEmpty():
+        # Rows of one id are one node, those that link with nothing too.
+        same = out.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("n").alias("n_"), F.min("c").alias("c_"))
+        out = out.join(same, "vec_id", "left").select("vec_id", F.coalesce("n_", "n").alias("n"), F.coalesce("c_", "c").alias("c"))
+    if extra is not None:
+        out = out.join(extra, "vec_id", "left").select("vec_id", F.coalesce("all", "n").alias("n"), "c")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", "vec_id").alias("c"))
     return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("c"), F.lit(False)).alias("kept"))

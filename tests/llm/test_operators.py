@@ -230,6 +230,31 @@ def test_near_vectors(spark, monkeypatch, tile):
     assert all(got[i] == (0, i, True) for i, _, _ in odd)
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    """A node is an id: the links of all its vectors, each other id once."""
+    few = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (7, [1.0, 1.0], 0), (7, [1.0, 1.0], 0)]
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((8, 12))
+    many = [(int(rng.integers(0, 25)), (base[rng.integers(0, 8)] + 1e-3 * rng.integers(0, 3)).tolist(), int(rng.integers(0, 2))) for _ in range(80)]
+    for rows in (few, many, many + [(3, None, 1), (40, None, 0), (40, None, 0)]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("clash"))
+        cosine = lambda v, w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+        linked = {i: {j for j, w, m in rows if j != i and w and any(k == i and v and m == n and cosine(v, w) >= 0.98 for k, v, n in rows)} for i, _, _ in rows}
+        want = brute_components(linked, lambda a, b: b in linked[a])
+        got = embed_dedup.near_vectors(df).collect()
+        assert len(got) == len(rows)
+        assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, len(linked[i]), want[i], want[i] == i) for i, _, _ in rows}
+
+
+def test_roots_of_links():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(0, n, 25), rng.integers(0, n, 25)
+        want = brute_components({i: None for i in range(n)}, lambda x, y: ((a == x) & (b == y) | (a == y) & (b == x)).any())
+        assert embed_dedup._roots(a, b, n).tolist() == [want[i] for i in range(n)]
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("", "", "allow")][:5], "host string, path string, verdict string")
     urls = ["https://WWW.Example.org/es/x?q#f", "http://example.org/en/12", "http://notexample.org/es/", "http://a.com/fr", "http://a.com/de/?x", "x", None, "http://b.org", "http://b.org?a/", "ftp://h://y/z", "http://a.com/de/", "http://a.com/de/"]
