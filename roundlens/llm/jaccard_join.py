@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .textkit import LOWER, NOT_SPACE, U, find_words, hash_spans, mix, slices, stage, text_column
+from .textkit import LOWER, NOT_SPACE, U, aliased, find_words, hash_spans, mix, slices, stage, text_column, tidy
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
@@ -45,8 +45,8 @@ FREQUENT_MOST = 1 << 18
 STAR = 256
 LEAF = 16
 TILE = 1 << 16
-#: Groups of candidates with up to so many shingles (8 bytes each) are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
-GROUP_MOST = 1_000_000
+#: Groups of candidates with up to so many shingles (8 bytes each) and documents are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
+GROUP_MOST, GROUP_DOCS = 1_000_000, 2_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 
@@ -139,7 +139,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     size = 0
             yield flush()
 
-    rows = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = docs.mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     found = rows.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toPandas()
     got = found["shingle"].to_numpy(np.int64).view(U)
     order = np.argsort(got)
@@ -188,7 +188,7 @@ def profiles(docs: DataFrame, order) -> DataFrame:
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(finest, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=PROFILE.names)
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(tidy(run), PROFILE)
 
 
 # ---- blocks and the R-tree ---------------------------------------------------------------------------------------------
@@ -236,7 +236,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(large[keep]), pa.array(pivot[keep])], names=["key", "doc_id", "large", "pivot"])
 
     sorted_rows = rows.select("key", "doc_id").repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(run, "key long, doc_id long, large boolean, pivot long")
+    return sorted_rows.mapInArrow(tidy(run), "key long, doc_id long, large boolean, pivot long")
 
 
 class CountTree:
@@ -333,7 +333,7 @@ def block_pairs(rows: DataFrame, groups: int, across: bool = False) -> DataFrame
 
     marks = ["component"] if across else ["pivot", "large"]
     sorted_rows = rows.select("key", "doc_id", "n", "point", *marks).repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return sorted_rows.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def tiles(rows: DataFrame) -> DataFrame:
@@ -367,16 +367,16 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(fine.toDF("a", "n_a", "f_a"), "a").join(fine.toDF("b", "n_b", "f_b"), "b")
-    near = stage(both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(close, "a long, b long, long boolean"), "near")
+    near = stage(both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(tidy(close), "a long, b long, long boolean"), "near")
     long = near.where("long").select("a", "b")
     if not long.isEmpty():
         finest = only(profile.where("finest is not null").select("doc_id", F.col("n").alias("n_"), F.col("finest").alias("f_")), long.select(F.col("a").alias("doc_id")).unionAll(long.select("b")))
         both = long.join(finest.toDF("a", "n_a", "f_a"), "a").join(finest.toDF("b", "n_b", "f_b"), "b")
-        long = both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(closer, "a long, b long")
+        long = both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(tidy(closer), "a long, b long")
         near = stage(near.where("not long").select("a", "b").unionAll(long), "near")
     near = near.select("a", "b")
     groups = stage(connected_components(near), "groups")
-    size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg((F.sum("n") > GROUP_MOST).alias("large"))
+    size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg(((F.sum("n") > GROUP_MOST) | (F.count("*") > GROUP_DOCS)).alias("large"))
     placed = stage(groups.join(size, "component").select(F.col("id").alias("doc_id"), "component", "large"), "placed")
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 4 else placed
 
@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
             held = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), held, batch.column(2), batch.column(3)], names=["doc_id", "shingles", "component", "large"])
 
-    full = docs.join(placed, "doc_id").select("doc_id", "text", "component", "large").mapInArrow(sets, "doc_id long, shingles binary, component long, large boolean")
+    full = docs.join(placed, "doc_id").select("doc_id", "text", "component", "large").mapInArrow(tidy(sets), "doc_id long, shingles binary, component long, large boolean")
     near = near.join(placed.withColumnRenamed("doc_id", "a"), "a")
     found = _linked_in_groups(near.where("not large"), full.where("not large"))
     if placed.where("large").isEmpty():
@@ -432,17 +432,17 @@ def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     none = F.lit(None)
     rows = full.select(F.col("component").alias("g"), F.col("doc_id").alias("a"), none.cast("long").alias("b"), "shingles").unionAll(pairs.select("component", "a", "b", none.cast("binary")))
-    return rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked_in_large_groups(pairs: DataFrame, full: DataFrame, profile: DataFrame) -> DataFrame:
     """The same for groups of any size: first each set with its smallest partner, then the pairs that are still apart.
 
     A partner and its sets are a group of its own, cut into parts of about GROUP_MOST
-    shingles that each hold the partner, so a set travels once or twice in all.
+    shingles or GROUP_DOCS documents that each hold the partner, so a set travels once or twice in all.
     """
     star = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    parts = star.join(profile.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / max(GROUP_MOST, 1)).cast("int").alias("parts"))
+    parts = star.join(profile.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.sum("n") / max(GROUP_MOST, 1), F.count("*") / GROUP_DOCS)).cast("int").alias("parts"))
     star = stage(star.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("component")), "stars")
     places = star.select(F.col("b").alias("doc_id"), "component").unionAll(star.select("a", "component").distinct())
     places = F.broadcast(places) if star.count() <= BROADCAST_IDS // 4 else places
@@ -470,7 +470,7 @@ def _linked_pairs(pairs: DataFrame, full: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -482,7 +482,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     smallest doc_id reached, the own one included. Null, empty and blank texts
     have an empty set and link with nothing. Rows that repeat a doc_id are one
     node; rows with a null doc_id link with nothing and have a null component.
-    Other columns don't matter; an empty table gives an empty result.
+    Texts of any length are taken whole; of equal texts the smallest doc_id stands
+    for all. Other columns don't matter; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -520,11 +521,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, columns unchanged, with one document of each component left: that of the smallest doc_id.
+    """``docs``, columns unchanged whatever their names, with one document of each component left: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, which stays or goes whole; rows with a null doc_id stay.
+    Rows that repeat a doc_id are one document, which stays or goes whole; rows
+    with a null doc_id stay, and so do null and empty texts; an empty table gives an empty one.
     """
     found = stage(jaccard_components(docs, doc_id, text), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    rows, names = aliased(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(names[doc_id])).distinct()
     gone = F.broadcast(gone) if found.where("doc_id <> component_id").count() <= BROADCAST_IDS else gone
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    return rows.join(gone, names[doc_id], "left_anti").select(*rows.columns).toDF(*docs.columns)
