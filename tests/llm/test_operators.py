@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -362,18 +363,73 @@ def test_html_keeps_what_near_copies_and_articles_share(spark):
         assert html_texts(spark, pages) == [f"story {i} {'w' * (40 + i)}" for i in range(n)]
 
 
-@pytest.mark.parametrize("most", [html_template.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [html_template.BROADCAST_TOKENS, 0])
 def test_html_drops_every_constant_text(spark, monkeypatch, most):
-    monkeypatch.setattr(html_template, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(html_template, "BROADCAST_TOKENS", most)
     menu = "".join(f"<li>country {k}</li>" for k in range(700))
     stories = [" ".join(f"word{i}x{k}" for k in range(900)) for i in range(30)]
     assert html_texts(spark, [f"<body><div><ul>{menu}</ul><p>{s}</p></div></body>" for s in stories]) == stories
 
 
-@pytest.mark.parametrize("most", [html_template.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [html_template.BROADCAST_TOKENS, 0])
 def test_html_slots_without_telling_names(spark, monkeypatch, most):
-    monkeypatch.setattr(html_template, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(html_template, "BROADCAST_TOKENS", most)
     stories = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(40)]
     menus = ["".join(f'<a href="/{k}">entry {(i * 7 + k) % 90}</a> ' for k in range(5)) for i in range(40)]
     frame = '<body><div class="c1">{}</div><div class="c2"><p>{}</p><div class="c3">Buy offer {} today</div><p>end {}</p></div><div class="c4">seen {} times</div></body>'
     assert html_texts(spark, [frame.format(menus[i], stories[i], i % 8, i, i * 31) for i in range(40)]) == [f"{stories[i]}\n\nend {i}" for i in range(40)]
+
+
+def test_html_is_read_in_linear_time():
+    for page in ('<a "' * 60_000, "</a" * 60_000, "<a '" * 60_000 + "x>", "<script>" * 30_000, "<div>" * 20_000 + "x", "<div>x</span>" * 30_000, "<p " + 'a="' * 60_000):
+        began = time.time()
+        html_template.extract_text(page)
+        assert time.time() - began < 5
+    assert html_template.extract_text("<div>" * 20_000 + "x" * 100_000) == "x" * 100_000
+
+
+def test_html_classes_are_the_occurrence_vectors(spark):
+    rng = random.Random(21)
+    pages = []
+    for i in range(14):
+        items = "".join(f"<li><b>item {rng.random()}</b></li>" for _ in range(rng.randint(1, 4)))
+        extra = '<section class="x"><p>more</p></section>' if i % 3 else ""
+        pages.append(f'<body><div class="c1"><ul>{items}</ul></div>{extra}<div class="c2"><p>text {rng.random()} {"w" * i * 9}</p></div></body>')
+    read = [html_template.read(p) for p in pages]
+    assert len({html_template.near_key(b) for b, _ in read}) == len(pages)
+    counts = [dict(zip(*np.unique([html_template.ROOT.token, *t], return_counts=True), strict=True)) for _, t in read]
+    vectors = {}
+    for token in set().union(*counts):
+        vector = tuple(int(c.get(token, 0)) for c in counts)
+        if sum(v > 0 for v in vector) >= len(pages) / 2:
+            vectors.setdefault(vector, set()).add(int(token))
+    df = html_template.read_pages(spark.createDataFrame([("h", p) for p in pages], "host string, html string"))
+    got = {}
+    for r in html_template.classes(df).collect():
+        got.setdefault(r["class"], set()).add(r.token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, vectors.values()))
+
+
+def test_html_classes_out_of_order_are_no_template():
+    """Tokens whose order differs from page to page, and classes that cross, give no slots."""
+    a, b, c = (html_template._token(html_template._hash(k), html_template.OPEN) for k in "abc")
+    walk = html_template.Walk([a, b, a, b, c], html_template.Template({a: 1, b: 2, c: 1}, frozenset()))
+    assert walk.crossed == {2} and walk.before == {a: {a}, b: {b}, c: {a}} and walk.slots.tolist() == [0, a, b, a, a, 0]
+
+
+def test_html_template_changes_the_result(spark):
+    """Without article, telling names or roles, what stays follows from the pages of the host."""
+    stories = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(30)]
+    pages = [f'<body><div class="q1"><a href="/a">one</a> <a href="/b">two {i % 4}</a></div><div class="q2"><h1>title {i}</h1><p>{s}</p></div><div class="q3"><p>All rights kept</p></div></body>' for i, s in enumerate(stories)]
+    assert html_texts(spark, pages) == [f"title {i}\n\n{s}" for i, s in enumerate(stories)]
+    assert all(html_template.extract_text(p) != t for p, t in zip(pages, html_texts(spark, pages), strict=True))
+
+
+def test_html_keeps_columns_of_any_name(spark):
+    rows = [(i, f"http://h.example/{i}", "<article>x</article>" if i else None) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("main", "_host", "host", "t", "t_main", "out", "constant", "_c0", "_salt", "near"):
+        df = df.withColumn(name, F.lit(f"kept {name}"))
+    got = html_template.extract_main_text(df)
+    assert got.columns == [*df.columns, "text", "n_chars"]
+    assert {(r.main, r._host, r._c0, r.t) for r in got.collect()} == {("kept main", "kept _host", "kept _c0", "kept t")}
