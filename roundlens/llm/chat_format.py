@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import map_rows, text_column
+from .textkit import map_rows, text_column, tidy
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -78,7 +78,12 @@ def format_turn(role: str | None, text: str | None) -> str:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """``turns`` (role, text and any others) with formatted: each turn's text in the template. Nulls count as empty; no shuffle."""
+    """``turns`` (role, text and any others) with formatted: each turn's text in the template.
+
+    Nulls count as empty; texts of any length are rendered whole; repeated rows
+    are rendered each; a column named formatted is replaced, all others pass; an
+    empty table gives an empty one. No shuffle.
+    """
     turns = text_column(text_column(turns, "role"), "text")
     role, text = turns.columns.index("role"), turns.columns.index("text")
 
@@ -129,7 +134,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield _table(out)
 
     rows = formatted.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return rows.select("conv_id", "formatted").mapInArrow(run, DIGEST)
+    return rows.select("conv_id", "formatted").mapInArrow(tidy(run), DIGEST)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,6 +143,11 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """DIGEST of ``turns`` (conv_id, turn, role, text): formatted, then read back from the formatted text."""
+    """DIGEST of ``turns`` (conv_id, turn, role, text): formatted, then read back from the formatted text.
+
+    Nulls count as empty, and a null conv_id is a conversation of its own; of turns
+    with equal numbers the one whose formatted text is smaller comes first; repeated
+    rows count each; other columns don't matter; an empty table gives an empty one.
+    """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return read_back(format_turns(rows))
