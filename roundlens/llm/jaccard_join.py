@@ -45,8 +45,8 @@ FREQUENT_MOST = 1 << 18
 STAR = 256
 LEAF = 16
 TILE = 1 << 16
-#: Groups of candidates with up to so many shingles (8 bytes each) and documents are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
-GROUP_MOST, GROUP_DOCS = 1_000_000, 2_000
+#: Groups of candidates with up to so many shingles (8 bytes each), documents and pairs are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
+GROUP_MOST, GROUP_DOCS, GROUP_PAIRS = 1_000_000, 2_000, 5_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 
@@ -376,7 +376,9 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
         near = stage(near.where("not long").select("a", "b").unionAll(long), "near")
     near = near.select("a", "b")
     groups = stage(connected_components(near), "groups")
+    crowded = near.join(groups.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.count("*").alias("pairs")).where(F.col("pairs") > GROUP_PAIRS).select("component", F.lit(True).alias("crowded"))
     size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg(((F.sum("n") > GROUP_MOST) | (F.count("*") > GROUP_DOCS)).alias("large"))
+    size = size.join(crowded, "component", "left").select("component", F.coalesce("crowded", "large").alias("large"))
     placed = stage(groups.join(size, "component").select(F.col("id").alias("doc_id"), "component", "large"), "placed")
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 4 else placed
 
