@@ -128,68 +128,94 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count), which
 
 
-def search(shard: Shard, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, scores) of all parts that reach the threshold for a passage's distinct terms, by block-max WAND."""
-    nothing = np.empty(0, np.int64), np.empty(0)
+def search(shard: Shard, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, part, score) of all parts that reach the threshold, by block-max WAND over many passages at once; ``passage`` and ``term`` are pairs, each once."""
     limit = THRESHOLD - ROUNDING
-    terms = terms[np.argsort(shard.most[terms], kind="stable")]
-    leading = terms[np.cumsum(shard.most[terms], dtype=float) >= limit]
-    if not len(leading):
-        return nothing
-    entries, _ = _ranges(shard.first[leading], shard.first[leading + 1])
-    blocks = np.unique(shard.block[entries])
-    entries, _ = _ranges(shard.first[terms], shard.first[terms + 1])
-    place = np.minimum(np.searchsorted(blocks, shard.block[entries]), len(blocks) - 1)
-    there = blocks[place] == shard.block[entries]
-    entries, place = entries[there], place[there]
-    bound = np.bincount(place, shard.block_most[entries], len(blocks))
-    entries = entries[bound[place] >= limit]
-    if not len(entries):
-        return nothing
-    posts, _ = _ranges(shard.start[entries], shard.start[entries + 1])
-    parts, which = np.unique(shard.posting[posts], return_inverse=True)
-    score = np.bincount(which, shard.weight[posts], len(parts))
+    order = np.lexsort((shard.most[term], passage))
+    passage, term = passage[order], term[order]
+    reach = np.cumsum(shard.most[term], dtype=float)
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    reach -= np.repeat(reach[first] - shard.most[term[first]], np.diff(np.r_[first, len(term)]))
+    leading = np.flatnonzero(reach >= limit)
+    blocks = int(shard.block.max()) + 1
+    entries, of = _ranges(shard.first[term[leading]], shard.first[term[leading] + 1])
+    nominated = np.unique(passage[leading][of] * blocks + shard.block[entries])
+    if not len(nominated):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    entries, of = _ranges(shard.first[term], shard.first[term + 1])
+    key = passage[of] * blocks + shard.block[entries]
+    place = np.minimum(np.searchsorted(nominated, key), len(nominated) - 1)
+    there = nominated[place] == key
+    entries, of, place = entries[there], of[there], place[there]
+    bound = np.bincount(place, shard.block_most[entries], len(nominated))
+    read = bound[place] >= limit
+    posts, of_entry = _ranges(shard.start[entries[read]], shard.start[entries[read] + 1])
+    met, which = np.unique(passage[of[read]][of_entry] * len(shard.item) + shard.posting[posts], return_inverse=True)
+    score = np.bincount(which, shard.weight[posts], len(met))
     found = score >= limit
-    return parts[found], score[found]
+    return met[found] // len(shard.item), met[found] % len(shard.item), score[found]
 
 
-def judge(shard: Shard | None, h: np.ndarray) -> list[tuple[int, float, float, float, int]]:
-    """(item_id, score, question overlap, answer overlap, passages) of the items that a document of these words holds."""
-    if shard is None or not len(h):
-        return []
+#: Entries of the index that one search touches at most, but for a single passage.
+SEARCH_ENTRIES = 1_000_000
+
+
+def passages_found(shard: Shard, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, float]]:
+    """(passage, part, score) of the passages h[lo:hi]."""
     pos = np.searchsorted(shard.terms, h)
     pos[pos == len(shard.terms)] = 0
     known = shard.terms[pos] == h
-    cuts = np.arange(0, len(h), PART_WORDS)
-    sums = np.add.reduceat(np.where(known, shard.most[pos], 0), cuts)
-    sums[:-1] += sums[1:].copy()
-    passages: dict[int, list[int]] = {}
-    best: dict[int, float] = {}
-    for c in np.flatnonzero(sums >= THRESHOLD - ROUNDING):
-        lo, hi = cuts[c], min(cuts[c] + 2 * PART_WORDS, len(h))
-        for part, score in zip(*search(shard, np.unique(pos[lo:hi][known[lo:hi]])), strict=True):
-            item = int(shard.item[part])
-            held = passages.setdefault(item, [])
-            if not held or held[-1] != c:
-                held.append(c)
-            best[item] = max(best.get(item, 0.0), float(score))
-    out = []
-    for item, held in passages.items():
+    gain = np.concatenate([[0.0], np.cumsum(np.where(known, shard.most[pos], 0), dtype=float)])
+    some = np.flatnonzero(gain[hi] - gain[lo] >= THRESHOLD - ROUNDING)  # words said again are counted again: a bound
+    where, of = _ranges(lo[some], hi[some])
+    where, of = where[known[where]], of[known[where]]
+    pairs = np.unique(some[of] * len(shard.terms) + pos[where])
+    passage, term = pairs // len(shard.terms), pairs % len(shard.terms)
+    total = np.bincount(passage, shard.most[term], len(lo))
+    reach = total[passage] >= THRESHOLD - ROUNDING
+    passage, term = passage[reach], term[reach]
+    out: list[tuple[int, int, float]] = []
+    if len(passage):
+        touched = np.cumsum(shard.first[term + 1] - shard.first[term])
+        at = 0
+        while at < len(passage):
+            stop = int(np.searchsorted(touched, (touched[at - 1] if at else 0) + SEARCH_ENTRIES, side="right"))
+            stop = int(np.searchsorted(passage, passage[min(stop, len(passage) - 1)])) if stop < len(passage) else len(passage)
+            stop = stop if stop > at else int(np.searchsorted(passage, passage[at], side="right"))
+            out += zip(*(x.tolist() for x in search(shard, passage[at:stop], term[at:stop])), strict=True)
+            at = stop
+    return out
+
+
+def judge(shard: Shard | None, h: np.ndarray, by: np.ndarray) -> list[list[tuple[int, float, float, float, int]]]:
+    """For each document h[by[k]:by[k + 1]] the (item_id, score, question overlap, answer overlap, passages) of the items that it holds."""
+    out: list[list[tuple]] = [[] for _ in range(len(by) - 1)]
+    count = -(-np.diff(by) // PART_WORDS)
+    if shard is None or not count.sum():
+        return out
+    number, doc = _ranges(np.zeros(len(count), np.int64), count)
+    lo = by[doc] + number * PART_WORDS
+    hi = np.minimum(lo + 2 * PART_WORDS, by[doc + 1])
+    found: dict[tuple[int, int], tuple[set[int], float]] = {}
+    for passage, part, score in passages_found(shard, h, lo, hi):
+        key = int(doc[passage]), int(shard.item[part])
+        held, best = found.get(key, (set(), 0.0))
+        found[key] = held | {passage}, max(best, score)
+    for (d, item), (held, best) in found.items():
         # Passages that follow each other are one run of words, so that no gram is lost between them.
         runs: list[list[int]] = []
-        for c in held:
-            lo, hi = int(cuts[c]), int(min(cuts[c] + 2 * PART_WORDS, len(h)))
-            if runs and lo <= runs[-1][1]:
-                runs[-1][1] = hi
+        for c in sorted(held):
+            if runs and lo[c] <= runs[-1][1]:
+                runs[-1][1] = int(hi[c])
             else:
-                runs.append([lo, hi])
+                runs.append([int(lo[c]), int(hi[c])])
         overlap = []
         for target, n in zip((shard.question[item], shard.answer[item]), shard.size[item], strict=True):
-            seen = [grams(h[lo:hi], n) for lo, hi in runs if hi - lo >= n]
+            seen = [grams(h[a:b], n) for a, b in runs if b - a >= n]
             overlap.append(float(np.isin(target, np.concatenate(seen)).mean()) if seen else 0.0)
         if min(overlap) >= OVERLAP:
-            out.append((int(shard.ids[item]), best[item], *overlap, len(held)))
-    return sorted(out)
+            out[d].append((int(shard.ids[item]), best, *overlap, len(held)))
+    return [sorted(x) for x in out]
 
 
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("n_passages", T.LongType())])
@@ -202,8 +228,8 @@ def hits(shard: Shard | None, texts: pa.Array) -> pa.Array:
         buf = LOWER[buf]
         starts, ends, by = find_words(buf, offs, NOT_SPACE)
         h = hash_spans(buf, starts, ends)
-        for lo, hi in zip(by, by[1:], strict=False):
-            flat += judge(shard, h[lo:hi])
+        for items in judge(shard, h, by):
+            flat += items
             sizes.append(len(flat))
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
     columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate(kinds)]

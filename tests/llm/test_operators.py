@@ -1,6 +1,7 @@
 """Each numbered operator against a brute-force version or a round trip, and on nulls, empty tables, repeated rows and clashing names."""
 
 import json
+import math
 import random
 import re
 import time
@@ -119,6 +120,61 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_matches(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_block_max_search_equals_brute_force():
+    """All passages against all parts, scored without an index."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([2, 9, 30, 64, 150])))) for k in range(90)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(400))) for _ in range(25)] + [f"a b {items[k][1]} c" for k in range(12)]
+    shard = decontaminate.build_shard(items)
+    parts = [p for _, t in items for p in np.array_split(np.array(t.split()), -(-len(t.split()) // decontaminate.PART_WORDS))]
+    length = sum(map(len, parts)) / len(parts)
+    df = {w: sum(w in p for p in parts) for w in words}
+
+    def weights(p):
+        tf = {w: int((p == w).sum()) for w in p}
+        raw = {w: np.log1p((len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(p) / length)) for w, n in tf.items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    weight = [weights(p) for p in parts]
+    reached = 0
+    for text in texts:
+        held = text.split()
+        h = decontaminate.word_hashes([text])[0]
+        lo = np.arange(0, max(len(h), 1), decontaminate.PART_WORDS)
+        hi = np.minimum(lo + 2 * decontaminate.PART_WORDS, len(h))
+        got = {(p, k): s for p, k, s in decontaminate.passages_found(shard, h, lo, hi)}
+        want = {(i, k): sum(x for w, x in weight[k].items() if w in set(held[a:b])) for i, (a, b) in enumerate(zip(lo, hi)) for k in range(len(parts))}
+        want = {key: x for key, x in want.items() if x >= decontaminate.THRESHOLD}
+        assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-4 for key in want)
+        reached += len(want)
+    assert reached > 12
+
+
+def test_decontamination_edges(spark, monkeypatch):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long = [word() for _ in range(220)]
+    item = [word() for _ in range(24)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item)), (3, " ".join(item)), (3, "x y"), (None, "a b c")], "item_id long, text string")
+    rows = [
+        (1, " ".join([word() for _ in range(90)] + long + [word() for _ in range(70)])),
+        (2, " ".join([word() for _ in range(9)] + long[:150])),  # the question alone
+        (3, " ".join(long[166:])),  # the answer alone
+        (4, " ".join(item)), (4, " ".join(item)), (None, " ".join(item)), (6, ""), (7, None), (8, " ".join([word() for _ in range(60_000)] + item)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("benchmark_hits", "_row", "benchmark_hits_0", "_c1"):
+        df = df.withColumn(name, F.lit("mine"))
+    want = sorted([(1, 1), *[(d, k) for d in (4, 4, None, 8) for k in (2, 3)]], key=str)
+    for most in (1_000_000, 150):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", most)
+        assert sorted(((r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(df, bench).collect()), key=str) == want
+        kept = decontaminate.drop_contaminated(df, bench)
+        assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {("mine",) * 4} and sorted(r.doc_id for r in kept.collect()) == [2, 3, 6, 7]
+    assert decontaminate.benchmark_matches(df.limit(0), bench).count() == 0
+
+
 def brute_components(sets, linked):
     parent = {i: i for i in sets}
 
@@ -329,6 +385,116 @@ def test_quality(spark):
     assert none.count() == 0
 
 
+def test_quality_posterior_equals_brute_force(spark):
+    rng = random.Random(19)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]), rng.choice([-3.0, -0.5, 0.0, 2.0, 12.0])) for i in range(160)] + [(7, "a", "x", 2.0)] * 3
+    rate = 0.7
+    base = math.log(rate / (1 - rate))
+    own = [1 / (1 + math.exp(-(r[3] + base))) for r in rows]
+    sums = lambda key: {k: (sum(key(r) == k for r in rows), sum(o for r, o in zip(rows, own) if key(r) == k)) for k in map(key, rows)}
+    sites, paths = sums(lambda r: r[1]), sums(lambda r: r[1:3])
+    mean = (sum(own) + 1) / (len(rows) + 2)
+
+    def strength(levels):
+        total = sum(n for n, _, _ in levels)
+        between, within = sum(n * (g / n - m) ** 2 for n, g, m in levels), sum(n * m * (1 - m) for n, _, m in levels)
+        var = within / total
+        spread = (between - len(levels) * var) / max(total - sum(n * n for n, _, _ in levels) / total, 1e-9)
+        return 1e6 if spread <= var * 1e-6 else min(max(var / spread - 1, 1.0), 1e6)
+
+    k_site = strength([(n, g, mean) for n, g in sites.values()])
+    site = lambda n, g: (g + k_site * mean) / (n + k_site)
+    k_path = strength([(n, g, site(*sites[k[0]])) for k, (n, g) in paths.items()])
+    df = spark.createDataFrame(rows, "doc_id long, site string, path string, evidence double").withColumn("quality", F.lit("clash"))
+    got = sorted((r.doc_id, r.site or "", r.path or "", r.evidence, r.quality) for r in quality.posterior(df, F.col("site"), F.col("path"), rate).collect())
+    want = []
+    for r, o in zip(rows, own):
+        (n, g), (pn, pg) = sites[r[1]], paths[r[1:3]]
+        prior = (pg - o + k_path * site(n - 1, g - o)) / (pn - 1 + k_path)
+        want.append((r[0], r[1] or "", r[2] or "", r[3], 1 / (1 + math.exp(-(r[3] + math.log(prior / (1 - prior)))))))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-9
+
+
+def test_quality_evidence_equals_brute_force():
+    texts = ["one two two", "", "ab", "ONE!! TWO!!", "one two " * 9000]
+    model = quality.Model(["good text here is fine", "more good text of ours", "BAD!! TEXT!!", "VERY!! BAD!!"], [1, 1, 0, 0])
+    for text in texts:
+        raw = text.encode()
+        pairs = [model.w[raw[i] << 8 | raw[i + 1]] for i in range(len(raw) - 1)]
+        buf = np.frombuffer(raw, np.uint8)
+        t = quality.Tokens(buf, np.array([0, len(raw)]))
+        words = [model.w[quality.PAIRS + w] for w in t.words]
+        assert len(words) == len(text.split())
+        want = sum(map(float, pairs)) / (len(pairs) + quality.MORE_PAIRS) + sum(map(float, words)) / (len(words) + quality.MORE_WORDS) + float(model._expand(t.shape)[0] @ model.dense) - model.base
+        whole = b"xx yy" + raw + b"zz"
+        got = model.evidence(np.frombuffer(whole, np.uint8), np.array([0, 5, 5 + len(raw), len(whole)]))
+        assert abs(got[1] - max(-12, min(12, want))) < 1e-6
+
+
+def test_network_equals_a_plain_loop():
+    """The forward pass, word by word in Python floats, and all windows of a text."""
+    net = toxicity.Network(5)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    text = " ".join(f"word{k} and" for k in range(21))
+    words = toxicity._slice_of([text])
+    at, _ = words.windows()
+    assert at.tolist() == [[words.at[k + j] if k + j < 42 else -1 for j in range(toxicity.WINDOW)] for k in range(0, 19 if len(at) == 2 else 31, toxicity.STEP)][: len(at)] and max(map(max, at.tolist())) >= 0
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+    for row, got in zip(at, net.run(net.inputs(words), at), strict=True):
+        seen = [w for w in row if w >= 0]
+        x = [np.concatenate([p["word"][words.word[w]], 0.5 * sum(p["char"][k] for k in words.tri[words.tri_from[w] : words.tri_from[w + 1]])]) for w in seen]
+        states = np.zeros((len(seen), 2 * h))
+        for side, way in enumerate("fb"):
+            now = np.zeros(h)
+            for k in range(len(seen)) if way == "f" else range(len(seen) - 1, -1, -1):
+                a, r = x[k] @ p[f"w{way}"] + p[f"b{way}"], now @ p[f"u{way}"]
+                z, reset = sig(a[:h] + r[:h]), sig(a[h : 2 * h] + r[h : 2 * h])
+                now = (1 - z) * np.tanh(a[2 * h :] + reset * r[2 * h :]) + z * now
+                states[k, side * h : side * h + h] = now
+        e = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+        assert abs(float((e / e.sum()) @ states @ p["out"] + p["out_b"][0]) - float(got)) < 1e-4
+
+
+CLASHING = ["toxicity", "evidence", "quality", "site_prior", "path_prior", "benchmark_hits", "component_id", "n_shingles", "_c0", "_c3", "_site", "_row", "token_ids_", "rep"]
+
+
+def test_dropping_stages_keep_columns_of_any_name(spark):
+    texts, toxic = labelled(60)
+    df = docs(spark, [*texts, None, ""])
+    for name in CLASHING:
+        df = df.withColumn(name, F.lit(f"kept {name}"))
+    labels = spark.createDataFrame([(i, 1 - t, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, texts[1])], "item_id long, text string")
+    for out in (toxicity.drop_toxic(df, labels), quality.drop_low_quality(df, labels, "source", "lang"), jaccard_join.drop_near_copies(df), decontaminate.drop_contaminated(df, bench)):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[name] == f"kept {name}" for r in rows for name in CLASHING)
+        assert {60, 61} <= {r.doc_id for r in rows} or out.count() < 62
+        assert [r.text for r in rows] == [(texts + [None, ""])[r.doc_id] for r in rows]
+    urls = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    for name in ("short", "_row", "_digest", "_best", "r_host", "_c0"):
+        urls = urls.withColumn(name, F.lit("mine"))
+    got = url_filter.judge_urls(urls, spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")).first()
+    assert got.verdict == "block" and {got[c] for c in ("short", "_row", "_digest", "_best", "r_host", "_c0")} == {"mine"}
+
+
+def test_very_long_inputs(spark):
+    """Texts of megabytes, whole: what counts stands at their end."""
+    texts, toxic = labelled(160)
+    net = toxicity.train(texts, toxic)
+    filler = "kalo mine " * 60_000
+    score = [r.toxicity for r in toxicity.with_toxicity(docs(spark, [filler, filler + "zwogkalo"]), net).orderBy("doc_id").collect()]
+    assert score[0] < toxicity.PREDICT_AT <= score[1]
+    rules = spark.createDataFrame([("example.org", "/" + "a" * 50_000, "block")], "host string, path string, verdict string")
+    url = "http://" + "b." * 20_000 + "example.org/" + "a" * 50_000
+    got = url_filter.judge_urls(spark.createDataFrame([(1, url), (2, url[:-1])], "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow"]
+    one = piece_codec.encode_pieces(docs(spark, ["x" * 30_000, "word " * 200_000])).collect()
+    assert all(r.roundtrip for r in one)
+
+
 def test_shingles_of_long_and_odd_texts():
     texts = ["w " * 300_000, "\u00a0nbsp\u2003em", "A" * 2_000_000 + " b c d e f"]
     sizes = [len(s) for s in jaccard_join.shingle_sets(pa.array(texts))]
