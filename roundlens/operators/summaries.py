@@ -215,6 +215,9 @@ def round_log(feed: DataFrame, rounds: DataFrame) -> DataFrame:
 def meters(impact: DataFrame) -> DataFrame:
     """Each player's impact as a share of the largest in the round, by size."""
     top = F.max(F.abs("impact")).over(Window.partitionBy("match_id", "round_id"))
-    return impact.select("match_id", "round_id", "match_player_id", r6(F.try_divide(F.col("impact").cast("double"), top.cast("double"))).alias("meter"))
+    rows = impact.select("match_id", "round_id", "match_player_id", "impact", top.alias("top")).where("top is not null")
+    # Rounded as whole numbers, half away from zero: a share may lie just between two sixth decimals.
+    steps = F.expr("(2000000 * abs(impact) + top) div nullif(2 * top, 0)")
+    return rows.select("match_id", "round_id", "match_player_id", (F.signum(F.col("impact")) * steps / 1e6).alias("meter"))
 
 

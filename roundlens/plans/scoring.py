@@ -85,7 +85,8 @@ i_kt AS (
 
 
 def scores(a):
-    return I.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats)
+    """The impact table: computed and written once, by match, and read by all that summarise it."""
+    return a.by_match("impact", lambda: I.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats))
 
 
 @query("d27_impact", "SELECT * FROM i_impact", IMPACT_SQL)

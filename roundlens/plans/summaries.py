@@ -93,7 +93,7 @@ query(
     WHERE outcome IS NULL OR outcome NOT LIKE '%Surrendered Win') WHERE r = 1 GROUP BY ALL""",
     RESULT_SQL,
 )(lambda a: P.round_mvps(scores(a), a.rounds))
-query("d29_meters", "SELECT match_id, round_id, match_player_id, round(impact / nullif(max(abs(impact)) OVER (PARTITION BY round_id), 0), 6) AS meter FROM i_impact", IMPACT_SQL)(lambda a: P.meters(scores(a)))
+query("d29_meters", "SELECT match_id, round_id, match_player_id, sign(impact) * ((2000000 * abs(impact) + top) // nullif(2 * top, 0)) / 1e6::DOUBLE AS meter FROM (SELECT *, max(abs(impact)) OVER (PARTITION BY round_id) AS top FROM i_impact)", IMPACT_SQL)(lambda a: P.meters(scores(a)))
 ECON_SQL = """e_mean AS (SELECT match_id, round_number, team, (sum(loadout) // count(*))::BIGINT AS m FROM a_stats GROUP BY ALL),
 e_tier AS (SELECT *, CASE WHEN round_number IN (1, 13) THEN 'PISTOL' WHEN m >= 4200 THEN 'FULL_BUY' ELSE 'ECO' END AS tier FROM e_mean),
 e_rows AS (SELECT a.match_id, a.round_number, a.team, a.m AS own, b.m AS enemy, a.tier AS own_tier, b.tier AS enemy_tier, w.winner = a.team AS won FROM e_tier a JOIN e_tier b ON a.match_id = b.match_id AND a.round_number = b.round_number AND a.team <> b.team

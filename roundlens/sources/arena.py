@@ -1,12 +1,16 @@
 """The arena: match tables derived from the star-schema tables by integer arithmetic.
 
 A match is 26 consecutive orders, each of them a round; line items are the
-elimination feed. All derivations are per row, per round or per match, so the
-tables are built by map-side projections and keyed aggregations, at any scale.
+elimination feed. All derivations are per row, per round or per match. The rounds,
+the feed and the statistics are written once, as an ingest would, and read dealt
+by match; every window, grouping and join that has the match among its keys then
+works on that partitioning, without another shuffle. A match is a few hundred
+rows, so no partition is skewed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .tables import kept
+
 TEAM_1, TEAM_2 = "team-1", "team-2"
 ACT_STARTS = ["2024-01-01", "2024-01-15", "2024-01-29", "2024-02-12"]
 
@@ -30,12 +36,21 @@ class Arena:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        # Sides that are both dealt by match join on the match and more without being dealt again.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def by_match(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table as it was written, dealt by match."""
+        return kept(self.spark, self.dir, name, build).repartition("match_id")
+
     @cached_property
     def rounds(self) -> DataFrame:
+        return self.by_match("rounds", self._rounds)
+
+    def _rounds(self) -> DataFrame:
         key, cust = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
         c = cust % 10
         result = F.when(c < 5, "Elimination").when(c < 7, "Defuse").when(c == 7, "Detonate").when(c == 8, "Time").when(key % 26 >= 19, "Surrendered").otherwise("Elimination")
@@ -91,35 +106,44 @@ class Arena:
     @cached_property
     def kill_events(self) -> DataFrame:
         """The feed; seq numbers a round's rows by time and then id."""
+        return self.by_match("kill_events", self._kill_events)
+
+    def _kill_events(self) -> DataFrame:
         key, line = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long")
         m = div(key, 26)
         supp, part = F.col("l_suppkey").cast("long"), F.col("l_partkey").cast("long")
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        feed = self.raw("lineitem").select(
-            key.alias("round_id"),
-            m.alias("match_id"),
-            (key * 1000 + F.row_number().over(order)).alias("kill_id"),
-            F.when(supp % 19 != 18, 10 * m + supp % 10).alias("killer"),
-            (10 * m + part % 10).alias("victim"),
+        lines = self.raw("lineitem").select("*", key.alias("round_id"), m.alias("match_id")).repartition("match_id")
+        order = Window.partitionBy("match_id", "round_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        feed = lines.select(
+            "round_id",
+            "match_id",
+            (F.col("round_id") * 1000 + F.row_number().over(order)).alias("kill_id"),
+            F.when(supp % 19 != 18, 10 * F.col("match_id") + supp % 10).alias("killer"),
+            (10 * F.col("match_id") + part % 10).alias("victim"),
             F.when(supp % 10 == part % 10, "Environmental").when(line % 7 == 0, "Bomb").otherwise(F.concat(F.lit("W"), F.col("l_returnflag"))).alias("weapon"),
             (2 * F.col("l_quantity").cast("double") + line / F.lit(4.0)).alias("t"),
         )
-        return feed.withColumn("seq", F.row_number().over(Window.partitionBy("round_id").orderBy("t", "kill_id")).cast("long"))
+        return feed.withColumn("seq", F.row_number().over(Window.partitionBy("match_id", "round_id").orderBy("t", "kill_id")).cast("long"))
 
     @cached_property
     def stats(self) -> DataFrame:
         """A row for each round and player of its match; kills leave out self-kills."""
+        return self.by_match("stats", self._stats)
+
+    def _stats(self) -> DataFrame:
         grid = self.rounds.select("round_id", "match_id", "round_number", "mix").join(self.match_players.select("match_id", "match_player_id", "slot", "team"), "match_id")
+        who = lambda c, k, d: F.struct(F.col(c).alias("match_player_id"), k.alias("k"), d.alias("d"))
+        none = F.lit(None).cast("int")
+        both = F.explode(F.array(who("killer", F.when(F.col("killer") != F.col("victim"), 1), none), who("victim", none, F.lit(1)))).alias("p")
         deeds = (
-            self.kill_events.select(F.col("killer").alias("match_player_id"), "round_id", F.when(F.col("killer") != F.col("victim"), 1).alias("k"), F.lit(None).cast("int").alias("d"))
-            .unionAll(self.kill_events.select("victim", "round_id", F.lit(None).cast("int"), F.lit(1)))
-            .where("match_player_id is not null")
-            .groupBy("round_id", "match_player_id")
-            .agg(F.count("k").alias("kills"), F.count("d").alias("deaths"))
+            self.kill_events.select("match_id", "round_id", both)
+            .where("p.match_player_id is not null")
+            .groupBy("match_id", "round_id", "p.match_player_id")
+            .agg(F.count("p.k").alias("kills"), F.count("p.d").alias("deaths"))
         )
         r, s, mix = F.col("round_id"), F.col("slot"), F.col("mix")
         kills = F.coalesce("kills", F.lit(0)).cast("long")
-        return grid.join(deeds, ["round_id", "match_player_id"], "left").select(
+        return grid.join(deeds, ["match_id", "round_id", "match_player_id"], "left").select(
             "round_id",
             "match_id",
             "round_number",
