@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scoring import match_won, played, r6, rate, winner
+from ..functions.scoring import econ_tier, match_won, played, r6, rate, winner
 
 POOL_LEAST = 3
 BROADCAST_ACTS = 10_000
+#: Tiers of killer and victim that make a death an upset.
+UPSETS = [("ECO", "FORCE"), ("ECO", "FULL_BUY"), ("SAVE", "FORCE"), ("SAVE", "FULL_BUY")]
 ENTRY_SECONDS, LATE_SECONDS, MULTI_KILLS, SNIPER_LOADOUT = 20, 60, 3, 5100
 
 
@@ -144,7 +146,8 @@ def upset_deaths(feed: DataFrame, stats: DataFrame) -> DataFrame:
     load = stats.select("match_id", "round_id", "match_player_id", "loadout")
     rows = feed.where("killer <> victim").join(load.select("match_id", "round_id", F.col("match_player_id").alias("killer"), F.col("loadout").alias("k")), ["match_id", "round_id", "killer"])
     rows = rows.join(load.select("match_id", "round_id", F.col("match_player_id").alias("victim"), F.col("loadout").alias("v")), ["match_id", "round_id", "victim"])
-    return rows.where("k < 3250 and v >= 3250").groupBy(F.col("victim").alias("match_player_id")).agg(F.count("*").alias("n"))
+    pair = F.struct(econ_tier(F.col("k")).alias("k"), econ_tier(F.col("v")).alias("v"))
+    return rows.where(pair.isin(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in UPSETS])).groupBy(F.col("victim").alias("match_player_id")).agg(F.count("*").alias("n"))
 
 
 def spike_deaths(feed: DataFrame) -> DataFrame:
