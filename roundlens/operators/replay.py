@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import TEAM_1, TEAM_2, attacking_team, other_team, r6, rate, terminal_cause, winner
+from ..sources.tables import written
 from .impact import with_teams
 
 ROUND = ["match_id", "round_id"]
@@ -128,28 +129,47 @@ def canonical_reasons(feed: DataFrame, rounds: DataFrame, match_players: DataFra
     return rows.select(*ROUND, "round_number", reason.alias("reason"), cause.alias("cause"), terminal.alias("terminal"), winner(F.col("outcome")).alias("winner"), "planted", "plant_time")
 
 
+def _lives(rows: DataFrame) -> DataFrame:
+    """(match_id, round_id, seq, victim_gone, killer_gone, revived_gone): whether these players had fallen, and not come back, before the row.
+
+    What a player was last through is carried along that player's own rows of the round.
+    """
+    part = lambda c, kind, step: F.struct(F.col(c).alias("p"), F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+    each = rows.where("inside").select(*ROUND, "seq", F.explode(F.array(part("killer", "acts", 0), part("victim", "falls", 1), part("revived", "returns", 2))).alias("e")).where("e.p is not null")
+    prior = Window.partitionBy(*ROUND, "e.p").orderBy("seq", "e.step").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.last(F.when(F.col("e.kind") != "acts", F.col("e.kind")), ignorenulls=True).over(prior) == "falls", F.lit(False))
+    found = each.withColumn("gone", gone)
+    of = lambda kind: F.coalesce(F.bool_or(F.when(F.col("e.kind") == kind, F.col("gone"))), F.lit(False))
+    return found.groupBy(*ROUND, "seq").agg(of("falls").alias("victim_gone"), of("acts").alias("killer_gone"), of("returns").alias("revived_gone"))
+
+
 def canonical_replay(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(diagnostics, transitions).
 
     diagnostics: one row per round: reason (ambiguous_lifecycle among them; null if accepted), entries, duels, post_decision.
-    transitions: the accepted rounds' casualties up to the deciding one, with the state before each.
+    transitions: the accepted rounds' casualties and returns up to the deciding one, with the state before and after each.
+
+    A feed may have revived, a player of a row who comes back; such a row is no
+    casualty, whatever else it says. Players outside the match change no state.
     """
-    known = canonical_reasons(feed, rounds, match_players)
-    rows = with_teams(feed, match_players).join(known.where("reason is null"), ROUND)
-    inside = F.col("victim").isNotNull() & (F.col("terminal").isNull() | (F.col("t") < F.col("terminal")))
-    rows = rows.withColumn("inside", inside)
-    prior = Window.partitionBy(*ROUND, "victim").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("dead_before", F.coalesce(F.sum(F.when(F.col("inside"), 1).otherwise(0)).over(prior), F.lit(0)) > 0)
-    died = rows.where("inside").groupBy(*ROUND, F.col("victim").alias("killer")).agg(F.min("seq").alias("killer_died"))
-    rows = rows.join(died, [*ROUND, "killer"], "left")
+    known = canonical_reasons(feed if "revived" not in feed.columns else feed.where("revived is null"), rounds, match_players)
+    if "revived" not in feed.columns:
+        feed = feed.withColumn("revived", F.lit(None).cast("long"))
+    feed = feed.withColumn("victim", F.when(F.col("revived").isNull(), F.col("victim"))).withColumn("killer", F.when(F.col("revived").isNull(), F.col("killer")))
+    teams = match_players.select("match_id", F.col("match_player_id").alias("revived"), F.col("team").alias("revived_team"))
+    rows = with_teams(feed, match_players).join(teams, ["match_id", "revived"], "left").join(known.where("reason is null"), ROUND)
+    happens = F.col("victim").isNotNull() | F.col("revived_team").isNotNull()
+    rows = rows.withColumn("inside", happens & (F.col("terminal").isNull() | (F.col("t") < F.col("terminal"))))
+    rows = rows.join(_lives(rows), [*ROUND, "seq"], "left")
     for k, team in ((1, TEAM_1), (2, TEAM_2)):
-        out = F.col("inside") & ~F.col("dead_before") & (F.col("victim_team") == team)
-        rows = rows.withColumn(f"alive_{k}", 5 - _n(out, _BEFORE)).withColumn(f"left_{k}", 5 - _n(out, _UPTO))
-    wiped = (F.col("cause") == "ELIMINATION") & F.col("inside") & ((F.col("left_1") == 0) | (F.col("left_2") == 0))
+        falls = F.coalesce(F.col("inside") & ~F.col("victim_gone") & (F.col("victim_team") == team), F.lit(False))
+        returns = F.coalesce(F.col("inside") & F.col("revived_gone") & (F.col("revived_team") == team), F.lit(False))
+        rows = rows.withColumn(f"alive_{k}", 5 - _n(falls, _BEFORE) + _n(returns, _BEFORE)).withColumn(f"left_{k}", 5 - _n(falls, _UPTO) + _n(returns, _UPTO))
+    wiped = (F.col("cause") == "ELIMINATION") & F.col("inside") & F.col("victim").isNotNull() & ((F.col("left_1") == 0) | (F.col("left_2") == 0))
     rows = rows.withColumn("decided", F.min(F.when(wiped, F.col("seq"))).over(Window.partitionBy(*ROUND)))
     live = F.col("inside") & (F.col("decided").isNull() | (F.col("seq") <= F.col("decided")))
     rows = rows.withColumn("live", live)
-    wrong = F.col("live") & (F.col("dead_before") | ((F.col("killer") != F.col("victim")) & (F.col("killer_died") < F.col("seq"))))
+    wrong = F.col("live") & (F.col("victim_gone") | ((F.col("killer") != F.col("victim")) & F.col("killer_gone")))
     duel = F.col("live") & (F.col("killer_team") != F.col("victim_team"))
     late = (~F.col("live")) & (F.col("seq") > F.coalesce("decided", F.lit(0))) & (F.col("decided").isNotNull() | (F.col("t") >= F.col("terminal")))
     sums = rows.groupBy(*ROUND).agg(F.max(F.coalesce(wrong, F.lit(False))).alias("wrong"), F.count_if("live").alias("live"), F.count_if(duel).alias("duels"), F.count_if(late).alias("late"))
@@ -187,8 +207,7 @@ def player_fight_blocks(feed: DataFrame, rounds: DataFrame, match_players: DataF
     """
     diagnostics, moves = canonical_replay(feed, rounds, match_players)
     accepted = diagnostics.where("reason is null").select(*ROUND)
-    if feed.sparkSession.sparkContext.getCheckpointDir():  # the replay is used five times below
-        accepted, moves = accepted.checkpoint(), moves.checkpoint()
+    accepted, moves = written(accepted, "accepted"), written(moves, "moves")  # the replay is used five times below
     opening = rounds.join(accepted, ROUND, "left_semi").select(*ROUND, "round_number", winner(F.col("outcome")).alias("winner"), F.lit(5).cast("long").alias("s_1"), F.lit(5).cast("long").alias("s_2"))
     states = opening.unionByName(moves.select(*ROUND, "round_number", "winner", F.col("left_1").cast("long").alias("s_1"), F.col("left_2").cast("long").alias("s_2")))
 
@@ -215,6 +234,36 @@ def player_fight_blocks(feed: DataFrame, rounds: DataFrame, match_players: DataF
     return wins, pairs.groupBy("player_id", "match_id", "side", "own", "opp").agg(*sums)
 
 
+def fight_points(wins: DataFrame, duels: DataFrame) -> DataFrame:
+    """A row per player, pool of teammates, side and state: rates and numbers of duels, the win rates after a kill and a death, leverage, m and its state.
+
+    Of player_fight_blocks. m = (p_player - p_teammates) * (w_u - w_d). A side
+    without opponents has won when attacking, and one without players has lost
+    when defending; all other rates are counted. 2 pools x 2 sides x 25 states a player, so
+    the four views of a player are one table.
+    """
+    w = wins.groupBy("player_id", "side", "own", "opp").agg(F.sum("entries").alias("entries"), F.sum("wins").alias("wins")).select("player_id", "side", "own", "opp", rate(F.col("wins"), F.col("entries")).alias("w"))
+    counts = [f"{p}_{c}" for p in ("player", "tracked", "all") for c in ("kills", "deaths")]
+    d = duels.groupBy("player_id", "side", "own", "opp").agg(*[F.sum(c).alias(c) for c in counts])
+    five = F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))
+    cells = wins.select("player_id").distinct().withColumn("side", F.explode(F.array(F.lit("attack"), F.lit("defend")))).withColumn("own", F.explode(five)).withColumn("opp", F.explode(five))
+    up, down = w.select("player_id", "side", "own", (F.col("opp") + 1).alias("opp"), F.col("w").alias("up")), w.select("player_id", "side", (F.col("own") + 1).alias("own"), "opp", F.col("w").alias("down"))
+    key = ["player_id", "side", "own", "opp"]
+    cells = cells.join(up, key, "left").join(down, key, "left").join(d, key, "left").fillna(0, counts)
+    cells = cells.withColumn("w_u", F.when((F.col("side") == "attack") & (F.col("opp") == 1), 1.0).otherwise(F.col("up"))).withColumn("w_d", F.when((F.col("side") == "defend") & (F.col("own") == 1), 0.0).otherwise(F.col("down")))
+    pools = F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), F.col(f"{p}_kills").alias("k"), F.col(f"{p}_deaths").alias("d")) for p in ("tracked", "all")])).alias("t")
+    rows = cells.select("*", pools).withColumn("n_player", F.col("player_kills") + F.col("player_deaths")).withColumn("n_teammates", F.col("t.k") + F.col("t.d"))
+    rows = rows.withColumn("p_player", rate(F.col("player_kills"), F.col("n_player"))).withColumn("p_teammates", rate(F.col("t.k"), F.col("n_teammates")))
+    known = F.col("p_player").isNotNull() & F.col("p_teammates").isNotNull() & F.col("w_u").isNotNull() & F.col("w_d").isNotNull()
+    leverage = F.when(known, F.col("w_u") - F.col("w_d"))
+    m = F.when(leverage > 0, (F.col("p_player") - F.col("p_teammates")) * leverage)
+    state = F.when(~known, "NO_DATA").when(leverage <= 0, "NON_POSITIVE_LEVERAGE").otherwise("POSITIVE")
+    return rows.select(
+        "player_id", "t.pool", "side", "own", "opp", r6(F.col("p_player")).alias("p_player"), "n_player", r6(F.col("p_teammates")).alias("p_teammates"), "n_teammates",
+        r6(F.col("w_u")).alias("w_u"), r6(F.col("w_d")).alias("w_d"), r6(leverage).alias("leverage"), r6(m).alias("m"), state.alias("state"),
+    )
+
+
 def fight_leverage(blocks: DataFrame) -> DataFrame:
     """(side, own, opp, win_rate, kill_rate, leverage, status) over all 2 x 25 states; outside the grid a side without opponents has won and one without players has lost."""
     spark = blocks.sparkSession

@@ -133,7 +133,3 @@ def hazard(matches: DataFrame, match_players: DataFrame, acts: DataFrame) -> Dat
     before = F.max("mine").over(Window.partitionBy("player_id", "act_id", "offered").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     seen = seen.withColumn("gap", F.least(F.col("at") - before, F.lit(GAP_MOST)).cast("long")).where("gap is not null")
     return seen.groupBy("gap").agg(F.count("mine").alias("chosen"), F.count("*").alias("offered"))
-
-
-def propensity(matches: DataFrame) -> DataFrame:
-    return popularity(matches)

@@ -111,10 +111,15 @@ query(
 )(lambda a: statistics.bootstrap_rates(replay.fight_blocks(a.kill_events, a.rounds, a.match_players)))
 
 
+def tracked_roster(a):
+    """Players with a friendship, by either end."""
+    return a.friendships.select(F.explode(F.array("owner_id", "friend_id")).alias("player_id")).distinct()
+
+
 def _fight_ev(a):
-    """The tracked roster: players with a friendship, by either end."""
-    roster = a.friendships.select(F.explode(F.array("owner_id", "friend_id")).alias("player_id"))
-    return statistics.fight_ev(*replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, roster), a.match_players)
+    from .fights import blocks
+
+    return statistics.fight_ev(*blocks(a), a.match_players)
 
 
 query("j5_fight_ev")(_fight_ev)

@@ -44,7 +44,11 @@ class Arena:
 
     def by_match(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The table as it was written, dealt by match."""
-        return kept(self.spark, self.dir, name, build).repartition("match_id")
+        return self.kept(name, build).repartition("match_id")
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from this folder, as it was written."""
+        return kept(self.spark, self.dir, name, build)
 
     @cached_property
     def rounds(self) -> DataFrame:
