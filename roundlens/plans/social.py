@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scoring import r6
+from ..functions.scoring import played, r6
+from ..operators import economy, standing
+from ..operators import replay as R
 from ..operators import social as S
 from ..operators import summaries as P
 from ..operators.statistics import average_ranks
@@ -57,6 +59,51 @@ query(
     COUNTERS,
 )(lambda a: S.candidates(shout_values(a)).select("scope_id", "category", "player_id", "value", "rank"))
 query("k1_shoutouts")(lambda a: S.assign_shoutouts(S.candidates(shout_values(a))))
+
+
+def match_values(a):
+    """(scope_id, player_id, name, category, priority, value, matches, rounds): all categories of a match, from every operator that counts one."""
+    key = ["match_id", "match_player_id"]
+    seat = a.match_players.select(*key, "player_id")
+    per_player = lambda df: df.join(seat, ["match_player_id"] if "match_id" not in df.columns else key)
+    feed, rounds, stats = a.kill_events, a.rounds.where(played(F.col("outcome"))), a.stats
+    impact = scores(a)
+    parts = {
+        "entry_kill_counts": (P.feed_counters(feed, a.rounds), "entry_kills"), "post_plant_kill_counts": (P.feed_counters(feed, a.rounds), "post_plant_kills"), "late_kill_counts": (P.feed_counters(feed, a.rounds), "late_kills"),
+        "clutch_counts": (standing.clutch_resolvers(feed, rounds, a.match_players).groupBy(*key).agg(F.count("*").alias("n")), "n"),
+        "multi_kill_counts": (P.stat_counters(stats), "multi_kill_rounds"), "op_kill_counts": (P.stat_counters(stats), "sniper_kills"), "eco_kill_counts": (P.stat_counters(stats), "eco_kills"), "active_round_counts": (P.stat_counters(stats), "active_rounds"),
+        "max_streak": (R.kill_streaks(feed, a.rounds, a.match_players), "streak"),
+        "round_changer_kill_counts": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "outnumbered_kills"), "xvx_kill_counts": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "even_fight_kills"),
+        "kills_on_top_frag": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "kills_of_top"),
+        "sugar_daddy_credits": (economy.credits(stats, a.rounds, a.match_players).groupBy(*key).agg(F.sum("sugar").alias("n")), "n"), "scavenger_credits": (economy.credits(stats, a.rounds, a.match_players).groupBy(*key).agg(F.sum("scavenger").alias("n")), "n"),
+        "traded_teammate_totals": (impact.groupBy(*key).agg(F.sum("traded_teammate").alias("n")), "n"), "traded_by_teammate_totals": (impact.groupBy(*key).agg(F.sum("traded_by_teammate").alias("n")), "n"),
+        "mvp_counts": (P.round_mvps(impact, a.rounds), "mvps"),
+    }
+    rows = None
+    for i, (category, _, _) in enumerate(S.MATCH_CATEGORIES):
+        df, column = parts[category]
+        one = per_player(df).select("match_player_id", F.lit(category).alias("category"), F.lit(i).cast("long").alias("priority"), F.col(column).cast("long").alias("value"))
+        rows = one if rows is None else rows.unionAll(one)
+    n = stats.groupBy("match_player_id").agg(F.count("*").alias("rounds"))
+    rows = rows.join(a.match_players.select("match_player_id", "match_id", "player_id"), "match_player_id").join(n, "match_player_id").join(a.players, "player_id")
+    return rows.select(F.col("match_id").alias("scope_id"), "player_id", F.col("display_name").alias("name"), "category", "priority", "value", F.lit(1).alias("matches"), "rounds")
+
+
+def _told(a):
+    values = S.eligible_values(a.kept("shout_values", lambda: match_values(a)))
+    roster = a.match_players.select(F.col("match_id").alias("scope_id"), "player_id")
+    best = scores(a).groupBy("match_id", "match_player_id").agg(F.max("impact").alias("impact")).join(a.match_players.select("match_id", "match_player_id", "player_id"), ["match_id", "match_player_id"])
+    return S.told_shoutouts(roster, S.assign_shoutouts(S.candidates(values)), values, best.select(F.col("match_id").alias("scope_id"), "player_id", "impact"))
+
+
+CATALOGUE = ", ".join("('%s', %d, '%s', '%s')" % (c, i, h.replace("'", "''"), t.replace("'", "''")) for i, (c, h, t) in enumerate(S.MATCH_CATEGORIES))
+query("k2_catalogue", f"SELECT * FROM (VALUES {CATALOGUE}) t(category, priority, headline, template)")(lambda a: S.catalogue(a.spark))
+query(
+    "k3_eligible_values",
+    """SELECT s.match_id AS scope_id, p.player_id, 'op_kill_counts' AS category, sum(CASE WHEN loadout >= 5100 THEN kills ELSE 0 END)::BIGINT AS value FROM a_stats s JOIN (SELECT match_player_id, player_id FROM a_match_players) p USING (match_player_id)
+    GROUP BY ALL HAVING sum(CASE WHEN loadout >= 5100 THEN kills ELSE 0 END) >= 1""",
+)(lambda a: S.eligible_values(a.kept("shout_values", lambda: match_values(a))).where("category = 'op_kill_counts'").select("scope_id", "player_id", "category", "value"))
+query("k1_told_shoutouts")(_told)
 query("e8_average_ranks", "SELECT match_player_id, round(rank() OVER (PARTITION BY match_id ORDER BY score) + (count(*) OVER (PARTITION BY match_id, score) - 1) / 2, 6) AS score_rank FROM (SELECT match_id, match_player_id, sum(score) AS score FROM a_stats GROUP BY ALL)")(
     lambda a: average_ranks(a.stats.groupBy("match_id", "match_player_id").agg(F.sum("score").alias("score")), "match_id", "score", "score_rank").select("match_player_id", r6(F.col("score_rank")).alias("score_rank"))
 )
