@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .textkit import LOWER, NOT_SPACE, U, aliased, find_words, hash_spans, mix, slices, stage, text_column, tidy
+from .textkit import LOWER, NOT_SPACE, U, aliased, find_words, hash_spans, mix, parts, slices, stage, text_column, tidy
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
@@ -45,8 +45,8 @@ FREQUENT_MOST = 1 << 18
 STAR = 256
 LEAF = 16
 TILE = 1 << 16
-#: Groups of candidates with up to so many shingles (8 bytes each), documents and pairs are verified by one task each; larger ones by stars, and then pair by pair what these leave apart.
-GROUP_MOST, GROUP_DOCS, GROUP_PAIRS = 1_000_000, 2_000, 5_000
+#: A candidate's group is cut into parts of about so many shingles (8 bytes each) and documents, each verified by one task.
+GROUP_MOST, GROUP_DOCS = 1_000_000, 2_000
 #: Ids up to this number (8 bytes each) are broadcast to fetch texts again; beyond, the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 
@@ -375,24 +375,29 @@ def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame) -> DataFrame
         long = both.select("a", "b", "n_a", "f_a", "n_b", "f_b").mapInArrow(tidy(closer), "a long, b long")
         near = stage(near.where("not long").select("a", "b").unionAll(long), "near")
     near = near.select("a", "b")
-    groups = stage(connected_components(near), "groups")
-    crowded = near.join(groups.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.count("*").alias("pairs")).where(F.col("pairs") > GROUP_PAIRS).select("component", F.lit(True).alias("crowded"))
-    size = groups.join(profile.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg(((F.sum("n") > GROUP_MOST) | (F.count("*") > GROUP_DOCS)).alias("large"))
-    size = size.join(crowded, "component", "left").select("component", F.coalesce("crowded", "large").alias("large"))
-    placed = stage(groups.join(size, "component").select(F.col("id").alias("doc_id"), "component", "large"), "placed")
-    placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 4 else placed
-
-    def sets(batches):
-        for batch in batches:
-            held = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), held, batch.column(2), batch.column(3)], names=["doc_id", "shingles", "component", "large"])
+    # First each set with its smallest partner. A partner and its sets are a group, cut into parts that each hold the partner, so a set travels once or twice in all.
+    star = near.groupBy("b").agg(F.min("a").alias("a"))
+    size = star.join(profile.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.sum("n") / GROUP_MOST, F.count("*") / GROUP_DOCS)).cast("int").alias("parts"))
+    star = stage(star.join(size, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("g")), "stars")
+    places = star.select(F.col("b").alias("doc_id"), "g").unionAll(star.select("a", "g").distinct())
+    places = F.broadcast(places) if star.count() <= BROADCAST_IDS // 4 else places
+    first = stage(_linked_in_groups(star, docs.join(places, "doc_id").select("doc_id", "text", "g").mapInArrow(tidy(_sets), "doc_id long, shingles binary, g long")), "links")
+    # Then, pair by pair, what is still apart.
+    at = connected_components(first)
+    apart = near.join(at.toDF("a", "x"), "a", "left").join(at.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+    apart = stage(apart.join(star.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    if apart.isEmpty():
+        return first
+    needed = only(docs, apart.select(F.col("a").alias("doc_id")).unionAll(apart.select("b"))).withColumn("g", F.lit(0).cast("long"))
+    return first.unionAll(_linked_pairs(apart, needed.select("doc_id", "text", "g").mapInArrow(tidy(_sets), "doc_id long, shingles binary, g long").select("doc_id", "shingles")))
+
 
-    full = docs.join(placed, "doc_id").select("doc_id", "text", "component", "large").mapInArrow(tidy(sets), "doc_id long, shingles binary, component long, large boolean")
-    near = near.join(placed.withColumnRenamed("doc_id", "a"), "a")
-    found = _linked_in_groups(near.where("not large"), full.where("not large"))
-    if placed.where("large").isEmpty():
-        return found
-    return found.unionAll(_linked_in_large_groups(near.where("large").select("a", "b"), full.where("large").select("doc_id", "shingles"), profile)).distinct()
+def _sets(batches):
+    """(doc_id, shingles, g) of (doc_id, text, g) rows."""
+    for batch in batches:
+        for part in parts(batch):
+            held = pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), held, part.column(2)], names=["doc_id", "shingles", "g"])
 
 
 def linked_sets(s: np.ndarray, t: np.ndarray) -> bool:
@@ -403,7 +408,7 @@ def linked_sets(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Links that span the components of groups of at most GROUP_MOST shingles; a group's sets travel once, and its pairs are tried until they join nothing new."""
+    """Links that span the components within groups; a group's sets travel once, and its pairs (a, b, g) are tried until they join nothing new."""
 
     def run(batches):
         now, sets, parent = None, {}, {}
@@ -433,30 +438,10 @@ def _linked_in_groups(pairs: DataFrame, full: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     none = F.lit(None)
-    rows = full.select(F.col("component").alias("g"), F.col("doc_id").alias("a"), none.cast("long").alias("b"), "shingles").unionAll(pairs.select("component", "a", "b", none.cast("binary")))
+    rows = full.select("g", F.col("doc_id").alias("a"), none.cast("long").alias("b"), "shingles").unionAll(pairs.select("g", "a", "b", none.cast("binary")))
     return rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(tidy(run), "a long, b long")
 
 
-def _linked_in_large_groups(pairs: DataFrame, full: DataFrame, profile: DataFrame) -> DataFrame:
-    """The same for groups of any size: first each set with its smallest partner, then the pairs that are still apart.
-
-    A partner and its sets are a group of its own, cut into parts of about GROUP_MOST
-    shingles or GROUP_DOCS documents that each hold the partner, so a set travels once or twice in all.
-    """
-    star = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    parts = star.join(profile.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.sum("n") / max(GROUP_MOST, 1), F.count("*") / GROUP_DOCS)).cast("int").alias("parts"))
-    star = stage(star.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("component")), "stars")
-    places = star.select(F.col("b").alias("doc_id"), "component").unionAll(star.select("a", "component").distinct())
-    places = F.broadcast(places) if star.count() <= BROADCAST_IDS // 4 else places
-    first = stage(_linked_in_groups(star, full.join(places, "doc_id")), "links")
-    at = connected_components(first)
-    apart = pairs.join(at.toDF("a", "x"), "a", "left").join(at.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-    apart = stage(apart, "apart")
-    if apart.isEmpty():
-        return first
-    return first.unionAll(_linked_pairs(apart, only(full, apart.select(F.col("a").alias("doc_id")).unionAll(apart.select("b")))))
-
-
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` without those that ``ids`` (doc_id) can't need, if so few ids that they can be broadcast; else all."""
     return rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else rows

@@ -202,7 +202,7 @@ def family(rng, n):
     return out
 
 
-@pytest.mark.parametrize(("star", "most", "tile"), [(256, 8_000_000, 1 << 16), (10, 0, 16), (10, 8_000_000, 1 << 16)])
+@pytest.mark.parametrize(("star", "most", "tile"), [(256, 1_000_000, 1 << 16), (10, 300, 16), (10, 1_000_000, 1 << 16)])
 def test_jaccard_components(spark, monkeypatch, star, most, tile):
     for name, value in (("STAR", star), ("GROUP_MOST", most), ("TILE", tile), ("FREQUENT", 8)):
         monkeypatch.setattr(jaccard_join, name, value)
