@@ -131,3 +131,11 @@ query(
         FROM a_stats s JOIN a_stats o ON o.match_player_id = s.match_player_id AND o.match_id = s.match_id AND o.round_number = s.round_number - 1 JOIN i_sides x ON x.match_id = s.match_id AND x.team = s.team AND x.round_number = s.round_number - 1 WHERE s.round_number NOT IN (1, 13))""",
     IMPACT_SQL,
 )(lambda a: economy.credits(a.stats, a.rounds, a.match_players))
+query(
+    "c14_credits_by_agent",
+    """SELECT match_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - (1000 + u)) ELSE 0 END::BIGINT AS sugar, greatest(0, remaining + greatest(0, loadout - free) - cash - CASE WHEN od = 0 THEN greatest(0, ol - free) ELSE 0 END)::BIGINT AS scavenger FROM (
+        SELECT s.*, o.deaths AS od, o.loadout AS ol, o.remaining + 200 * o.kills + CASE WHEN x.winner = s.team THEN 3000 ELSE CASE x.losses WHEN 0 THEN 1900 WHEN 1 THEN 2400 ELSE 2900 END END
+            + CASE WHEN x.planted AND ((x.round_number <= 12 AND s.team = 'team-1') OR (x.round_number BETWEEN 13 AND 24 AND s.team = 'team-2')) THEN 300 ELSE 0 END AS cash
+        FROM (SELECT s.*, coalesce(g.utility, 650) AS u, coalesce(g.free, 0) AS free FROM a_stats s JOIN (SELECT match_player_id, agent_no FROM a_match_players) p USING (match_player_id) LEFT JOIN c_agents g USING (agent_no)) s JOIN a_stats o ON o.match_player_id = s.match_player_id AND o.match_id = s.match_id AND o.round_number = s.round_number - 1 JOIN i_sides x ON x.match_id = s.match_id AND x.team = s.team AND x.round_number = s.round_number - 1 WHERE s.round_number NOT IN (1, 13))""",
+    IMPACT_SQL + ", c_agents AS (SELECT a AS agent_no, 400 + 50 * (a % 7) AS utility, 100 * (a % 3) AS free FROM (SELECT unnest(range(0, 29)) AS a) WHERE a % 5 <> 4)",
+)(lambda a: economy.credits(a.stats, a.rounds, a.match_players, a.spark.range(29).where("id % 5 <> 4").select(F.col("id").alias("agent_no"), (400 + 50 * (F.col("id") % 7)).alias("utility"), (100 * (F.col("id") % 3)).alias("free"))))

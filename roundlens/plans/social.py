@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..functions.scoring import played, r6
 from ..operators import economy, standing
 from ..operators import replay as R
@@ -14,7 +15,7 @@ from ..operators.statistics import average_ranks
 from ..sources import ingest
 from ..streaming.live import windowed_counts
 from .base import query
-from .scoring import scores
+from .scoring import IMPACT_SQL, scores
 from .summaries import RESULT_SQL
 
 SHARED_SQL = RESULT_SQL + """, q_side AS (SELECT r.*, p.player_id FROM p_res r JOIN p_mp p USING (match_player_id)),
@@ -119,3 +120,21 @@ query("b6_name_lookup", "SELECT player_id, display_name FROM a_players WHERE spl
 query("e4_match_list", "SELECT match_id, external_id, map_name, played_at, row_number() OVER (ORDER BY played_at DESC NULLS LAST, match_id DESC) AS place FROM a_matches ORDER BY place LIMIT 50")(
     lambda a: a.matches.select("match_id", "external_id", "map_name", "played_at").orderBy(F.col("played_at").desc_nulls_last(), F.desc("match_id")).limit(50).withColumn("place", F.row_number().over(Window.orderBy(F.col("played_at").desc_nulls_last(), F.desc("match_id"))))
 )
+query("f20_labels", "SELECT player_id, split_part(display_name, '#', 1) AS name, lower(replace(display_name, '/', '')) AS slug, CASE WHEN player_id = 1 THEN '' ELSE 's' END AS ending, round_even(player_id * 7 % 101, 0)::INT || '%' AS share FROM a_players")(
+    lambda a: a.players.select("player_id", text.strip_tag(F.col("display_name")).alias("name"), text.slug(F.col("display_name")).alias("slug"), text.plural(F.col("player_id")).alias("ending"), text.percent(F.col("player_id") * 7 % 101 / 100).alias("share"))
+)
+query(
+    "a19_impact_snapshot",
+    "SELECT external_id AS match_external_id, round_number, round_id, i.match_player_id, display_name AS player_name, i.team, kill_impact, death_impact, impact FROM i_impact i JOIN (SELECT match_player_id, player_id FROM a_match_players) p USING (match_player_id) JOIN (SELECT match_id, external_id FROM a_matches) m USING (match_id) JOIN a_players USING (player_id)",
+    IMPACT_SQL,
+)(lambda a: ingest.impact_snapshot(scores(a), a.match_players, a.matches, a.players))
+query(
+    "a11_icons",
+    "SELECT icon_id, coalesce(arg_min(label, bit_count(xor(hash, h)) * 1000 + label[2:]::INT) FILTER (bit_count(xor(hash, h)) <= 5), 'BAD CLASSIFICATION!') AS label FROM k_icon, k_ref GROUP BY icon_id",
+    "k_icon AS (SELECT match_id AS icon_id, xor(match_id % 37 * 1000003, 1::BIGINT << (match_id % 17)::INT) AS hash FROM a_matches), k_ref AS (SELECT i * 1000003 AS h, 'R' || i AS label FROM (SELECT unnest(range(0, 30)) AS i))",
+)(lambda a: ingest.classify_icons(_icons(a), a.spark.range(30).select((F.col("id") * 1000003).alias("hash"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("label"))))
+
+
+def _icons(a):
+    m = F.col("match_id")
+    return a.matches.select(m.alias("icon_id"), (m % 37 * 1000003).bitwiseXOR(F.expr("shiftleft(1L, cast(match_id % 17 as int))")).alias("hash"))

@@ -37,7 +37,8 @@ def normalise(documents: DataFrame) -> dict[str, DataFrame]:
     kills = of("player-round-kills").select(
         "external_id", F.col(a + "round").alias("round_number"), F.col(a + "platformUserIdentifier").alias("killer"), F.col(a + "opponentPlatformUserIdentifier").alias("victim"), F.coalesce("s.weaponName", F.lit("Unknown")).alias("weapon"), (F.col("s.gameTime") / 1000).alias("t"),
     ).join(rounds.select("external_id", "round_number"), ["external_id", "round_number"], "left_semi")
-    matches = base.select("external_id", F.col("metadata.mapName").alias("map_name"), F.to_timestamp("metadata.dateStarted").alias("played_at"), F.col("metadata.modeName").alias("mode"))
+    won = of("team-summary").groupBy("external_id").agg(*[F.max(F.when(F.col(a + "teamId") == t, F.col("s.stats")["roundsWon"])).cast("long").alias(c) for t, c in (("Red", "team1_rounds_won"), ("Blue", "team2_rounds_won"))])
+    matches = base.join(won, "external_id", "left").select("team1_rounds_won", "team2_rounds_won", "external_id", F.col("metadata.mapName").alias("map_name"), F.to_timestamp("metadata.dateStarted").alias("played_at"), F.col("metadata.modeName").alias("mode"))
     return {"matches": matches, "match_players": players, "rounds": rounds, "round_player_stats": stats, "kill_events": kills}
 
 
@@ -50,6 +51,32 @@ def discover(history: DataFrame, known: DataFrame, mode: str = "Competitive") ->
     return history.where(F.col("mode") == mode).dropDuplicates(["external_id"]).join(known.select("external_id"), "external_id", "left_anti")
 
 
+def most_recent(history: DataFrame, n: int, mode: str = "Competitive") -> DataFrame:
+    """The ``n`` first documents of the mode in each player's history (player, place, external_id, mode), the most recent ones."""
+    w = Window.partitionBy("player").orderBy("place")
+    return history.where(F.col("mode") == mode).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def whole_history(history: DataFrame, acts: DataFrame, max_matches: int | None = None, max_acts: int | None = None, empty_acts: int = 3, mode: str = "Competitive") -> DataFrame:
+    """(player, place, external_id) of all acts from the latest back, each document once, in order.
+
+    ``history``: player, act_id, place, external_id, mode; ``acts``: act_id,
+    act_start. The acts after ``empty_acts`` in a row without a document that is
+    new are left out, as are those beyond ``max_acts``, and documents beyond ``max_matches``.
+    """
+    ranked = acts.select("act_id", F.row_number().over(Window.orderBy(F.desc("act_start"))).alias("act"))
+    ranked = F.broadcast(ranked if max_acts is None else ranked.where(F.col("act") <= max_acts))
+    once = Window.partitionBy("player", "external_id").orderBy("act", "place")
+    new = history.where(F.col("mode") == mode).join(ranked, "act_id").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+    counts = history.select("player").distinct().crossJoin(ranked.select("act")).join(new.groupBy("player", "act").agg(F.count("*").alias("n")), ["player", "act"], "left")
+    back = Window.partitionBy("player").orderBy("act").rowsBetween(Window.unboundedPreceding, 0)
+    streak = F.col("act") - F.coalesce(F.max(F.when(F.col("n") > 0, F.col("act"))).over(back), F.lit(0))
+    stop = counts.withColumn("streak", streak).where(F.col("streak") >= empty_acts).groupBy("player").agg(F.min("act").alias("stop"))
+    kept = new.join(stop, "player", "left").where("stop is null or act < stop")
+    rows = kept.select("player", F.row_number().over(Window.partitionBy("player").orderBy("act", "place")).alias("place"), "external_id")
+    return rows if max_matches is None else rows.where(F.col("place") <= max_matches)
+
+
 def with_new_keys(dimension: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """The dimension with a row for each new name, numbered on from the largest key. Names hash to partitions, so numbering is two small passes and no global sort."""
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(dimension.select(name), name, "left_anti").withColumn("_p", F.pmod(F.xxhash64(name), F.lit(64)))
@@ -81,6 +108,22 @@ def write_snapshot(df: DataFrame, path: str, kind: str = "json") -> None:
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+def impact_snapshot(impact: DataFrame, match_players: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
+    """The impact rows with the names of their match and player, for write_snapshot."""
+    rows = impact.join(match_players.select("match_id", "match_player_id", "player_id"), ["match_id", "match_player_id"]).join(matches.select("match_id", "external_id"), "match_id").join(players.select("player_id", "display_name"), "player_id")
+    return rows.select(F.col("external_id").alias("match_external_id"), "round_number", "round_id", "match_player_id", F.col("display_name").alias("player_name"), "team", "kill_impact", "death_impact", "impact")
+
+
+def read_impact_inserts(spark: SparkSession, path: str) -> DataFrame:
+    """(round_id, match_player_id, kill_impact, death_impact, impact, breakdown) of the INSERT lines of a database dump; all other lines are passed over."""
+    number = r"(-?[\d.]+)"
+    line = rf"^INSERT INTO public\.impact_scores \([^)]*\) VALUES \(\d+, (\d+), (\d+), {number}, {number}, {number}, '(.*)'\);\s*$"
+    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    part = lambda i: F.regexp_extract("value", line, i)
+    breakdown = F.from_json(F.replace(part(6), F.lit("''"), F.lit("'")), "map<string,string>")
+    return rows.select(*[part(i).cast("long").alias(c) for i, c in ((1, "round_id"), (2, "match_player_id"))], *[part(i).cast("double").alias(c) for i, c in ((3, "kill_impact"), (4, "death_impact"), (5, "impact"))], breakdown.alias("breakdown"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 64, **options: str) -> DataFrame:
     """A database table, read in ``parts`` ranges of ``key``."""
     reader = spark.read.format("jdbc").option("url", url.replace("postgres://", "postgresql://")).option("dbtable", table)
@@ -134,9 +177,13 @@ def parse_file_names(df: DataFrame, name: str = "file", year: int = 2024) -> Dat
 def classify_icons(icons: DataFrame, references: DataFrame, most: int = 5) -> DataFrame:
     """(icon_id, label): the reference whose 64-bit hash differs in the fewest bits, the first label of equals; BAD CLASSIFICATION! beyond ``most``.
 
-    References are few and broadcast once counted; distances are bit counts of the exclusive or.
+    Hashes that differ in at most ``most`` bits agree in one of ``most`` + 1 bands
+    of bits, so an equi-join on bands finds them all; no icon meets every reference.
     """
-    few = F.broadcast(references) if references.count() <= 10_000 else references
-    near = icons.crossJoin(few.select(F.col("hash").alias("h"), "label")).withColumn("d", F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))))
+    width = -(-64 // (most + 1))
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", k * width).bitwiseAND((1 << min(width, 64 - k * width)) - 1).alias("bits")) for k in range(most + 1)])).alias("b")
+    mine = icons.select("icon_id", "hash", bands).select("icon_id", "hash", "b.*")
+    known = references.select("hash", "label", bands).select(F.col("hash").alias("h"), "label", "b.*")
+    near = mine.join(known, ["band", "bits"]).withColumn("d", F.bit_count(F.col("hash").bitwiseXOR(F.col("h")))).where(F.col("d") <= most)
     best = near.groupBy("icon_id").agg(F.min(F.struct("d", "label")).alias("b"))
-    return best.select("icon_id", F.when(F.col("b.d") <= most, F.col("b.label")).otherwise("BAD CLASSIFICATION!").alias("label"))
+    return icons.select("icon_id").join(best, "icon_id", "left").select("icon_id", F.coalesce("b.label", F.lit("BAD CLASSIFICATION!")).alias("label"))

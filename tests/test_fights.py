@@ -154,3 +154,34 @@ def test_shoutouts_are_the_best_of_all_assignments(spark):
         mine = [r for r in found if r.scope_id == scope]
         assert len({r.player_id for r in mine}) == len({r.category for r in mine}) == len(mine)
         assert (-len(mine), sum(r["rank"] for r in mine), max((r["rank"] for r in mine), default=0)) == key
+
+
+def test_discovery_of_histories(spark):
+    from roundlens.sources import ingest
+
+    acts = spark.createDataFrame([(k, datetime.datetime(2024, k, 1)) for k in range(1, 8)], "act_id long, act_start timestamp_ntz")
+    rows = [(1, 7, 1, "a", "Competitive"), (1, 7, 2, "b", "Other"), (1, 6, 1, "a", "Competitive"), (1, 5, 1, "c", "Competitive"), (1, 1, 1, "z", "Competitive"), (2, 7, 1, "x", "Competitive"), (2, 7, 2, "y", "Competitive")]
+    history = spark.createDataFrame(rows, "player long, act_id long, place long, external_id string, mode string")
+    got = sorted(tuple(r) for r in ingest.whole_history(history, acts).collect())
+    assert got == [(1, 1, "a"), (1, 2, "c"), (2, 1, "x"), (2, 2, "y")]  # acts 4, 3 and 2 are empty: act 1 isn't looked at
+    assert ingest.whole_history(history, acts, max_matches=1).count() == 2 and ingest.whole_history(history, acts, max_acts=1).count() == 3
+    assert sorted(r.external_id for r in ingest.most_recent(history, 1).collect()) == ["a", "x"]
+
+
+def test_inserts_of_a_dump(spark, tmp_path):
+    from roundlens.sources import ingest
+
+    (tmp_path / "d.sql").write_text("-- x\nINSERT INTO public.impact_scores (id, round_id, match_player_id, kill_impact, death_impact, impact, breakdown) VALUES (1, 2, 3, 4.5, -1, 5.5, '{\"a\": 1, \"who''s\": 2}');\nINSERT INTO public.rounds VALUES (1);\n")
+    row = ingest.read_impact_inserts(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in row] == [(2, 3, 4.5, -1.0, 5.5, {"a": "1", "who's": "2"})]
+    new = spark.createDataFrame([({"a": "1", "b": "2"},)], "breakdown map<string,string>")
+    assert {r.part: r.state for r in validation.part_names(ingest.read_impact_inserts(spark, str(tmp_path)), new).collect()} == {"a": "kept", "who's": "retired", "b": "added"}
+
+
+def test_labels(spark):
+    from roundlens.functions import text
+
+    row = spark.sql("select 'A#1' n, 'KAY/O' a, timestamp_ntz'2025-10-18 04:08:00' t, cast(null as timestamp_ntz) z").select(
+        text.strip_tag(F.col("n")), text.slug(F.col("a")), text.match_label(F.lit("Haven"), F.lit("m1"), F.col("t")), text.match_label(F.lit(None).cast("string"), F.lit("m1"), F.col("z")), text.local_time(F.col("t"), "yyyy-MM-dd"), text.local_time(F.col("z"), "yyyy"), text.percent(F.lit(0.125))
+    ).first()
+    assert tuple(row) == ("A", "kayo", "Haven 10/17/25 9:08 PM", "m1", "2025-10-17", "", "12%")
