@@ -123,6 +123,16 @@ def give_back() -> None:
         trim(0)
 
 
+#: Arrow batches between Spark and Python, of whole rows, unless the application sets its own bound.
+BATCH_BYTES, BATCH_KEY = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch takes in the executor and in its Python worker alike."""
+    if not spark.sparkContext.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def tidy(run: Callable) -> Callable:
     """``run``, a function of a task's batches, giving its memory back when the task ends."""
 
@@ -144,6 +154,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: list[tuple[str, T.DataType]]) -> DataFrame:
     """Append columns that ``per_batch`` makes from each part of an Arrow batch; an input column of the same name is replaced."""
+    small_batches(df.sparkSession)
     names = {n.lower() for n, _ in added}
     kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
     schema = T.StructType([df.schema.fields[i] for i in kept] + [T.StructField(n, t) for n, t in added])
@@ -178,6 +189,7 @@ def scratch(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

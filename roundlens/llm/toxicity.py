@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import ALNUM, LOWER, U, aliased, find_words, hash_spans, map_rows, slices, text_column
+from .textkit import ALNUM, LOWER, U, aliased, find_words, give_back, hash_spans, map_rows, slices, text_column
 
 WINDOW, STEP = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -181,22 +181,18 @@ def _slice_of(texts: list[str]) -> Words:
 
 def first_picks(words: Words, at: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
     """A score of each window by the odds of its words and trigrams among toxic and clean texts."""
-    odds = []
-    owner = np.repeat(np.arange(len(words.by) - 1), np.diff(words.by))
-    tri_of = np.repeat(np.arange(len(words.word)), np.diff(words.tri_from))
-    pairs = np.unique(np.stack([owner, words.at], 1), axis=0)
-    for kind, size in ((words.word, 1 << WORD_BITS), (words.tri, 1 << CHAR_BITS)):
-        if kind is words.word:
-            seen = np.unique(pairs[:, 0] * size + words.word[pairs[:, 1]])
-        else:
-            length = np.diff(words.tri_from)[pairs[:, 1]]
-            where = np.repeat(words.tri_from[pairs[:, 1]] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            seen = np.unique(np.repeat(pairs[:, 0], length) * size + words.tri[where])
-        toxic = target[seen // size] > 0
-        count = [np.bincount((seen % size)[toxic == k], minlength=size) for k in (False, True)]
-        odds.append(np.log((count[1] + 0.5) / (target.sum() + 1)) - np.log((count[0] + 0.5) / ((1 - target).sum() + 1)))
-    by_word = np.maximum(odds[0][words.word] - 1.5, 0)
-    np.add.at(by_word, tri_of, np.maximum(odds[1][words.tri] - 1.5, 0))
+    count = {"word": np.zeros((2, 1 << WORD_BITS)), "tri": np.zeros((2, 1 << CHAR_BITS))}
+    size = np.diff(words.tri_from)
+    for k in range(len(words.by) - 1):  # text by text: all pairs of texts and trigrams at once would be ten times the sample
+        held = np.unique(words.at[words.by[k] : words.by[k + 1]])
+        where = np.repeat(words.tri_from[held] - np.cumsum(size[held]) + size[held], size[held]) + np.arange(size[held].sum())
+        toxic = int(target[k] > 0)
+        count["word"][toxic, np.unique(words.word[held])] += 1
+        count["tri"][toxic, np.unique(words.tri[where])] += 1
+    odds = {kind: np.log((c[1] + 0.5) / (target.sum() + 1)) - np.log((c[0] + 0.5) / ((1 - target).sum() + 1)) for kind, c in count.items()}
+    tri_of = np.repeat(np.arange(len(words.word)), size)
+    by_word = np.maximum(odds["word"][words.word] - 1.5, 0)
+    np.add.at(by_word, tri_of, np.maximum(odds["tri"][words.tri] - 1.5, 0))
     return np.where(at >= 0, np.append(by_word, 0)[at], 0).sum(1)
 
 
@@ -286,7 +282,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int =
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Train on the bounded sample of rows of ``labels`` (doc_id, toxic) that aren't held out."""
-    return train(*labelled_sample(docs, labels, "toxic"))
+    net = train(*labelled_sample(docs, labels, "toxic"))
+    give_back()
+    return net
 
 
 def with_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
