@@ -5,7 +5,8 @@ transform; its hash is the axis it lies closest to, with the sign. A table joins
 ``HASHES`` such hashes to a bucket within the vector's label, and besides the
 own bucket a vector enters those where the runner-up axis of one hash stands in
 (multiprobe). Pairs that share a bucket are verified by cosine in double
-precision. Exact copies are folded to one weighted representative first. Ids that
+precision. Exact copies, told by a digest of 128 bits, are folded to one weighted
+representative first, so vectors travel with their candidates only. Ids that
 come with several vectors can't be counted by weights: the links of vectors that
 they own are told one by one, and count each id once.
 
@@ -99,14 +100,14 @@ def _hashed(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = np.zeros((batch.num_rows, TABLES * (1 + PROBES)), np.int64)
-            dims = np.array([len(v) for v in batch.column(2)])
+            dims = np.array([len(v) for v in batch.column(4)])
             for dim in np.unique(dims):
                 where = np.flatnonzero(dims == dim)
-                at[where] = buckets(_unit(batch.column(2).take(pa.array(where))), batch.column(1).to_numpy()[where] * 1_000_003 + dim)
+                at[where] = buckets(_unit(batch.column(4).take(pa.array(where))), batch.column(1).to_numpy()[where] * 1_000_003 + dim)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), at.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "label", "vector", "first", "copies", "several", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "label", "h1", "h2", "vector", "first", "copies", "several", "buckets"])
 
-    return rows.mapInArrow(tidy(run), "rep long, label long, vector array<double>, first long, copies long, several boolean, buckets array<long>")
+    return rows.mapInArrow(tidy(run), "rep long, label long, h1 long, h2 long, vector array<double>, first long, copies long, several boolean, buckets array<long>")
 
 
 def _tile_pairs(rows: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
     size = each.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / TILE).cast("int").alias("t"))
     placed = each.join(size, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     placed = placed.select("rep", "bucket", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    return placed.join(rows, "rep")
+    return placed.join(rows.select("rep", "copies", "several", "vector", "buckets"), "rep")
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -214,25 +215,27 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     fits = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
     good = rows.where(fits).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    same = ["label", "h1", "h2"]
+    good = good.withColumn("h1", F.xxhash64(F.lit(1), "vector")).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
     repeated = stage(rows.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated")
     several = None
     if repeated.isEmpty():
         known = good.withColumn("several", F.lit(False))
     else:
-        distinct = good.dropDuplicates(["vec_id", "label", "vector"])
+        distinct = good.dropDuplicates(["vec_id", *same])
         several = stage(distinct.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("several")), "several")
         known = distinct.join(several, "vec_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-    reps = known.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count_if(~F.col("several")).alias("copies"), F.max("several").alias("several"))
-    reps = stage(_hashed(reps.select(F.monotonically_increasing_id().alias("rep"), "label", "vector", "first", "copies", "several")), "vectors")
+    reps = known.groupBy(*same).agg(F.first("vector").alias("vector"), F.min("vec_id").alias("first"), F.count_if(~F.col("several")).alias("copies"), F.max("several").alias("several"))
+    reps = stage(_hashed(reps.select(F.monotonically_increasing_id().alias("rep"), *same, "vector", "first", "copies", "several")), "vectors")
     found = stage(_links(_tile_pairs(reps)), "vector-links")
     names = reps.select("rep", "first")
     edges = found.where("a is not null").join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select("u", "v")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     # What a vector of one id links with: the ids of one vector by weight, and its own copies.
-    told = reps.select("label", "vector", "rep", "first", "copies").join(counts, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies"))
+    told = reps.select(*same, "rep", "first", "copies").join(counts, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies"))
     extra = None
     if several is not None and not several.isEmpty():
-        owned = known.where("several").join(reps.where("several").select("label", "vector", "rep", "first"), ["label", "vector"])
+        owned = known.where("several").join(reps.where("several").select(*same, "rep", "first"), same)
         owned = stage(owned.select("rep", "first", F.col("vec_id").alias("owner")), "owned")
         edges = edges.unionAll(owned.select("first", "owner"))
         pairs = found.where("x is not null").select("x", "y")
@@ -245,14 +248,14 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         extra = weights.join(others, "vec_id").select("vec_id", (F.col("n") + F.col("m")).alias("all"))
     labels = connected_components(edges, "u", "v")
     told = told.join(labels.withColumnRenamed("id", "first"), "first", "left")
-    told = told.select("label", "vector", (F.col("links") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
-    joined = good.join(told, ["label", "vector"]).select("vec_id", "n", "c")
+    told = told.select(*same, (F.col("links") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
+    joined = good.join(told, same).select("vec_id", "n", "c")
     alone = rows.where(~fits).select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))
     out = joined.unionAll(alone)
     if not repeated.isEmpty():
         # Rows of one id are one node, those that link with nothing too.
-        same = out.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("n").alias("n_"), F.min("c").alias("c_"))
-        out = out.join(same, "vec_id", "left").select("vec_id", F.coalesce("n_", "n").alias("n"), F.coalesce("c_", "c").alias("c"))
+        node = out.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("n").alias("n_"), F.min("c").alias("c_"))
+        out = out.join(node, "vec_id", "left").select("vec_id", F.coalesce("n_", "n").alias("n"), F.coalesce("c_", "c").alias("c"))
     if extra is not None:
         out = out.join(extra, "vec_id", "left").select("vec_id", F.coalesce("all", "n").alias("n"), "c")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", "vec_id").alias("c"))
