@@ -13,27 +13,42 @@ from roundlens.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network finds toxic go."""
+    """Documents that the network finds toxic go.
+
+    Null and empty texts score 0 and stay; long texts are scored to their end; repeated rows and equal scores are judged alike; an empty table stays empty; other columns pass.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality go; a document's site is its source, its path the language section there."""
+    """Documents of low quality go; a document's site is its source, its path the language section there.
+
+    Null sources and languages are a site and a path of their own; null and empty texts are judged by their path; repeated rows count each; an empty table stays empty; other columns pass.
+    """
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "source", "lang")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id.
+
+    Null doc_ids, and null and empty texts, stay; rows that repeat a doc_id stay or go together; an empty table stays empty; other columns pass.
+    """
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; long texts are searched to their end; repeated rows are judged alike; without items, or without documents, nothing changes; other columns pass.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of all documents that are left, checked by decoding them."""
+    """Piece ids of all documents that are left, checked by decoding them.
+
+    Null and empty texts have none and come back as empty; long texts are encoded whole; repeated rows are encoded each; an empty table stays empty; other columns aren't returned.
+    """
     return encode_pieces(docs).select("doc_id", "lang", "source", "n_tokens", "token_ids", "roundtrip")
 
 
