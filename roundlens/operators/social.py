@@ -106,8 +106,10 @@ def _best(rows: pd.DataFrame, players: list[int]) -> dict[int, tuple[str, int]]:
     states: dict[int, tuple[int, int, tuple]] = {0: (0, 0, ())}
     for (_, category), group in rows.sort_values(["priority", "category"], kind="stable").groupby(["priority", "category"], sort=False):
         offers = sorted(zip(group["rank"].tolist(), group["player_id"].tolist(), strict=True))
-        found = dict(states)
-        for mask, (total, worst, chosen) in states.items():
+        found: dict[int, tuple[int, int, tuple]] = {}
+        for mask, (total, worst, chosen) in states.items():  # the order of states settles ties: without the category first
+            if mask not in found or (total, worst) < found[mask][:2]:
+                found[mask] = (total, worst, chosen)
             for rank, player in offers:
                 bit = 1 << place[player]
                 if not mask & bit:

@@ -93,7 +93,14 @@ query(
 query("g5_canonical", "SELECT match_id, round_id, reason, CASE WHEN reason IS NULL THEN live + 1 END AS entries, CASE WHEN reason IS NULL THEN duels END AS duels, CASE WHEN reason IS NULL THEN late END AS post_decision FROM r_diag", REPLAY_SQL)(
     lambda a: R.canonical_replay(a.kill_events, a.rounds, a.match_players)[0]
 )
-query("j1_fight_blocks", "SELECT * FROM r_blocks", REPLAY_SQL)(lambda a: R.fight_blocks(a.kill_events, a.rounds, a.match_players))
+
+
+def fight_blocks(a):
+    """The blocks of all matches, written once: leverage and bootstrap read them too."""
+    return a.kept("fight_blocks", lambda: R.fight_blocks(a.kill_events, a.rounds, a.match_players))
+
+
+query("j1_fight_blocks", "SELECT * FROM r_blocks", REPLAY_SQL)(fight_blocks)
 query(
     "j4_fight_leverage",
     """SELECT side, own, opp, round(w, 6) AS win_rate, round(kills / nullif(kills + deaths, 0), 6) AS kill_rate, round(up - down, 6) AS leverage,
@@ -102,4 +109,4 @@ query(
     REPLAY_SQL
     + """, j_w AS (SELECT g.side, g.own, g.opp, sum(kills) AS kills, sum(deaths) AS deaths, CASE WHEN g.opp = 0 AND g.side = 'attack' THEN 1.0 WHEN g.own = 0 AND g.side = 'defend' THEN 0.0 ELSE sum(wins) / sum(entries) END AS w
     FROM (SELECT o.own, p.opp, side FROM (SELECT unnest(range(0, 6)) AS own) o, (SELECT unnest(range(0, 6)) AS opp) p, (VALUES ('attack'), ('defend')) s(side)) g LEFT JOIN r_blocks b ON b.side = g.side AND b.own = g.own AND b.opp = g.opp GROUP BY g.side, g.own, g.opp)""",
-)(lambda a: R.fight_leverage(R.fight_blocks(a.kill_events, a.rounds, a.match_players)))
+)(lambda a: R.fight_leverage(fight_blocks(a)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import economy, replay, statistics, summaries
+from ..operators import economy, statistics, summaries
 from ..operators import sessions as H
 from .base import query
-from .replay import REPLAY_SQL
+from .replay import REPLAY_SQL, fight_blocks
 from .scoring import IMPACT_SQL, scores
 from .summaries import ACT_SQL
 
@@ -108,7 +108,7 @@ query(
             FROM (SELECT unnest(range(0, 200)) AS draw), (SELECT n, unnest(range(0, n)) AS pos FROM (SELECT count(DISTINCT match_id) AS n FROM r_blocks))) GROUP BY ALL) c USING (place)
         GROUP BY draw, own, opp HAVING sum(k * (kills + deaths)) > 0) GROUP BY own, opp""",
     REPLAY_SQL,
-)(lambda a: statistics.bootstrap_rates(replay.fight_blocks(a.kill_events, a.rounds, a.match_players)))
+)(lambda a: statistics.bootstrap_rates(fight_blocks(a)))
 
 
 def tracked_roster(a):

@@ -185,3 +185,42 @@ def test_labels(spark):
         text.strip_tag(F.col("n")), text.slug(F.col("a")), text.match_label(F.lit("Haven"), F.lit("m1"), F.col("t")), text.match_label(F.lit(None).cast("string"), F.lit("m1"), F.col("z")), text.local_time(F.col("t"), "yyyy-MM-dd"), text.local_time(F.col("z"), "yyyy"), text.percent(F.lit(0.125))
     ).first()
     assert tuple(row) == ("A", "kayo", "Haven 10/17/25 9:08 PM", "m1", "2025-10-17", "", "12%")
+
+
+def test_bootstrap_of_fight_values_equals_a_plain_one(spark):
+    """Draw by draw with Python sums, from the same picks."""
+    import numpy as np
+
+    from roundlens.operators import statistics
+
+    rng = random.Random(8)
+    wins, duels = [], []
+    for m in range(9):
+        for own, opp in ((3, 2), (2, 3), (3, 3)):
+            n = rng.randint(0, 3)
+            wins.append((5, m, "attack", own, opp, n, rng.randint(0, n)))
+        duels.append((5, m, "attack", 3, 3, rng.randint(0, 2), rng.randint(0, 2), rng.randint(0, 2), rng.randint(0, 2), rng.randint(0, 3), rng.randint(0, 3)))
+    w, d = fights(spark, wins, duels)
+    seats = spark.createDataFrame([(5, m) for m in range(9)], "player_id long, match_id long")
+    draws, seed = 300, 2
+    got = {(r.pool, r.side, r.own, r.opp): r for r in statistics.fight_ev(w, d, seats, draws, seed).collect()}
+    points = {(r.pool, r.side, r.own, r.opp): r for r in replay.fight_points(w, d).collect()}
+    for key, r in got.items():
+        p = points[key]
+        assert (r.n_player, r.n_teammates) == (p.n_player, p.n_teammates)
+        for a, b in ((r.p_player, p.p_player), (r.p_teammates, p.p_teammates), (r.m, p.m), (r.leverage, p.leverage)):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
+    picks = np.random.default_rng([seed, 5]).integers(0, 9, size=(draws, 9))
+    total = lambda rows, own, opp, c, draw: sum(r[c] for m in draw for r in rows if r[1] == m and r[3:5] == (own, opp))
+    for pool, c in (("tracked", 7), ("all", 9)):
+        values = []
+        for draw in picks.tolist():
+            k, n, tk, tn = (total(duels, 3, 3, x, draw) for x in (5, 6, c, c + 1))
+            e1, w1, e2, w2 = total(wins, 3, 2, 5, draw), total(wins, 3, 2, 6, draw), total(wins, 2, 3, 5, draw), total(wins, 2, 3, 6, draw)
+            if k + n and tk + tn and e1 and e2 and w1 / e1 - w2 / e2 > 0:
+                values.append((k / (k + n) - tk / (tk + tn)) * (w1 / e1 - w2 / e2))
+        cell = got[pool, "attack", 3, 3]
+        if cell.leverage is not None and cell.leverage > 0:
+            assert cell.defined == len(values) / draws
+            low, high = np.percentile(values, [2.5, 97.5])
+            assert abs(cell.low - low) < 1e-9 and abs(cell.high - high) < 1e-9

@@ -40,3 +40,18 @@ def test_files_of_names(spark):
     fresh = spark.createDataFrame([("a", "y"), ("a", "w"), ("c", "v"), (None, "u")], "name string, file string")
     assert {r.name: r.files for r in R.files_of_names(known, fresh).collect()} == {"a": ["x", "y", "w"], "b": ["z"], "c": ["v"]}
     assert R.files_of_names(known, fresh.where(F.lit(False))).count() == 2
+
+
+def test_tables_of_a_database(spark):
+    """A table written to an embedded database and read again in ranges of its key."""
+    import pytest
+
+    from roundlens.sources import ingest
+
+    url = "jdbc:derby:memory:arena;create=true"
+    try:
+        spark.range(100).select((F.col("id") * 3).alias("ID"), F.col("id").cast("string").alias("NAME")).write.jdbc(url, "ARENA_SCORES", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    except Exception as error:
+        pytest.skip(f"no embedded database here: {error}")
+    got = ingest.read_jdbc(spark, url, "ARENA_SCORES", "ID", 0, 300, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted(r.ID for r in got.collect()) == [3 * i for i in range(100)]
