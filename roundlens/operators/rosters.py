@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scoring import TEAM_1, TEAM_2
+from ..functions.scoring import TEAM_1, TEAM_2, played, r6
 from .sessions import GAP_HOURS, OVERLAP
+from .summaries import with_result
 
 
 def friend_scopes(friendships: DataFrame) -> DataFrame:
@@ -74,3 +75,22 @@ def session_rosters(sides: DataFrame, matches: DataFrame, match_players: DataFra
 def session_of_match(sessions: DataFrame, match_id: int) -> DataFrame:
     """(scope_id, session) of a match in each scope: the way from a session of one scope to that of another."""
     return sessions.where(F.col("match_id") == match_id).select("scope_id", "session")
+
+
+def session_seats(sides: DataFrame, match_players: DataFrame) -> DataFrame:
+    """(scope_id, session, match_id, match_player_id, player_id) of everyone on our side, or on both where it isn't known."""
+    seats = sides.join(match_players.select("match_id", "match_player_id", "player_id", "team"), "match_id")
+    return seats.where("our_team is null or our_team = team").select("scope_id", "session", "match_id", "match_player_id", "player_id")
+
+
+def session_leaderboard(seats: DataFrame, impact: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Per scope, session and player over played rounds: rounds, mean impact, mean impact with won rounds' kills only, and rounds won."""
+    rows = with_result(impact, rounds).where(played(F.col("outcome"))).join(seats, ["match_id", "match_player_id"])
+    return rows.groupBy("scope_id", "session", "player_id").agg(F.count("*").alias("rounds"), r6(F.avg("impact")).alias("avg_impact"), r6(F.avg("win_impact")).alias("avg_win_impact"), F.count_if("won").alias("rounds_won"))
+
+
+def session_mvps(seats: DataFrame, impact: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(scope_id, session, player_id, mvps, best): played rounds in which a player was the best of the session's own, the lowest seat of equals."""
+    rows = impact.join(rounds.where(played(F.col("outcome"))).select("match_id", "round_id"), ["match_id", "round_id"]).join(seats, ["match_id", "match_player_id"])
+    top = rows.groupBy("scope_id", "session", "match_id", "round_id").agg(F.max_by(F.struct("player_id", "impact"), F.struct("impact", -F.col("match_player_id"))).alias("m"))
+    return top.groupBy("scope_id", "session", F.col("m.player_id").alias("player_id")).agg(F.count("*").alias("mvps"), F.max("m.impact").alias("best"))

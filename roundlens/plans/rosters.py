@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import rosters as O
 from ..operators import streaks, summaries
 from .base import query
+from .scoring import scores
 from .sessions import SESSION_SQL
-from .summaries import ACT_SQL
+from .summaries import ACT_SQL, RESULT_SQL
 
 SCOPE_SQL = (
     SESSION_SQL
@@ -67,3 +68,15 @@ def _session_of_last(a):
     """Where the last match of any scope is found in each scope."""
     found = O.scoped_sessions(a.matches, a.match_players, O.friend_scopes(a.friendships))
     return O.session_of_match(found, found.agg(F.max("match_id")).first()[0] or 0)
+
+
+SEAT_SQL = f"""{RESULT_SQL}, {SCOPE_SQL}, o_seat AS (SELECT s.scope_id, s.session, s.match_id, p.match_player_id, p.player_id FROM o_side s JOIN a_match_players p USING (match_id) WHERE our_team IS NULL OR our_team = p.team),
+o_res AS (SELECT o.scope_id, o.session, o.player_id, r.* FROM p_res r JOIN o_seat o ON o.match_player_id = r.match_player_id WHERE r.outcome IS NULL OR r.outcome NOT LIKE '%Surrendered Win')"""
+query("d14_session_leaderboard", "SELECT scope_id, session, player_id, count(*) AS rounds, round(avg(impact), 6) AS avg_impact, round(avg(win_impact), 6) AS avg_win_impact, count(*) FILTER (won) AS rounds_won FROM o_res GROUP BY ALL", SEAT_SQL)(
+    lambda a: O.session_leaderboard(O.session_seats(_sides(a), a.match_players), scores(a), a.rounds)
+)
+query(
+    "d20_session_mvps",
+    "SELECT scope_id, session, player_id, count(*) AS mvps, max(impact) AS best FROM (SELECT *, row_number() OVER (PARTITION BY scope_id, session, round_id ORDER BY impact DESC, match_player_id) AS k FROM o_res) WHERE k = 1 GROUP BY ALL",
+    SEAT_SQL,
+)(lambda a: O.session_mvps(O.session_seats(_sides(a), a.match_players), scores(a), a.rounds))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
+from .tables import written
+
 _ATTRIBUTES = "struct<platformUserIdentifier:string,teamId:string,round:bigint,opponentPlatformUserIdentifier:string>"
 _SEGMENT = f"struct<type:string,attributes:{_ATTRIBUTES},metadata:struct<agentName:string>,stats:map<string,double>,roundResult:string,winningTeam:string,weaponName:string,gameTime:bigint>"
 DOCUMENT = f"attributes struct<id:string>, metadata struct<mapName:string,dateStarted:string,modeName:string>, segments array<{_SEGMENT}>"
@@ -102,6 +105,30 @@ def insert_matches(table: DataFrame, fresh: DataFrame) -> DataFrame:
     return table.unionByName(fresh.join(table.select("external_id").distinct(), "external_id", "left_anti"))
 
 
+#: Matches of a partition of a table written by match.
+MATCHES_A_PART = 10_000
+
+
+def upsert_by_match(df: DataFrame, path: str) -> None:
+    """Put rows keyed by match_id into a Parquet table, partitioned by runs of matches: all rows that the table has of these matches are replaced.
+
+    Only partitions with such matches are read and overwritten, so an update costs
+    what its matches' partitions hold.
+    """
+    spark = df.sparkSession
+    part = F.expr(f"match_id div {MATCHES_A_PART}").alias("part")
+    fresh = df.select("*", part)
+    try:
+        held = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException:
+        held = None
+    if held is not None:
+        touched = fresh.select("part").distinct()
+        held = held.join(F.broadcast(touched), "part", "left_semi").join(df.select("match_id").distinct(), "match_id", "left_anti")
+        fresh = written(fresh.unionByName(held.select(*fresh.columns)), "upsert")
+    fresh.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str, kind: str = "json") -> None:
     """A table as JSON, CSV with a header, or Parquet, one file a partition."""
     writer = df.write.mode("overwrite")

@@ -55,3 +55,14 @@ def test_tables_of_a_database(spark):
         pytest.skip(f"no embedded database here: {error}")
     got = ingest.read_jdbc(spark, url, "ARENA_SCORES", "ID", 0, 300, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert got.rdd.getNumPartitions() == 4 and sorted(r.ID for r in got.collect()) == [3 * i for i in range(100)]
+
+
+def test_upsert_by_match(spark, tmp_path, monkeypatch):
+    from roundlens.sources import ingest
+
+    monkeypatch.setattr(ingest, "MATCHES_A_PART", 10)
+    path = str(tmp_path / "impact")
+    rows = lambda *x: spark.createDataFrame(list(x), "match_id long, impact long")
+    ingest.upsert_by_match(rows((1, 1), (1, 2), (2, 3), (15, 4)), path)
+    ingest.upsert_by_match(rows((1, 9), (25, 5)), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("match_id", "impact").collect()) == [(1, 9), (2, 3), (15, 4), (25, 5)]
