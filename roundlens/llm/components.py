@@ -6,13 +6,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import stage
+from .textkit import stage, tidy
 
 MAX_ROUNDS = 60
 #: Tables of a row per node up to so many (16 bytes each) are broadcast.
 BROADCAST_NODES = 500_000
 #: Nodes of so many edges are hot: of E edges at most 2 E / HOT nodes are, which are joined by broadcast, and so by no one task.
 HOT = 100_000
+#: Edges that a task contracts (16 bytes each); a table of no more is contracted by one task, and that settles it.
+EDGES_A_TASK = 200_000
 
 
 def _spanning(batches):
@@ -62,8 +64,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     nodes = stage(now, "edges")
-    now = nodes.mapInArrow(_spanning, "u long, v long")
-    seen, few = None, nodes.count() <= BROADCAST_NODES // 2
+    size = nodes.count()
+    tasks = -(-size // EDGES_A_TASK)
+    now = nodes.coalesce(max(1, tasks)).mapInArrow(tidy(_spanning), "u long, v long")
+    if tasks <= 1:
+        return _labels(now)
+    seen, few = None, size <= BROADCAST_NODES // 2
     for _ in range(MAX_ROUNDS):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
@@ -77,5 +83,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    roots = nodes.select(F.col("v").alias("id")).unionAll(nodes.select("u")).distinct()
-    return roots.join(now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return _labels(now)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """(id, component) of stars (member, smallest member): the members, and the middles themselves."""
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(stars.select("v", "v").distinct())

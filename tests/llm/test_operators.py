@@ -254,7 +254,10 @@ def test_count_tree_loses_nothing():
         assert set(tree.search(n[i], point[i])) == set(np.flatnonzero(ok))
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("edges_a_task", "broadcast", "hot"), [(200_000, 500_000, 100_000), (20, 500_000, 100_000), (20, 0, 3)])
+def test_components(spark, monkeypatch, edges_a_task, broadcast, hot):
+    for name, value in (("EDGES_A_TASK", edges_a_task), ("BROADCAST_NODES", broadcast), ("HOT", hot)):
+        monkeypatch.setattr(components, name, value)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges + [(None, 1), (7, 7)], "a long, b long")).collect()}
