@@ -8,7 +8,7 @@ from roundlens.llm.decontaminate import drop_contaminated
 from roundlens.llm.jaccard_join import drop_near_copies
 from roundlens.llm.piece_codec import encode_pieces
 from roundlens.llm.quality import drop_low_quality
-from roundlens.llm.textkit import stage
+from roundlens.llm.textkit import clear, stage, staged
 from roundlens.llm.toxicity import drop_toxic
 
 
@@ -59,8 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``."""
+    """All stages over the whole table ``documents``; what a stage wrote for itself goes once its result is written, and its input with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, step in STAGES:
+        first = len(staged)
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        done = staged[first:-1]
+        before = [*before, *done, staged[-1]]
+        clear(spark, before[:-1])
+        before = before[-1:]
     return docs

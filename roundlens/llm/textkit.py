@@ -186,12 +186,26 @@ def scratch(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Folders of staged tables that nobody has cleared yet, in order.
+staged: list[str] = []
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables whose readers are done."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in staged:
+            staged.remove(path)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
