@@ -29,10 +29,10 @@ from .textkit import map_rows, text_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of distinct words (some 30 bytes each, with their ids) and pairs of pieces (130 bytes each) that a task keeps; beyond, the memo starts anew.
-MEMO_CHARS = 1_000_000
+MEMO_CHARS = 1_500_000
 MEMO_PAIRS = 300_000
 #: Texts are encoded together up to so many characters.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 
 
 class PieceModel:
@@ -49,7 +49,8 @@ class PieceModel:
         special = {i for i in range(n) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)}
         self.ids = {sp.id_to_piece(i): i for i in range(n) if i not in special}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Every end of a piece, with its id if it is a piece itself and -1 otherwise.
+        self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.raw = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).encode() for i in range(n)]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
@@ -73,45 +74,60 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def number(self, piece: str) -> int:
-        """A number of the piece; what isn't in the vocabulary is a single character."""
-        got = self.ids.get(piece)
-        return len(self.raw) + ord(piece) if got is None else got
-
-    def holds(self, left: str, right: str) -> bool:
+    def holds(self, key: int, left: str, right: str) -> bool:
         """Whether BPE keeps the two pieces apart where they meet; with an empty one, whether it builds the other at all."""
-        key = (self.number(left) << 32) | (self.number(right) + 1 if right else 0)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > MEMO_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == ([left, right] if right else [left])
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        got = self.pairs[key] = self.merged(left + right) == ([left, right] if right else [left])
         return got
 
-    def extend(self, word: str, end: int, state: list) -> None:
-        """Append the forward state of word[:end]; ``state`` has those of the shorter prefixes."""
-        start = end - 1
-        piece = word[start]
-        fits = [(start, piece)]
+    def best_scored(self, word: str, end: int, state: list[tuple[float, str]]) -> tuple[float, str]:
+        """The forward state of word[:end] of a unigram model: the best total score, and its last piece."""
+        best, start, piece = None, end, ""
         while start:
             start -= 1
             piece = word[start:end]
-            if piece not in self.tails:
+            if piece not in self.tails and end - start > 1:
                 break
-            if piece in self.score:
-                fits.append((start, piece))
-        if self.unigram:
-            worth = [(state[at][0] + self.score.get(p, -1e6), p) for at, p in fits]
-            state.append(max(worth, key=lambda x: x[0]))
-            return
-        for at, p in reversed(fits):
-            before = state[at]
-            if before is None:
-                if len(p) == 1 or self.holds(p, ""):
+            if piece in self.score or end - start == 1:
+                worth = state[start][0] + self.score.get(piece, -1e6), piece
+                best = worth if best is None or worth[0] > best[0] else best
+        return best
+
+    def last_pieces(self, word: str, shared: int, pieces: list[str], numbers: list[int]) -> None:
+        """Append the forward states of word[:end] beyond ``shared`` of a BPE model: the one piece that each prefix ends with, and its number.
+
+        A piece is numbered by its id; what isn't in the vocabulary is a single character. The longest piece that holds is the one.
+        """
+        ids, pairs, tails, beyond = self.ids.get, self.pairs.get, self.tails.get, len(self.raw)
+        for end in range(shared + 1, len(word) + 1):
+            start = end - 1
+            piece = word[start]
+            number = ids(piece)
+            fits = [(start, piece, beyond + ord(piece) if number is None else number)]
+            while start:
+                start -= 1
+                piece = word[start:end]
+                number = tails(piece)
+                if number is None:
                     break
-            elif self.holds(before[1], p) and (len(p) == 1 or self.holds(p, "")):
-                break
-        state.append((0.0, p))
+                if number >= 0:
+                    fits.append((start, piece, number))
+            for at, piece, number in reversed(fits):
+                if at:
+                    key = (numbers[at] << 32) | (number + 1)
+                    ok = pairs(key)
+                    if ok is None:
+                        ok = self.holds(key, pieces[at], piece)
+                    if not ok:
+                        continue
+                if len(piece) == 1:
+                    break
+                ok = pairs(number << 32)
+                if self.holds(number << 32, piece, "") if ok is None else ok:
+                    break
+            pieces.append(piece)
+            numbers.append(number)
 
     def to_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -126,7 +142,8 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of sorted distinct words into the memo, prefixes shared."""
-        state: list = [(0.0, "") if self.unigram else None]
+        state: list[tuple[float, str]] = [(0.0, "")]
+        ends, numbers = [""], [-1]
         last = ""
         for word in words:
             if word in self.memo:
@@ -134,12 +151,17 @@ class PieceModel:
             shared, most = 0, min(len(last), len(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
-            del state[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                self.extend(word, end, state)
+            if self.unigram:
+                del state[shared + 1 :]
+                for end in range(shared + 1, len(word) + 1):
+                    state.append(self.best_scored(word, end, state))
+                ends = [piece for _, piece in state]
+            else:
+                del ends[shared + 1 :], numbers[shared + 1 :]
+                self.last_pieces(word, shared, ends, numbers)
             pieces, at = [], len(word)
             while at:
-                pieces.append(state[at][1])
+                pieces.append(ends[at])
                 at -= len(pieces[-1])
             self.memo[word] = tuple(self.to_ids(pieces[::-1]))
             self.memo_chars += len(word)

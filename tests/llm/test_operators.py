@@ -68,6 +68,26 @@ def test_pieces_equal_the_library_and_come_back(spark):
         assert row.roundtrip and row.decoded == (text or "").replace("▁", " ")
 
 
+def test_unigram_pass_equals_all_cuts():
+    """The best total score over every way to cut a word into pieces."""
+    model = object.__new__(piece_codec.PieceModel)
+    rng = random.Random(13)
+    model.unigram, model.memo, model.memo_chars, model.byte_ids, model.unknown = True, {}, 0, {}, 99
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)} | set("abc"))
+    model.ids = {p: i for i, p in enumerate(names)}
+    model.score = {p: -rng.uniform(1, 4) * len(p) ** 0.7 for p in names}
+    model.tails = {p[k:]: -1 for p in names for k in range(len(p))} | model.ids
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    model.encode_words(words)
+
+    def best(word):
+        return max((model.score[word[:k]] + (best(word[k:]) if k < len(word) else 0) for k in range(1, len(word) + 1) if word[:k] in model.score), default=-1e9)
+
+    for word in words:
+        assert "".join(names[i] for i in model.memo[word]) == word
+        assert abs(sum(model.score[names[i]] for i in model.memo[word]) - best(word)) < 1e-9
+
+
 def test_html_extraction(spark):
     frame = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav>{}<footer>&copy; 1</footer></body></html>'
     article = '<article><h1>One &amp; two</h1><p>a\n  b<br>c<p>d<div class="comments"><p>no</p></div><script>x="</p>"</script><form>no</form></article>'
