@@ -15,6 +15,7 @@ the word, and a sequence is the BPE encoding just when each adjacent pair is.
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from itertools import chain
@@ -30,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of distinct words (some 30 bytes each, with their ids) and pairs of pieces (130 bytes each) that a task keeps; beyond, the memo starts anew.
 MEMO_CHARS = 1_500_000
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 500_000
 #: Texts are encoded together up to so many characters.
 BATCH_CHARS = 2_000_000
 
@@ -174,9 +175,15 @@ class PieceModel:
         """Ids of each text."""
         if self.memo_chars > MEMO_CHARS:
             self.memo, self.memo_chars = {}, 0
-        cut = [self.cut(t) for t in texts]
-        self.encode_words(sorted({w for words in cut for w in words} - self.memo.keys()))
-        return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is part of a cycle, and looking for some would cross the memo again and again
+        try:
+            cut = [self.cut(t) for t in texts]
+            self.encode_words(sorted({w for words in cut for w in words} - self.memo.keys()))
+            return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD, the blank put in front goes."""
