@@ -33,7 +33,7 @@ MARK = "▁"
 MEMO_CHARS = 1_500_000
 MEMO_PAIRS = 500_000
 #: Texts are encoded together up to so many characters.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 
 
 class PieceModel:
