@@ -9,9 +9,12 @@ from . import quality, toxicity
 from .chat_format import format_conversations
 from .decontaminate import benchmark_matches
 from .embed_dedup import near_vectors
+from .hard_negatives import hard_negatives
 from .html_template import extract_main_text
 from .jaccard_join import jaccard_components
+from .periodic_runs import periodic_runs
 from .piece_codec import encode_pieces
+from .substring_dedup import mark_repeats
 from .textkit import stage
 from .token_counts import token_counts
 from .url_filter import judge_urls
@@ -85,9 +88,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.is_held_out().alias("held_out"), "evidence", "site_prior", "path_prior", F.col("quality").alias("score"), (F.col("quality") >= quality.KEEP_AT).cast("int").alias("predicted"))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where a tenth of the documents, by hash, repeat a passage from some word on to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))))
+    n, g = F.size("w").cast("long"), F.expr("h div 10")
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.when(n > 0, 1 + F.expr("(size(w) - a) div (3 + (h div 10) % 8)")))
+    planted = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, element_at(w, cast(a + (i - a) % p + 1 as int)))), ' ')")
+    return docs.select("doc_id", F.when(F.col("p").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document: their number, the longest one, and digests of all of them and of the text without the repetitions."""
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    best = F.expr("element_at(array_sort(runs, (x, y) -> case when x.length <> y.length then cast(sign(y.length - x.length) as int) when x.start <> y.start then cast(sign(x.start - y.start) as int) else cast(sign(x.period - y.period) as int) end), 1)")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed as repeats of earlier passages, and a digest of the others."""
+    marked = mark_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    return marked.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector against all vectors, some labels being wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_html_extraction, op3_chat_format, op4_decontaminate, op5_embedding_dedup, op6_sentencepiece, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_quality)
+    for f in (op1_token_counts, op2_html_extraction, op3_chat_format, op4_decontaminate, op5_embedding_dedup, op6_sentencepiece, op7_url_filter, op8_jaccard_join, op9_toxicity, op10_quality, op11_periodic_runs, op12_substring_dedup, op13_hard_negatives)
 }
 
 ORACLE: dict[str, str] = {
@@ -142,4 +183,47 @@ ORACLE: dict[str, str] = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id
         FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = w.doc_id""",
+    "op11_periodic_runs": r"""
+        WITH h AS (  -- CRC-32 bit by bit over the digits
+            SELECT *, xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h,
+                regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT *, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM h
+        ), d AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE w[a + (i - 1 - a) % p + 1] END) ELSE w END AS w FROM p
+        ), u AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+        e AS (SELECT a.doc_id, b.i - a.i AS q, a.i AS i FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 4),
+        g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+        r AS MATERIALIZED (
+            SELECT doc_id, s, e, min(q) AS q FROM (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e FROM g GROUP BY doc_id, q, k) WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e
+        ), t AS (
+            SELECT doc_id, count(*) AS n, max({'n': e - s, 's': -s, 'q': -q}) AS best, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS l FROM r GROUP BY doc_id
+        ), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r),
+        kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS l FROM u ANTI JOIN gone g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY u.doc_id)
+        SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_runs, -best.s AS start, best.n AS length, -best.q AS period, 1000 * best.n // -best.q AS exponent_milli,
+            sha256(coalesce(t.l, '')) AS runs_sha256, sha256(coalesce(kept.l, '')) AS collapsed_sha256
+        FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d)),
+        f AS (SELECT k, min({'d': doc_id, 'i': i}) AS f FROM s GROUP BY k HAVING count(*) > 1),
+        gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM s JOIN f USING (k) WHERE f.d < doc_id OR f.d = doc_id AND f.i < i),
+        u AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+        kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS l FROM u ANTI JOIN gone g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY u.doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(l, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b AS p, p.s AS ps, s.b, s.s FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s
+        )
+        SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b))::INT AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+        FROM n QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 3""",
 }
