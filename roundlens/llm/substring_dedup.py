@@ -204,8 +204,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 #: What passes one and three tell: spans with their digests, which are to be compared; or, without digests, spans that are known to be repeats.
 SPANS = "row long, doc_id long, start int, stop int, k1 long, k2 long"
-#: Pass two: an anchor (n: how often the part has it) with its only place there; or, without k1, places of an anchor that occurs twice.
-ANCHORS = "row long, start int, stop int, k1 long, k2 long, n int"
+#: Pass two: an anchor that the part has once, and where; or, without row, one that it has more often; or, without once, where such a one is.
+ANCHORS = "row long, anchor long, once boolean"
 
 
 def _emit(ddl: str, columns: list[np.ndarray], known: np.ndarray | None = None) -> pa.RecordBatch:
@@ -242,37 +242,41 @@ def _long(part: Part, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return _emit(SPANS, [rows[doc], ids[doc], start - at, end - at, _signed(name), _signed(digest)], ~first)
 
 
+def _anchor_keys(part: Part, windows: np.ndarray) -> np.ndarray:
+    lo, hi = anchors(part.words, part.doc, part.offsets, windows)
+    return _signed(Digests(part.words, 1).of(lo, hi))
+
+
 def _anchored(part: Part, rows: np.ndarray, ids: np.ndarray, removed: list) -> pa.RecordBatch:
-    lo, hi = anchors(part.words, part.doc, part.offsets, part.windows(removed))
-    place = np.unique(lo * (len(part.words) + 1) + hi)
+    windows = part.windows(removed)
+    lo, hi = anchors(part.words, part.doc, part.offsets, windows)
+    new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.empty(0, np.int64)
+    place = np.unique(lo[new] * (len(part.words) + 1) + hi[new])
     lo, hi = place // (len(part.words) + 1), place % (len(part.words) + 1)
-    k1, k2 = Digests(part.words, 1).of(lo, hi), Digests(part.words, 2).of(lo, hi)
-    order = np.lexsort((k1, k2))
-    again = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
-    first, last = np.r_[True, ~again], np.r_[~again, True]
-    lo, hi, k1, k2 = lo[order], hi[order], k1[order], k2[order]
-    if not len(lo):
-        first = last = np.zeros(0, bool)
-    doc = part.doc[lo]
-    at = part.offsets[doc]
-    once = first & last
-    # One row tells that an anchor recurs here, and each of its places is known to matter.
-    tell = np.flatnonzero(first & ~last)
-    spread = np.flatnonzero(~once)
-    i = np.r_[np.flatnonzero(once), tell, spread]
-    n = np.r_[np.ones(once.sum()), np.full(len(tell), 2), np.full(len(spread), 2)]
-    return _emit(ANCHORS, [rows[doc[i]], lo[i] - at[i], hi[i] - at[i], _signed(k1[i]), _signed(k2[i]), n], np.arange(len(i)) >= once.sum() + len(tell))
+    key, row = _signed(Digests(part.words, 1).of(lo, hi)), rows[part.doc[lo]]
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    again = key[1:] == key[:-1]
+    first, last = np.ones(len(key), bool), np.ones(len(key), bool)
+    first[1:], last[:-1] = ~again, ~again
+    once, tell, spread = np.flatnonzero(first & last), np.flatnonzero(first & ~last), np.flatnonzero(~(first & last) & (first | np.r_[True, row[1:] != row[:-1]][: len(key)]))
+    i = np.r_[once, tell, spread]
+    told = np.repeat([0, 1, 2], [len(once), len(tell), len(spread)])
+    return pa.RecordBatch.from_arrays([pa.array(row[i], mask=told == 1), pa.array(key[i]), pa.array(told == 0, mask=told == 2)], names=["row", "anchor", "once"])
 
 
 def _verified(part: Part, rows: np.ndarray, ids: np.ndarray, removed: list, places: list) -> pa.RecordBatch:
     windows = part.windows(removed)
-    lo, hi = anchors(part.words, part.doc, part.offsets, windows)
-    wide = len(part.words) + 1
-    told = [np.frombuffer(places[part.first + i], np.int32).reshape(-1, 2) + part.offsets[i] for i in range(part.n) if places[part.first + i] is not None]
-    told = np.concatenate(told).astype(np.int64) if told else np.empty((0, 2), np.int64)
-    at = windows[np.isin(lo * wide + hi, told[:, 0] * wide + told[:, 1])]
+    doc = part.doc[windows]
+    told = [np.frombuffer(p, np.int64) if p is not None else np.empty(0, np.int64) for p in places[part.first : part.first + part.n]]
+    some = np.array([len(t) > 0 for t in told])[doc]
+    windows, doc = windows[some], doc[some]
+    key = _anchor_keys(part, windows)
+    # Whether a window's document has its anchor among those that occur twice.
+    wanted = mix(np.concatenate(told).view(U) ^ mix(np.repeat(np.arange(part.n), [len(t) for t in told]).astype(U)))
+    ok = np.isin(mix(key.view(U) ^ mix(doc.astype(U))), wanted)
+    at, doc = windows[ok], doc[ok]
     k1, k2 = Digests(part.words, 1).of(at, at + WINDOW), Digests(part.words, 2).of(at, at + WINDOW)
-    doc = part.doc[at]
     start = at - part.offsets[doc]
     return _emit(SPANS, [rows[doc], ids[doc], start, start + WINDOW, _signed(k1), _signed(k2)], ~_firsts([k1, k2], ids[doc], start))
 
@@ -285,50 +289,44 @@ def _later(spans: DataFrame) -> DataFrame:
 
 
 def _twice(found: DataFrame) -> DataFrame:
-    """(row, start, stop) of the anchors that occur twice or more."""
-    total = F.sum("n").over(Window.partitionBy("k1", "k2"))
-    compared = found.where("k1 is not null").withColumn("total", total).where("total > 1 and n = 1")
-    return found.where("k1 is null").select("row", "start", "stop").unionAll(compared.select("row", "start", "stop"))
+    """(row, anchor) of the anchors that occur twice or more."""
+    total = F.sum(F.when(F.col("row").isNull(), 2).otherwise(1)).over(Window.partitionBy("anchor"))
+    compared = found.where("once is not null").withColumn("total", total).where("total > 1 and row is not null")
+    return found.where("once is null").select("row", "anchor").unionAll(compared.select("row", "anchor"))
 
 
-def _packed(spans: DataFrame, n: int, name: str, merge: bool) -> DataFrame:
-    """(row, name): each row's spans as pairs of 32-bit numbers, sorted; ``merge`` joins those that overlap by a window's length less one, or touch windows in a row.
+def _merge(spans: np.ndarray) -> np.ndarray:
+    """Spans by their start; those that overlap by a window's length less one, so that no window lies between them, are one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    reach = np.maximum.accumulate(spans[:, 1])
+    cut = np.flatnonzero(np.r_[True, spans[1:, 0] + WINDOW > reach[:-1] + 1])
+    return np.stack([spans[cut, 0], reach[np.r_[cut[1:], len(spans)] - 1]], 1)
 
-    Dealt into ``n`` partitions by row, as the documents are.
-    """
 
-    @tidy
-    def run(batches):
-        held_row, held = None, []
+def _packed(found: DataFrame, n: int, name: str, pack: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(row, name): what ``pack`` makes of the other columns of each row's entries, as bytes; dealt by row, as the documents are."""
 
-        def pack():
-            s = np.concatenate(held)
-            s = s[np.lexsort((s[:, 1], s[:, 0]))]
-            if merge:  # windows [i, i+w) and [i+1, i+1+w) leave no window between them
-                reach = np.maximum.accumulate(s[:, 1])
-                cut = np.flatnonzero(np.r_[True, s[1:, 0] + WINDOW > reach[:-1] + 1])
-                s = np.stack([s[cut, 0], reach[np.r_[cut[1:], len(s)] - 1]], 1)
-            return held_row, s.astype(np.int32).tobytes()
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["row", name])
 
+    @tidy
+    def run(batches):
+        now, held = None, []
         for batch in batches:
-            row, pair = batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2)], 1)
-            out = []
+            row, entries = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
             cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+            out = []
             for lo, hi in zip(cut, [*cut[1:], len(row)], strict=True):
-                if row[lo] != held_row:
+                if row[lo] != now:
                     if held:
-                        out.append(pack())
-                    held_row, held = row[lo], []
-                held.append(pair[lo:hi])
-            yield _pairs(out)
+                        out.append((now, pack(np.concatenate(held)).tobytes()))
+                    now, held = row[lo], []
+                held.append(entries[lo:hi])
+            yield table(out)
         if held:
-            yield _pairs([pack()])
-
-    def _pairs(out):
-        return pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["row", name])
+            yield table([(now, pack(np.concatenate(held)).tobytes())])
 
-    dealt = spans.repartition(n, "row").sortWithinPartitions("row")
-    return stage(dealt.mapInArrow(run, f"row long, {name} binary"), name)
+    return stage(found.repartition(n, "row").sortWithinPartitions("row").mapInArrow(run, f"row long, {name} binary"), name)
 
 
 def _bucketed(spark: SparkSession, df: DataFrame, n: int) -> str:
@@ -371,11 +369,11 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return out
 
     first = stage(_later(stage(_walk(table.select(*read), SPANS, _long), "long-spans")), "long-repeats")
-    removed = _packed(first, n, "removed_", True)
+    removed = _packed(first, n, "removed_", _merge)
     found = stage(_walk(beside(removed), ANCHORS, _anchored), "anchors")
-    places = _packed(_twice(found), n, "places_", False)
+    places = _packed(_twice(found), n, "places_", np.unique)
     second = _later(stage(_walk(beside(removed, places), SPANS, _verified), "windows"))
-    removed = _packed(first.unionAll(second), n, "removed_", True)
+    removed = _packed(first.unionAll(second), n, "removed_", _merge)
     joined = table.join(removed.repartition(n, "row").hint("merge"), "row", "left").select(*rows.columns, "removed_")
     width = len(rows.columns)
     at = [joined.columns.index(names[text]), width]
