@@ -40,6 +40,8 @@ from .textkit import NOT_SPACE, U, aliased, find_words, hash_spans, mix, parts,
 WINDOW = 20
 #: Rounds behind the symbols of long repeats, and at most those behind anchors: pieces of some sixty and of two words.
 HIGH, LOW = 14, 2
+#: Bytes of an Arrow batch; each pass holds one of texts and one of what it found.
+BATCH = 4 << 20
 
 A, B, C, D = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _power, _inverse = np.ones(1, U), np.ones(1, U)
@@ -326,7 +328,7 @@ def _packed(found: DataFrame, n: int, name: str, pack: Callable[[np.ndarray], np
         if held:
             yield table([(now, pack(np.concatenate(held)).tobytes())])
 
-    return stage(found.repartition(n, "row").sortWithinPartitions("row").mapInArrow(run, f"row long, {name} binary"), name)
+    return stage(found.repartition(n, "row").sortWithinPartitions("row").mapInArrow(run, f"row long, {name} binary"), name, BATCH)
 
 
 def _bucketed(spark: SparkSession, df: DataFrame, n: int) -> str:
@@ -352,7 +354,7 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The documents stay in the shared folder, in a table dealt by row, until it is cleared.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     added = ("n_words", "removed", "kept_text")
     docs = text_column(docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (doc_id, text)]), text)
     rows, names = aliased(docs)
@@ -365,16 +367,16 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def beside(*lists: DataFrame) -> DataFrame:
         out = table.select(*read)
         for found in lists:
-            out = out.join(found.repartition(n, "row").hint("merge"), "row", "left")
+            out = out.join(found.repartition(n, "row").hint("shuffle_hash"), "row", "left")
         return out
 
-    first = stage(_later(stage(_walk(table.select(*read), SPANS, _long), "long-spans")), "long-repeats")
+    first = stage(_later(stage(_walk(table.select(*read), SPANS, _long), "long-spans", BATCH)), "long-repeats", BATCH)
     removed = _packed(first, n, "removed_", _merge)
-    found = stage(_walk(beside(removed), ANCHORS, _anchored), "anchors")
+    found = stage(_walk(beside(removed), ANCHORS, _anchored), "anchors", BATCH)
     places = _packed(_twice(found), n, "places_", np.unique)
-    second = _later(stage(_walk(beside(removed, places), SPANS, _verified), "windows"))
+    second = _later(stage(_walk(beside(removed, places), SPANS, _verified), "windows", BATCH))
     removed = _packed(first.unionAll(second), n, "removed_", _merge)
-    joined = table.join(removed.repartition(n, "row").hint("merge"), "row", "left").select(*rows.columns, "removed_")
+    joined = table.join(removed.repartition(n, "row").hint("shuffle_hash"), "row", "left").select(*rows.columns, "removed_")
     width = len(rows.columns)
     at = [joined.columns.index(names[text]), width]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("stop", T.IntegerType(), False)]), False)

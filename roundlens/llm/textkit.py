@@ -127,10 +127,10 @@ def give_back() -> None:
 BATCH_BYTES, BATCH_KEY = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound what a batch takes in the executor and in its Python worker alike."""
     if not spark.sparkContext.getConf().contains(BATCH_KEY):
-        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+        spark.conf.set(BATCH_KEY, str(size))
 
 
 def tidy(run: Callable) -> Callable:
@@ -199,10 +199,10 @@ def clear(spark: SparkSession, paths: list[str]) -> None:
             staged.remove(path)
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, batch: int = BATCH_BYTES) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, batch)
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     staged.append(path)
