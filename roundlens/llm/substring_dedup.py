@@ -204,19 +204,51 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: What passes one and three tell: spans with their digests, which are to be compared; or, without digests, spans that are known to be repeats.
-SPANS = "row long, doc_id long, start int, stop int, k1 long, k2 long"
-#: Pass two: an anchor that the part has once, and where; or, without row, one that it has more often; or, without once, where such a one is.
-ANCHORS = "row long, anchor long, once boolean"
+#: What passes one and three tell: a span with its digests, which is to be compared; or, with ``known`` and keys of its row alone, all spans of a row that are known to be repeats.
+SPANS = "k1 long, k2 long, row long, doc_id long, start int, stop int, known binary"
+#: Pass two: an anchor that the part has once, and its row; or, without row, one that it has more often; or, with ``known`` and its row as key, those of a row.
+ANCHORS = "k1 long, row long, known binary"
 
 
-def _emit(ddl: str, columns: list[np.ndarray], known: np.ndarray | None = None) -> pa.RecordBatch:
-    out = []
-    for spec, column in zip(ddl.split(", "), columns, strict=True):
-        name, kind = spec.split()
-        hide = known if name in ("k1", "k2") else None
-        out.append(pa.array(column.astype(np.int64 if kind == "long" else np.int32), mask=hide))
-    return pa.RecordBatch.from_arrays(out, names=[s.split()[0] for s in ddl.split(", ")])
+def _fields(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _groups(row: np.ndarray) -> list[tuple[int, int]]:
+    """Where each stretch of one value begins and ends."""
+    ends = [*np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)] if len(row) else []
+    return list(zip([0, *ends], ends))
+
+
+def _by_row(row: np.ndarray, entries: np.ndarray, pack: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """Rows, and what ``pack`` makes of their entries, as bytes; the entries come row by row."""
+    groups = _groups(row)
+    return row[[lo for lo, _ in groups]], [pack(entries[lo:hi]).tobytes() for lo, hi in groups]
+
+
+def _merge(spans: np.ndarray) -> np.ndarray:
+    """Spans by their start; those that overlap by a window's length less one, so that no window lies between them, are one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    reach = np.maximum.accumulate(spans[:, 1])
+    cut = np.flatnonzero(np.r_[True, spans[1:, 0] + WINDOW > reach[:-1] + 1])
+    return np.stack([spans[cut, 0], reach[np.r_[cut[1:], len(spans)] - 1]], 1)
+
+
+def _spans(row: np.ndarray, doc_id: np.ndarray, start: np.ndarray, stop: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
+    """SPANS of a part's spans, which come row by row: the first ones of their digests, and the rows' other spans."""
+    first = _firsts([k1, k2], doc_id, start)
+    rows, known = _by_row(row[~first], np.stack([start[~first], stop[~first]], 1).astype(np.int32), _merge)
+    i, n = np.flatnonzero(first), len(rows)
+    columns = [
+        pa.array(np.r_[_signed(k1[i]), rows]),
+        pa.array(np.r_[_signed(k2[i]), np.zeros(n, np.int64)], mask=np.arange(len(i) + n) >= len(i)),
+        pa.array(np.r_[row[i], rows]),
+        pa.concat_arrays([pa.array(doc_id[i]), pa.nulls(n, pa.int64())]),
+        pa.concat_arrays([pa.array(start[i].astype(np.int32)), pa.nulls(n, pa.int32())]),
+        pa.concat_arrays([pa.array(stop[i].astype(np.int32)), pa.nulls(n, pa.int32())]),
+        pa.concat_arrays([pa.nulls(len(i), pa.binary()), pa.array(known, pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=_fields(SPANS))
 
 
 def _walk(table: DataFrame, ddl: str, visit: Callable) -> DataFrame:
@@ -238,97 +270,93 @@ def _walk(table: DataFrame, ddl: str, visit: Callable) -> DataFrame:
 
 def _long(part: Part, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     doc, start, end, name = long_spans(part.words, part.doc, part.offsets)
-    digest = Digests(part.words, 1).of(start, end)
+    order = np.argsort(doc, kind="stable")
+    doc, start, end, name = doc[order], start[order], end[order], name[order]
     at = part.offsets[doc]
-    first = _firsts([name, digest], ids[doc], start - at)
-    return _emit(SPANS, [rows[doc], ids[doc], start - at, end - at, _signed(name), _signed(digest)], ~first)
+    return _spans(rows[doc], ids[doc], start - at, end - at, name, Digests(part.words, 1).of(start, end))
 
 
-def _anchor_keys(part: Part, windows: np.ndarray) -> np.ndarray:
-    lo, hi = anchors(part.words, part.doc, part.offsets, windows)
+def _anchor_keys(part: Part, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return _signed(Digests(part.words, 1).of(lo, hi))
 
 
 def _anchored(part: Part, rows: np.ndarray, ids: np.ndarray, removed: list) -> pa.RecordBatch:
-    windows = part.windows(removed)
-    lo, hi = anchors(part.words, part.doc, part.offsets, windows)
-    new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.empty(0, np.int64)
+    lo, hi = anchors(part.words, part.doc, part.offsets, part.windows(removed))
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     place = np.unique(lo[new] * (len(part.words) + 1) + hi[new])
     lo, hi = place // (len(part.words) + 1), place % (len(part.words) + 1)
-    key, row = _signed(Digests(part.words, 1).of(lo, hi)), rows[part.doc[lo]]
-    order = np.lexsort((row, key))
-    key, row = key[order], row[order]
-    again = key[1:] == key[:-1]
-    first, last = np.ones(len(key), bool), np.ones(len(key), bool)
-    first[1:], last[:-1] = ~again, ~again
-    once, tell, spread = np.flatnonzero(first & last), np.flatnonzero(first & ~last), np.flatnonzero(~(first & last) & (first | np.r_[True, row[1:] != row[:-1]][: len(key)]))
-    i = np.r_[once, tell, spread]
-    told = np.repeat([0, 1, 2], [len(once), len(tell), len(spread)])
-    return pa.RecordBatch.from_arrays([pa.array(row[i], mask=told == 1), pa.array(key[i]), pa.array(told == 0, mask=told == 2)], names=["row", "anchor", "once"])
+    key, doc = _anchor_keys(part, lo, hi), part.doc[lo]
+    order = np.argsort(key, kind="stable")
+    first = np.ones(len(key), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    last = np.r_[first[1:], True][: len(key)]
+    once, tell = order[first & last], order[first & ~last]
+    more = np.sort(order[~(first & last)])
+    told, known = _by_row(rows[doc[more]], key[more], np.unique)
+    n = len(once) + len(tell)
+    columns = [
+        pa.array(np.r_[key[once], key[tell], told]),
+        pa.concat_arrays([pa.array(rows[doc[once]]), pa.nulls(len(tell), pa.int64()), pa.array(told)]),
+        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(known, pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=_fields(ANCHORS))
 
 
 def _verified(part: Part, rows: np.ndarray, ids: np.ndarray, removed: list, places: list) -> pa.RecordBatch:
     windows = part.windows(removed)
-    doc = part.doc[windows]
-    told = [np.frombuffer(p, np.int64) if p is not None else np.empty(0, np.int64) for p in places[part.first : part.first + part.n]]
-    some = np.array([len(t) > 0 for t in told])[doc]
-    windows, doc = windows[some], doc[some]
-    key = _anchor_keys(part, windows)
+    told = [np.frombuffer(p or b"", np.int64) for p in places[part.first : part.first + part.n]]
+    windows = windows[np.array([len(t) > 0 for t in told])[part.doc[windows]]]
+    doc, key = part.doc[windows], _anchor_keys(part, *anchors(part.words, part.doc, part.offsets, windows))
     # Whether a window's document has its anchor among those that occur twice.
     wanted = mix(np.concatenate(told).view(U) ^ mix(np.repeat(np.arange(part.n), [len(t) for t in told]).astype(U)))
     ok = np.isin(mix(key.view(U) ^ mix(doc.astype(U))), wanted)
     at, doc = windows[ok], doc[ok]
-    k1, k2 = Digests(part.words, 1).of(at, at + WINDOW), Digests(part.words, 2).of(at, at + WINDOW)
     start = at - part.offsets[doc]
-    return _emit(SPANS, [rows[doc], ids[doc], start, start + WINDOW, _signed(k1), _signed(k2)], ~_firsts([k1, k2], ids[doc], start))
+    return _spans(rows[doc], ids[doc], start, start + WINDOW, Digests(part.words, 1).of(at, at + WINDOW), Digests(part.words, 2).of(at, at + WINDOW))
 
 
 def _later(spans: DataFrame) -> DataFrame:
-    """(row, start, stop) of the SPANS that are known to be repeats, and of those that stand later than another of their digests."""
+    """(row, start, stop, known) of the SPANS that are known to be repeats, and of those that stand later than another of their digests."""
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("k1", "k2"))
-    compared = spans.where("k1 is not null").withColumn("first", first).where(F.struct("doc_id", "start") > F.col("first"))
-    return spans.where("k1 is null").select("row", "start", "stop").unionAll(compared.select("row", "start", "stop"))
+    return spans.withColumn("first", first).where(F.col("known").isNotNull() | (F.struct("doc_id", "start") > F.col("first"))).select("row", "start", "stop", "known")
 
 
 def _twice(found: DataFrame) -> DataFrame:
-    """(row, anchor) of the anchors that occur twice or more."""
-    total = F.sum(F.when(F.col("row").isNull(), 2).otherwise(1)).over(Window.partitionBy("anchor"))
-    compared = found.where("once is not null").withColumn("total", total).where("total > 1 and row is not null")
-    return found.where("once is null").select("row", "anchor").unionAll(compared.select("row", "anchor"))
-
-
-def _merge(spans: np.ndarray) -> np.ndarray:
-    """Spans by their start; those that overlap by a window's length less one, so that no window lies between them, are one."""
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    reach = np.maximum.accumulate(spans[:, 1])
-    cut = np.flatnonzero(np.r_[True, spans[1:, 0] + WINDOW > reach[:-1] + 1])
-    return np.stack([spans[cut, 0], reach[np.r_[cut[1:], len(spans)] - 1]], 1)
+    """(row, k1, known) of the ANCHORS that occur twice or more."""
+    total = F.sum(F.when(F.col("row").isNull(), 2).otherwise(1)).over(Window.partitionBy("k1", F.col("known").isNotNull()))
+    return found.withColumn("total", total).where("known is not null or total > 1 and row is not null").select("row", "k1", F.col("known"))
 
 
-def _packed(found: DataFrame, n: int, name: str, pack: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(row, name): what ``pack`` makes of the other columns of each row's entries, as bytes; dealt by row, as the documents are."""
+def _packed(found: DataFrame, name: str, pack: Callable[[np.ndarray], np.ndarray], kind: type, width: int) -> DataFrame:
+    """(row, name): what ``pack`` makes of a row's entries, as bytes; an entry is ``width`` numbers, and ``known`` holds many."""
 
     def table(out):
         return pa.RecordBatch.from_arrays([pa.array([int(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["row", name])
 
+    def packed(held):
+        return pack(np.concatenate(held).reshape(-1, width) if width > 1 else np.concatenate(held)).tobytes()
+
     @tidy
     def run(batches):
         now, held = None, []
         for batch in batches:
-            row, entries = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
-            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+            row, known = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1)
+            single = np.stack([c.fill_null(0).to_numpy() for c in batch.columns[1:-1]], 1).astype(kind)
+            many = known.is_valid().to_numpy(zero_copy_only=False)
             out = []
-            for lo, hi in zip(cut, [*cut[1:], len(row)], strict=True):
+            for lo, hi in _groups(row):
                 if row[lo] != now:
                     if held:
-                        out.append((now, pack(np.concatenate(held)).tobytes()))
+                        out.append((now, packed(held)))
                     now, held = row[lo], []
-                held.append(entries[lo:hi])
+                held.append(single[lo:hi][~many[lo:hi]].ravel())
+                held += [np.frombuffer(known[int(i)].as_py(), kind) for i in lo + np.flatnonzero(many[lo:hi])]
             yield table(out)
         if held:
-            yield table([(now, pack(np.concatenate(held)).tobytes())])
+            yield table([(now, packed(held))])
 
-    return stage(found.repartition(n, "row").sortWithinPartitions("row").mapInArrow(run, f"row long, {name} binary"), name, BATCH)
+    return stage(found.repartition("row").sortWithinPartitions("row").mapInArrow(run, f"row long, {name} binary"), name, BATCH)
 
 
 def _bucketed(spark: SparkSession, df: DataFrame, n: int) -> str:
@@ -370,12 +398,11 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out = out.join(found.repartition(n, "row").hint("shuffle_hash"), "row", "left")
         return out
 
-    first = stage(_later(stage(_walk(table.select(*read), SPANS, _long), "long-spans", BATCH)), "long-repeats", BATCH)
-    removed = _packed(first, n, "removed_", _merge)
-    found = stage(_walk(beside(removed), ANCHORS, _anchored), "anchors", BATCH)
-    places = _packed(_twice(found), n, "places_", np.unique)
-    second = _later(stage(_walk(beside(removed, places), SPANS, _verified), "windows", BATCH))
-    removed = _packed(first.unionAll(second), n, "removed_", _merge)
+    first = stage(_later(_walk(table.select(*read), SPANS, _long)), "long-repeats", BATCH)
+    removed = _packed(first, "removed_", _merge, np.int32, 2)
+    places = _packed(_twice(_walk(beside(removed), ANCHORS, _anchored)), "places_", np.unique, np.int64, 1)
+    second = _later(_walk(beside(removed, places), SPANS, _verified))
+    removed = _packed(first.unionAll(second), "removed_", _merge, np.int32, 2)
     joined = table.join(removed.repartition(n, "row").hint("shuffle_hash"), "row", "left").select(*rows.columns, "removed_")
     width = len(rows.columns)
     at = [joined.columns.index(names[text]), width]
