@@ -10,8 +10,9 @@ classes nest into the template. The gaps between their tokens are its slots, and
 text that recurs in its place on nearly all pages belongs to the template.
 
 Tags, roles and names of elements mark menus, headers, footers, sidebars, notices,
-adverts, forms and comments, and an article or main element is content. On pages
-without one, slots decide: a slot of links is a menu, one whose every text
+adverts, forms and comments. An article is content, names decide nothing within it
+but that a list of comments goes, and articles that are comments or teasers are no
+content. Elsewhere, within a main element too, slots decide: a slot of links is a menu, one whose every text
 comes again on other pages is a notice or an advert, whatever its name, and
 content lies in the deepest container of the template that holds most of the rest.
 
@@ -39,6 +40,8 @@ from .url_filter import url_host
 
 #: Tokens on a smaller share of a host's distinct pages are no template; text needs COMMON_TEXT of these and of all pages. Pages that share their longest blocks, NEAR of their text, are one.
 COMMON, COMMON_TEXT, NEAR = 0.5, 0.9, 0.8
+#: Text is of the template only on so many distinct pages of a host, or COMMON_TEXT of them if these are more: a few pages that share a paragraph are no evidence.
+LEAST_PAGES = 8
 #: A slot is a menu if links are a larger share of its text than LINKS, and is dealt out if at least AGAIN of it recurs and each text is on AGAIN_EACH pages; a container with MAIN of the text of the one around it is nearer to the content.
 LINKS, AGAIN, AGAIN_EACH, MAIN = 0.5, 0.95, 3, 0.6
 CONTAINERS = frozenset("div section ul ol dl table center main article".split())
@@ -58,6 +61,9 @@ NAMES = frozenset(
     "footer sidebar aside related recommended comment comments commentlist respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social toolbar widget pagination pager skip".split()
 )
+#: Whole names of elements within an article that hold its readers' comments, and first words of names of articles that are comments or teasers.
+COMMENT_LISTS = frozenset("comments comment-list commentlist comments-area comment-section disqus disqus_thread".split())
+NO_ARTICLES = frozenset("comment comments reply replies teaser teasers related recommended promo promoted sponsored advert advertisement ad".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER = frozenset("html body main article".split())
@@ -123,11 +129,14 @@ def scan(page: str):
     yield "".join([*text, page[text_from:]]), "", False, ""
 
 
+MAIN_ELEMENT, ARTICLE = 1, 2
+
+
 class Element(NamedTuple):
     tag: str
     path: int
     out: bool  # itself or within one that is left out
-    content: bool  # itself or within one that is content
+    content: int  # ARTICLE or MAIN, itself or the innermost around it
     token: int
 
 
@@ -157,15 +166,22 @@ def _element(tag: str, attributes: str, around: Element) -> Element:
     named = f"{values.get('class', '')} {values.get('id', '')}".split()
     key = tag + "".join(f".{n}" for n in sorted(named) if not re.search(r"\d{3}|[-_]\d+$", n))
     role = values.get("role", "").lower()
-    content = tag in ("article", "main") or role in ("main", "article") or values.get("itemprop", "") == "articleBody"
+    content = around.content
+    if tag == "article" or role == "article" or values.get("itemprop", "") == "articleBody":
+        content = ARTICLE
+    elif tag == "main" or role == "main":
+        content = max(content, MAIN_ELEMENT)
     out = tag in LEFT_OUT
-    if tag not in NEVER and not content:
+    if content == ARTICLE != around.content or tag == "article":
+        out |= any(first and first[0].lower() in NO_ARTICLES for first in map(WORD.findall, named))
+    elif content == ARTICLE:
+        out |= any(n.lower() in COMMENT_LISTS for n in named)
+    elif tag not in NEVER and not (content and not around.content):
         words = {w.lower() for n in named if not re.match(r"(has|with|no|without|is)[-_]", n) for w in WORD.findall(n)}
-        out |= bool(words & NAMES) or role in ROLES or "hidden" in values or values.get("aria-hidden", "") == "true"
-        out |= bool(re.search(r"display\s*:\s*none", values.get("style", "")))
+        out |= bool(words & NAMES) or role in ROLES
         out |= not around.content and (tag == "header" or bool(words & HEADER_NAMES))
     path = _hash(around.path, key)
-    return Element(tag, path, out or around.out, content or around.content, _token(path, CONTAINER if tag in CONTAINERS else OPEN))
+    return Element(tag, path, out or around.out, content, _token(path, CONTAINER if tag in CONTAINERS else OPEN))
 
 
 _known_element = lru_cache(20_000)(_element)
@@ -181,12 +197,12 @@ class Block(NamedTuple):
     text: str
     token: int
     out: bool
-    content: bool
+    content: int
     links: int  # characters in links
     at: int  # tokens of elements before it
 
 
-ROOT = Element("", 0, False, False, _token(0, CONTAINER))
+ROOT = Element("", 0, False, 0, _token(0, CONTAINER))
 
 
 def read(page: str) -> tuple[list[Block], list[int]]:
@@ -227,7 +243,7 @@ def read(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in INLINE:
             in_link = max(0, in_link + (-1 if closing else 1)) if tag == "a" else in_link
-            if not closing and re.search(r"\b(class|id|role|hidden)\b", attributes):
+            if not closing and stack[-1].content < ARTICLE and re.search(r"\b(class|id|role)\b", attributes):
                 element = element_of(tag, attributes, stack[-1])
                 if element.out and not stack[-1].out and not attributes.rstrip().endswith("/"):
                     close()
@@ -256,6 +272,13 @@ def read(page: str) -> tuple[list[Block], list[int]]:
     return blocks, tokens
 
 
+def undecided(blocks: list[Block]) -> list[Block]:
+    """The blocks that tags and names leave to the template: none of a page with an article, else those in main, else all that aren't left out."""
+    kept = [b for b in blocks if not b.out]
+    most = max((b.content for b in kept), default=0)
+    return [] if most == ARTICLE else [b for b in kept if b.content == most]
+
+
 def near_key(blocks: list[Block]) -> int:
     """Equal for pages whose longest blocks, up to NEAR of the text that isn't left out, are the same: copies and near copies."""
     size: Counter = Counter()
@@ -286,8 +309,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 rows = []
                 for host, page in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
                     blocks, tokens = read(page or "")
-                    left = [b for b in blocks if not b.out]
-                    left = [] if any(b.content for b in left) else left
+                    left = undecided(blocks)
                     rows.append((host, near_key(blocks), [ROOT.token, *tokens], [b.token for b in left], [len(b.text) for b in left], [b.links for b in left], [b.at + 1 for b in left]))
                 longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
                 kinds = [pa.string(), pa.int64(), longs, longs, ints, ints, ints]
@@ -423,20 +445,43 @@ def slot_texts(pages: DataFrame, template: DataFrame) -> DataFrame:
     return by_host(left, rows, "host").select(*[c.split()[0] for c in READ.split(", ")], "t", "c", "o").mapInArrow(run, TEXTS)
 
 
+def heaviest(weight: Counter, parent: dict[int, int]) -> int:
+    """The deepest container (0: none) reached from the outermost one by steps to one with MAIN of the text in the one around it.
+
+    ``weight`` is each container's own text, to which that of the containers in it is
+    added, from inner to outer, each once. Containers that pages nest in different ways
+    and that so lie within each other count as outermost ones.
+    """
+    depth = {0: 0}
+    for box in {*weight, *parent}:
+        path = []
+        while box not in depth:
+            depth[box] = -1  # on the way
+            path.append(box)
+            box = parent.get(box, 0)
+        at = max(depth[box], 0)
+        for x in reversed(path):
+            depth[x] = at = at + 1
+    inside: dict[int, list[int]] = {}
+    total = Counter(weight)
+    for box in sorted((b for b in depth if b), key=lambda b: -depth[b]):
+        around = parent.get(box, 0)
+        around = around if depth.get(around, 0) < depth[box] else 0
+        inside.setdefault(around, []).append(box)
+        total[around] += total[box]
+    main = 0
+    while best := [b for b in inside.get(main, ()) if total[b] >= MAIN * total[main] > 0]:
+        main = min(best, key=lambda b: (-total[b], b))
+    return main
+
+
 VERDICT = "host string, main long, out array<long>, constant array<long>"
 
 
 def judge(rows: pd.DataFrame) -> pd.DataFrame:
     """VERDICT of one host from its slots (kind 0: slot, box, chars, links, again, texts, on), containers (kind 1: slot within box) and texts of the template (kind 2)."""
     slots, within, constant = (rows[rows["kind"] == k] for k in (0, 1, 2))
-    parent = dict(zip(within["slot"], within["box"], strict=True))
-
-    def chain(box: int) -> list[int]:
-        found = [box]
-        while found[-1] and parent.get(found[-1], 0) not in found:
-            found.append(parent.get(found[-1], 0))
-        return found
-
+    parent = dict(zip(within["slot"].tolist(), within["box"].tolist(), strict=True))
     by_slot = slots.groupby("slot")[["chars", "links", "again", "texts", "on"]].sum()
     menu = by_slot["links"] > LINKS * by_slot["chars"]
     notice = (by_slot["again"] >= AGAIN * by_slot["chars"]) & (by_slot["on"] >= AGAIN_EACH * by_slot["texts"])
@@ -445,14 +490,9 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
     if int(slots[~slots["slot"].isin(out)]["chars"].sum()) < (1 - NEAR) * total:
         out = set()
     weight: Counter = Counter()
-    for r in slots.itertuples():
-        if r.slot not in out:
-            for box in chain(r.box):
-                weight[box] += r.chars
-    main, best = 0, weight[0]
-    for box in sorted((b for b in weight if b), key=lambda b: len(chain(b))):
-        if main in chain(box) and weight[box] >= MAIN * best > 0:
-            main, best = box, weight[box]
+    for box, chars in slots[~slots["slot"].isin(out)].groupby("box")["chars"].sum().items():
+        weight[box] += chars
+    main = heaviest(weight, parent)
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [main], "out": [sorted(map(int, out))], "constant": [sorted(map(int, constant["token"]))]})
 
 
@@ -470,7 +510,7 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = each.where("kind < 2").groupBy("host", "kind", "slot", "box").agg(*[v.alias(k) for k, v in sums.items()]).withColumn("token", F.lit(0).cast("long"))
     sizes = pages.groupBy("host").agg(F.count_distinct("near").alias("pages"), F.count("*").alias("all_pages")).where("pages > 1")
     same = each.where("kind = 0").groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("copies").alias("copies")).join(sizes, "host")
-    same = same.where((F.col("support") >= F.lit(COMMON_TEXT) * F.col("pages")) & (F.col("copies") >= F.lit(COMMON_TEXT) * F.col("all_pages")))
+    same = same.where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.lit(COMMON_TEXT) * F.col("pages")) & (F.col("copies") >= F.lit(COMMON_TEXT) * F.col("all_pages")))
     zero = [F.lit(0).cast("long").alias(k) for k in ("slot", "box", *sums)]
     constant = same.select("host", F.lit(2).alias("kind"), *zero, "token")
     judged = slots.join(sizes.select("host"), "host", "left_semi").unionByName(constant).groupBy("host").applyInPandas(judge, VERDICT)
@@ -484,14 +524,14 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract_text(page: str | None, template: Template | None = None) -> str:
     """The page's main text: its content blocks in page order, joined by an empty line.
 
-    An article or main element is kept as it is. Elsewhere the slots that are no
+    Articles are kept as they are. On pages without one, the slots that are no
     content and texts of the template go, these unless they make up NEAR of the
     page: it is a near copy then, and they are what it says.
     """
     blocks, tokens = read(page or "")
-    kept = [b for b in blocks if not b.out]
-    if any(b.content for b in kept):
-        return "\n\n".join(b.text for b in kept if b.content)
+    if any(b.content == ARTICLE and not b.out for b in blocks):
+        return "\n\n".join(b.text for b in blocks if b.content == ARTICLE and not b.out)
+    kept = undecided(blocks)
     if template is not None and kept:
         walk = Walk([ROOT.token, *tokens], template)
         inside = {0}

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -577,6 +578,48 @@ def test_html_is_read_in_linear_time():
     assert html_template.extract_text("<div>" * 20_000 + "x" * 100_000) == "x" * 100_000
 
 
+def test_html_names_decide_nothing_within_articles():
+    text = html_template.extract_text
+    for inner in ('<div class="related-work">kept</div>', '<p class="alert">kept</p>', '<section class="signup">kept</section>', '<div id="banner-year-1848">kept</div>', '<p hidden>kept</p>', '<div aria-hidden="true" style="display:none">kept</div>'):
+        assert text(f"<article><p>one</p>{inner}<p>two</p></article>") == "one\n\nkept\n\ntwo"
+    assert text('<article>a <span class="share">share price</span> rose</article>') == "a share price rose"
+    assert text('<article class="comment">Reader says hi</article><article>Main</article>') == "Main"
+    assert text('<article>Main<article class="comment-12 odd">Reader</article></article><article class="teaser">Next</article>') == "Main"
+    assert text('<article>Main<section id="comments"><p>Reader</p></section><nav>no</nav><aside>no</aside></article>') == "Main"
+    assert text('<main><div class="c1">Menu</div><article>Main</article><div class="c2">Reader comments</div></main>') == "Main"
+    assert text('<main><div class="sidebar">no</div><p>Main</p></main><p>out</p>') == "Main"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_html_known_main_texts(spark, n, frame):
+    """Pages made from known blocks: what several pages of a small host share is text, and comes out whole."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    shared = [" ".join(word() for _ in range(30)) for _ in range(2)] if n < 4 else []
+    texts = [[" ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(rng.randint(2, 5))] + shared for _ in range(n)]
+    around = '<body><nav><a href="/">Home</a></nav><div class="ad">Buy</div>{}<footer>end</footer></body>'
+    assert html_texts(spark, [around.format(frame.format("".join(f"<p>{t}</p>" for t in page))) for page in texts]) == ["\n\n".join(page) for page in texts]
+
+
+def test_html_slots_decide_inside_main(spark):
+    stories = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(30)]
+    menu = "".join(f'<a href="/{k}">entry {k}</a> ' for k in range(8))
+    pages = [f'<body><main><div class="c1">{menu}</div><div class="c2"><p>{s}</p></div></main></body>' for s in stories]
+    assert html_texts(spark, pages) == stories
+
+
+def test_html_deep_pages_with_a_template(spark):
+    began = time.time()
+    deep = ["<div>" * 8_000 + f"<p>text {i} {'w' * 50}</p>" for i in range(2)]
+    assert html_texts(spark, deep) == [f"text {i} {'w' * 50}" for i in range(2)]
+    assert time.time() - began < 60
+    weight = {k: 1 for k in range(1, 8_001)}
+    began = time.time()
+    assert html_template.heaviest(Counter(weight), {k: k - 1 for k in weight}) == 7_999 and time.time() - began < 5
+    assert html_template.heaviest(Counter({1: 5, 2: 5}), {1: 2, 2: 1}) in (0, 1, 2)
+
+
 def test_html_classes_are_the_occurrence_vectors(spark):
     rng = random.Random(21)
     pages = []
