@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scoring import TEAM_1, TEAM_2, played, r6
 from .sessions import GAP_HOURS, OVERLAP
-from .summaries import with_result
+from .summaries import marked_mvps, with_result
 
 
 def friend_scopes(friendships: DataFrame) -> DataFrame:
@@ -83,14 +83,22 @@ def session_seats(sides: DataFrame, match_players: DataFrame) -> DataFrame:
     return seats.where("our_team is null or our_team = team").select("scope_id", "session", "match_id", "match_player_id", "player_id")
 
 
-def session_leaderboard(seats: DataFrame, impact: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Per scope, session and player over played rounds: rounds, mean impact, mean impact with won rounds' kills only, and rounds won."""
-    rows = with_result(impact, rounds).where(played(F.col("outcome"))).join(seats, ["match_id", "match_player_id"])
-    return rows.groupBy("scope_id", "session", "player_id").agg(F.count("*").alias("rounds"), r6(F.avg("impact")).alias("avg_impact"), r6(F.avg("win_impact")).alias("avg_win_impact"), F.count_if("won").alias("rounds_won"))
+def session_leaderboard(seats: DataFrame, sides: DataFrame, impact: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Per scope, session and player over played rounds: rounds, mean impact, mean death part, mean impact with won rounds' kills only, rounds won and lost.
+
+    A round is won or lost by our side (session_sides): where the side isn't known, or
+    the round has no winner, it is neither and its kills count for nothing.
+    """
+    side = sides.select("scope_id", "session", "match_id", "our_team")
+    rows = with_result(impact, rounds).where(played(F.col("outcome"))).join(seats, ["match_id", "match_player_id"]).join(side, ["scope_id", "session", "match_id"])
+    won = F.col("winner") == F.col("our_team")
+    own = F.when(won, F.col("kill_impact")).otherwise(0) - F.col("death_impact")
+    return rows.groupBy("scope_id", "session", "player_id").agg(
+        F.count("*").alias("rounds"), r6(F.avg("impact")).alias("avg_impact"), r6(F.avg("death_impact")).alias("avg_death"), r6(F.avg(own)).alias("avg_win_impact"), F.count_if(won).alias("rounds_won"), F.count_if(~won).alias("rounds_lost"),
+    )
 
 
 def session_mvps(seats: DataFrame, impact: DataFrame, rounds: DataFrame) -> DataFrame:
-    """(scope_id, session, player_id, mvps, best): played rounds in which a player was the best of the session's own, the lowest seat of equals."""
-    rows = impact.join(rounds.where(played(F.col("outcome"))).select("match_id", "round_id"), ["match_id", "round_id"]).join(seats, ["match_id", "match_player_id"])
-    top = rows.groupBy("scope_id", "session", "match_id", "round_id").agg(F.max_by(F.struct("player_id", "impact"), F.struct("impact", -F.col("match_player_id"))).alias("m"))
-    return top.groupBy("scope_id", "session", F.col("m.player_id").alias("player_id")).agg(F.count("*").alias("mvps"), F.max("m.impact").alias("best"))
+    """(scope_id, session, player_id, mvps, best): played rounds in which a player was the best of everyone in the match, the lowest seat of equals; best of all rounds of the player."""
+    rows = impact.join(rounds.where(played(F.col("outcome"))).select("match_id", "round_id"), ["match_id", "round_id"])
+    return marked_mvps(rows).join(seats, ["match_id", "match_player_id"]).groupBy("scope_id", "session", "player_id").agg(F.count_if("mvp").alias("mvps"), F.max("impact").alias("best"))

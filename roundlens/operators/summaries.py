@@ -160,11 +160,16 @@ def ghost_rounds(stats: DataFrame) -> DataFrame:
     return stats.where("kills = 0 and deaths = 0 and assists = 0").groupBy("match_player_id").agg(F.count("*").alias("n"))
 
 
+def marked_mvps(impact: DataFrame) -> DataFrame:
+    """``impact`` with mvp: whether the player's impact was the round's highest, the lowest id of equals."""
+    first = F.row_number().over(Window.partitionBy("match_id", "round_id").orderBy(F.desc("impact"), "match_player_id"))
+    return impact.withColumn("mvp", first == 1)
+
+
 def round_mvps(impact: DataFrame, rounds: DataFrame) -> DataFrame:
-    """(match_player_id, mvps, best): played rounds in which a player's impact was highest, the lowest id of equals, and the highest of these."""
+    """(match_player_id, mvps, best): played rounds in which a player's impact was highest, and the best of all played rounds of the player."""
     rows = impact.join(rounds.where(played(F.col("outcome"))).select("match_id", "round_id"), ["match_id", "round_id"])
-    top = rows.groupBy("match_id", "round_id").agg(F.max_by(F.struct("match_player_id", "impact"), F.struct("impact", -F.col("match_player_id"))).alias("m"))
-    return top.groupBy(F.col("m.match_player_id").alias("match_player_id")).agg(F.count("*").alias("mvps"), F.max("m.impact").alias("best"))
+    return marked_mvps(rows).groupBy("match_id", "match_player_id").agg(F.count_if("mvp").alias("mvps"), F.max("impact").alias("best")).drop("match_id")
 
 
 def round_econ(stats: DataFrame) -> DataFrame:

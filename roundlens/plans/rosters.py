@@ -70,13 +70,19 @@ def _session_of_last(a):
     return O.session_of_match(found, found.agg(F.max("match_id")).first()[0] or 0)
 
 
-SEAT_SQL = f"""{RESULT_SQL}, {SCOPE_SQL}, o_seat AS (SELECT s.scope_id, s.session, s.match_id, p.match_player_id, p.player_id FROM o_side s JOIN a_match_players p USING (match_id) WHERE our_team IS NULL OR our_team = p.team),
-o_res AS (SELECT o.scope_id, o.session, o.player_id, r.* FROM p_res r JOIN o_seat o ON o.match_player_id = r.match_player_id WHERE r.outcome IS NULL OR r.outcome NOT LIKE '%Surrendered Win')"""
-query("d14_session_leaderboard", "SELECT scope_id, session, player_id, count(*) AS rounds, round(avg(impact), 6) AS avg_impact, round(avg(win_impact), 6) AS avg_win_impact, count(*) FILTER (won) AS rounds_won FROM o_res GROUP BY ALL", SEAT_SQL)(
-    lambda a: O.session_leaderboard(O.session_seats(_sides(a), a.match_players), scores(a), a.rounds)
-)
+SEAT_SQL = f"""{RESULT_SQL}, {SCOPE_SQL}, o_seat AS (SELECT s.scope_id, s.session, s.match_id, s.our_team, p.match_player_id, p.player_id FROM o_side s JOIN a_match_players p USING (match_id) WHERE our_team IS NULL OR our_team = p.team),
+o_res AS (SELECT o.scope_id, o.session, o.player_id, o.our_team, r.* FROM (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY impact DESC, match_player_id) AS k FROM p_res WHERE outcome IS NULL OR outcome NOT LIKE '%Surrendered Win') r JOIN o_seat o ON o.match_player_id = r.match_player_id)"""
 query(
-    "d20_session_mvps",
-    "SELECT scope_id, session, player_id, count(*) AS mvps, max(impact) AS best FROM (SELECT *, row_number() OVER (PARTITION BY scope_id, session, round_id ORDER BY impact DESC, match_player_id) AS k FROM o_res) WHERE k = 1 GROUP BY ALL",
+    "d14_session_leaderboard",
+    """SELECT scope_id, session, player_id, count(*) AS rounds, round(avg(impact), 6) AS avg_impact, round(avg(death_impact), 6) AS avg_death, round(avg(CASE WHEN winner = our_team THEN kill_impact ELSE 0 END - death_impact), 6) AS avg_win_impact,
+        count(*) FILTER (winner = our_team) AS rounds_won, count(*) FILTER (winner <> our_team) AS rounds_lost FROM o_res GROUP BY ALL""",
     SEAT_SQL,
-)(lambda a: O.session_mvps(O.session_seats(_sides(a), a.match_players), scores(a), a.rounds))
+)(lambda a: _leaderboard(a))
+query("d20_session_mvps", "SELECT scope_id, session, player_id, count(*) FILTER (k = 1) AS mvps, max(impact) AS best FROM o_res GROUP BY scope_id, session, player_id", SEAT_SQL)(
+    lambda a: O.session_mvps(O.session_seats(_sides(a), a.match_players), scores(a), a.rounds)
+)
+
+
+def _leaderboard(a):
+    sides = _sides(a)
+    return O.session_leaderboard(O.session_seats(sides, a.match_players), sides, scores(a), a.rounds)

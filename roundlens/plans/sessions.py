@@ -55,8 +55,8 @@ POOL_SQL = (
 
 
 def _stack_maps(a):
-    """The stacks that the SQL names: five of the first 25 players each, without opponents."""
-    stacks = H.last_maps(a.matches, a.match_players).where("player_id <= 25 and map_name is not null").select(F.floor((F.col("player_id") - 1) / 5).cast("long").alias("lobby_id"), "player_id")
+    """Stacks of five players by number, without opponents."""
+    stacks = H.last_maps(a.matches, a.match_players).where("map_name is not null").select(F.floor((F.col("player_id") - 1) / 5).cast("long").alias("lobby_id"), "player_id")
     return H.predict_maps(a.matches, a.match_players, a.acts, stacks, 5).withColumnRenamed("lobby_id", "team_key")
 
 
@@ -64,8 +64,8 @@ query(
     "j7_predict_maps",
     """SELECT team_key, map_name, round(raw / sum(raw) OVER (PARTITION BY team_key), 6) AS p FROM (SELECT s.team_key, m.map_name,
         m.share * CASE WHEN k >= 2 THEN 0.2 WHEN k = 1 THEN 0.47 ELSE 1.0 END * pow(1 - coalesce(h.share, 0) * 0.53, s.unknown) AS raw
-        FROM (SELECT (player_id - 1) // 5 AS team_key, 5 - count(map_name) AS unknown FROM h_last WHERE player_id <= 25 GROUP BY ALL) s, j_pool m
-        LEFT JOIN (SELECT (player_id - 1) // 5 AS team_key, map_name, count(*) AS k FROM h_last WHERE player_id <= 25 GROUP BY ALL) k ON k.team_key = s.team_key AND k.map_name = m.map_name LEFT JOIN h_share h ON h.map_name = m.map_name)""",
+        FROM (SELECT (player_id - 1) // 5 AS team_key, 5 - count(map_name) AS unknown FROM h_last GROUP BY ALL) s, j_pool m
+        LEFT JOIN (SELECT (player_id - 1) // 5 AS team_key, map_name, count(*) AS k FROM h_last GROUP BY ALL) k ON k.team_key = s.team_key AND k.map_name = m.map_name LEFT JOIN h_share h ON h.map_name = m.map_name)""",
     POOL_SQL,
 )(_stack_maps)
 query(
@@ -123,19 +123,25 @@ def _fight_ev(a):
 
 
 query("j5_fight_ev")(_fight_ev)
-query(
-    "f16_credits",
-    """SELECT match_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - 1650) ELSE 0 END::BIGINT AS sugar, greatest(0, remaining + loadout - cash - CASE WHEN od = 0 THEN ol ELSE 0 END)::BIGINT AS scavenger FROM (
-        SELECT s.*, o.deaths AS od, o.loadout AS ol, o.remaining + 200 * o.kills + CASE WHEN x.winner = s.team THEN 3000 ELSE CASE x.losses WHEN 0 THEN 1900 WHEN 1 THEN 2400 ELSE 2900 END END
-            + CASE WHEN x.planted AND ((x.round_number <= 12 AND s.team = 'team-1') OR (x.round_number BETWEEN 13 AND 24 AND s.team = 'team-2')) THEN 300 ELSE 0 END AS cash
-        FROM a_stats s JOIN a_stats o ON o.match_player_id = s.match_player_id AND o.match_id = s.match_id AND o.round_number = s.round_number - 1 JOIN i_sides x ON x.match_id = s.match_id AND x.team = s.team AND x.round_number = s.round_number - 1 WHERE s.round_number NOT IN (1, 13))""",
-    IMPACT_SQL,
-)(lambda a: economy.credits(a.stats, a.rounds, a.match_players))
+#: Credits over statistics and sides alone: the round before by lag, if it is the one before.
+CREDIT_ROWS = """c_stats AS MATERIALIZED (
+    SELECT s.*, p.agent_no, lag(round_number) OVER w AS orn, lag(deaths) OVER w AS od, lag(loadout) OVER w AS ol, lag(remaining) OVER w + 200 * lag(kills) OVER w AS held
+    FROM a_stats s JOIN (SELECT match_player_id, agent_no FROM a_match_players) p USING (match_player_id) WINDOW w AS (PARTITION BY match_player_id ORDER BY round_number)
+), c_sides AS MATERIALIZED (
+    SELECT match_id, team, round_number, CASE WHEN winner = team THEN 3000 WHEN losses = 0 THEN 1900 WHEN losses = 1 THEN 2400 ELSE 2900 END
+        + CASE WHEN planted AND ((round_number <= 12 AND team = 'team-1') OR (round_number BETWEEN 13 AND 24 AND team = 'team-2')) THEN 300 ELSE 0 END AS paid
+    FROM (SELECT *, round_number - 1 - coalesce(max(CASE WHEN winner = team THEN round_number END) OVER (PARTITION BY match_id, team ORDER BY round_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS losses
+        FROM a_win, (VALUES ('team-1'), ('team-2')) t(team))
+), c_cash AS MATERIALIZED (
+    SELECT s.*, held + paid AS cash FROM c_stats s JOIN c_sides x ON x.match_id = s.match_id AND x.team = s.team AND x.round_number = s.round_number - 1 WHERE orn = s.round_number - 1 AND s.round_number NOT IN (1, 13)
+)"""
+CREDIT_SQL = CREDIT_ROWS + """, c_credits AS MATERIALIZED (
+    SELECT match_id, round_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - 1650) ELSE 0 END::BIGINT AS sugar, greatest(0, remaining + loadout - cash - CASE WHEN od = 0 THEN ol ELSE 0 END)::BIGINT AS scavenger FROM c_cash
+)"""
+query("f16_credits", "SELECT match_id, round_number, match_player_id, sugar, scavenger FROM c_credits", CREDIT_SQL)(lambda a: economy.credits(a.stats, a.rounds, a.match_players))
 query(
     "c14_credits_by_agent",
-    """SELECT match_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - (1000 + u)) ELSE 0 END::BIGINT AS sugar, greatest(0, remaining + greatest(0, loadout - free) - cash - CASE WHEN od = 0 THEN greatest(0, ol - free) ELSE 0 END)::BIGINT AS scavenger FROM (
-        SELECT s.*, o.deaths AS od, o.loadout AS ol, o.remaining + 200 * o.kills + CASE WHEN x.winner = s.team THEN 3000 ELSE CASE x.losses WHEN 0 THEN 1900 WHEN 1 THEN 2400 ELSE 2900 END END
-            + CASE WHEN x.planted AND ((x.round_number <= 12 AND s.team = 'team-1') OR (x.round_number BETWEEN 13 AND 24 AND s.team = 'team-2')) THEN 300 ELSE 0 END AS cash
-        FROM (SELECT s.*, coalesce(g.utility, 650) AS u, coalesce(g.free, 0) AS free FROM a_stats s JOIN (SELECT match_player_id, agent_no FROM a_match_players) p USING (match_player_id) LEFT JOIN c_agents g USING (agent_no)) s JOIN a_stats o ON o.match_player_id = s.match_player_id AND o.match_id = s.match_id AND o.round_number = s.round_number - 1 JOIN i_sides x ON x.match_id = s.match_id AND x.team = s.team AND x.round_number = s.round_number - 1 WHERE s.round_number NOT IN (1, 13))""",
-    IMPACT_SQL + ", c_agents AS (SELECT a AS agent_no, 400 + 50 * (a % 7) AS utility, 100 * (a % 3) AS free FROM (SELECT unnest(range(0, 29)) AS a) WHERE a % 5 <> 4)",
+    """SELECT match_id, round_number, match_player_id, CASE WHEN od = 0 THEN greatest(0, greatest(0, cash - remaining) - (1000 + coalesce(utility, 650))) ELSE 0 END::BIGINT AS sugar,
+        greatest(0, remaining + greatest(0, loadout - coalesce(free, 0)) - cash - CASE WHEN od = 0 THEN greatest(0, ol - coalesce(free, 0)) ELSE 0 END)::BIGINT AS scavenger FROM c_cash LEFT JOIN c_agents USING (agent_no)""",
+    CREDIT_ROWS + ", c_agents AS (SELECT a AS agent_no, 400 + 50 * (a % 7) AS utility, 100 * (a % 3) AS free FROM (SELECT unnest(range(0, 29)) AS a) WHERE a % 5 <> 4)",
 )(lambda a: economy.credits(a.stats, a.rounds, a.match_players, a.spark.range(29).where("id % 5 <> 4").select(F.col("id").alias("agent_no"), (400 + 50 * (F.col("id") % 7)).alias("utility"), (100 * (F.col("id") % 3)).alias("free"))))

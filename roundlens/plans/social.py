@@ -16,6 +16,7 @@ from ..sources import ingest
 from ..streaming.live import windowed_counts
 from .base import query
 from .scoring import IMPACT_SQL, scores
+from .sessions import CREDIT_SQL
 from .summaries import RESULT_SQL
 
 SHARED_SQL = RESULT_SQL + """, q_side AS (SELECT r.*, p.player_id FROM p_res r JOIN p_mp p USING (match_player_id)),
@@ -62,32 +63,47 @@ query(
 query("k1_shoutouts")(lambda a: S.assign_shoutouts(S.candidates(shout_values(a))))
 
 
+def round_facts(a):
+    """Per round and match player what shared rounds are told about: kills, deaths, whether one resolved a clutch, credits."""
+    played_rounds = a.rounds.where(played(F.col("outcome")))
+    clutch = standing.clutch_resolvers(a.kill_events, played_rounds, a.match_players).select("match_id", "round_id", "match_player_id", F.lit(1).alias("clutch"))
+    facts = a.stats.select("match_id", "round_id", "round_number", "match_player_id", "kills", "deaths").join(clutch, ["match_id", "round_id", "match_player_id"], "left")
+    return facts.join(economy.credits(a.stats, a.rounds, a.match_players), ["match_id", "round_number", "match_player_id"], "left").drop("round_number")
+
+
 def match_values(a):
-    """(scope_id, player_id, name, category, priority, value, matches, rounds): all categories of a match, from every operator that counts one."""
+    """(scope_id, player_id, name, category, priority, value, matches, rounds): all categories of a match, from one row of counters per player."""
     key = ["match_id", "match_player_id"]
-    seat = a.match_players.select(*key, "player_id")
-    per_player = lambda df: df.join(seat, ["match_player_id"] if "match_id" not in df.columns else key)
-    feed, rounds, stats = a.kill_events, a.rounds.where(played(F.col("outcome"))), a.stats
-    impact = scores(a)
-    parts = {
-        "entry_kill_counts": (P.feed_counters(feed, a.rounds), "entry_kills"), "post_plant_kill_counts": (P.feed_counters(feed, a.rounds), "post_plant_kills"), "late_kill_counts": (P.feed_counters(feed, a.rounds), "late_kills"),
-        "clutch_counts": (standing.clutch_resolvers(feed, rounds, a.match_players).groupBy(*key).agg(F.count("*").alias("n")), "n"),
-        "multi_kill_counts": (P.stat_counters(stats), "multi_kill_rounds"), "op_kill_counts": (P.stat_counters(stats), "sniper_kills"), "eco_kill_counts": (P.stat_counters(stats), "eco_kills"), "active_round_counts": (P.stat_counters(stats), "active_rounds"),
-        "max_streak": (R.kill_streaks(feed, a.rounds, a.match_players), "streak"),
-        "round_changer_kill_counts": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "outnumbered_kills"), "xvx_kill_counts": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "even_fight_kills"),
-        "kills_on_top_frag": (standing.standing_counters(feed, a.rounds, a.match_players, stats), "kills_of_top"),
-        "sugar_daddy_credits": (economy.credits(stats, a.rounds, a.match_players).groupBy(*key).agg(F.sum("sugar").alias("n")), "n"), "scavenger_credits": (economy.credits(stats, a.rounds, a.match_players).groupBy(*key).agg(F.sum("scavenger").alias("n")), "n"),
-        "traded_teammate_totals": (impact.groupBy(*key).agg(F.sum("traded_teammate").alias("n")), "n"), "traded_by_teammate_totals": (impact.groupBy(*key).agg(F.sum("traded_by_teammate").alias("n")), "n"),
-        "mvp_counts": (P.round_mvps(impact, a.rounds), "mvps"),
-    }
-    rows = None
-    for i, (category, _, _) in enumerate(S.MATCH_CATEGORIES):
-        df, column = parts[category]
-        one = per_player(df).select("match_player_id", F.lit(category).alias("category"), F.lit(i).cast("long").alias("priority"), F.col(column).cast("long").alias("value"))
-        rows = one if rows is None else rows.unionAll(one)
-    n = stats.groupBy("match_player_id").agg(F.count("*").alias("rounds"))
-    rows = rows.join(a.match_players.select("match_player_id", "match_id", "player_id"), "match_player_id").join(n, "match_player_id").join(a.players, "player_id")
-    return rows.select(F.col("match_id").alias("scope_id"), "player_id", F.col("display_name").alias("name"), "category", "priority", "value", F.lit(1).alias("matches"), "rounds")
+    feed, rounds, stats, impact = a.kill_events, a.rounds.where(played(F.col("outcome"))), a.stats, scores(a)
+    sums = stats.groupBy(*key).agg(F.count("*").alias("rounds"))
+    counters = [
+        P.feed_counters(feed, a.rounds), P.stat_counters(stats), R.kill_streaks(feed, a.rounds, a.match_players), standing.standing_counters(feed, a.rounds, a.match_players, stats),
+        standing.clutch_resolvers(feed, rounds, a.match_players).groupBy(*key).agg(F.count("*").alias("clutches")),
+        economy.credits(stats, a.rounds, a.match_players).groupBy(*key).agg(F.sum("sugar").alias("sugar"), F.sum("scavenger").alias("scavenger")),
+        impact.groupBy(*key).agg(F.sum("traded_teammate").alias("traded_teammate"), F.sum("traded_by_teammate").alias("traded_by_teammate")),
+        P.round_mvps(impact, a.rounds),
+    ]
+    wide = sums.join(a.match_players.select(*key, "player_id"), key).join(a.players, "player_id")
+    for one in counters:
+        on = [c for c in key if c in one.columns]
+        wide = wide.join(one.select(*on, *[c for c in one.columns if c in S.MATCH_COUNTERS]), on, "left")
+    wide = wide.select(F.col("match_id").alias("scope_id"), "player_id", F.col("display_name").alias("name"), F.lit(1).alias("matches"), "rounds", *S.MATCH_COUNTERS)
+    return S.stacked(wide, ["scope_id", "player_id", "name", "matches", "rounds"], S.MATCH_CATEGORIES).select("scope_id", "player_id", "name", "category", "priority", "value", "matches", "rounds")
+
+
+def squad_counters(a):
+    return S.pair_counters(S.shared_rounds(scores(a), a.rounds, a.match_players, a.friendships, round_facts(a)))
+
+
+def _told_squads(a):
+    """A shoutout for each friend of each owner with enough rounds together; a friend left over is told how long both played."""
+    wide = S.eligible(squad_counters(a)).join(a.players.select(F.col("player_id").alias("friend_id"), F.col("display_name").alias("name")), "friend_id")
+    wide = wide.withColumn("scope_id", F.col("owner_id")).withColumn("player_id", F.col("friend_id"))
+    values = S.stacked(wide, ["scope_id", "player_id", "name"], S.SQUAD_CATEGORIES)
+    _, headline, told = next(c for c in S.SQUAD_CATEGORIES if c[0] == "rounds")
+    anchors = wide.select("scope_id", "player_id", F.lit(headline).alias("headline"), F.replace(F.replace(F.lit(told), F.lit("{v}"), F.col("rounds").cast("string")), F.lit("{s}"), F.lit("s")).alias("detail"))
+    no_rounds = wide.select("scope_id", "player_id", F.lit(None).cast("double").alias("impact")).where("false")
+    return S.told_shoutouts(wide, S.assign_shoutouts(S.candidates(values)), values, no_rounds, anchors, S.SQUAD_CATEGORIES)
 
 
 def _told(a):
@@ -97,13 +113,27 @@ def _told(a):
     return S.told_shoutouts(roster, S.assign_shoutouts(S.candidates(values)), values, best.select(F.col("match_id").alias("scope_id"), "player_id", "impact"))
 
 
-CATALOGUE = ", ".join("('%s', %d, '%s', '%s')" % (c, i, h.replace("'", "''"), t.replace("'", "''")) for i, (c, h, t) in enumerate(S.MATCH_CATEGORIES))
-query("k2_catalogue", f"SELECT * FROM (VALUES {CATALOGUE}) t(category, priority, headline, template)")(lambda a: S.catalogue(a.spark))
+CATALOGUE = ", ".join("('%s', '%s', '%s')" % (c, h.replace("'", "''"), t.replace("'", "''")) for c, h, t in S.MATCH_CATEGORIES)
+query(
+    "k2_catalogue",
+    f"SELECT match_id AS scope_id, player_id, headline, replace(replace(told, '{{v}}', v::VARCHAR), '{{s}}', CASE WHEN v = 1 THEN '' ELSE 's' END) AS detail FROM (SELECT match_id, player_id, x.c AS c, x.v AS v FROM k_val WHERE x.v > 0) JOIN (VALUES {CATALOGUE}) t(c, headline, told) USING (c)",
+    COUNTERS,
+)(lambda a: S.told_values(shout_values(a).where("value > 0")))
+SQUAD_SQL = (
+    SHARED_SQL.replace(", q_side AS (SELECT r.*, p.player_id FROM p_res r JOIN p_mp p USING (match_player_id))", ", q_side AS (SELECT r.*, p.player_id, s.kills, s.deaths, c.sugar, c.scavenger FROM p_res r JOIN p_mp p USING (match_player_id) JOIN (SELECT round_id, match_player_id, kills, deaths FROM a_stats) s USING (round_id, match_player_id) LEFT JOIN c_credits c USING (round_id, match_player_id))")
+    .replace("x.traded_teammate AS ft FROM", "x.traded_teammate AS ft, o.kills + x.kills - o.deaths - x.deaths AS surplus, coalesce(o.sugar, 0) + coalesce(x.sugar, 0) AS sugar, coalesce(o.scavenger, 0) + coalesce(x.scavenger, 0) AS scavenger FROM")
+)
+query(
+    "k2_squad_counters",
+    "SELECT owner_id, friend_id, round_even(100 * count(*) FILTER (won) / count(*), 0)::BIGINT AS win_percent, round_even(avg(win_impact + fwi), 0)::BIGINT AS avg_impact, sum(traded_teammate + ft)::BIGINT AS trades, count(*) AS rounds, sum(surplus)::BIGINT AS kill_surplus, sum(sugar)::BIGINT AS sugar, sum(scavenger)::BIGINT AS scavenger FROM q_shared GROUP BY ALL",
+    CREDIT_SQL + ", " + SQUAD_SQL,
+)(lambda a: squad_counters(a).drop("clutches"))
+query("k1_squad_shoutouts")(_told_squads)
 query(
     "k3_eligible_values",
-    """SELECT s.match_id AS scope_id, p.player_id, 'op_kill_counts' AS category, sum(CASE WHEN loadout >= 5100 THEN kills ELSE 0 END)::BIGINT AS value FROM a_stats s JOIN (SELECT match_player_id, player_id FROM a_match_players) p USING (match_player_id)
+    """SELECT s.match_id AS scope_id, p.player_id, 'sniper_kills' AS category, sum(CASE WHEN loadout >= 5100 THEN kills ELSE 0 END)::BIGINT AS value FROM a_stats s JOIN (SELECT match_player_id, player_id FROM a_match_players) p USING (match_player_id)
     GROUP BY ALL HAVING sum(CASE WHEN loadout >= 5100 THEN kills ELSE 0 END) >= 1""",
-)(lambda a: S.eligible_values(a.kept("shout_values", lambda: match_values(a))).where("category = 'op_kill_counts'").select("scope_id", "player_id", "category", "value"))
+)(lambda a: S.eligible_values(a.kept("shout_values", lambda: match_values(a))).where("category = 'sniper_kills'").select("scope_id", "player_id", "category", "value"))
 query("k1_told_shoutouts")(_told)
 query("e8_average_ranks", "SELECT match_player_id, round(rank() OVER (PARTITION BY match_id ORDER BY score) + (count(*) OVER (PARTITION BY match_id, score) - 1) / 2, 6) AS score_rank FROM (SELECT match_id, match_player_id, sum(score) AS score FROM a_stats GROUP BY ALL)")(
     lambda a: average_ranks(a.stats.groupBy("match_id", "match_player_id").agg(F.sum("score").alias("score")), "match_id", "score", "score_rank").select("match_player_id", r6(F.col("score_rank")).alias("score_rank"))

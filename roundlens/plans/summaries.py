@@ -89,8 +89,8 @@ query("d19_spike_deaths", "SELECT victim AS match_player_id, count(*) AS n FROM
 query("d19_ghost_rounds", "SELECT match_player_id, count(*) AS n FROM a_stats WHERE kills = 0 AND deaths = 0 AND assists = 0 GROUP BY ALL")(lambda a: P.ghost_rounds(a.stats))
 query(
     "d20_round_mvps",
-    """SELECT match_player_id, count(*) AS mvps, max(impact) AS best FROM (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY impact DESC, match_player_id) AS r FROM p_res
-    WHERE outcome IS NULL OR outcome NOT LIKE '%Surrendered Win') WHERE r = 1 GROUP BY ALL""",
+    """SELECT match_player_id, count(*) FILTER (r = 1) AS mvps, max(impact) AS best FROM (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY impact DESC, match_player_id) AS r FROM p_res
+    WHERE outcome IS NULL OR outcome NOT LIKE '%Surrendered Win') GROUP BY match_player_id""",
     RESULT_SQL,
 )(lambda a: P.round_mvps(scores(a), a.rounds))
 query("d29_meters", "SELECT match_id, round_id, match_player_id, sign(impact) * ((2000000 * abs(impact) + top) // nullif(2 * top, 0)) / 1e6::DOUBLE AS meter FROM (SELECT *, max(abs(impact)) OVER (PARTITION BY round_id) AS top FROM i_impact)", IMPACT_SQL)(lambda a: P.meters(scores(a)))

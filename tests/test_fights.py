@@ -156,6 +156,54 @@ def test_shoutouts_are_the_best_of_all_assignments(spark):
         assert (-len(mine), sum(r["rank"] for r in mine), max((r["rank"] for r in mine), default=0)) == key
 
 
+def test_matching_settles_ties_by_priority():
+    """Against every choice: players, sum, worst rank, then the categories' ranks in order of priority."""
+    from roundlens.operators.matching import best_assignment
+
+    rng = random.Random(1)
+    for _ in range(400):
+        ranks = {}
+        for c in range(rng.randint(1, 5)):
+            ranks |= {(p, c): r for r, p in enumerate(rng.sample(range(5), rng.randint(0, 4)))}
+        last, found = max(ranks.values(), default=0) + 1, []
+        for choice in itertools.product(*[[None, *(p for p in range(5) if (p, c) in ranks)] for c in range(5)]):
+            given = [(p, c) for c, p in enumerate(choice) if p is not None]
+            if len({p for p, _ in given}) == len(given):
+                each = [ranks[x] for x in given]
+                found.append((-len(each), sum(each), max(each, default=0), tuple(last if p is None else ranks[p, c] for c, p in enumerate(choice)), dict(given)))
+        assert best_assignment(ranks) == min(found, key=lambda x: x[:4])[4]
+    wide = {(p, c): r for c in range(25) for r, p in enumerate(rng.sample(range(60), 60))}
+    assert len(set(best_assignment(wide).values())) == 25 and best_assignment({}) == {}
+
+
+def test_shoutouts_fall_back(spark):
+    """The assigned category, then the best round, then the scope's anchor, then nothing."""
+    key = "scope_id long, player_id long, "
+    roster = spark.createDataFrame([(1, p) for p in range(1, 5)], "scope_id long, player_id long")
+    assigned = spark.createDataFrame([(1, 1, "clutches", 0)], key + "category string, rank long")
+    values = spark.createDataFrame([(1, 1, "clutches", 1), (1, 2, "clutches", 1)], key + "category string, value long")
+    best = spark.createDataFrame([(1, 1, 9.0), (1, 2, 12.5)], key + "impact double")
+    anchors = spark.createDataFrame([(1, 2, "A", "a"), (1, 3, "A", "a")], key + "headline string, detail string")
+    got = {r.player_id: (r.headline, r.detail) for r in social.told_shoutouts(roster, assigned, values, best, anchors).collect()}
+    assert got == {1: ("Clutch Gene", "1 clutch round won"), 2: ("Highlight Reel", "12 Impact in a single round"), 3: ("A", "a"), 4: ("UH OH", "no category fits")}
+
+
+def test_session_pages_by_hand(spark):
+    """An opponent is MVP of one round, one match has no known side, one round no winner and one was surrendered."""
+    from roundlens.operators import rosters
+
+    seats = spark.createDataFrame([(7, 0, 1, 10, 100), (7, 0, 1, 11, 101), (7, 0, 2, 20, 100), (7, 0, 2, 25, 101)], "scope_id long, session long, match_id long, match_player_id long, player_id long")
+    sides = spark.createDataFrame([(7, 0, 1, "team-1"), (7, 0, 2, None)], "scope_id long, session long, match_id long, our_team string")
+    rounds = spark.createDataFrame([(1, 1, "Team A Elimination Win"), (1, 2, "Team B Defuse Win"), (1, 3, None), (1, 4, "Team B Surrendered Win"), (2, 5, "Team A Elimination Win")], "match_id long, round_id long, outcome string")
+    rows = [(1, 1, 10, "team-1", 30.0, 10.0), (1, 1, 11, "team-1", 5.0, 0.0), (1, 1, 15, "team-2", 50.0, 5.0), (1, 2, 10, "team-1", 40.0, 0.0), (1, 2, 11, "team-1", 40.0, 0.0), (1, 2, 15, "team-2", 1.0, 0.0)]
+    rows += [(1, 3, 10, "team-1", 8.0, 2.0), (1, 3, 11, "team-1", 9.0, 0.0), (1, 4, 10, "team-1", 99.0, 0.0), (2, 5, 20, "team-1", 60.0, 0.0), (2, 5, 25, "team-2", 0.0, 20.0)]
+    impact = spark.createDataFrame([(*r, r[4] - r[5]) for r in rows], "match_id long, round_id long, match_player_id long, team string, kill_impact double, death_impact double, impact double")
+    mvps = {r.player_id: (r.mvps, r.best) for r in rosters.session_mvps(seats, impact, rounds).collect()}
+    assert mvps == {100: (2, 60.0), 101: (1, 40.0)}  # round 1 went to an opponent, round 2 to the lower seat
+    board = {r.player_id: tuple(r)[3:] for r in rosters.session_leaderboard(seats, sides, impact, rounds).collect()}
+    assert board[100] == (4, 31.5, 3.0, round((30 - 10 + 0 - 2 + 0) / 4, 6), 1, 1) and board[101] == (4, 8.5, 5.0, round((5 - 20) / 4, 6), 1, 1)
+
+
 def test_discovery_of_histories(spark):
     from roundlens.sources import ingest
 
