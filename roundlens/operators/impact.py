@@ -182,3 +182,15 @@ def trade_pairs(feed: DataFrame, match_players: DataFrame) -> DataFrame:
     """(match_id, round_id, trader, traded, n): who traded for whom, as rows instead of nested maps."""
     found = trades(with_teams(feed, match_players))
     return found.groupBy("match_id", "round_id", "trader", "traded").agg(F.count("*").alias("n"))
+
+
+def keep_impact(path: str, changed: DataFrame, feed: DataFrame, rounds: DataFrame, match_players: DataFrame, stats: DataFrame) -> None:
+    """Bring an impact table up to date for the matches of ``changed`` (match_id), and for these alone: after an ingest, or as a stream's batches land.
+
+    A match that isn't in the tables any more keeps its rows.
+    """
+    from ..sources.ingest import upsert_by_match
+
+    ids = changed.select("match_id").distinct()
+    only = lambda df: df.join(ids, "match_id", "left_semi")
+    upsert_by_match(impact_scores(only(feed), only(rounds), only(match_players), only(stats)), path)

@@ -79,6 +79,25 @@ def adjacent_repeats(sessions: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.withColumn("last", last).where("last is not null").groupBy("player_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("last") == F.col("map_name")).alias("repeats"))
 
 
+def repeats_by_shared(sessions: DataFrame, matches: DataFrame, match_players: DataFrame) -> DataFrame:
+    """(shared, pairs, repeats): pairs of matches that follow each other in anyone's session, each once, by how many players of both teams stayed, and those on one map."""
+    roster = match_players.groupBy("match_id").agg(F.collect_set("player_id").alias("roster"))
+    w = Window.partitionBy("player_id", "session").orderBy("played_at", "match_id")
+    pairs = sessions.withColumn("before", F.lag("match_id").over(w)).where("before is not null").select("before", "match_id").distinct()
+    seen = matches.select("match_id", "map_name").join(roster, "match_id")
+    both = pairs.join(seen, "match_id").join(seen.toDF("before", "map_before", "roster_before"), "before")
+    rows = both.select(F.size(F.array_intersect("roster", "roster_before")).cast("long").alias("shared"), (F.col("map_name") == F.col("map_before")).alias("same"))
+    return rows.groupBy("shared").agg(F.count("*").alias("pairs"), F.count_if("same").alias("repeats"))
+
+
+def session_gaps(sessions: DataFrame, matches: DataFrame) -> DataFrame:
+    """(gap, n): how many matches on a map came again within a session, over everyone's sessions."""
+    at = F.row_number().over(Window.partitionBy("player_id", "session").orderBy("played_at", "match_id"))
+    rows = sessions.join(matches.select("match_id", "map_name"), "match_id").withColumn("at", at)
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("player_id", "session", "map_name").orderBy("at"))
+    return rows.select(gap.cast("long").alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
+
+
 def last_maps(matches: DataFrame, match_players: DataFrame) -> DataFrame:
     """(player_id, map_name): each player's most recent map."""
     rows = match_players.select("player_id", "match_id").join(matches.where("played_at is not null").select("match_id", "played_at", "map_name"), "match_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import interval_join
 from .sessions import map_windows
 
 
@@ -15,9 +16,9 @@ def window_gaps(matches: DataFrame, match_players: DataFrame, windows: DataFrame
     ``windows`` (map_name, first_act, last_act) are few: acts times maps at most.
     """
     start, end = acts.select(F.col("act_id").alias("first_act"), "act_start"), acts.select(F.col("act_id").alias("last_act"), "act_end")
-    spans = F.broadcast(windows.withColumnRenamed("map_name", "wanted").join(start, "first_act").join(end, "last_act"))
+    spans = windows.withColumnRenamed("map_name", "wanted").join(start, "first_act").join(end, "last_act")
     rows = match_players.select("player_id", "match_id").join(matches.where("played_at is not null and map_name is not null").select("match_id", "played_at", "map_name"), "match_id")
-    rows = rows.join(spans, (F.col("played_at") >= F.col("act_start")) & (F.col("act_end").isNull() | (F.col("played_at") < F.col("act_end"))))
+    rows = interval_join(rows, spans, "played_at", "act_start", "act_end")
     key = ["player_id", "wanted", "first_act", "last_act"]
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("played_at", "match_id"))).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
     mine = F.when(F.col("map_name") == F.col("wanted"), F.col("at"))
@@ -32,8 +33,8 @@ def map_streaks(matches: DataFrame, match_players: DataFrame, pools: DataFrame,
 
     Players without a match in the map's current window are left out.
     """
-    latest = acts.agg(F.max("act_id").alias("latest"))
-    gaps = window_gaps(matches, match_players, map_windows(pools), acts).crossJoin(F.broadcast(latest))
+    latest = acts.agg(F.max("act_id")).first()[0]
+    gaps = window_gaps(matches, match_players, map_windows(pools), acts).withColumn("latest", F.lit(latest).cast("long"))
     per = gaps.groupBy("player_id", "map_name", "latest").agg(
         F.max_by(F.struct("first_act", "trailing"), "last_act").alias("c"), F.max("last_act").alias("last"), F.max_by(F.struct("first_act", "last_act", "best", "trailing"), F.struct("best", -F.col("last_act"))).alias("r")
     )

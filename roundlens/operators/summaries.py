@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import econ_tier, match_won, played, r6, rate, winner
+from .intervals import interval_join
 
 POOL_LEAST = 3
-BROADCAST_ACTS = 10_000
 #: Tiers of killer and victim that make a death an upset.
 UPSETS = [("ECO", "FORCE"), ("ECO", "FULL_BUY"), ("SAVE", "FORCE"), ("SAVE", "FULL_BUY")]
 ENTRY_SECONDS, LATE_SECONDS, MULTI_KILLS, SNIPER_LOADOUT = 20, 60, 3, 5100
@@ -46,10 +46,8 @@ def popularity(matches: DataFrame, since: Column | None = None) -> DataFrame:
 
 
 def in_acts(matches: DataFrame, acts: DataFrame) -> DataFrame:
-    """Matches with the act they were played in: an interval join, with the acts broadcast as long as there are few."""
-    a = acts.select("act_id", "act_start", "act_end")
-    a = F.broadcast(a) if acts.count() <= BROADCAST_ACTS else a
-    return matches.join(a, (F.col("played_at") >= F.col("act_start")) & (F.col("act_end").isNull() | (F.col("played_at") < F.col("act_end")))).drop("act_start", "act_end")
+    """Matches with the act they were played in."""
+    return interval_join(matches, acts.select("act_id", "act_start", "act_end"), "played_at", "act_start", "act_end").drop("act_start", "act_end")
 
 
 def act_pools(matches: DataFrame, acts: DataFrame) -> DataFrame:

@@ -82,6 +82,14 @@ def compared(old: DataFrame, new: DataFrame, values: list[str]) -> DataFrame:
     return rows.select("*", *[(F.col(f"new_{v}") - F.col(f"old_{v}")).alias(f"delta_{v}") for v in values])
 
 
+def coverage(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(match_id, both, retired, added): rows of a match in both versions, only in the old one, and only in the new one."""
+    key = ["match_id", "round_id", "match_player_id"]
+    rows = old.select(*key, F.lit(True).alias("o")).join(new.select(*key, F.lit(True).alias("n")), key, "full")
+    o, n = F.col("o").isNotNull(), F.col("n").isNotNull()
+    return rows.groupBy("match_id").agg(F.count_if(o & n).alias("both"), F.count_if(o & ~n).alias("retired"), F.count_if(~o & n).alias("added"))
+
+
 def biggest_movers(rows: DataFrame, value: str = "impact", n: int = MOVERS) -> DataFrame:
     """The ``n`` rows that moved furthest, the lowest ids of equals first, with their place."""
     d = F.abs(f"delta_{value}")

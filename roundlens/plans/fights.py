@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import played
 from ..operators import models as M
 from ..operators import replay, validation
 from ..operators import sessions as H
@@ -94,23 +95,38 @@ query(
     FIGHT_SQL,
 )(lambda a: validation.report(*blocks(a)).select("player_id", *[F.size(F.from_json(F.get_json_object("report", f"$.{k}"), "array<string>")).cast("long").alias(v) for k, v in (("reconstruction", "reconstructed"), ("boundaries", "boundaries"))]))
 
-# The version before is one in which each round's impact lacked the share of trades; both are of the same rows.
-OLD = "(SELECT *, impact - 7 * traded_teammate AS old FROM i_impact)"
+# Two versions of impact, each a table of its own: the old one leaves surrendered rounds out, has no share of trades and counts time within damage; the new one has all rounds with an outcome.
+VERSIONS = (
+    IMPACT_SQL
+    + """, v_old AS (SELECT i.match_id, i.round_id, i.match_player_id, impact - 7 * traded_teammate AS impact, damage + time_impact AS damage FROM i_impact i JOIN (SELECT round_id, outcome FROM a_win) w USING (round_id) WHERE outcome IS NULL OR outcome NOT LIKE '%Surrendered Win'),
+v_new AS (SELECT i.match_id, i.round_id, i.match_player_id, impact, damage FROM i_impact i JOIN (SELECT round_id, outcome FROM a_win) w USING (round_id) WHERE outcome IS NOT NULL),
+v_both AS (SELECT match_id, round_id, match_player_id, o.impact AS old_impact, n.impact AS new_impact, n.impact - o.impact AS delta, n.damage - o.damage AS damage FROM v_old o JOIN v_new n USING (match_id, round_id, match_player_id))"""
+)
+
+
+def _versions(a):
+    rows = scores(a).join(a.rounds.select("match_id", "round_id", "outcome"), ["match_id", "round_id"])
+    old = rows.where(played(F.col("outcome"))).withColumn("impact", F.col("impact") - 7 * F.col("traded_teammate")).withColumn("damage", F.col("damage") + F.col("time_impact"))
+    return a.by_match("impact_before", lambda: old.drop("outcome")), a.by_match("impact_after", lambda: rows.where("outcome is not null").drop("outcome"))
 
 
 def _compared(a):
-    new = scores(a)
-    return validation.compared(new.withColumn("impact", F.col("impact") - 7 * F.col("traded_teammate")), new, ["impact", "damage"])
+    return validation.compared(*_versions(a), ["impact", "damage"])
 
 
-query("c18_compared", f"SELECT match_id, round_id, match_player_id, old AS old_impact, impact AS new_impact, impact - old AS delta_impact FROM {OLD}", IMPACT_SQL)(lambda a: _compared(a).select("match_id", "round_id", "match_player_id", "old_impact", "new_impact", "delta_impact"))
-query("j16_movers", f"SELECT * FROM (SELECT round_id, match_player_id, impact - old AS delta_impact, row_number() OVER (ORDER BY abs(impact - old) DESC, round_id, match_player_id) AS place FROM {OLD}) WHERE place <= 15", IMPACT_SQL)(
+query("c18_compared", "SELECT match_id, round_id, match_player_id, old_impact, new_impact, delta AS delta_impact FROM v_both", VERSIONS)(lambda a: _compared(a).select("match_id", "round_id", "match_player_id", "old_impact", "new_impact", "delta_impact"))
+query(
+    "c18_coverage",
+    "SELECT coalesce(o.match_id, n.match_id) AS match_id, count(*) FILTER (o.round_id IS NOT NULL AND n.round_id IS NOT NULL) AS both, count(*) FILTER (n.round_id IS NULL) AS retired, count(*) FILTER (o.round_id IS NULL) AS added FROM v_old o FULL JOIN v_new n ON o.round_id = n.round_id AND o.match_player_id = n.match_player_id GROUP BY ALL",
+    VERSIONS,
+)(lambda a: validation.coverage(*_versions(a)))
+query("j16_movers", "SELECT * FROM (SELECT round_id, match_player_id, delta AS delta_impact, row_number() OVER (ORDER BY abs(delta) DESC, round_id, match_player_id) AS place FROM v_both) WHERE place <= 15", VERSIONS)(
     lambda a: validation.biggest_movers(_compared(a)).select("round_id", "match_player_id", "delta_impact", "place")
 )
-query("j16_by_player", f"SELECT player_id, count(*) AS n, round(avg(impact - old), 6) AS mean FROM {OLD} JOIN (SELECT match_player_id, player_id FROM a_match_players) USING (match_player_id) GROUP BY player_id", IMPACT_SQL)(
+query("j16_by_player", "SELECT player_id, count(*) AS n, round(avg(delta), 6) AS mean FROM v_both JOIN (SELECT match_player_id, player_id FROM a_match_players) USING (match_player_id) GROUP BY player_id", VERSIONS)(
     lambda a: validation.moves_by_player(_compared(a), a.match_players)
 )
-query("j16_by_part", f"SELECT 'impact' AS part, round(avg(impact - old), 6) AS mean FROM {OLD} UNION ALL SELECT 'damage', 0.0", IMPACT_SQL)(lambda a: validation.moves_by_part(_compared(a), ["impact", "damage"]))
+query("j16_by_part", "SELECT 'impact' AS part, round(avg(delta), 6) AS mean FROM v_both UNION ALL SELECT 'damage', round(avg(damage), 6) FROM v_both", VERSIONS)(lambda a: validation.moves_by_part(_compared(a), ["impact", "damage"]))
 
 query(
     "j11_map_propensity",

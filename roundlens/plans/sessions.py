@@ -38,6 +38,18 @@ query("h8_repeat_gaps", "SELECT gap, count(*) AS n FROM (SELECT ord - lag(ord) O
 query("h9_adjacent_repeats", "SELECT player_id, count(*) AS pairs, count(*) FILTER (l = map_name) AS repeats FROM (SELECT *, lag(map_name) OVER (PARTITION BY player_id, session ORDER BY played_at, match_id) AS l FROM s_ses) WHERE l IS NOT NULL GROUP BY ALL", SESSION_SQL)(
     lambda a: H.adjacent_repeats(H.player_sessions(a.matches, a.match_players), a.matches)
 )
+query(
+    "h9_repeats_by_shared",
+    """SELECT len(list_intersect(a.roster, b.roster))::BIGINT AS shared, count(*) AS pairs, count(*) FILTER (m.map_name = n.map_name) AS repeats FROM (
+        SELECT DISTINCT match_id, l FROM (SELECT match_id, lag(match_id) OVER (PARTITION BY player_id, session ORDER BY played_at, match_id) AS l FROM s_ses) WHERE l IS NOT NULL) p
+    JOIN s_roster a ON a.match_id = p.match_id JOIN s_roster b ON b.match_id = p.l JOIN a_matches m ON m.match_id = p.match_id JOIN a_matches n ON n.match_id = p.l GROUP BY ALL""",
+    SESSION_SQL,
+)(lambda a: H.repeats_by_shared(H.player_sessions(a.matches, a.match_players), a.matches, a.match_players))
+query(
+    "h9_session_gaps",
+    """SELECT gap, count(*) AS n FROM (SELECT k - lag(k) OVER (PARTITION BY player_id, session, map_name ORDER BY k) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY player_id, session ORDER BY played_at, match_id) AS k FROM s_ses)) WHERE gap IS NOT NULL GROUP BY ALL""",
+    SESSION_SQL,
+)(lambda a: H.session_gaps(H.player_sessions(a.matches, a.match_players), a.matches))
 query("h11_act_bounds", "SELECT act_id, act_start, act_end FROM a_acts")(lambda a: H.act_bounds(a.acts))
 query("e2_last_maps", "SELECT player_id, arg_max(map_name, ord) AS map_name FROM h_at GROUP BY ALL", SESSION_SQL)(lambda a: H.last_maps(a.matches, a.match_players))
 LAST_SQL = SESSION_SQL + ", h_last AS (SELECT player_id, arg_max(map_name, ord) AS map_name FROM h_at GROUP BY ALL), h_share AS (SELECT map_name, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM h_last GROUP BY map_name)"
@@ -49,7 +61,7 @@ query(
 )(lambda a: H.recent_matches(a.matches, a.match_players))
 POOL_SQL = (
     LAST_SQL
-    + """, j_late AS (SELECT map_name, count(*) AS n FROM a_matches WHERE played_at >= TIMESTAMP '2024-02-12' GROUP BY ALL HAVING count(*) >= 3), j_all AS (SELECT map_name, count(*) AS n FROM a_matches GROUP BY ALL HAVING count(*) >= 3),
+    + """, j_late AS (SELECT map_name, count(*) AS n FROM a_matches WHERE played_at >= (SELECT max(act_start) FROM a_acts) GROUP BY ALL HAVING count(*) >= 3), j_all AS (SELECT map_name, count(*) AS n FROM a_matches GROUP BY ALL HAVING count(*) >= 3),
     j_pool AS (SELECT map_name, round(n / sum(n) OVER (), 6) AS share FROM (SELECT * FROM j_late UNION ALL SELECT * FROM j_all WHERE NOT EXISTS (SELECT 1 FROM j_late)))"""
 )
 

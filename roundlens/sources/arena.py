@@ -2,10 +2,11 @@
 
 A match is 26 consecutive orders, each of them a round; line items are the
 elimination feed. All derivations are per row, per round or per match. The rounds,
-the feed and the statistics are written once, as an ingest would, and read dealt
-by match; every window, grouping and join that has the match among its keys then
-works on that partitioning, without another shuffle. A match is a few hundred
-rows, so no partition is skewed.
+the feed and the statistics are written once, as an ingest would, in buckets by
+match; every window, grouping and join that has the match among its keys then
+works on these, without any shuffle. A match is a few hundred rows, so no bucket
+is skewed. Customers are the players, those who were once in a team are friends, and acts follow from when
+matches were played.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql.window import Window
 from .tables import kept
 
 TEAM_1, TEAM_2 = "team-1", "team-2"
-ACT_STARTS = ["2024-01-01", "2024-01-15", "2024-01-29", "2024-02-12"]
+FIRST_ACT, ACT_DAYS = "2024-01-01", 14
 
-#: The largest id of the recurring players, who come first, and the range of the others.
-REGULARS, OTHERS = 25, (31, 90)
+#: The largest id of the recurring players, who come first.
+REGULARS = 25
 
 
 def div(x: Column, n: int) -> Column:
@@ -43,8 +44,8 @@ class Arena:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def by_match(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table as it was written, dealt by match."""
-        return self.kept(name, build).repartition("match_id")
+        """A table derived from this folder, in buckets by match."""
+        return kept(self.spark, self.dir, name, build, "match_id")
 
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table derived from this folder, as it was written."""
@@ -163,21 +164,27 @@ class Arena:
 
     @cached_property
     def players(self) -> DataFrame:
-        ids = self.spark.range(1, REGULARS + 1).unionAll(self.spark.range(OTHERS[0], OTHERS[1] + 1))
-        return ids.select(F.col("id").alias("player_id"), F.concat(F.lit("P"), F.col("id").cast("string"), F.lit("#T")).alias("display_name"))
+        """A player per customer."""
+        key = F.col("c_custkey").cast("long")
+        return self.raw("customer").select(key.alias("player_id"), F.concat(F.lit("P"), key.cast("string"), F.lit("#T")).alias("display_name"))
 
     @cached_property
     def friendships(self) -> DataFrame:
-        """Directed: owner and friend are of one five-stack and (owner + friend) % 4 isn't 0."""
-        one = self.spark.range(1, REGULARS + 1)
-        pairs = one.select(F.col("id").alias("owner_id"), F.explode(F.sequence(5 * div(F.col("id") - 1, 5) + 1, 5 * div(F.col("id") - 1, 5) + 5)).alias("friend_id"))
-        return pairs.where("owner_id <> friend_id and (owner_id + friend_id) % 4 <> 0")
+        """Directed: owner and friend are regulars who were in one team, and (owner + friend) % 4 isn't 0. As many rows as regulars have teammates."""
+        seat = self.match_players.where(F.col("player_id") <= REGULARS)
+        own = seat.select("match_id", "team", F.col("player_id").alias("owner_id"))
+        pairs = own.join(seat.select("match_id", "team", F.col("player_id").alias("friend_id")), ["match_id", "team"])
+        return pairs.where("owner_id <> friend_id and (owner_id + friend_id) % 4 <> 0").select("owner_id", "friend_id").distinct()
 
     @cached_property
     def acts(self) -> DataFrame:
-        rows = [(i + 1, f"Act {i + 1}", a, b) for i, (a, b) in enumerate(zip(ACT_STARTS, [*ACT_STARTS[1:], None], strict=True))]
-        schema = T.StructType([T.StructField("act_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("s", T.StringType()), T.StructField("e", T.StringType())])
-        return self.spark.createDataFrame(rows, schema).select("act_id", "label", F.col("s").cast("timestamp_ntz").alias("act_start"), F.col("e").cast("timestamp_ntz").alias("act_end"))
+        """Acts of ACT_DAYS from the first day to the last match; the last one is open."""
+        first = F.lit(FIRST_ACT).cast("timestamp_ntz")
+        days = self.matches.agg(F.floor(F.datediff(F.max("played_at"), first) / ACT_DAYS).cast("int").alias("last"))
+        rows = days.where("last is not null").select("last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+        start = lambda i: first + F.make_dt_interval(i * ACT_DAYS)
+        end = F.when(F.col("i") < F.col("last"), start(F.col("i") + 1))
+        return rows.select((F.col("i") + 1).cast("long").alias("act_id"), F.concat(F.lit("Act "), (F.col("i") + 1).cast("string")).alias("label"), start(F.col("i")).alias("act_start"), end.alias("act_end"))
 
 
 #: The same tables as DuckDB common table expressions, for the SQL that queries are held against.
@@ -220,13 +227,13 @@ a_rounds AS (
         (53 * r.mix + 577 * p.slot) % 5000 AS remaining
     FROM a_rounds r JOIN a_match_players p USING (match_id) LEFT JOIN a_deeds d ON d.round_id = r.round_id AND d.mp = p.match_player_id
 ), a_players AS (
-    SELECT id AS player_id, 'P' || id || '#T' AS display_name FROM (SELECT unnest(range(1, 26)) AS id UNION ALL SELECT unnest(range(31, 91)))
+    SELECT c_custkey::BIGINT AS player_id, 'P' || c_custkey || '#T' AS display_name FROM customer
 ), a_friends AS (
-    SELECT o AS owner_id, f AS friend_id FROM (SELECT unnest(range(1, 26)) AS o), (SELECT unnest(range(1, 26)) AS f)
-    WHERE o <> f AND (o - 1) // 5 = (f - 1) // 5 AND (o + f) % 4 <> 0
+    SELECT DISTINCT a.player_id AS owner_id, b.player_id AS friend_id FROM a_match_players a JOIN a_match_players b ON a.match_id = b.match_id AND a.team = b.team AND a.player_id <> b.player_id
+    WHERE a.player_id <= 25 AND b.player_id <= 25 AND (a.player_id + b.player_id) % 4 <> 0
 ), a_acts AS (
-    SELECT * FROM (VALUES (1, 'Act 1', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-15'), (2, 'Act 2', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-29'),
-        (3, 'Act 3', TIMESTAMP '2024-01-29', TIMESTAMP '2024-02-12'), (4, 'Act 4', TIMESTAMP '2024-02-12', NULL)) t(act_id, label, act_start, act_end)
+    SELECT i + 1 AS act_id, 'Act ' || (i + 1) AS label, TIMESTAMP '2024-01-01' + to_days((14 * i)::INTEGER) AS act_start, CASE WHEN i < n THEN TIMESTAMP '2024-01-01' + to_days((14 * i + 14)::INTEGER) END AS act_end
+    FROM (SELECT n, unnest(range(n + 1)) AS i FROM (SELECT (max(played_at)::DATE - DATE '2024-01-01') // 14 AS n FROM a_matches))
 ), a_win AS (
     SELECT *, CASE WHEN outcome LIKE 'Team A%' THEN 'team-1' WHEN outcome LIKE 'Team B%' THEN 'team-2' END AS winner FROM a_rounds
 )

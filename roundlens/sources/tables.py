@@ -2,13 +2,18 @@
 
 A derived table is written as Parquet to the folder that all executors share, so a
 lost executor costs no recomputation, and readers push their filters and columns
-down to it. It is kept by the input folder that it comes from; a new application
-derives its own.
+down to it. It is kept by the input folder that it comes from and the state of that folder's
+files, so files that change are derived from anew. Tables keyed by match are
+bucketed by it: joins, windows and groupings on the match read them as they lie.
+
+A new application derives its own tables, unless ``spark.roundlens.store`` names a
+folder: tables in it are found again by later applications.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -17,7 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_kept: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+STORE = "spark.roundlens.store"
+#: By application, folder, state of its files and name: the registered table.
+_kept: dict[tuple[str, str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,13 +47,47 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from the folder ``source``; built and written when first asked for."""
-    key = (spark.sparkContext.applicationId, source, name)
+def folder_state(spark: SparkSession, source: str) -> str:
+    """A digest of the paths, sizes and times of a folder's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    found, files = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """The table ``name`` derived from the folder ``source`` as its files are now; built and written when first asked for.
+
+    ``by`` buckets it by that column, into as many buckets as shuffles have partitions;
+    a table that an earlier application left in the store keeps its own number.
+    """
+    state = folder_state(spark, source)
+    key = (spark.sparkContext.applicationId, source, state, name)
     if key not in _kept:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        df = build()
-        df.write.parquet(path)
-        _kept[key] = path, df.schema
-    path, schema = _kept[key]
-    return spark.read.schema(schema).parquet(path)
+        store = spark.conf.get(STORE, None)
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{store.rstrip('/')}/{name}-{state}" if store else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if store and _exists(spark, f"{path}/_SUCCESS") and _exists(spark, f"{path}.layout"):
+            columns, buckets = spark.read.text(f"{path}.layout", wholetext=True).first()[0].strip().split("\n")
+            clustered = f"CLUSTERED BY ({by}) INTO {buckets} BUCKETS" if by else ""
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {clustered} LOCATION '{path}'")
+        else:
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df = build()
+            writer = df.repartition(n, by).write.bucketBy(n, by) if by else df.write
+            writer.mode("overwrite").format("parquet").option("path", path).saveAsTable(table)
+            if store:
+                spark.createDataFrame([(f"{_ddl(df.schema)}\n{n}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.layout")
+        _kept[key] = table
+    return spark.table(_kept[key])
