@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.scoring import r6
@@ -39,27 +44,55 @@ def differences(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), r6(F.avg(d)).alias("mean"), r6(F.avg(F.abs(d))).alias("mean_abs"), r6(F.percentile(F.abs(d), 0.5)).alias("median_abs"), F.max(F.abs(d)).alias("max_abs"))
 
 
-def bootstrap_rates(blocks: DataFrame, draws: int = 200, seed: int = 12345) -> DataFrame:
-    """(own, opp, low, high, defined): percentile interval of the kill rate of each state when matches are drawn with replacement.
+#: A prime below 2^31, so that products of two residues are 64-bit numbers in any engine.
+PRIME = 2147483647
+#: How much of PRIME lies below each cumulated probability of a Poisson number of mean 1.
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
+def draw_weights(match_ids: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """How often each match is in each draw (matches x draws): a Poisson number from a hash of seed, draw and match, whatever else is drawn.
+
+    The hash takes fifth powers modulo PRIME, which are permutations, twice; SQL can repeat it.
+    """
+    power = lambda x: (lambda y: y * y % PRIME * x % PRIME)(x * x % PRIME)
+    x = power((draws[None, :] * 48271 + match_ids[:, None] % PRIME * 69621 + seed) % PRIME)
+    x = power((x + draws[None, :] * 16807 + 1) % PRIME)
+    return np.searchsorted(np.array(POISSON), x, side="right")
+
+
+def bootstrap_rates(blocks: DataFrame, draws: int = 200, seed: int = 12345, by: list[str] | None = None) -> DataFrame:
+    """(``by``, low, high, defined): percentile interval of the kill rate of each cell when matches are weighted anew in each draw.
 
-    ``blocks``: match_id, own, opp, kills, deaths (sufficient statistics per
-    match). How often a match is in a draw comes from a portable congruential
-    generator, the same for every cell, so a draw is one weighting of the
-    matches. Draws without an elimination in a state aren't defined there. Meant
-    for the matches of one scope (a player, a season): they are numbered in one
-    window, and the table of draws has draws x matches rows.
+    ``blocks``: match_id, the ``by`` columns (own and opp, if not given), kills and
+    deaths. A match's weights follow from its id alone, so each task adds up draws of
+    the rows that it has, in exact numbers, and what leaves it is draws times cells;
+    a scope may be all matches there are, and how they are dealt changes nothing.
+    Draws without an elimination in a cell aren't defined there.
     """
-    mod = 2147483647
-    n = blocks.select("match_id").distinct().count()
-    spark = blocks.sparkSession
-    picks = spark.range(draws).select(F.col("id").alias("draw")).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))))
-    x = (F.col("draw") * 48271 + F.col("pos") * 69621 + F.lit(seed)) % mod
-    place = ((x * 16807) % mod * 48271) % mod % max(n, 1)
-    counts = picks.select("draw", place.alias("place")).groupBy("draw", "place").agg(F.count("*").alias("k"))
-    numbered = blocks.select("match_id").distinct().withColumn("place", (F.row_number().over(Window.orderBy("match_id")) - 1).cast("long"))
-    sums = blocks.groupBy("match_id", "own", "opp").agg(F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths")).join(numbered, "match_id").join(counts, "place")
-    rates = sums.groupBy("draw", "own", "opp").agg(F.sum(F.col("k") * F.col("kills")).alias("a"), F.sum(F.col("k") * (F.col("kills") + F.col("deaths"))).alias("b")).where("b > 0").withColumn("p", F.col("a") / F.col("b"))
-    return rates.groupBy("own", "opp").agg(r6(F.percentile("p", 0.025)).alias("low"), r6(F.percentile("p", 0.975)).alias("high"), r6(F.count("*") / draws).alias("defined"))
+    by = by or ["own", "opp"]
+    numbers = np.arange(draws, dtype=np.int64)
+
+    def partial(batches):
+        for batch in batches:
+            rows = batch.to_pandas()
+            if not len(rows):
+                continue
+            cells = rows[by].drop_duplicates().reset_index(drop=True)
+            cell = rows[by].merge(cells.reset_index(), on=by, how="left")["index"].to_numpy()
+            ids, match = np.unique(rows["match_id"].to_numpy(), return_inverse=True)
+            sums = np.zeros((len(ids), len(cells), 2), np.int64)
+            np.add.at(sums, (match, cell), rows[["kills", "deaths"]].to_numpy())
+            drawn = np.tensordot(draw_weights(ids, numbers, seed), sums, axes=(0, 0))  # draws x cells x 2
+            out = cells.loc[np.tile(np.arange(len(cells)), draws)].reset_index(drop=True)
+            out["draw"], out["a"], out["b"] = np.repeat(numbers, len(cells)), drawn[..., 0].ravel(), drawn.sum(2).ravel()
+            yield pa.RecordBatch.from_pandas(out[out["b"] > 0][[*by, "draw", "a", "b"]], schema=arrow, preserve_index=False)
+
+    rows = blocks.where("match_id is not null").select(F.col("match_id").cast("long").alias("match_id"), *by, F.coalesce("kills", F.lit(0)).cast("long").alias("kills"), F.coalesce("deaths", F.lit(0)).cast("long").alias("deaths"))
+    schema = T.StructType([*[rows.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in ("draw", "a", "b")]])
+    arrow = to_arrow_schema(schema)
+    sums = rows.mapInArrow(partial, schema).groupBy(*by, "draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("p", F.col("a") / F.col("b"))
+    return sums.groupBy(*by).agg(r6(F.percentile("p", 0.025)).alias("low"), r6(F.percentile("p", 0.975)).alias("high"), r6(F.count("*") / draws).alias("defined"))
 
 
 #: Intervals need this share of defined draws and so many matches with duels of the player and of the teammates.
@@ -91,11 +124,15 @@ def fight_ev(wins: DataFrame, duels: DataFrame, match_players: DataFrame, draws:
         player = int(rows["player_id"].iloc[0])
         places = {m: i for i, m in enumerate(sorted(rows["match_id"].unique()))}
         n = len(places)
-        cells: dict[tuple, np.ndarray] = {}
-        for r in rows[rows["side"].notna()].itertuples():
-            cells.setdefault((r.side, int(r.own), int(r.opp)), np.zeros((n, len(counts)), np.int64))[places[r.match_id]] += [getattr(r, c) for c in counts]
-        rng, names, sums = np.random.default_rng([seed, player & 0xFFFFFFFF]), list(cells), []
-        flat = np.concatenate([cells[k] for k in names], axis=1).astype(float) if names else np.zeros((n, 0))
+        seen = rows[rows["side"].notna()]
+        names = sorted({(s, int(a), int(b)) for s, a, b in seen[["side", "own", "opp"]].drop_duplicates().itertuples(index=False)})
+        number = {k: i for i, k in enumerate(names)}
+        cell = [number[k] for k in zip(seen["side"], seen["own"].astype(int), seen["opp"].astype(int), strict=True)]
+        held = np.zeros((n, len(names), len(counts)), np.int64)
+        np.add.at(held, (seen["match_id"].map(places).to_numpy(int), np.array(cell, int)), seen[counts].to_numpy(np.int64))
+        cells = {k: held[:, i] for k, i in number.items()}
+        rng, sums = np.random.default_rng([seed, player & 0xFFFFFFFF]), []
+        flat = held.reshape(n, -1).astype(float)
         step = max(1, 4_000_000 // n)
         for lo in range(0, draws, step):
             some = min(step, draws - lo)

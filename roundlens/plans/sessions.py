@@ -112,14 +112,18 @@ query(
 query("j16_differences", "SELECT count(*) AS n, round(avg(impact - damage), 6) AS mean, round(avg(abs(impact - damage)), 6) AS mean_abs, round(quantile_cont(abs(impact - damage), 0.5), 6) AS median_abs, max(abs(impact - damage)) AS max_abs FROM i_impact", IMPACT_SQL)(
     lambda a: statistics.differences(scores(a), "damage", "impact")
 )
+def _fifth(x: str) -> str:
+    return f"((({x}) * ({x}) % 2147483647) * (({x}) * ({x}) % 2147483647) % 2147483647 * ({x}) % 2147483647)"
+
+
 query(
     "j5_bootstrap",
     """SELECT own, opp, round(quantile_cont(p, 0.025), 6) AS low, round(quantile_cont(p, 0.975), 6) AS high, round(count(*) / 200, 6) AS defined FROM (
-        SELECT draw, own, opp, sum(k * kills) / sum(k * (kills + deaths)) AS p FROM r_blocks b JOIN (SELECT match_id, row_number() OVER (ORDER BY match_id) - 1 AS place FROM (SELECT DISTINCT match_id FROM r_blocks)) m USING (match_id)
-        JOIN (SELECT draw, place, count(*) AS k FROM (SELECT draw, (((draw * 48271 + pos * 69621 + 12345) % 2147483647 * 16807) % 2147483647 * 48271) % 2147483647 % n AS place
-            FROM (SELECT unnest(range(0, 200)) AS draw), (SELECT n, unnest(range(0, n)) AS pos FROM (SELECT count(DISTINCT match_id) AS n FROM r_blocks))) GROUP BY ALL) c USING (place)
-        GROUP BY draw, own, opp HAVING sum(k * (kills + deaths)) > 0) GROUP BY own, opp""",
-    REPLAY_SQL,
+        SELECT draw, own, opp, sum(k * kills) / sum(k * (kills + deaths)) AS p FROM r_blocks JOIN b_weight USING (match_id) GROUP BY draw, own, opp HAVING sum(k * (kills + deaths)) > 0) GROUP BY own, opp""",
+    REPLAY_SQL
+    + f""", b_first AS (SELECT match_id, draw, (draw * 48271 + match_id % 2147483647 * 69621 + 12345) % 2147483647 AS x FROM (SELECT DISTINCT match_id FROM r_blocks), (SELECT unnest(range(0, 200)) AS draw)),
+    b_second AS (SELECT match_id, draw, ({_fifth("x")} + draw * 16807 + 1) % 2147483647 AS x FROM b_first),
+    b_weight AS MATERIALIZED (SELECT match_id, draw, len(list_filter({statistics.POISSON}, lambda t: t <= x))::BIGINT AS k FROM (SELECT match_id, draw, {_fifth("x")} AS x FROM b_second))""",
 )(lambda a: statistics.bootstrap_rates(fight_blocks(a)))
 
 

@@ -1,8 +1,8 @@
 """The arena: match tables derived from the star-schema tables by integer arithmetic.
 
 A match is 26 consecutive orders, each of them a round; line items are the
-elimination feed. All derivations are per row, per round or per match. The rounds,
-the feed and the statistics are written once, as an ingest would, in buckets by
+elimination feed. All derivations are per row, per round or per match. The matches, seats,
+rounds, feed and statistics are written once, as an ingest would, in buckets by
 match; every window, grouping and join that has the match among its keys then
 works on these, without any shuffle. A match is a few hundred rows, so no bucket
 is skewed. Customers are the players, those who were once in a team are friends, and acts follow from when
@@ -75,6 +75,9 @@ class Arena:
 
     @cached_property
     def matches(self) -> DataFrame:
+        return self.by_match("matches", self._matches)
+
+    def _matches(self) -> DataFrame:
         m = F.col("match_id")
         seconds = F.lit(43200) * div(m, 4) + F.lit(3600) * (m % 4)
         return (
@@ -92,6 +95,9 @@ class Arena:
 
     @cached_property
     def match_players(self) -> DataFrame:
+        return self.by_match("match_players", self._match_players)
+
+    def _match_players(self) -> DataFrame:
         m, s = F.col("match_id"), F.col("slot")
         ours = F.when(m % 2 == 0, s < 5).otherwise(s >= 5)
         return (
