@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import r6, rate
+from .statistics import LEAST_DEFINED, LEAST_MATCHES
 
 COMPLEMENT_MOST, CLOSURE_MOST, UNSTABLE_LEVERAGE, MOVERS = 0.15, 0.15, 0.05, 15
 KEY = ["player_id", "side", "own", "opp"]
@@ -60,16 +61,43 @@ def reconstruction(duels: DataFrame) -> DataFrame:
     return duels.groupBy(*KEY).agg(F.sum(F.col("player_kills") + F.col("all_kills")).alias("kills"), F.sum(F.col("player_deaths") + F.col("all_deaths")).alias("deaths"))
 
 
-def report(wins: DataFrame, duels: DataFrame) -> DataFrame:
-    """(player_id, report): all checks of a player as one JSON text; a player has a few hundred rows of them."""
+SECTIONS = {
+    "cells": "pool string, side string, own long, opp long, state string, p_player double, n_player long, p_teammates double, n_teammates long, w_u double, w_d double, leverage double, m double, low double, high double, defined double, matches_player long, matches_teammates long, matches_w_u long, matches_w_d long",
+    "monotonicity": "side string, own long, opp long, kind string, w double, w_next double",
+    "boundaries": "side string, own long, opp long, w double, entries long",
+    "complements": "own long, opp long, w_attack double, w_defend double, diff double",
+    "closures": "side string, own long, opp long, leverage double, p_star double, p_team double, diff double, unstable boolean",
+    "reconstruction": "side string, own long, opp long, kills long, deaths long",
+    "excluded_rounds": "reason string, n long",
+}
+#: The report's JSON, for readers that want it as columns again.
+REPORT = "player_id bigint, matches_considered bigint, accepted_rounds bigint, thresholds struct<least_defined:double,least_matches:bigint,complement_most:double,closure_most:double,unstable_leverage:double>, " + ", ".join(
+    f"{name} array<struct<{', '.join(c.replace(' ', ':') for c in columns.split(', '))}>>" for name, columns in SECTIONS.items()
+)
+
+
+def report(wins: DataFrame, duels: DataFrame, cells: DataFrame, diagnostics: DataFrame, match_players: DataFrame) -> DataFrame:
+    """(player_id, report): the whole validation of a player as one JSON text (REPORT); a player has some hundred rows of it.
+
+    ``cells`` are those of statistics.fight_ev with their intervals, ``diagnostics``
+    those of replay.canonical_replay: the rounds of the player's matches that could be
+    replayed, and why others couldn't. Thresholds stand beside what they decide.
+    """
     rates = win_rates(wins)
-    checks = {"monotonicity": monotonicity(rates), "boundaries": boundaries(rates), "complements": complements(rates), "closures": closures(rates, duels), "reconstruction": reconstruction(duels)}
-    rows = None
-    for name, df in checks.items():
-        one = df.select("player_id", F.lit(name).alias("name"), F.to_json(F.struct(*[c for c in df.columns if c != "player_id"])).alias("row"))
-        rows = one if rows is None else rows.unionAll(one)
-    lists = rows.groupBy("player_id", "name").agg(F.array_join(F.array_sort(F.collect_list("row")), ",").alias("rows"))
-    return lists.groupBy("player_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "name", F.lit('":['), "rows", F.lit("]")))), ","), F.lit("}")).alias("report"))
+    rounds = match_players.where("player_id is not null").select("player_id", "match_id").distinct().join(diagnostics.select("match_id", "reason"), "match_id")
+    frames = {
+        "cells": cells, "monotonicity": monotonicity(rates), "boundaries": boundaries(rates), "complements": complements(rates), "closures": closures(rates, duels), "reconstruction": reconstruction(duels),
+        "excluded_rounds": rounds.where("reason is not null").groupBy("player_id", "reason").agg(F.count("*").alias("n")),
+    }
+    base = rounds.groupBy("player_id").agg(F.count_distinct("match_id").alias("matches_considered"), F.count_if(F.col("reason").isNull()).alias("accepted_rounds"))
+    fixed = {"least_defined": LEAST_DEFINED, "least_matches": LEAST_MATCHES, "complement_most": COMPLEMENT_MOST, "closure_most": CLOSURE_MOST, "unstable_leverage": UNSTABLE_LEVERAGE}
+    base = base.withColumn("thresholds", F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()]))
+    for name, df in frames.items():
+        columns = [c.split() for c in SECTIONS[name].split(", ")]
+        rows = df.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in columns]))).alias(name))
+        base = base.join(rows, "player_id", "left")
+    filled = [F.coalesce(n, F.array().cast(base.schema[n].dataType)).alias(n) for n in SECTIONS]
+    return base.select("player_id", F.to_json(F.struct("player_id", "matches_considered", "accepted_rounds", "thresholds", *filled)).alias("report"))
 
 
 # ---- two versions of impact --------------------------------------------------------------------------------------------

@@ -49,14 +49,39 @@ query(
 )(lambda a: R.diamond(R.state_wins(a.kill_events, a.rounds, a.match_players)).where("total > 0").select("own", "opp", "win_rate", D.win_colour(F.col("win_rate")).alias("colour")))
 LAYOUT = """l_raw AS (SELECT own, opp, (own - opp) * 118 / 2 AS x0, (10 - own - opp) * 134.0::DOUBLE AS y0 FROM (SELECT unnest(range(0, 6)) AS own), (SELECT unnest(range(0, 6)) AS opp) WHERE own > 0 OR opp > 0),
 l_at AS (SELECT own, opp, x0 - min(x0) OVER () + 58 AS x, y0 - min(y0) OVER () + 58 AS y, max(x0) OVER () - min(x0) OVER () + 116 AS width, max(y0) OVER () - min(y0) OVER () + 116 AS height FROM l_raw)"""
-query("f19_layout", "SELECT * FROM l_at", LAYOUT)(lambda a: D.diamond_layout(a.spark, D.KILL_ORDER, 0))
+query(
+    "f19_layout",
+    f"SELECT l.own, l.opp, l.x, l.y, l.width, l.height, coalesce(s.total, 0)::BIGINT AS total, round(s.wins / s.total, 6) AS win_rate FROM l_at l LEFT JOIN (SELECT own, opp, sum(wins) AS wins, sum(total) AS total FROM ({STATES}) GROUP BY ALL) s ON s.own = l.own AND s.opp = l.opp",
+    REPLAY_SQL + ", " + LAYOUT,
+)(lambda a: _placed(a))
+
+
+def _placed(a):
+    """The layout's places with what was counted in each state."""
+    counted = R.diamond(R.state_wins(a.kill_events, a.rounds, a.match_players)).select("own", "opp", "total", "win_rate")
+    return D.diamond_layout(a.spark, D.KILL_ORDER, 0).join(counted, ["own", "opp"], "left").select("own", "opp", "x", "y", "width", "height", F.coalesce("total", F.lit(0)).alias("total"), "win_rate")
+
+
+def _lines(a):
+    """The layout's edges with the eliminations and deaths that went along them."""
+    went = R.order_edges(a.kill_events, a.match_players).groupBy("own", "opp").agg(F.sum("kills").alias("kill"), F.sum("deaths").alias("death"))
+    went = went.select("own", "opp", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("kill", "death")])).alias("e")).select("own", "opp", "e.*")
+    lines = D.edge_lines(D.diamond_layout(a.spark, D.KILL_ORDER, 0), 26.0).join(went, ["own", "opp", "kind"], "left")
+    return lines.select("own", "opp", "kind", *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")], "mid_x", "mid_y", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 query(
     "f19_edges",
     """SELECT own, opp, kind, round(x + dx / sqrt(dx * dx + dy * dy) * 26, 6) AS x1, round(y + dy / sqrt(dx * dx + dy * dy) * 26, 6) AS y1, round(x + dx - dx / sqrt(dx * dx + dy * dy) * 26, 6) AS x2, round(y + dy - dy / sqrt(dx * dx + dy * dy) * 26, 6) AS y2,
-        x + dx / 2 AS mid_x, y + dy / 2 AS mid_y FROM (SELECT a.own, a.opp, CASE WHEN b.opp = a.opp - 1 THEN 'kill' ELSE 'death' END AS kind, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy
-        FROM l_at a JOIN l_at b ON (b.own = a.own AND b.opp = a.opp - 1) OR (b.own = a.own - 1 AND b.opp = a.opp) WHERE a.own > 0 AND a.opp > 0)""",
-    LAYOUT,
-)(lambda a: D.edge_lines(D.diamond_layout(a.spark, D.KILL_ORDER, 0), 26.0).select("own", "opp", "kind", *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")], "mid_x", "mid_y"))
+        x + dx / 2 AS mid_x, y + dy / 2 AS mid_y, n FROM (SELECT a.own, a.opp, CASE WHEN b.opp = a.opp - 1 THEN 'kill' ELSE 'death' END AS kind, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, coalesce(CASE WHEN b.opp = a.opp - 1 THEN e.k ELSE e.d END, 0)::BIGINT AS n
+        FROM l_at a JOIN l_at b ON (b.own = a.own AND b.opp = a.opp - 1) OR (b.own = a.own - 1 AND b.opp = a.opp) LEFT JOIN l_went e ON e.own = a.own AND e.opp = a.opp WHERE a.own > 0 AND a.opp > 0)""",
+    REPLAY_SQL
+    + ", "
+    + LAYOUT
+    + """, l_went AS (SELECT own, opp, sum(k) AS k, sum(d) AS d FROM (
+        SELECT CASE WHEN kteam = 'team-1' THEN c1 ELSE c2 END AS own, CASE WHEN kteam = 'team-1' THEN c2 ELSE c1 END AS opp, 1 AS k, 0 AS d FROM r_count WHERE c1 >= 1 AND c2 >= 1 AND killer <> victim AND killer IS NOT NULL
+        UNION ALL SELECT CASE WHEN vteam = 'team-1' THEN c1 ELSE c2 END, CASE WHEN vteam = 'team-1' THEN c2 ELSE c1 END, 0, 1 FROM r_count WHERE c1 >= 1 AND c2 >= 1 AND killer <> victim) GROUP BY ALL)""",
+)(lambda a: _lines(a))
 query(
     "i6_player_series",
     """SELECT p.match_id, p.match_player_id, string_agg(coalesce(i.impact::VARCHAR, '-'), ',' ORDER BY r.round_number) AS data FROM (SELECT DISTINCT match_id, match_player_id FROM i_impact) p JOIN (SELECT DISTINCT match_id, round_number FROM a_rounds) r USING (match_id)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import played
 from ..operators import models as M
-from ..operators import replay, validation
+from ..operators import replay, statistics, validation
 from ..operators import sessions as H
 from .base import query
 from .replay import REPLAY_SQL
@@ -89,11 +89,52 @@ query(
     FIGHT_SQL,
 )(lambda a: validation.closures(_rates(a), blocks(a)[1]))
 query("j18_reconstruction", "SELECT player_id, side, own, opp, (yk + ak)::BIGINT AS kills, (yd + ad)::BIGINT AS deaths FROM x_d", FIGHT_SQL)(lambda a: validation.reconstruction(blocks(a)[1]))
+
+
+def fight_cells(a):
+    """Cells of all players with their intervals, written once."""
+    return a.kept("fight_ev", lambda: statistics.fight_ev(*blocks(a), a.match_players))
+
+
+def validation_reports(a):
+    from .replay import canonical
+
+    return validation.report(*blocks(a), fight_cells(a), canonical(a), a.match_players)
+
+
+def _reported(a):
+    """What the reports say, read back from their JSON."""
+    got = validation_reports(a).select(F.from_json("report", validation.REPORT).alias("r")).select("r.*")
+    total = lambda name, value: F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + value(x))
+    one = lambda flag: F.when(flag, 1).otherwise(0)
+    return got.select(
+        "player_id", "matches_considered", "accepted_rounds", total("excluded_rounds", lambda x: x.n).alias("excluded_rounds"), F.size("excluded_rounds").cast("long").alias("reasons"),
+        F.size("cells").cast("long").alias("cells"), total("cells", lambda x: one(x.m > 0)).alias("positive"), total("cells", lambda x: one(x.leverage <= 0)).alias("no_leverage"), total("cells", lambda x: x.n_player).alias("fights"), total("cells", lambda x: x.n_teammates).alias("mates"),
+        F.size("monotonicity").cast("long").alias("monotonicity"), total("boundaries", lambda x: x.entries).alias("boundary_entries"), F.size("complements").cast("long").alias("complements"), F.size("closures").cast("long").alias("closures"),
+        total("reconstruction", lambda x: x.kills).alias("kills"), total("reconstruction", lambda x: x.deaths).alias("deaths"), F.col("thresholds.least_matches").alias("least_matches"), F.col("thresholds.closure_most").alias("closure_most"),
+    )
+
+
+def _n(sql: str) -> str:
+    return f"(SELECT player_id, count(*) AS n FROM ({sql}) GROUP BY player_id)"
+
+
 query(
     "a22_validation_report",
-    "SELECT player_id, (SELECT count(*) FROM x_d d WHERE d.player_id = p.player_id) AS reconstructed, 10::BIGINT AS boundaries FROM (SELECT DISTINCT player_id FROM x_wins) p",
+    f"""SELECT p.player_id, matches_considered, accepted_rounds, excluded_rounds, reasons, 100::BIGINT AS cells, c.positive, c.no_leverage, c.fights, c.mates, coalesce(mo.n, 0) AS monotonicity, b.n AS boundary_entries, coalesce(co.n, 0) AS complements, coalesce(cl.n, 0) AS closures,
+        coalesce(rc.kills, 0) AS kills, coalesce(rc.deaths, 0) AS deaths, 5::BIGINT AS least_matches, 0.15::DOUBLE AS closure_most
+    FROM (SELECT player_id, count(DISTINCT match_id) AS matches_considered, count(*) FILTER (reason IS NULL) AS accepted_rounds, count(*) FILTER (reason IS NOT NULL) AS excluded_rounds, count(DISTINCT reason) AS reasons
+        FROM (SELECT DISTINCT player_id, match_id FROM a_match_players) JOIN r_diag USING (match_id) GROUP BY player_id) p
+    JOIN (SELECT player_id, count(*) FILTER (m > 0) AS positive, count(*) FILTER (lev <= 0) AS no_leverage, sum(n_player)::BIGINT AS fights, sum(n_teammates)::BIGINT AS mates FROM (
+        SELECT *, CASE WHEN lev > 0 THEN (p - q) * lev END AS m FROM (SELECT player_id, yk / nullif(yk + yd, 0) AS p, (yk + yd)::BIGINT AS n_player, k / nullif(k + d, 0) AS q, (k + d)::BIGINT AS n_teammates, CASE WHEN yk + yd > 0 AND k + d > 0 THEN w_u - w_d END AS lev
+            FROM (SELECT *, tk AS k, td AS d FROM x_cell UNION ALL SELECT *, ak, ad FROM x_cell))) GROUP BY player_id) c USING (player_id)
+    LEFT JOIN {_n("SELECT a.player_id FROM x_rate a JOIN x_rate b ON b.player_id = a.player_id AND b.side = a.side AND b.own = a.own + 1 AND b.opp = a.opp WHERE b.w < a.w UNION ALL SELECT a.player_id FROM x_rate a JOIN x_rate b ON b.player_id = a.player_id AND b.side = a.side AND b.own = a.own AND b.opp = a.opp + 1 WHERE b.w > a.w")} mo USING (player_id)
+    LEFT JOIN (SELECT player_id, sum(coalesce(entries, 0))::BIGINT AS n FROM x_rate WHERE (side = 'attack' AND own = 0 AND opp > 0) OR (side = 'defend' AND opp = 0 AND own > 0) GROUP BY player_id) b USING (player_id)
+    LEFT JOIN {_n("SELECT a.player_id FROM x_rate a JOIN x_rate d ON d.player_id = a.player_id AND d.own = a.opp AND d.opp = a.own AND d.side = 'defend' WHERE a.side = 'attack' AND a.own > 0 AND a.opp > 0 AND round(abs(a.w - (1 - d.w)), 6) > 0.15")} co USING (player_id)
+    LEFT JOIN {_n("SELECT player_id, round(w_u - w_d, 6) AS l, round(abs((w - w_d) / (w_u - w_d) - (yk + ak) / (yk + ak + yd + ad)), 6) AS diff FROM x_cell WHERE w IS NOT NULL AND w_u - w_d <> 0 AND yk + ak + yd + ad > 0 AND (abs(round(w_u - w_d, 6)) < 0.05 OR round(abs((w - w_d) / (w_u - w_d) - (yk + ak) / (yk + ak + yd + ad)), 6) > 0.15)")} cl USING (player_id)
+    LEFT JOIN (SELECT player_id, sum(yk + ak)::BIGINT AS kills, sum(yd + ad)::BIGINT AS deaths FROM x_d GROUP BY player_id) rc USING (player_id)""",
     FIGHT_SQL,
-)(lambda a: validation.report(*blocks(a)).select("player_id", *[F.size(F.from_json(F.get_json_object("report", f"$.{k}"), "array<string>")).cast("long").alias(v) for k, v in (("reconstruction", "reconstructed"), ("boundaries", "boundaries"))]))
+)(_reported)
 
 # Two versions of impact, each a table of its own: the old one leaves surrendered rounds out, has no share of trades and counts time within damage; the new one has all rounds with an outcome.
 VERSIONS = (

@@ -91,10 +91,15 @@ query(
     REPLAY_SQL,
 )(lambda a: R.first_deaths_in_losses(a.kill_events, a.rounds, a.match_players))
 query("g5_canonical", "SELECT match_id, round_id, reason, CASE WHEN reason IS NULL THEN live + 1 END AS entries, CASE WHEN reason IS NULL THEN duels END AS duels, CASE WHEN reason IS NULL THEN late END AS post_decision FROM r_diag", REPLAY_SQL)(
-    lambda a: R.canonical_replay(a.kill_events, a.rounds, a.match_players)[0]
+    lambda a: canonical(a)
 )
 
 
+def canonical(a):
+    """What became of each round in the canonical replay, written once."""
+    return a.kept("canonical", lambda: R.canonical_replay(a.kill_events, a.rounds, a.match_players)[0])
+
+
 def fight_blocks(a):
     """The blocks of all matches, written once: leverage and bootstrap read them too."""
     return a.kept("fight_blocks", lambda: R.fight_blocks(a.kill_events, a.rounds, a.match_players))

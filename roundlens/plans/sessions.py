@@ -133,9 +133,9 @@ def tracked_roster(a):
 
 
 def _fight_ev(a):
-    from .fights import blocks
+    from .fights import fight_cells
 
-    return statistics.fight_ev(*blocks(a), a.match_players)
+    return fight_cells(a)
 
 
 query("j5_fight_ev")(_fight_ev)

@@ -64,7 +64,15 @@ def test_validation_checks(spark):
     flags = validation.complements(rates).collect()
     assert [(r.own, r.opp, r["diff"]) for r in flags] == [(2, 2, 0.4)]
     assert {(r.own, r.opp): (r.w, r.entries) for r in validation.boundaries(rates).where("side = 'attack'").collect()}[0, 3] == (0.25, 4)
-    assert '"reconstruction":[{' in validation.report(wins, duels).first().report
+    from roundlens.operators import statistics
+
+    seats_ = spark.createDataFrame([(1, 1), (1, 2), (1, 1)], "player_id long, match_id long")
+    cells = statistics.fight_ev(wins, duels, seats_, 50)
+    diagnostics = spark.createDataFrame([(1, None), (1, "ties"), (2, None), (2, "ties"), (3, "x")], "match_id long, reason string")
+    got = validation.report(wins, duels, cells, diagnostics, seats_).select(F.from_json("report", validation.REPORT).alias("r")).first().r
+    assert (got.player_id, got.matches_considered, got.accepted_rounds) == (1, 2, 2) and [tuple(x) for x in got.excluded_rounds] == [("ties", 2)]
+    assert len(got.cells) == 100 and [tuple(x) for x in got.reconstruction] == [("attack", 2, 2, 3, 3)] and got.thresholds.least_matches == statistics.LEAST_MATCHES
+    assert [tuple(x) for x in got.complements] == [(2, 2, 0.6, 0.8, 0.4)] and len(got.boundaries) == 10
 
 
 def test_standing_counters(spark):
