@@ -147,7 +147,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Nulls count as empty, and a null conv_id is a conversation of its own; of turns
     with equal numbers the one whose formatted text is smaller comes first; repeated
-    rows count each; other columns don't matter; an empty table gives an empty one.
+    rows count each; texts of any length are formatted and parsed whole, one at a time;
+    other columns don't matter; an empty table gives an empty one.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return read_back(format_turns(rows))

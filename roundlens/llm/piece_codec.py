@@ -201,8 +201,9 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
     Every whole text is encoded, and the ids are decoded again and compared with
     the text as the model sees it (U+2581 and a blank are one and the same).
-    Null and empty texts give no ids and round-trip; columns of these names are
-    replaced; repeated rows are encoded each. No shuffle.
+    Null and empty texts give no ids and round-trip; texts of any length are encoded
+    word by word to their end; columns of these names are replaced and all others
+    pass; repeated rows are encoded each; an empty table gives an empty one. No shuffle.
     """
     at = docs.columns.index(text)
 
@@ -236,7 +237,12 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
 
 def decode_pieces(docs: DataFrame, ids: str = "token_ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with decoded (string): the text of each row's ids; null ids give an empty text."""
+    """``docs`` with decoded (string): the text of each row's ids.
+
+    Null and empty ids give an empty text; lists of any length are decoded whole;
+    repeated rows are decoded each; a column named decoded is replaced and all others
+    pass; an empty table gives an empty one. No shuffle.
+    """
     at = docs.columns.index(ids)
 
     def per_batch(batch):

@@ -204,7 +204,10 @@ def label_rate(labels: DataFrame) -> float:
 def drop_low_quality(docs: DataFrame, labels: DataFrame, site: str, path: str, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged whatever their names, whose quality is at least KEEP_AT; the model learns from ``corpus``.
 
-    Texts are scored once, and written with their evidence.
+    Texts are scored once, whole, and written with their evidence. Null and empty texts
+    have no evidence of their own and are judged by their site and path, of which null is
+    one more; repeated rows count each in the posteriors; equal scores are judged
+    alike; an empty table gives an empty one.
     """
     model = fit(corpus if corpus is not None else docs, labels)
     rows, names = aliased(docs)

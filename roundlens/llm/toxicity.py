@@ -313,7 +313,8 @@ def with_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFram
 def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged whatever their names, whose texts score under PREDICT_AT; the network learns from ``corpus``.
 
-    Null and empty texts stay, and an empty table gives an empty one.
+    Null and empty texts stay; texts of any length are scored to their end; repeated
+    rows and equal scores are judged alike; an empty table gives an empty one.
     """
     rows, names = aliased(docs)
     found = with_toxicity(rows, fit(corpus if corpus is not None else docs, labels), names[text])
