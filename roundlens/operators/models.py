@@ -72,6 +72,6 @@ def lobby_test(matches: DataFrame, match_players: DataFrame) -> DataFrame:
     share = n.select("map_name", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
     last = F.lag("map_name").over(Window.partitionBy("player_id").orderBy("played_at", "match_id"))
     before = match_players.select("player_id", "match_id").join(timed, "match_id").withColumn("last", last).where("last is not null").select("match_id", "map_name", F.col("last")).distinct()
-    each = before.join(F.broadcast(share.withColumnRenamed("map_name", "last")), "last").groupBy("match_id").agg(F.sum("p").alias("p"), F.max((F.col("last") == F.col("map_name")).cast("int")).alias("hit"))
+    each = before.join(share.withColumnRenamed("map_name", "last"), "last").groupBy("match_id").agg(F.sum("p").alias("p"), F.max((F.col("last") == F.col("map_name")).cast("int")).alias("hit"))
     sums = each.agg(F.count("*").alias("total"), F.sum("hit").alias("hits"), F.sum("p").alias("e"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"))
     return sums.where("total > 0").select("total", "hits", r6(F.col("e")).alias("expected"), r6(F.col("v")).alias("variance"), F.round(F.when(F.col("v") > 0, (F.col("hits") - F.col("e")) / F.sqrt("v")), 4).alias("z"))

@@ -132,7 +132,7 @@ def predict_maps(matches: DataFrame, match_players: DataFrame, acts: DataFrame,
     members = lobbies.select("lobby_id", "player_id").distinct()
     known = members.join(last_maps(matches, match_players), "player_id").groupBy("lobby_id", "map_name").agg(F.count("*").alias("k"))
     sizes = members.groupBy("lobby_id").agg(F.greatest(lobby_size - F.count("player_id"), F.lit(0)).alias("unknown"))
-    rows = sizes.crossJoin(F.broadcast(pool.select("map_name", "share"))).join(known, ["lobby_id", "map_name"], "left").join(F.broadcast(common), "map_name", "left")
+    rows = sizes.crossJoin(pool.select("map_name", "share")).join(known, ["lobby_id", "map_name"], "left").join(common, "map_name", "left")
     damp = F.when(F.col("k") >= 2, 0.2).when(F.col("k") == 1, 0.47).otherwise(1.0)
     raw = F.col("share") * damp * F.pow(1 - F.coalesce("p_last", F.lit(0.0)) * 0.53, F.col("unknown"))
     rows = rows.withColumn("raw", raw)

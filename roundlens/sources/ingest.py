@@ -68,7 +68,7 @@ def whole_history(history: DataFrame, acts: DataFrame, max_matches: int | None =
     new are left out, as are those beyond ``max_acts``, and documents beyond ``max_matches``.
     """
     ranked = acts.select("act_id", F.row_number().over(Window.orderBy(F.desc("act_start"))).alias("act"))
-    ranked = F.broadcast(ranked if max_acts is None else ranked.where(F.col("act") <= max_acts))
+    ranked = ranked if max_acts is None else ranked.where(F.col("act") <= max_acts)
     once = Window.partitionBy("player", "external_id").orderBy("act", "place")
     new = history.where(F.col("mode") == mode).join(ranked, "act_id").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
     counts = history.select("player").distinct().crossJoin(ranked.select("act")).join(new.groupBy("player", "act").agg(F.count("*").alias("n")), ["player", "act"], "left")
@@ -124,7 +124,7 @@ def upsert_by_match(df: DataFrame, path: str) -> None:
         held = None
     if held is not None:
         touched = fresh.select("part").distinct()
-        held = held.join(F.broadcast(touched), "part", "left_semi").join(df.select("match_id").distinct(), "match_id", "left_anti")
+        held = held.join(touched, "part", "left_semi").join(df.select("match_id").distinct(), "match_id", "left_anti")
         fresh = written(fresh.unionByName(held.select(*fresh.columns)), "upsert")
     fresh.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 

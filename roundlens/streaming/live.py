@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.impact import keep_impact
 from ..sources.ingest import DOCUMENT
 
 
@@ -22,6 +23,20 @@ def score_as_they_land(documents: DataFrame, sink: Callable[[DataFrame, int], No
     return documents.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def impact_sink(path: str, tables: Callable[[], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A sink for score_as_they_land of rows with a match_id: the impact table at ``path`` is brought up to date for the matches of each batch.
+
+    ``tables`` gives kill_events, rounds, match_players and stats as they are when the
+    batch comes; a batch that is repeated computes the same rows again and replaces them.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        now = tables()
+        keep_impact(path, batch, now["kill_events"], now["rounds"], now["match_players"], now["stats"])
+
+    return put
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, event_type, n) over event time; rows later than ``late`` are left out in a stream."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

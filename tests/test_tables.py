@@ -100,6 +100,24 @@ def test_impact_is_kept_by_match(spark, tmp_path, monkeypatch):
     assert kept().exceptAll(whole).count() == 0 == whole.exceptAll(kept()).count()
 
 
+def test_impact_follows_a_stream(spark, tmp_path):
+    """Match ids land in files, one of them twice; each batch replaces its matches' rows."""
+    from roundlens.streaming import live
+
+    a, path = Arena(spark, SMALL), f"file://{tmp_path}/impact"
+    ids = sorted(r.match_id for r in a.matches.where("match_id < 9").collect())
+    for k, some in enumerate((ids[:4], ids[2:6], ids[6:])):
+        spark.createDataFrame([(m,) for m in some], "match_id long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    landed = spark.readStream.schema("match_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    tables_ = {"kill_events": a.kill_events, "rounds": a.rounds, "match_players": a.match_players, "stats": a.stats}
+    query = live.score_as_they_land(landed, live.impact_sink(path, lambda: tables_), f"{tmp_path}/check")
+    query.awaitTermination(300)
+    assert query.exception() is None
+    whole = impact.impact_scores(*tables_.values()).where(F.col("match_id") < 9)
+    kept = spark.read.schema(whole.schema).parquet(path).select(whole.columns)
+    assert kept.exceptAll(whole).count() == 0 == whole.exceptAll(kept).count() and kept.count() > 0
+
+
 def test_repeats_split_by_shared_players(spark):
     at = lambda h: datetime.datetime(2024, 1, 1, h)
     matches = spark.createDataFrame([(1, at(1), "A"), (2, at(2), "A"), (3, at(3), "B"), (4, at(4), "A")], "match_id long, played_at timestamp_ntz, map_name string")
