@@ -12,7 +12,8 @@ from ..operators import replay as R
 from ..operators import social as S
 from ..operators import summaries as P
 from ..operators.statistics import average_ranks
-from ..sources import ingest
+from ..sources import icons, ingest
+from ..sources.tables import written
 from ..streaming.live import windowed_counts
 from .base import query
 from .scoring import IMPACT_SQL, scores
@@ -158,6 +159,35 @@ query(
     "SELECT external_id AS match_external_id, round_number, round_id, i.match_player_id, display_name AS player_name, i.team, kill_impact, death_impact, impact FROM i_impact i JOIN (SELECT match_player_id, player_id FROM a_match_players) p USING (match_player_id) JOIN (SELECT match_id, external_id FROM a_matches) m USING (match_id) JOIN a_players USING (player_id)",
     IMPACT_SQL,
 )(lambda a: ingest.impact_snapshot(scores(a), a.match_players, a.matches, a.players))
+def match_pictures(a):
+    """A picture of each match of 8 x 9 pixels: its eliminations by victim's seat and by twelve seconds of the round."""
+    at = F.least(F.floor(F.col("t") / 12), F.lit(8)).cast("int")
+    cells = a.kill_events.where("victim is not null").groupBy("match_id", (F.col("victim") % 10 % 8).cast("int").alias("y"), at.alias("x")).agg(F.count("*").alias("n"))
+    held = cells.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(9 * F.col("y") + F.col("x"), F.col("n")))).alias("m"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: F.coalesce(F.element_at("m", 9 * y + x), F.lit(0)).cast("double")))
+    return held.select(F.col("match_id").alias("icon_id"), grid.alias("pixels"))
+
+
+def _picture_labels(a):
+    """Each match's hash, and the map whose first match looks like it, if any does."""
+    hashes = written(icons.hash_pictures(match_pictures(a)), "pictures")
+    named = a.matches.groupBy("map_name").agg(F.min("match_id").alias("icon_id"))
+    known = hashes.join(named, "icon_id").select("hash", F.col("map_name").alias("label"))
+    return ingest.classify_icons(hashes, known).join(hashes, "icon_id").select("icon_id", "hash", "label")
+
+
+query(
+    "a11_pictures",
+    """SELECT icon_id, h.hash, coalesce(k.label, 'BAD CLASSIFICATION!') AS label FROM k_hash h LEFT JOIN (
+        SELECT h.icon_id, min({'d': bit_count(xor(h.hash, r.hash)), 'l': label}).l AS label FROM k_hash h, k_known r WHERE bit_count(xor(h.hash, r.hash)) <= 5 GROUP BY h.icon_id) k USING (icon_id)""",
+    """k_cell AS (SELECT match_id, (victim % 10 % 8)::INT AS y, least(t // 12, 8)::INT AS x, count(*) AS n FROM a_kills WHERE victim IS NOT NULL GROUP BY ALL),
+    k_grid AS (SELECT match_id, y, x FROM (SELECT DISTINCT match_id FROM k_cell) m CROSS JOIN (SELECT unnest(range(8))::INT AS y) CROSS JOIN (SELECT unnest(range(9))::INT AS x)),
+    k_full AS (SELECT g.match_id, g.y, g.x, coalesce(n, 0) AS n FROM k_grid g LEFT JOIN k_cell c ON c.match_id = g.match_id AND c.y = g.y AND c.x = g.x),
+    k_bits AS (SELECT match_id, 8 * y + x - 1 AS k, n > lag(n) OVER (PARTITION BY match_id, y ORDER BY x) AS up FROM k_full),
+    k_sum AS (SELECT match_id, sum(CASE WHEN up AND k > 0 THEN 1::HUGEINT << (63 - k)::INT ELSE 0 END) + min(CASE WHEN up AND k = 0 THEN -(1::HUGEINT << 63) ELSE 0 END) AS h FROM k_bits WHERE up IS NOT NULL GROUP BY match_id),
+    k_hash AS MATERIALIZED (SELECT match_id AS icon_id, h::BIGINT AS hash FROM k_sum),
+    k_known AS (SELECT hash, map_name AS label FROM (SELECT map_name, min(match_id) AS icon_id FROM a_matches GROUP BY map_name) JOIN k_hash USING (icon_id))""",
+)(_picture_labels)
 query(
     "a11_icons",
     "SELECT icon_id, coalesce(arg_min(label, bit_count(xor(hash, h)) * 1000 + label[2:]::INT) FILTER (bit_count(xor(hash, h)) <= 5), 'BAD CLASSIFICATION!') AS label FROM k_icon, k_ref GROUP BY icon_id",

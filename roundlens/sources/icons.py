@@ -82,6 +82,18 @@ def difference_hash(pixels: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
+def hash_pictures(pictures: DataFrame) -> DataFrame:
+    """(icon_id, hash) of ``pictures`` (icon_id, pixels: array of rows of doubles); null where there are none."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.array(x, float) if x and x[0] else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if r is None else difference_hash(r) for r in rows], pa.int64())], names=["icon_id", "hash"])
+
+    kind = pictures.schema["icon_id"].dataType.simpleString()
+    return pictures.select("icon_id", F.col("pixels").cast("array<array<double>>").alias("pixels")).mapInArrow(run, f"icon_id {kind}, hash long")
+
+
 def read_icons(spark: SparkSession, path: str) -> DataFrame:
     """(icon_id, name, hash) of the images below a folder: icon_id is the file's path, name its own name without the ending; hash is null where a file is no such image."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
