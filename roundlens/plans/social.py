@@ -180,7 +180,7 @@ query(
     "a11_pictures",
     """SELECT icon_id, h.hash, coalesce(k.label, 'BAD CLASSIFICATION!') AS label FROM k_hash h LEFT JOIN (
         SELECT h.icon_id, min({'d': bit_count(xor(h.hash, r.hash)), 'l': label}).l AS label FROM k_hash h, k_known r WHERE bit_count(xor(h.hash, r.hash)) <= 5 GROUP BY h.icon_id) k USING (icon_id)""",
-    """k_cell AS (SELECT match_id, (victim % 10 % 8)::INT AS y, least(t // 12, 8)::INT AS x, count(*) AS n FROM a_kills WHERE victim IS NOT NULL GROUP BY ALL),
+    """k_cell AS (SELECT match_id, (victim % 10 % 8)::INT AS y, least(floor(t / 12), 8)::INT AS x, count(*) AS n FROM a_kills WHERE victim IS NOT NULL GROUP BY ALL),
     k_grid AS (SELECT match_id, y, x FROM (SELECT DISTINCT match_id FROM k_cell) m CROSS JOIN (SELECT unnest(range(8))::INT AS y) CROSS JOIN (SELECT unnest(range(9))::INT AS x)),
     k_full AS (SELECT g.match_id, g.y, g.x, coalesce(n, 0) AS n FROM k_grid g LEFT JOIN k_cell c ON c.match_id = g.match_id AND c.y = g.y AND c.x = g.x),
     k_bits AS (SELECT match_id, 8 * y + x - 1 AS k, n > lag(n) OVER (PARTITION BY match_id, y ORDER BY x) AS up FROM k_full),
