@@ -144,7 +144,7 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of sorted distinct words into the memo, prefixes shared."""
         state: list[tuple[float, str]] = [(0.0, "")]
-        ends, numbers = [""], [-1]
+        ends, numbers, beyond = [""], [-1], 0 if self.unigram else len(self.raw)
         last = ""
         for word in words:
             if word in self.memo:
@@ -160,11 +160,20 @@ class PieceModel:
             else:
                 del ends[shared + 1 :], numbers[shared + 1 :]
                 self.last_pieces(word, shared, ends, numbers)
-            pieces, at = [], len(word)
-            while at:
-                pieces.append(ends[at])
-                at -= len(pieces[-1])
-            self.memo[word] = tuple(self.to_ids(pieces[::-1]))
+            found, at = [], len(word)
+            if not self.unigram:  # pieces are numbered by their ids, but for those that aren't in the vocabulary
+                while at:
+                    found.append(numbers[at])
+                    at -= len(ends[at])
+                found.reverse()
+                at = 0 if max(found) < beyond else len(word)
+            if at:
+                found = []
+                while at:
+                    found.append(ends[at])
+                    at -= len(found[-1])
+                found = self.to_ids(found[::-1])
+            self.memo[word] = tuple(found)
             self.memo_chars += len(word)
             last = word
 
@@ -173,13 +182,17 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        if self.memo_chars > MEMO_CHARS:
-            self.memo, self.memo_chars = {}, 0
         collects = gc.isenabled()
         gc.disable()  # nothing here is part of a cycle, and looking for some would cross the memo again and again
         try:
             cut = [self.cut(t) for t in texts]
-            self.encode_words(sorted({w for words in cut for w in words} - self.memo.keys()))
+            distinct = set().union(*cut)
+            if self.memo_chars > MEMO_CHARS:  # words that come again are kept, while they are the smaller part
+                again = {w: self.memo[w] for w in distinct if w in self.memo}
+                self.memo_chars = sum(map(len, again))
+                self.memo = again if self.memo_chars <= MEMO_CHARS // 2 else {}
+                self.memo_chars *= bool(self.memo)
+            self.encode_words(sorted(distinct.difference(self.memo)))
             return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
         finally:
             if collects:
