@@ -81,9 +81,12 @@ def set_replay(feed: DataFrame, match_players: DataFrame) -> DataFrame:
     return rows.where(((F.col("alive_1") > 0) & (F.col("alive_2") > 0)) | (F.col("seq") == 1)).drop("size_1", "size_2")
 
 
-def kill_streaks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -> DataFrame:
-    """(match_player_id, streak): the most eliminations without an own death in between, across the rounds of a match. A gaps-and-islands count."""
-    rows = set_replay(feed, match_players).join(rounds.select(*ROUND, "round_number"), ROUND)
+def kill_streaks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
+    """(match_player_id, streak): the most eliminations without an own death in between, across the rounds of a match. A gaps-and-islands count.
+
+    Here and below ``replayed`` is set_replay where it was written already.
+    """
+    rows = (set_replay(feed, match_players) if replayed is None else replayed).join(rounds.select(*ROUND, "round_number"), ROUND)
     k = rows.where("killer is not null").select("match_id", F.col("killer").alias("p"), "round_number", "seq", F.lit(0).alias("step"), F.lit(1).alias("k"), F.lit(0).alias("d"))
     d = rows.where("victim is not null").select("match_id", F.col("victim").alias("p"), "round_number", "seq", F.lit(1).alias("step"), F.lit(0).alias("k"), F.lit(1).alias("d"))
     island = F.coalesce(F.sum("d").over(Window.partitionBy("match_id", "p").orderBy("round_number", "seq", "step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -91,9 +94,9 @@ def kill_streaks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -
     return each.groupBy(F.col("p").alias("match_player_id")).agg(F.max("n").alias("streak"))
 
 
-def clutches(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -> DataFrame:
+def clutches(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
     """(match_id, round_id, team, own, opp, seq): won rounds in which a side of one or two faced as many or more; its smallest state, the first of equals."""
-    rows = set_replay(feed, match_players).join(rounds.select(*ROUND, winner(F.col("outcome")).alias("team")), ROUND).where("team is not null")
+    rows = (set_replay(feed, match_players) if replayed is None else replayed).join(rounds.select(*ROUND, winner(F.col("outcome")).alias("team")), ROUND).where("team is not null")
     one = F.col("team") == TEAM_1
     own, opp = F.when(one, F.col("left_1")).otherwise(F.col("left_2")), F.when(one, F.col("left_2")).otherwise(F.col("left_1"))
     states = rows.select(*ROUND, "team", "seq", own.alias("own"), opp.alias("opp")).where("own in (1, 2) and opp >= own")

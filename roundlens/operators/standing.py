@@ -19,9 +19,9 @@ def fraggers(stats: DataFrame) -> DataFrame:
     return sums.groupBy("match_id", "team").agg(F.min(order(-F.col("kills"))).getField("id").alias("top"), F.min(order(F.col("kills"))).getField("id").alias("bottom"))
 
 
-def standing_counters(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, stats: DataFrame) -> DataFrame:
+def standing_counters(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, stats: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
     """Per match player: kills in even fights and while outnumbered, kills of the other side's top fragger, deaths to its bottom fragger, and full wipes that the player was the last to fall in."""
-    rows = set_replay(feed, match_players).join(rounds.where(played(F.col("outcome"))).select(*ROUND), ROUND, "left_semi")
+    rows = (set_replay(feed, match_players) if replayed is None else replayed).join(rounds.where(played(F.col("outcome"))).select(*ROUND), ROUND, "left_semi")
     best = fraggers(stats)
     rows = rows.join(best.select("match_id", F.col("team").alias("victim_team"), "top"), ["match_id", "victim_team"], "left").join(best.select("match_id", F.col("team").alias("killer_team"), "bottom"), ["match_id", "killer_team"], "left")
     fight = F.coalesce((F.col("killer") != F.col("victim")) & (F.col("killer_team") != F.col("victim_team")), F.lit(False))
@@ -39,9 +39,10 @@ def standing_counters(feed: DataFrame, rounds: DataFrame, match_players: DataFra
     return each.groupBy("match_id", F.col("p.id").alias("match_player_id")).agg(*[F.sum(f"p.{k}").alias(v) for k, v in names.items()])
 
 
-def clutch_resolvers(feed: DataFrame, rounds: DataFrame, match_players: DataFrame) -> DataFrame:
+def clutch_resolvers(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
     """(match_id, round_id, match_player_id): the players still standing in the state that their side won a clutch from."""
-    won = clutches(feed, rounds, match_players)
-    fell = set_replay(feed, match_players).where("first_death").select(*ROUND, F.col("victim").alias("match_player_id"), F.col("seq").alias("fell"))
+    replayed = set_replay(feed, match_players) if replayed is None else replayed
+    won = clutches(feed, rounds, match_players, replayed)
+    fell = replayed.where("first_death").select(*ROUND, F.col("victim").alias("match_player_id"), F.col("seq").alias("fell"))
     team = won.join(match_players.select("match_id", "match_player_id", "team"), ["match_id", "team"])
     return team.join(fell, [*ROUND, "match_player_id"], "left").where("fell is null or fell > seq").select(*ROUND, "match_player_id")

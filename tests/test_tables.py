@@ -146,3 +146,38 @@ def test_coverage_of_two_versions(spark):
     row = "match_id long, round_id long, match_player_id long"
     old, new = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 3, 1)], row), spark.createDataFrame([(1, 1, 2), (1, 2, 2), (3, 5, 1)], row)
     assert {tuple(r) for r in validation.coverage(old, new).collect()} == {(1, 1, 1, 1), (2, 0, 1, 0), (3, 0, 0, 1)}
+
+
+def test_parts_grow_with_the_input(spark, no_broadcast, tmp_path, monkeypatch):
+    """Larger tables lie in more buckets, not in larger ones, and shuffles begin with as many parts."""
+    from roundlens.sources import arena
+
+    monkeypatch.setattr(arena, "ROUNDS_A_PART", 100)
+    folder = tmp_path / "in"
+    shutil.copytree(SMALL, folder)
+    a = Arena(spark, str(folder))
+    want = -(-spark.read.parquet(f"{SMALL}/orders.parquet").count() // 100)
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert a.parts >= want > int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(first) == str(a.parts)
+        assert f"out of {a.parts}" in plan(a.rounds.join(a.stats, "match_id"))
+        assert sorted(map(tuple, a.rounds.collect())) == sorted(map(tuple, Arena(spark, SMALL).rounds.collect()))
+    finally:
+        spark.conf.unset(first)
+
+
+def test_impact_reads_its_steps_as_written(spark, no_broadcast):
+    """A task of the last step sorts a few tables, not all that lead to them."""
+    from roundlens.plans.scoring import scores
+
+    a = Arena(spark, SMALL)
+    whole = impact.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats)
+    assert sorted(map(tuple, scores(a).collect())) == sorted(map(tuple, whole.collect()))
+    written = [name for _, folder, _, name in tables._kept if folder == SMALL]
+    assert {"swings", "kill_factors", "trades"} <= set(written)
+    last = impact.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats, scores_step(a, "kill_factors"), scores_step(a, "trades"))
+    assert plan(last).count("Sort [") <= 8 < plan(whole).count("Sort [")
+
+
+def scores_step(a, name):
+    return a.by_match(name, lambda: pytest.fail(f"{name} isn't written"))
