@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,14 +145,17 @@ def assign_shoutouts(found: DataFrame) -> DataFrame:
     Of equals, the one that gives its categories, in order of priority, to the better ranks.
     """
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows[["priority", "category"]].drop_duplicates().sort_values(["priority", "category"])["category"].tolist()
+    def assign(rows: pa.Table) -> pa.Table:
+        scope, category, priority, player, rank = (column.to_pylist() for column in rows.columns)
+        names = [c for _, c in sorted(set(zip(priority, category, strict=True)))]
         number = {c: i for i, c in enumerate(names)}
-        ranks = {(p, number[c]): r for p, c, r in zip(rows["player_id"].tolist(), rows["category"], rows["rank"].tolist(), strict=True)}
-        scope = int(rows["scope_id"].iloc[0])
-        return pd.DataFrame([(scope, p, names[c], ranks[p, c]) for p, c in sorted(best_assignment(ranks).items())], columns=["scope_id", "player_id", "category", "rank"])
+        ranks = {(p, number[c]): r for p, c, r in zip(player, category, rank, strict=True)}
+        given = sorted(best_assignment(ranks).items())
+        columns = [[scope[0]] * len(given), [p for p, _ in given], [names[c] for _, c in given], [ranks[x] for x in given]]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["scope_id", "player_id", "category", "rank"])
 
-    return found.select("scope_id", "category", "priority", "player_id", "rank").groupBy("scope_id").applyInPandas(assign, ASSIGNED)
+    return found.select("scope_id", "category", "priority", "player_id", "rank").groupBy("scope_id").applyInArrow(assign, ASSIGNED)
 
 
 def told_values(values: DataFrame, categories: list[tuple[str, str, str]] = MATCH_CATEGORIES) -> DataFrame:

@@ -280,3 +280,13 @@ def test_bootstrap_of_fight_values_equals_a_plain_one(spark):
             assert cell.defined == len(values) / draws
             low, high = np.percentile(values, [2.5, 97.5])
             assert abs(cell.low - low) < 1e-9 and abs(cell.high - high) < 1e-9
+
+
+def test_matching_is_solved_twice_unless_a_worse_rank_can_go(monkeypatch):
+    from roundlens.operators import matching
+
+    solved = []
+    pairs = matching.least_cost_pairs
+    monkeypatch.setattr(matching, "least_cost_pairs", lambda costs: solved.append(1) or pairs(costs))
+    ranks = {(p, c): (p + c) % 5 for c in range(5) for p in range(5)} | {(5, 5): 4}
+    assert len(matching.best_assignment(ranks)) == 6 and len(solved) == 2
