@@ -81,3 +81,41 @@ def test_rows_beyond_the_watermark_are_left_out(spark, tmp_path):
         counters.live_trades(stream, "5 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
     got = [(r.kill_id, r.trader) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert got == [(2, 23)]  # the answer to the first came fifty minutes late
+
+
+def test_trades_keep_each_row_once(spark, landed):
+    """A session's rows are the state; no join holds the feed on both sides."""
+    _, folder, _ = landed
+    stream = spark.readStream.schema(counters.FEED).parquet(f"{folder}/part0")
+    assert "Join" not in counters.live_trades(stream, "1 hour")._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_batch_reads_and_writes_a_match_once():
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, new):
+            calls.append("update")
+            self.held = new
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: Value()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    rows = pd.DataFrame([(1, pd.Timestamp("2024-03-01"), 1, 1, k, float(k), 10, 20 + k, "team-1", "team-2", None, 5, 5) for k in range(1, 5)], columns=[c.split()[0] for c in counters.FEED.split(", ")])
+    one = counters.MatchCounters(1000)
+    one.init(Handle())
+    for _ in range(2):  # repeated rows do no harm
+        told = pd.concat(one.handleInputRows((1,), iter([rows]), None))
+    assert calls == ["update", "get", "update"] and told.where(told.kind == "streak").streak.max() == 4
