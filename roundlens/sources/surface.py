@@ -5,6 +5,8 @@ Tables are in buckets by match, so a function of a match reads one bucket of eac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 FUNCTIONS = {
@@ -32,7 +34,7 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
-    """Put ``tables`` (matches, match_players, rounds, stats, impact, players, friendships) into the session as arena_ views, and FUNCTIONS over them.
+    """Put ``tables`` (of matches, match_players, rounds, stats, impact, players, friendships) into the session as arena_ views, and those of FUNCTIONS whose tables are all there.
 
     An argument of null matches nothing; a function of a match, round or player that
     isn't there has no rows.
@@ -40,4 +42,5 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for name, table in tables.items():
         table.createOrReplaceTempView(f"arena_{name}")
     for head, (columns, body) in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS TABLE ({columns}) RETURN {body}")
+        if set(re.findall(r"\barena_(\w+)", body)) <= set(tables):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS TABLE ({columns}) RETURN {body}")

@@ -1,6 +1,7 @@
 """Mergeable bootstrap, SQL table functions, icons from images."""
 
 import random
+import shutil
 import struct
 import zlib
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from roundlens.operators import statistics
 from roundlens.plans import surface as plans
-from roundlens.sources import icons, ingest
+from roundlens.plans.base import QUERIES
+from roundlens.sources import icons, ingest, tables
 from roundlens.sources.arena import Arena
 
 SMALL = "/root/testdata/sf0.001"
@@ -105,3 +107,13 @@ def test_saved_icons_get_their_labels(spark, tmp_path):
     got = {r.icon_id.rsplit("/", 1)[1]: r.label for r in ingest.classify_icons(seen, known).collect()}
     assert len(got) == 38 and got.pop("other.png") == got.pop("broken.png") == "BAD CLASSIFICATION!"
     assert got == {name: f"Agent{name.split('-')[0]}" for name in got}
+
+
+def test_squad_derives_what_it_reads(spark, tmp_path):
+    """A function's query derives the tables of its function, not all that functions read."""
+    folder = tmp_path / "in"
+    shutil.copytree(SMALL, folder)
+    got = QUERIES["s_squad"](spark, str(folder)).collect()
+    written = {name for _, source, _, name in tables._kept if source == str(folder)}
+    assert written and not written & {"impact", "stats", "kill_events", "matches"}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plans.functions(Arena(spark, SMALL)).sql("SELECT * FROM squad(3)").collect())) and got
