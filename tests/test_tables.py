@@ -181,3 +181,39 @@ def test_impact_reads_its_steps_as_written(spark, no_broadcast):
 
 def scores_step(a, name):
     return a.by_match(name, lambda: pytest.fail(f"{name} isn't written"))
+
+
+def test_buckets_are_read_in_their_order(spark, no_broadcast, tmp_path):
+    """Impact is dealt by match as it is computed, and joins by round and by seat sort neither side."""
+    from roundlens.plans.scoring import scores
+
+    shutil.copytree(SMALL, tmp_path / "in")
+    a = Arena(spark, str(tmp_path / "in"))
+    scored = scores(a)
+    last = impact.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats, scores_step(a, "kill_factors"), scores_step(a, "trades"))
+    assert "Exchange" not in plan(last.repartition(a.parts, "match_id"))
+    for joined in (summaries.with_result(scored, a.rounds), scored.join(a.stats, ["match_id", "round_id", "match_player_id"])):
+        assert "SortMergeJoin" in plan(joined) and "Sort [" not in plan(joined)
+    by_round = scored.select("match_id", "round_id", "match_player_id")
+    assert by_round.exceptAll(a.stats.select(by_round.columns)).count() == 0 == a.stats.select(by_round.columns).exceptAll(by_round).count()
+
+
+def test_versions_are_compared_as_they_lie(spark, no_broadcast):
+    """Only what is compared is written, in the order that it is joined in."""
+    from roundlens.plans import fights
+
+    old, new = fights._versions(Arena(spark, SMALL))
+    assert set(old.columns) == set(new.columns) == {"match_id", "round_id", "match_player_id", "impact", "damage"}
+    both = plan(validation.compared(old, new, ["impact", "damage"]))
+    assert "SortMergeJoin" in both and "Sort [" not in both and "Exchange" not in both
+
+
+def test_whole_numbers_are_those_of_six_decimals(spark):
+    """Beside a half six decimals decide, and a half goes to the even number."""
+    rng = random.Random(5)
+    halves = [n + 0.5 + d for n in range(-20, 20) for d in (0, 1e-9, -1e-9, 4e-7, -4e-7, 6e-7, -6e-7, 9e-5, 2e-4)]
+    rows = spark.createDataFrame([(x,) for x in [*halves, *(rng.uniform(-900, 900) for _ in range(500)), 0.0, -0.0, None]], "x double")
+    said = rows.select(impact.whole(F.col("x")).alias("got"), F.bround(F.round("x", 6), 0).cast("long").alias("want"), "x").collect()
+    assert all(r.got == r.want for r in said) and {0, 2, -2} <= {r.got for r in said}
+    whole = plan(rows.select(impact.whole(F.col("x"))))
+    assert "rint" in whole.lower()
