@@ -81,17 +81,17 @@ def set_replay(feed: DataFrame, match_players: DataFrame) -> DataFrame:
     return rows.where(((F.col("alive_1") > 0) & (F.col("alive_2") > 0)) | (F.col("seq") == 1)).drop("size_1", "size_2")
 
 
-def kill_streaks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
+def kill_streaks(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """(match_player_id, streak): the most eliminations without an own death in between, across the rounds of a match. A gaps-and-islands count.
 
-    Here and below ``replayed`` is set_replay where it was written already.
+    Here and below ``replayed`` is set_replay where it was written already. ``more`` are keys that the player implies, which stay in the rows.
     """
     rows = (set_replay(feed, match_players) if replayed is None else replayed).join(rounds.select(*ROUND, "round_number"), ROUND)
     k = rows.where("killer is not null").select("match_id", F.col("killer").alias("p"), "round_number", "seq", F.lit(0).alias("step"), F.lit(1).alias("k"), F.lit(0).alias("d"))
     d = rows.where("victim is not null").select("match_id", F.col("victim").alias("p"), "round_number", "seq", F.lit(1).alias("step"), F.lit(0).alias("k"), F.lit(1).alias("d"))
     island = F.coalesce(F.sum("d").over(Window.partitionBy("match_id", "p").orderBy("round_number", "seq", "step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = k.unionAll(d).withColumn("island", island).groupBy("match_id", "p", "island").agg(F.sum("k").alias("n"))
-    return each.groupBy(F.col("p").alias("match_player_id")).agg(F.max("n").alias("streak"))
+    return each.groupBy(*more, F.col("p").alias("match_player_id")).agg(F.max("n").alias("streak"))
 
 
 def clutches(feed: DataFrame, rounds: DataFrame, match_players: DataFrame, replayed: DataFrame | None = None) -> DataFrame:

@@ -217,3 +217,10 @@ def test_whole_numbers_are_those_of_six_decimals(spark):
     assert all(r.got == r.want for r in said) and {0, 2, -2} <= {r.got for r in said}
     whole = plan(rows.select(impact.whole(F.col("x"))))
     assert "rint" in whole.lower()
+
+
+def test_match_values_stay_with_their_match(spark, no_broadcast):
+    """Counters meet by match, where they lie; only the narrow seats are dealt, to meet the names."""
+    from roundlens.plans.social import match_values
+
+    assert "hashpartitioning(match_player_id" not in plan(match_values(Arena(spark, SMALL)))
