@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import r6, rate
+from ..sources.tables import as_it_lies
 from .statistics import LEAST_DEFINED, LEAST_MATCHES
 
 COMPLEMENT_MOST, CLOSURE_MOST, UNSTABLE_LEVERAGE, MOVERS = 0.15, 0.15, 0.05, 15
@@ -106,14 +107,14 @@ def report(wins: DataFrame, duels: DataFrame, cells: DataFrame, diagnostics: Dat
 def compared(old: DataFrame, new: DataFrame, values: list[str]) -> DataFrame:
     """Rows (match_id, round_id, match_player_id) of both versions with old_, new_ and delta_ of each value."""
     key = ["match_id", "round_id", "match_player_id"]
-    rows = old.select(*key, *[F.col(v).alias(f"old_{v}") for v in values]).join(new.select(*key, *[F.col(v).alias(f"new_{v}") for v in values]), key)
+    rows = old.select(*key, *[F.col(v).alias(f"old_{v}") for v in values]).join(as_it_lies(new.select(*key, *[F.col(v).alias(f"new_{v}") for v in values])), key)
     return rows.select("*", *[(F.col(f"new_{v}") - F.col(f"old_{v}")).alias(f"delta_{v}") for v in values])
 
 
 def coverage(old: DataFrame, new: DataFrame) -> DataFrame:
     """(match_id, both, retired, added): rows of a match in both versions, only in the old one, and only in the new one."""
     key = ["match_id", "round_id", "match_player_id"]
-    rows = old.select(*key, F.lit(True).alias("o")).join(new.select(*key, F.lit(True).alias("n")), key, "full")
+    rows = old.select(*key, F.lit(True).alias("o")).join(as_it_lies(new.select(*key, F.lit(True).alias("n"))), key, "full")
     o, n = F.col("o").isNotNull(), F.col("n").isNotNull()
     return rows.groupBy("match_id").agg(F.count_if(o & n).alias("both"), F.count_if(o & ~n).alias("retired"), F.count_if(~o & n).alias("added"))
 
@@ -128,7 +129,7 @@ def biggest_movers(rows: DataFrame, value: str = "impact", n: int = MOVERS) -> D
 def moves_by_player(rows: DataFrame, match_players: DataFrame, value: str = "impact") -> DataFrame:
     """(player_id, n, mean): how far each player moved on average."""
     seats = match_players.select("match_id", "match_player_id", "player_id")
-    return rows.join(seats, ["match_id", "match_player_id"]).groupBy("player_id").agg(F.count("*").alias("n"), r6(F.avg(f"delta_{value}")).alias("mean"))
+    return rows.join(as_it_lies(seats), ["match_id", "match_player_id"]).groupBy("player_id").agg(F.count("*").alias("n"), r6(F.avg(f"delta_{value}")).alias("mean"))
 
 
 def moves_by_part(rows: DataFrame, parts: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import models as M
 from ..operators import replay, statistics, validation
 from ..operators import sessions as H
 from ..sources.arena import SEAT_ORDER
+from ..sources.tables import as_it_lies
 from .base import query
 from .replay import REPLAY_SQL
 from .scoring import IMPACT_SQL, scores
@@ -148,7 +149,7 @@ v_both AS (SELECT match_id, round_id, match_player_id, o.impact AS old_impact, n
 
 def _versions(a):
     """Both versions with what is compared, each written once."""
-    rows = scores(a).join(a.rounds.select("match_id", "round_id", "outcome"), ["match_id", "round_id"])
+    rows = scores(a).join(as_it_lies(a.rounds.select("match_id", "round_id", "outcome")), ["match_id", "round_id"])
     old = rows.where(played(F.col("outcome"))).withColumn("impact", F.col("impact") - 7 * F.col("traded_teammate")).withColumn("damage", F.col("damage") + F.col("time_impact"))
     keep = [*SEAT_ORDER, "impact", "damage"]
     return a.by_match("impact_before", lambda: old.select(keep), SEAT_ORDER), a.by_match("impact_after", lambda: rows.where("outcome is not null").select(keep), SEAT_ORDER)

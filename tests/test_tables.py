@@ -224,3 +224,18 @@ def test_match_values_stay_with_their_match(spark, no_broadcast):
     from roundlens.plans.social import match_values
 
     assert "hashpartitioning(match_player_id" not in plan(match_values(Arena(spark, SMALL)))
+
+
+def test_steps_up_to_impact_hold_no_copies(spark):
+    """Tables in buckets by match are merged, not broadcast, though these are small; the feed is dealt into all parts, which stay apart."""
+    from roundlens.plans import fights
+    from roundlens.plans.scoring import scores
+
+    a = Arena(spark, SMALL)
+    scores(a)
+    swings, kills, found = scores_step(a, "swings"), scores_step(a, "kill_factors"), scores_step(a, "trades")
+    steps = [a._stats(), impact.swing_risk(a.rounds, a.stats), impact.kill_factors(a.kill_events, a.rounds, a.match_players, a.stats, swings), impact.trades(impact.with_teams(a.kill_events, a.match_players))]
+    steps += [impact.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats, kills, found), fights._compared(a), validation.coverage(*fights._versions(a))]
+    assert not [step.columns for step in steps if "Broadcast" in plan(step)]
+    feed = plan(a._kill_events())
+    assert "REPARTITION_BY_NUM" in feed and "REPARTITION_BY_COL" not in feed
