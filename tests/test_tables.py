@@ -239,3 +239,12 @@ def test_steps_up_to_impact_hold_no_copies(spark):
     assert not [step.columns for step in steps if "Broadcast" in plan(step)]
     feed = plan(a._kill_events())
     assert "REPARTITION_BY_NUM" in feed and "REPARTITION_BY_COL" not in feed
+
+
+@pytest.mark.parametrize("name", ["d12_by_agent"])
+def test_queries_merge_buckets(spark, name):
+    """Joins by match merge what lies alike, also where a copy would be small."""
+    from roundlens.plans.registry import QUERIES
+
+    got = plan(QUERIES[name](spark, SMALL))
+    assert "SortMergeJoin" in got and "Broadcast" not in got
