@@ -241,10 +241,17 @@ def test_steps_up_to_impact_hold_no_copies(spark):
     assert "REPARTITION_BY_NUM" in feed and "REPARTITION_BY_COL" not in feed
 
 
-@pytest.mark.parametrize("name", ["d12_by_agent"])
+@pytest.mark.parametrize("name", ["d12_by_agent", "d12_by_map"])
 def test_queries_merge_buckets(spark, name):
     """Joins by match merge what lies alike, also where a copy would be small."""
     from roundlens.plans.registry import QUERIES
 
     got = plan(QUERIES[name](spark, SMALL))
     assert "SortMergeJoin" in got and "Broadcast" not in got
+
+
+def test_matches_are_read_in_their_order(spark, no_broadcast):
+    """Only the means, which are hashed, are sorted to meet the seats; matches lie sorted."""
+    from roundlens.plans.registry import QUERIES
+
+    assert plan(QUERIES["d12_by_map"](spark, SMALL)).count("Sort [") == 1
