@@ -241,7 +241,7 @@ def test_steps_up_to_impact_hold_no_copies(spark):
     assert "REPARTITION_BY_NUM" in feed and "REPARTITION_BY_COL" not in feed
 
 
-@pytest.mark.parametrize("name", ["d12_by_agent", "d12_by_map"])
+@pytest.mark.parametrize("name", ["d12_by_agent", "d12_by_map", "e6_maps_by_win_rate"])
 def test_queries_merge_buckets(spark, name):
     """Joins by match merge what lies alike, also where a copy would be small."""
     from roundlens.plans.registry import QUERIES
@@ -255,3 +255,17 @@ def test_matches_are_read_in_their_order(spark, no_broadcast):
     from roundlens.plans.registry import QUERIES
 
     assert plan(QUERIES["d12_by_map"](spark, SMALL)).count("Sort [") == 1
+
+
+def test_win_rates_need_no_impact(spark, tmp_path):
+    """Maps by win rate are told by matches and seats; nothing else is derived for them."""
+    from roundlens.plans.registry import QUERIES
+
+    shutil.copytree(SMALL, tmp_path / "in")
+    got = QUERIES["e6_maps_by_win_rate"](spark, str(tmp_path / "in"))
+    assert {name for _, folder, _, name in tables._kept if folder == str(tmp_path / "in")} == {"rounds", "matches", "match_players"}
+    a = Arena(spark, SMALL)
+    scored = a.by_match("impact", lambda: impact.impact_scores(a.kill_events, a.rounds, a.match_players, a.stats))
+    columns = ["player_id", "map_name", "matches", "win_rate"]
+    whole = summaries.grouped_profile(scored, a.match_players, a.matches, "map_name")
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
