@@ -241,7 +241,7 @@ def test_steps_up_to_impact_hold_no_copies(spark):
     assert "REPARTITION_BY_NUM" in feed and "REPARTITION_BY_COL" not in feed
 
 
-@pytest.mark.parametrize("name", ["d12_by_agent", "d12_by_map", "e6_maps_by_win_rate", "d14_leaderboard", "d7_match_summary", "d10_team_summary", "d11_profile"])
+@pytest.mark.parametrize("name", ["d12_by_agent", "d12_by_map", "e6_maps_by_win_rate", "d14_leaderboard", "d7_match_summary", "d10_team_summary", "d11_profile", "d20_round_mvps"])
 def test_queries_merge_buckets(spark, name):
     """Joins by match merge what lies alike, also where a copy would be small."""
     from roundlens.plans.registry import QUERIES
