@@ -11,7 +11,7 @@ from ..operators import sessions as H
 from ..sources.arena import SEAT_ORDER
 from ..sources.tables import as_it_lies
 from .base import query
-from .replay import REPLAY_SQL
+from .replay import REPLAY_SQL, replayed
 from .scoring import IMPACT_SQL, scores
 from .sessions import HAZARD_SQL, SESSION_SQL, tracked_roster
 from .summaries import ACT_SQL
@@ -48,7 +48,7 @@ def blocks(a):
 
     def build():
         if not made:
-            made["wins"], made["duels"] = replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, tracked_roster(a))
+            made["wins"], made["duels"] = replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, tracked_roster(a), replayed(a))
         return made
 
     return a.kept("fight_wins", lambda: build()["wins"]), a.kept("fight_duels", lambda: build()["duels"])
