@@ -42,20 +42,27 @@ x_cell AS (SELECT r.player_id, r.side, r.own, r.opp, r.w, u.w AS w_u, v.w AS w_d
 )
 
 
-def blocks(a):
-    """(wins, duels) of every player, written once: they are read by every query on fights."""
-    made: dict = {}
+def _blocks(a):
+    return replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, tracked_roster(a), replayed(a))
+
+
+def fight_wins(a):
+    """States that every player's side entered, written once."""
+    return a.kept("fight_wins", lambda: _blocks(a)[0])
 
-    def build():
-        if not made:
-            made["wins"], made["duels"] = replay.player_fight_blocks(a.kill_events, a.rounds, a.match_players, tracked_roster(a), replayed(a))
-        return made
 
-    return a.kept("fight_wins", lambda: build()["wins"]), a.kept("fight_duels", lambda: build()["duels"])
+def fight_duels(a):
+    """Duels of every player and teammates, written once."""
+    return a.kept("fight_duels", lambda: _blocks(a)[1])
+
+
+def blocks(a):
+    """(wins, duels) of every player; queries that need one of them don't derive the other."""
+    return fight_wins(a), fight_duels(a)
 
 
-query("j1_player_wins", "SELECT player_id, match_id, side, own, opp, entries, wins FROM x_wins", FIGHT_SQL)(lambda a: blocks(a)[0])
-query("j1_player_duels", "SELECT * FROM x_duels", FIGHT_SQL)(lambda a: blocks(a)[1])
+query("j1_player_wins", "SELECT player_id, match_id, side, own, opp, entries, wins FROM x_wins", FIGHT_SQL)(fight_wins)
+query("j1_player_duels", "SELECT * FROM x_duels", FIGHT_SQL)(fight_duels)
 query(
     "j7_fight_views",
     """SELECT player_id, pool, side, own, opp, round(p_player, 6) AS p_player, n_player, round(p_teammates, 6) AS p_teammates, n_teammates, round(w_u, 6) AS w_u, round(w_d, 6) AS w_d, round(lev, 6) AS leverage,
@@ -68,7 +75,7 @@ query(
 
 
 def _rates(a):
-    return validation.win_rates(blocks(a)[0])
+    return validation.win_rates(fight_wins(a))
 
 
 query(
@@ -89,8 +96,8 @@ query(
     """SELECT *, abs(leverage) < 0.05 AS unstable FROM (SELECT player_id, side, own, opp, round(w_u - w_d, 6) AS leverage, round((w - w_d) / (w_u - w_d), 6) AS p_star, round((yk + ak) / (yk + ak + yd + ad), 6) AS p_team,
         round(abs((w - w_d) / (w_u - w_d) - (yk + ak) / (yk + ak + yd + ad)), 6) AS diff FROM x_cell WHERE w IS NOT NULL AND w_u - w_d <> 0 AND yk + ak + yd + ad > 0) WHERE abs(leverage) < 0.05 OR diff > 0.15""",
     FIGHT_SQL,
-)(lambda a: validation.closures(_rates(a), blocks(a)[1]))
-query("j18_reconstruction", "SELECT player_id, side, own, opp, (yk + ak)::BIGINT AS kills, (yd + ad)::BIGINT AS deaths FROM x_d", FIGHT_SQL)(lambda a: validation.reconstruction(blocks(a)[1]))
+)(lambda a: validation.closures(_rates(a), fight_duels(a)))
+query("j18_reconstruction", "SELECT player_id, side, own, opp, (yk + ak)::BIGINT AS kills, (yd + ad)::BIGINT AS deaths FROM x_d", FIGHT_SQL)(lambda a: validation.reconstruction(fight_duels(a)))
 
 
 def fight_cells(a):

@@ -80,3 +80,23 @@ def test_random_rounds_equal_a_plain_replay(spark):
     accepted = {n: w for n, w in want.items() if w is not None}
     assert {n: sorted(states.get(n, [])) for n in accepted} == {n: w[0] for n, w in accepted.items()} and len(accepted) > 60
     assert all((got[n].reason, got[n].entries, got[n].post_decision) == (None, len(w[0]) + 1, w[1]) for n, w in accepted.items()) and any(w[1] for w in accepted.values())
+
+
+def test_a_query_derives_only_the_blocks_that_it_reads(spark, tmp_path):
+    """Win rates need no duels, reconstructions no wins; both read the one replay that was written, once each."""
+    import shutil
+
+    from roundlens.operators import replay as R
+    from roundlens.plans import fights
+    from roundlens.plans.registry import QUERIES
+    from roundlens.sources import tables
+
+    for name, mine in (("j18_monotonicity", "fight_wins"), ("j18_reconstruction", "fight_duels")):
+        folder = str(tmp_path / name)
+        shutil.copytree(SMALL, folder)
+        assert QUERIES[name](spark, folder).count() > 0
+        assert {name for _, f, _, name in tables._kept if f == folder} == {"rounds", "match_players", "kill_events", "replayed", mine}
+    a = Arena(spark, folder)
+    for part in R.player_fight_blocks(a.kill_events, a.rounds, a.match_players, fights.tracked_roster(a), fights.replayed(a)):
+        got = plan(part)
+        assert got.count("default.replayed_") == 1 and "kill_events_" not in got
