@@ -19,7 +19,7 @@ def _fed(a, build):
 
 def live_counters(a):
     """The counters of all matches when they closed; matches last some hours, and the feed's files come in no order."""
-    return a.kept("live_counters", lambda: _fed(a, lambda feed: counters.live_counters(feed, "1000 days", 3_600_000)).where("closed and match_id >= 0"))
+    return a.kept("live_counters", lambda: _fed(a, lambda feed: counters.live_counters(feed, "1000 days", 3_600_000).where("closed and match_id >= 0")))
 
 
 query("l_live_streaks")(lambda a: live_counters(a).where("kind = 'streak'").select("match_player_id", "streak"))

@@ -119,3 +119,54 @@ def test_a_batch_reads_and_writes_a_match_once():
     for _ in range(2):  # repeated rows do no harm
         told = pd.concat(one.handleInputRows((1,), iter([rows]), None))
     assert calls == ["update", "get", "update"] and told.where(told.kind == "streak").streak.max() == 4
+
+
+def test_event_times_of_any_year(spark, landed, tmp_path):
+    """Times beyond 2262, where nanoseconds end, count like others."""
+    a, _, rows = landed
+    ids = rows.select("match_id").distinct().where("match_id < 6")
+    far = rows.join(ids, "match_id", "left_semi").withColumn("at", F.col("at") + F.expr("interval 700 years"))
+    got = counters.streamed(spark, far, lambda s: counters.live_counters(s, "1000 days", 3_600_000), str(tmp_path))
+    want = replay.kill_streaks(a.kill_events.join(ids, "match_id", "left_semi"), a.rounds.join(ids, "match_id", "left_semi"), a.match_players)
+    closed = got.where("closed and kind = 'streak' and match_id >= 0")
+    assert sorted((r.match_player_id, r.streak) for r in closed.collect()) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_matches_of_a_key_close_by_themselves():
+    """Two matches in one value: read and written once a batch, each closed when it has been still; late rows count while their match is open."""
+    import pandas as pd
+
+    calls, timers = [], set()
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: calls.append("get") or self.held
+
+        def update(self, new):
+            calls.append("update")
+            self.held = new
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+        registerTimer = lambda self, at: timers.add(at)
+        deleteTimer = lambda self, at: timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    names = ["match_id", "at", "round_id", "round_number", "kill_id", "t", "killer", "victim", "victim_team", "winner", "size_1", "size_2"]
+    frame = lambda match, at, kill: pd.DataFrame([(match, at, match, 1, kill, float(kill), 10, 20 + kill, "team-2", None, 5, 5)], columns=names)
+    one = counters.MatchCounters(1000)
+    one.init(Handle())
+    told = pd.concat(one.handleInputRows((0,), iter([frame(1, 5000, 1), frame(2, 9000, 2)]), At(0)))
+    assert calls == ["update"] and timers == {6000} and set(told.match_id) == {1, 2} and not told.closed.any()
+    late = pd.concat(one.handleInputRows((0,), iter([frame(1, 5000, 3), frame(3, 5500, 4)]), At(5900)))
+    assert set(late.match_id) == {1} and late.streak.max() == 2  # the third match would have been open, had it come in time
+    done = pd.concat(one.handleExpiredTimer((0,), At(6001), At(6000)))
+    assert set(done.match_id) == {1} and done.closed.all() and done.streak.max() == 2 and 10000 in timers
+    assert set(pd.concat(one.handleExpiredTimer((0,), At(20000), At(10000))).match_id) == {2} and not one.open.exists()
