@@ -100,3 +100,27 @@ def test_a_query_derives_only_the_blocks_that_it_reads(spark, tmp_path):
     for part in R.player_fight_blocks(a.kill_events, a.rounds, a.match_players, fights.tracked_roster(a), fights.replayed(a)):
         got = plan(part)
         assert got.count("default.replayed_") == 1 and "kill_events_" not in got
+
+
+def test_draws_of_a_large_player_are_added_up_by_blocks(spark):
+    """Matches in blocks: the same values and matches, intervals of draws as large, and every draw as many picks as matches."""
+    import numpy as np
+
+    from roundlens.operators import statistics
+
+    rng = random.Random(6)
+    wins = [(p, m, "attack", own, opp, 4, rng.randint(0, 2) + 2 * (own > opp)) for p, n in ((5, 90), (6, 10)) for m in range(n) for own, opp in ((3, 2), (2, 3))]
+    duels = [(p, m, "attack", 3, 3, *[rng.randint(0, 2) for _ in range(6)]) for p, n in ((5, 90), (6, 10)) for m in range(n)]
+    names = ", ".join(f"{p}_{c} long" for p in ("player", "tracked", "all") for c in ("kills", "deaths"))
+    w, d = spark.createDataFrame(wins, "player_id long, match_id long, side string, own long, opp long, entries long, wins long"), spark.createDataFrame(duels, f"player_id long, match_id long, side string, own long, opp long, {names}")
+    seats = spark.createDataFrame([(5, m) for m in range(91)] + [(6, m) for m in range(10)], "player_id long, match_id long")  # one match without a round
+    whole, parts = ({(r.player_id, r.pool, r.side, r.own, r.opp): r.asDict() for r in statistics.fight_ev(w, d, seats, 1500, block=b).collect()} for b in (1000, 20))
+    assert len(whole) == len(parts) == 200
+    for key, a in whole.items():
+        b = parts[key]
+        assert all(a[c] == b[c] for c in a if c not in ("low", "high", "defined") and (key[0] == 6 or c != "state")) and (key[0] == 5 or a == b)
+        if a["low"] is not None:
+            assert abs(a["low"] - b["low"]) < 0.03 and abs(a["high"] - b["high"]) < 0.03 and abs(a["defined"] - b["defined"]) < 0.05
+    assert any(r["low"] is not None for r in whole.values()) and parts[5, "all", "attack", 3, 3]["low"] != whole[5, "all", "attack", 3, 3]["low"]
+    sizes = np.array([30, 40, 21])
+    assert (sum(statistics._block_draws(sizes, at, 50, 2, 5)[0] for at in range(3)) == 91).all()
