@@ -1,7 +1,8 @@
-"""Ordered replays of a round's feed as windows, each with its own rules for who is alive.
+"""Ordered replays of a round's feed, each with its own rules for who is alive.
 
 Rows are numbered by (time, id) within the round; counts before a row are running
-sums over that order. The partition is one round, so nothing grows with the data.
+sums over that order, as windows, and the canonical replay folds a round's rows as an
+array. Both are of one round, so nothing grows with the data.
 """
 
 from __future__ import annotations
